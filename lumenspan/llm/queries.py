@@ -5,8 +5,10 @@ from __future__ import annotations
 from .line_rules import op10_line_rules
 from .pu_quality import op3_pu_quality
 from .sharding import op5_ring_sharding
+from .suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_pu_quality": op3_pu_quality,
     "op5_ring_sharding": op5_ring_sharding,
     "op10_line_rules": op10_line_rules,

@@ -59,8 +59,9 @@ def written(df: DataFrame, path: str, **options: str) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size of a plan; for files, what they take on disk."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """The size of a plan's inputs as the optimizer has it; for files, what they take on disk."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
 
 
 def partitions(spark: SparkSession, n_bytes: int, each: int = 32 << 20) -> int:
