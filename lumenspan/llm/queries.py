@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_qgram_decontamination
 from .line_rules import op10_line_rules
 from .pu_quality import op3_pu_quality
 from .sharding import op5_ring_sharding
 from .suffix_dedup import op2_suffix_dedup
+from .wordpiece import op7_token_counts
 
 QUERIES = {
+    "op1_qgram_decontamination": op1_qgram_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_pu_quality": op3_pu_quality,
     "op5_ring_sharding": op5_ring_sharding,
+    "op7_token_counts": op7_token_counts,
     "op10_line_rules": op10_line_rules,
 }
 ORACLES: dict[str, str] = {}
