@@ -7,6 +7,7 @@ from .line_rules import op10_line_rules
 from .pu_quality import op3_pu_quality
 from .sharding import op5_ring_sharding
 from .suffix_dedup import op2_suffix_dedup
+from .unigram import op9_unigram_pieces
 from .wordpiece import op7_token_counts
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_pu_quality": op3_pu_quality,
     "op5_ring_sharding": op5_ring_sharding,
     "op7_token_counts": op7_token_counts,
+    "op9_unigram_pieces": op9_unigram_pieces,
     "op10_line_rules": op10_line_rules,
 }
 ORACLES: dict[str, str] = {}
