@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op1_qgram_decontamination
+from .jaccard_join import op6_partenum_jaccard
 from .line_rules import op10_line_rules
 from .pu_quality import op3_pu_quality
 from .sharding import op5_ring_sharding
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_pu_quality": op3_pu_quality,
     "op5_ring_sharding": op5_ring_sharding,
+    "op6_partenum_jaccard": op6_partenum_jaccard,
     "op7_token_counts": op7_token_counts,
     "op9_unigram_pieces": op9_unigram_pieces,
     "op10_line_rules": op10_line_rules,
