@@ -9,12 +9,14 @@ from .pu_quality import op3_pu_quality
 from .sharding import op5_ring_sharding
 from .suffix_dedup import op2_suffix_dedup
 from .unigram import op9_unigram_pieces
+from .warc import op4_warc_merge
 from .wordpiece import op7_token_counts
 
 QUERIES = {
     "op1_qgram_decontamination": op1_qgram_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_pu_quality": op3_pu_quality,
+    "op4_warc_merge": op4_warc_merge,
     "op5_ring_sharding": op5_ring_sharding,
     "op6_partenum_jaccard": op6_partenum_jaccard,
     "op7_token_counts": op7_token_counts,
