@@ -46,7 +46,7 @@ class Spool:
         self.file.seek(block[0])
         return [np.frombuffer(self.file.read(n * kind.itemsize), kind) for kind, n in block[1]]
 
-    def taken(self, queue: list, n: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def taken(self, queue: list, n: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """A queue's tuples in order, in blocks of about ``n``, with those that are put there meanwhile."""
         done = 0
         while done < len(queue):
@@ -69,23 +69,25 @@ def words_at(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(eight[at]).view(">u8").ravel().astype(np.uint64)
 
 
-def s_star(text: np.ndarray) -> np.ndarray:
+def s_star(text: np.ndarray, block: int = 1 << 20) -> np.ndarray:
     """Positions whose suffix is smaller than the next one and follows a larger one; the last position is one."""
     n = len(text)
-    if n == 1:
-        return np.zeros(1, np.int64)
-    step = np.sign(text[1:].astype(np.int16) - text[:-1].astype(np.int16)).astype(np.int8)
-    turn = np.flatnonzero(step)  # where neighbours differ; equal ones have the type of the next turn
-    rising = np.zeros(n, bool)
-    rising[-1] = True
-    if len(turn):
-        reach = np.diff(np.r_[-1, turn])
-        rising[: turn[-1] + 1] = np.repeat(step[turn] > 0, reach)
-    # a tail of equal symbols before the end falls towards the end
-    out = rising.copy()
-    out[0] = False
-    out[1:] &= ~rising[:-1]
-    return np.flatnonzero(out)
+    found = [np.array([n - 1] if n > 1 and text[n - 2] > text[n - 1] or n == 1 else [], np.int64)]
+    after = False  # whether the suffix after the block is smaller than the one after it; towards the end all fall
+    for lo in range((n - 2) // block * block, -1, -block) if n > 1 else ():
+        hi = min(lo + block, n - 1)
+        step = text[lo + 1 : hi + 1].astype(np.int16) - text[lo:hi]
+        turn = np.flatnonzero(step)  # where neighbours differ; equal ones have the type of the next turn
+        rising = np.full(hi - lo, after)
+        if len(turn):
+            rising[: turn[-1] + 1] = np.repeat(step[turn] > 0, np.diff(np.r_[-1, turn]))
+        # Position p is one if it rises and p - 1 doesn't; p - 1 falls at once, as its suffix is larger.
+        star = rising.copy()
+        star[1:] &= ~rising[:-1]
+        star[0] &= lo > 0 and text[lo - 1] > text[lo]
+        found.append(lo + np.flatnonzero(star))
+        after = bool(rising[0])
+    return np.concatenate(found[::-1])
 
 
 def ranked(padded: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -136,19 +138,18 @@ class Lows:
     """Smallest value of any range of a block, by doubling."""
 
     def __init__(self, values: np.ndarray, longest: int) -> None:
-        self.levels = [values]
-        while (1 << len(self.levels)) <= longest:
-            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
-            self.levels.append(np.minimum(last[:-half], last[half:]))
+        n = self.n = len(values)
+        self.rows = np.empty((max(1, int(longest).bit_length()), n), np.uint8)
+        self.rows[0] = values
+        for k in range(1, len(self.rows)):
+            half = 1 << (k - 1)
+            if n >= 2 * half:
+                np.minimum(self.rows[k - 1, : n - 2 * half + 1], self.rows[k - 1, half : n - half + 1], out=self.rows[k, : n - 2 * half + 1])
 
     def over(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        size = last - first + 1
-        level = np.frexp(size.astype(np.float64))[1] - 1
-        out = np.empty(len(first), np.uint8)
-        for k in np.unique(level):
-            row, pick = self.levels[k], level == k
-            out[pick] = np.minimum(row[first[pick]], row[last[pick] + 1 - (1 << int(k))])
-        return out
+        level = np.frexp((last - first + 1).astype(np.float32))[1].astype(np.int64) - 1
+        flat, row = self.rows.ravel(), level * self.n
+        return np.minimum(flat[row + first], flat[row + last + 1 - (1 << level)])
 
 
 class Scan:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import struct
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,11 @@ def cut(n: int, keys: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def release(spark) -> None:
-    """Let Spark delete the shuffle files of finished jobs that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished jobs that nothing refers to any more.
+
+    The first collection frees plans, the second what they held; files are deleted in between and after.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)

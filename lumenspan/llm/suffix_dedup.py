@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 
 from .induced_sort import sorted_suffixes
 from .packing import cut, pack, release, unpack
-from .util import buffers, estimated_bytes, partitions, pieces, run_dir, written
+from .util import buffers, estimated_bytes, partitions, pieces, remove, run_dir, written
 
 GRAM = 16
-ODD = np.uint64(0x9E3779B97F4A7C15)
+#: A shard's bytes, roughly; a task holds a few times as much.
+SHARD = 12 << 20
+PLUS_ONE = bytes([*range(1, 256), 0])  # UTF-8 has no 255
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -81,7 +83,7 @@ def find_anchors(window: int, n_parts: int):
     known to repeat, as other documents of the same piece have the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
+        for part in pieces(batches, 2 << 20):
             ids, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
             raw, offsets = buffers(part.column(2))
             anchor, doc, first, _ = runs(raw, offsets, window)
@@ -116,64 +118,90 @@ def find_anchors(window: int, n_parts: int):
     return run
 
 
-def by_document(ids: np.ndarray, keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of (id, key, little-endian values) with a document's values together."""
-    if not len(ids):
-        return
-    order = np.lexsort((keys, ids))
-    ids, keys, values = ids[order], keys[order], np.ascontiguousarray(values[order])
-    edges = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]), True])
-    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
-    for at in range(0, len(edges) - 1, 50_000):
-        some = edges[at : at + 50_001]
-        offs = ((some - some[0]) * width).astype(np.int32)
-        data = values[some[0] : some[-1]].tobytes()
-        blob = pa.Array.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer(offs), pa.py_buffer(data)])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[some[:-1]]), pa.array(keys[some[:-1]]), blob], ["id", "key", "data"])
-
-
-def repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's anchors to the addresses of those that two documents have."""
-    got = []
+def by_bucket(ids: np.ndarray, keys: np.ndarray, values: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Values (one or two numbers a row) of documents, packed in a row for each bucket of documents."""
+    to = (ids ^ keys) % n
+    order = np.lexsort((keys, ids, to))
+    runs = cut(len(to), to[order])
+    if runs:
+        data = [pack(ids[o], keys[o], values[o].ravel()) for o in (order[s:e] for _, s, e in runs)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
+
+
+def attached(docs: DataFrame, packed: DataFrame, n: int) -> DataFrame:
+    """Documents and what is packed for them, bucket by bucket, the packed rows first."""
+    docs = docs.withColumns({"bucket": F.coalesce(F.pmod(F.col("id").bitwiseXOR(F.col("key")), F.lit(n)), F.pmod("key", F.lit(n))), "data": F.lit(None).cast("binary")})
+    return docs.unionByName(packed, allowMissingColumns=True).repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions(F.col("data").isNull()).drop("bucket")
+
+
+def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
+    """Slices of a bucket's documents, and what is packed for them by (id, key)."""
+    got, table = [], None
     for batch in batches:
-        for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if kind:
-                ids, keys, start = unpack(blob, np.int64, np.int64, np.uint32)
-                yield from by_document(ids, keys, start)
-            else:
-                got.append(unpack(blob, np.uint64, np.int64, np.int64, np.uint32, np.uint8))
-    if not got:
-        return
-    anchor, ids, keys, start, several = (np.concatenate(x) for x in zip(*got))
-    del got
-    order = np.argsort(anchor, kind="stable")
-    anchor = anchor[order]
-    edges = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-    sorted_ids = ids[order]
-    often = (np.minimum.reduceat(sorted_ids, edges) != np.maximum.reduceat(sorted_ids, edges)) | (np.maximum.reduceat(several[order], edges) > 0)
-    del anchor, sorted_ids
-    # An address sent for an anchor that is known to repeat was also sent as known.
-    pick = order[np.repeat(often, np.diff(np.r_[edges, len(order)]))]
-    pick = pick[several[pick] == 0]
-    yield from by_document(ids[pick], keys[pick], start[pick])
+        data = batch.column(batch.schema.get_field_index("data"))
+        got += [unpack(b, np.int64, np.int64, np.uint32) for b in data.drop_null().to_pylist()]
+        docs = batch.filter(data.is_null())
+        if not docs.num_rows:
+            continue
+        if table is None:
+            table = {}
+            if got:
+                ids, keys, values = (np.concatenate(x) for x in zip(*got))
+                values = values.reshape(len(ids), -1)
+                order = np.lexsort((keys, ids))
+                ids, keys, values = ids[order], keys[order], values[order]
+                edges = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]), True])
+                table = {(i, k): values[s:e] for i, k, s, e in zip(ids[edges[:-1]].tolist(), keys[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist())}
+                got = []
+        for part in pieces([docs], 2 << 20):
+            yield part, table
+
+
+def repeated_anchors(n_parts: int):
+    """A partition's anchors to the addresses of those that two documents have, by bucket of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, known = [], []
+        for batch in batches:
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if kind:
+                    known.append(unpack(blob, np.int64, np.int64, np.uint32))
+                else:
+                    got.append(unpack(blob, np.uint64, np.int64, np.int64, np.uint32, np.uint8))
+        if got:
+            anchor, ids, keys, start, several = (np.concatenate(x) for x in zip(*got))
+            del got
+            order = np.argsort(anchor, kind="stable")
+            anchor = anchor[order]
+            edges = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+            sorted_ids = ids[order]
+            often = (np.minimum.reduceat(sorted_ids, edges) != np.maximum.reduceat(sorted_ids, edges)) | (np.maximum.reduceat(several[order], edges) > 0)
+            del anchor, sorted_ids
+            # An address sent for an anchor that is known to repeat was also sent as known.
+            pick = order[np.repeat(often, np.diff(np.r_[edges, len(order)]))]
+            pick = pick[several[pick] == 0]
+            known.append([ids[pick], keys[pick], start[pick]])
+        if known:
+            yield from by_bucket(*(np.concatenate(x) for x in zip(*known)), n_parts)
+
+    return run
 
 
 def cut_pieces(window: int, n_parts: int):
-    """Texts and their repeated anchors' addresses to packed rows of pieces by shard, or of intervals known to go."""
+    """Texts and their repeated anchors' addresses to packed rows by shard: kind 0 pieces, kind 1 intervals known to go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
+        for part, marks in looked_up(batches):
             ids, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
             raw, offsets = buffers(part.column(2))
-            marks, mark_offsets = buffers(part.column(3))
             anchor, doc, first, last = runs(raw, offsets, window)
             if not len(anchor):
                 continue
-            start = first - offsets[doc]
-            wanted = np.repeat(np.arange(len(ids)), np.diff(mark_offsets) // 4) * (1 << 32) + np.ascontiguousarray(marks).view(np.uint32)
-            pick = np.flatnonzero(np.isin(doc * (1 << 32) + start, wanted))
-            if not len(pick):
+            wanted = [marks[x][:, 0].astype(np.int64) + at for x, at in zip(zip(ids.tolist(), keys.tolist()), offsets[:-1].tolist()) if x in marks]
+            if not wanted:
                 continue
+            pick = np.flatnonzero(np.isin(first, np.concatenate(wanted)))
+            start = first - offsets[doc]
             pick = pick[np.argsort(ids[doc[pick]], kind="stable")]  # smallest ids first
             text = raw.tobytes()
             seen: dict[bytes, int] = {}
@@ -183,95 +211,100 @@ def cut_pieces(window: int, n_parts: int):
             own, gone = np.array(own, np.int64), np.array(gone, np.int64)
             shard = (anchor[own] % np.uint64(n_parts)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
-            out = []
+            parts, kinds, data = [], [], []
             for p, s, e in cut(len(by), shard[by]):
                 some = own[by[s:e]]
-                out.append((p, None, None, pack(ids[doc[some]], keys[doc[some]], start[some].astype(np.uint32), (last[some] - first[some] + window).astype(np.uint32), b"".join(text[a:b] for a, b in zip(first[some].tolist(), (last[some] + window).tolist())))))
-            out_part, _, _, out_data = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(out_part, pa.int32()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.array(out_data, pa.binary())], ["part", "id", "key", "data"])
-            pairs = np.stack([start[gone], start[gone] + last[gone] - first[gone] + window], 1).astype(np.uint32)
-            for rows in by_document(ids[doc[gone]], keys[doc[gone]], pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(np.abs(rows.column(1).to_numpy() % n_parts), pa.int32()), *rows.columns], ["part", "id", "key", "data"])
+                parts.append(p)
+                kinds.append(0)
+                data.append(pack(ids[doc[some]], keys[doc[some]], start[some].astype(np.uint32), (last[some] - first[some] + window).astype(np.uint32), b"".join([text[a:b] for a, b in zip(first[some].tolist(), (last[some] + window).tolist())])))
+            if len(gone):
+                parts.append(int(anchor[gone[0]] % np.uint64(n_parts)))
+                kinds.append(1)
+                data.append(pack(ids[doc[gone]], keys[doc[gone]], np.stack([start[gone], start[gone] + last[gone] - first[gone] + window], 1).astype(np.uint32).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(data, pa.binary())], ["part", "kind", "data"])
 
     return run
 
 
-def sort_shard(window: int):
-    """A shard's pieces to the intervals that documents lose; intervals already known pass."""
+def sort_shard(window: int, n_parts: int):
+    """A shard's pieces to the intervals that documents lose, by bucket of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
+        got, lost = [], []
         for batch in batches:
-            known = batch.column(1).is_valid()
-            if known.true_count:
-                yield batch.filter(known).select(["id", "key", "data"])
-            for blob in batch.filter(pa.array(~known.to_numpy(zero_copy_only=False))).column(3).to_pylist():
-                got.append(unpack(blob, np.int64, np.int64, np.uint32, np.uint32, bytes))
-        if not got:
-            return
-        ids, keys, start, size = (np.concatenate(x) for x in list(zip(*got))[:4])
-        text = b"".join(g[4] for g in got)
-        del got
-        ends = np.cumsum(size, dtype=np.int64)
-        begins = ends - size
-        seen: dict[bytes, int] = {}
-        own, gone = [], []
-        for k in np.argsort(ids, kind="stable").tolist():
-            (own if seen.setdefault(text[begins[k] : ends[k]], ids[k]) == ids[k] else gone).append(k)
-        seen.clear()
-        gone = np.array(gone, np.int64)
-        pairs = [(gone, start[gone], start[gone] + size[gone])]
-        own = np.array(own, np.int64)
-        # The shard's text: every byte plus one, a 0 after each piece.
-        sizes = size[own].astype(np.int64)
-        at = np.cumsum(sizes + 1) - sizes - 1
-        shard = np.zeros(int((sizes + 1).sum()), np.uint8)
-        source = np.frombuffer(text, np.uint8)
-        step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        shard[np.repeat(at, sizes) + step] = source[np.repeat(begins[own], sizes) + step] + 1
-        del step, source, text
-        piece = np.repeat(np.arange(len(own), dtype=np.int32), sizes + 1)
-        whole = np.ones(len(shard), bool)  # a window starts here
-        for back in range(window):
-            whole[np.maximum(at + sizes - back, 0)] = False
-        own_ids = ids[own]
-        repeated = np.zeros(len(shard), bool)
-
-        def close(pos: np.ndarray, lcp: np.ndarray) -> None:
-            """Groups of equal windows in a block that starts and ends with a group."""
-            who = own_ids[piece[pos]]
-            edges = np.flatnonzero(lcp < window)
-            low = np.minimum.reduceat(who, edges)
-            repeated[pos[who > np.repeat(low, np.diff(np.r_[edges, len(pos)]))]] = True
-
-        tail_pos, tail_lcp = np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        for pos, lcp in sorted_suffixes(shard, window):
-            ok = whole[pos]
-            # Suffixes without a whole window have a smaller common prefix with all that have one.
-            pos, lcp = pos[ok].astype(np.int64), lcp[ok]
-            pos, lcp = np.r_[tail_pos, pos], np.r_[tail_lcp, lcp]
-            edges = np.flatnonzero(lcp < window)
-            if not len(edges) or edges[-1] == 0:
-                tail_pos, tail_lcp = pos, lcp
-                continue
-            close(pos[: edges[-1]], lcp[: edges[-1]])
-            tail_pos, tail_lcp = pos[edges[-1] :], lcp[edges[-1] :]
-        if len(tail_pos):
-            tail_lcp[0] = 0
-            close(tail_pos, tail_lcp)
-        lost = np.flatnonzero(repeated)
-        if len(lost):
-            breaks = np.flatnonzero(np.r_[True, np.diff(lost) > 1])
-            first, last = lost[breaks], lost[np.r_[breaks[1:] - 1, len(lost) - 1]]
-            which = piece[first]
-            k = own[which]
-            pairs.append((k, start[k] + first - at[which], start[k] + last - at[which] + window))
-        k, a, b = (np.concatenate(x) for x in zip(*pairs))
-        yield from by_document(ids[k], keys[k], np.stack([a, b], 1).astype(np.uint32))
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if kind:
+                    ids, keys, pairs = unpack(blob, np.int64, np.int64, np.uint32)
+                    lost.append((ids, keys, pairs.reshape(-1, 2)))
+                else:
+                    got.append(unpack(blob, np.int64, np.int64, np.uint32, np.uint32, bytes))
+        if got:
+            lost.append(lost_in(got, window))
+        if lost:
+            yield from by_bucket(*(np.concatenate(x) for x in zip(*lost)), n_parts)
 
     return run
 
 
+def lost_in(got: list, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, keys, intervals) that the documents of a shard's pieces (ids, keys, starts, sizes, bytes) lose."""
+    ids, keys, start, size = (np.concatenate(x) for x in list(zip(*got))[:4])
+    text = b"".join(g[4] for g in got)
+    got.clear()
+    ends = np.cumsum(size, dtype=np.int64)
+    begins = ends - size
+    seen: dict[bytes, int] = {}
+    own, gone = [], []
+    for k in np.argsort(ids, kind="stable").tolist():
+        (own if seen.setdefault(text[begins[k] : ends[k]], ids[k]) == ids[k] else gone).append(k)
+    seen.clear()
+    gone, own = np.array(gone, np.int64), np.array(own, np.int64)
+    pairs = [(gone, start[gone], start[gone] + size[gone])]
+    # The shard's text: every byte plus one, a 0 after each piece.
+    sizes = size[own].astype(np.int64)
+    at = np.cumsum(sizes + 1) - sizes - 1
+    text = text.translate(PLUS_ONE)
+    shard = np.frombuffer(b"\0".join([text[a:b] for a, b in zip(begins[own].tolist(), ends[own].tolist())]) + b"\0", np.uint8)
+    del text
+    piece = np.repeat(np.arange(len(own), dtype=np.int32), sizes + 1)
+    whole = np.ones(len(shard), bool)  # a window starts here
+    for back in range(window):
+        whole[np.maximum(at + sizes - back, 0)] = False
+    own_ids = ids[own]
+    repeated = np.zeros(len(shard), bool)
+
+    def close(pos: np.ndarray, lcp: np.ndarray) -> None:
+        """Groups of equal windows in a block that starts and ends with a group."""
+        who = own_ids[piece[pos]]
+        edges = np.flatnonzero(lcp < window)
+        low = np.minimum.reduceat(who, edges)
+        repeated[pos[who > np.repeat(low, np.diff(np.r_[edges, len(pos)]))]] = True
+
+    tail_pos, tail_lcp = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    for pos, lcp in sorted_suffixes(shard, window):
+        ok = whole[pos]
+        # Suffixes without a whole window have a smaller common prefix with all that have one.
+        pos, lcp = np.r_[tail_pos, pos[ok].astype(np.int64)], np.r_[tail_lcp, lcp[ok]]
+        edges = np.flatnonzero(lcp < window)
+        if not len(edges) or edges[-1] == 0:
+            tail_pos, tail_lcp = pos, lcp
+            continue
+        close(pos[: edges[-1]], lcp[: edges[-1]])
+        tail_pos, tail_lcp = pos[edges[-1] :], lcp[edges[-1] :]
+    if len(tail_pos):
+        tail_lcp[0] = 0
+        close(tail_pos, tail_lcp)
+    lost = np.flatnonzero(repeated)
+    if len(lost):
+        breaks = np.flatnonzero(np.r_[True, np.diff(lost) > 1])
+        first, last = lost[breaks], lost[np.r_[breaks[1:] - 1, len(lost) - 1]]
+        which = piece[first]
+        k = own[which]
+        pairs.append((k, start[k] + first - at[which], start[k] + last - at[which] + window))
+    k, a, b = (np.concatenate(x) for x in zip(*pairs))
+    return ids[k], keys[k], np.stack([a, b], 1).astype(np.uint32)
+
+
 def merged(pairs: np.ndarray) -> np.ndarray:
     """Sorted intervals without overlap; those that touch become one."""
     if not len(pairs):
@@ -282,19 +315,20 @@ def merged(pairs: np.ndarray) -> np.ndarray:
     return np.stack([pairs[new, 0], upto[np.r_[np.flatnonzero(new)[1:] - 1, len(pairs) - 1]]], 1)
 
 
-def lost_intervals(docs: DataFrame, window: int = 50) -> DataFrame:
-    """id, key, data (packed intervals, four bytes a number; several rows a document) for docs (id, key, text)."""
+def lost_intervals(docs: DataFrame, window: int, n_parts: int) -> DataFrame:
+    """bucket, data (packed ids, keys, intervals) for docs (id, key, text)."""
     spark = docs.sparkSession
-    size = estimated_bytes(docs)
-    n_parts = partitions(spark, 3 * size, 48 << 20)
     at = run_dir(spark, "suffix-dedup")
     given = docs.where("id is not null")
-    anchors = given.mapInArrow(find_anchors(window, n_parts), "part int, kind int, data binary").repartition(n_parts, "part")
-    marks = written(anchors.mapInArrow(repeated_anchors, "id long, key long, data binary"), f"{at}/marks")
+    schema, packed = "part int, kind int, data binary", "bucket long, data binary"
+    anchors = given.mapInArrow(find_anchors(window, n_parts), schema).repartitionById(n_parts, F.col("part"))
+    marks = written(anchors.mapInArrow(repeated_anchors(n_parts), packed), f"{at}/marks")
+    del anchors  # its plan holds on to the shuffle's files
     release(spark)
-    marks = marks.groupBy("id", "key").agg(F.array_join(F.collect_list(F.hex("data")), "").alias("hex")).select("id", "key", F.unhex("hex").alias("marks"))
-    parts = given.join(marks, ["id", "key"]).select("id", "key", "text", "marks").mapInArrow(cut_pieces(window, n_parts), "part int, id long, key long, data binary")
-    lost = written(parts.repartition(n_parts, "part").mapInArrow(sort_shard(window), "id long, key long, data binary"), f"{at}/lost")
+    parts = attached(given, marks, n_parts).mapInArrow(cut_pieces(window, n_parts), schema).repartitionById(n_parts, F.col("part"))
+    lost = written(parts.mapInArrow(sort_shard(window, n_parts), packed), f"{at}/lost")
+    del parts, marks
+    remove(spark, f"{at}/marks")
     release(spark)
     return lost
 
@@ -309,18 +343,19 @@ def remove_repeats(documents: DataFrame, window: int = 50, id_col: str = "doc_id
         F.struct(*(F.col(c).alias(o) for c, o in zip(documents.columns, own) if c != text_col)).alias("rest"),
         F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(text_col).isNull().alias("no_text"),
     )
-    lost = lost_intervals(docs.select("id", "key", "text"), window)
-    lost = lost.groupBy("id", "key").agg(F.array_join(F.collect_list(F.hex("data")), "").alias("hex")).select("id", "key", F.unhex("hex").alias("lost"))
-    joined = docs.join(lost, ["id", "key"], "left").select("rest", "text", "no_text", "lost")
+    n_parts = partitions(documents.sparkSession, 3 * estimated_bytes(documents), SHARD)
+    lost = lost_intervals(docs.select("id", "key", "text"), window, n_parts)
+    joined = attached(docs, lost, n_parts).select("rest", "id", "key", "text", "no_text", "data")
     as_text = kept != "sha256"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
-            texts, found = part.column(1).to_pylist(), part.column(3).to_pylist()
+        for part, lost in looked_up(batches):
+            found = [lost.get(x) for x in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+            texts = part.column(3).to_pylist()
             n_bytes, n_removed, n_spans, result = [], [], [], []
-            for text, blob, none in zip(texts, found, part.column(2).to_pylist()):
+            for text, blob, none in zip(texts, found, part.column(4).to_pylist()):
                 raw = text.encode()
-                gone = merged(np.frombuffer(blob or b"", np.uint32).reshape(-1, 2))
+                gone = merged(np.zeros((0, 2), np.int64) if blob is None else blob)
                 n_bytes.append(len(raw))
                 n_removed.append(int((gone[:, 1] - gone[:, 0]).sum()))
                 n_spans.append(len(gone))
