@@ -5,15 +5,16 @@ equal shingles are one class; classes are what is joined.
 
 1. Sizes fall into bands, each reaching as far as its smallest size can link, so that linked sets lie in one band or in
    neighbours. For bands i and i + 1 together, linked sets differ in at most k shingles. The domain of shingles is
-   partitioned into n parts, n so large that a set has more than k parts that aren't empty; so of those of either set
-   at least one is the same in both. A signature is (i, part, the set's shingles in it). Should a set ever have too few
-   filled parts, all is done again with other parts, so no link rests on luck.
-2. Classes with a signature in common form a group. Equal signatures in a slice of texts meet there, and only the
-   smallest class goes on; so a group that a third of the rows share arrives as few rows. In each group all are checked
-   against the smallest; verified links make components.
-3. In a group with several components, members that weren't compared may still link. All members of such groups go
-   through an exact prefix filter: a set's rarest shingles, so many that linked sets share one; classes of different
-   components with such a shingle in common are checked too. Within a component nothing more needs to be compared.
+   partitioned into n parts, n so large that nearly all sets have more than k parts that aren't empty; of those of
+   either set at least one is the same in both. A signature is (i, part, the set's shingles in it). Small sets, and sets
+   with k filled parts or fewer, have a signature for each shingle, so no link rests on luck.
+2. Classes with a signature in common form a group, and all are checked against its smallest. Of a signature that many
+   sets of a slice of texts have, only the smallest set goes on, so that a group with a third of all rows arrives as few.
+   Sketches, a byte for each part of a coarser partition, rule out most pairs that can't link; the others' sets are
+   compared. Links make components.
+3. In a group with several components, members that weren't compared may still link. Up to 128 members, pairs of
+   different components are compared by their sketches. The members of larger groups go through an exact prefix filter:
+   a set's rarest shingles, so many that linked sets share one. Within a component nothing more needs to be compared.
 
 Candidates are verified on whole sets. Shingles are 64-bit hashes.
 
@@ -39,6 +40,14 @@ from .util import SPACES, buffers, estimated_bytes, id_and_text, partitions, pie
 
 WORDS = 5
 SIG_BITS = 48
+#: Up to this size every shingle is a part of its own.
+SINGLE = 48
+#: Above so many sets with a signature in one slice of texts, only one goes on.
+MANY = 64
+#: Groups up to this size are compared by sketches, larger ones by prefixes.
+SMALL = 128
+#: Sets with a shingle in their prefix are compared by blocks of so many.
+BLOCK = 512
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -52,10 +61,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word (A-Z as a-z), and the index of its text."""
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word (A-Z as a-z): a hash, the index of its text, the place of its last byte, its size."""
+    none = np.zeros(0, np.int64)
     inside = ~_SPACE[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -65,19 +73,19 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     at = np.flatnonzero(inside)
     start = np.flatnonzero(first)
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, none
     edge = np.searchsorted(at, start)
     size = np.diff(np.r_[edge, len(at)])
     place = np.arange(len(at)) - np.repeat(edge, size)
     power = np.multiply.accumulate(np.full(int(size.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
     h = np.add.reduceat(_RANDOM[_LOWER[raw[at]]] * power[place], edge)
-    return mix(h ^ size.astype(np.uint64)), np.searchsorted(offsets, start, side="right") - 1
+    return mix(h ^ size.astype(np.uint64)), np.searchsorted(offsets, start, side="right") - 1, start + size - 1, size
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every text's distinct shingles, sorted, and the offsets of each text's."""
     n = len(offsets) - 1
-    word, doc = word_hashes(raw, offsets)
+    word, doc, _, _ = words(raw, offsets)
     count = np.bincount(doc, minlength=n)
     first = np.cumsum(count) - count
     k = np.uint64(0xD6E8FEB86659FD93)
@@ -120,8 +128,8 @@ def class_of(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(None)
-def bands(similarity: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Smallest size of each band (and one beyond), k, and the number of parts, so far that ``most`` is covered."""
+def bands(similarity: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest size of each band (and some beyond), k, the number of parts and that of a sketch's, up to size ``most``."""
     lo = [1]
     while len(lo) < 4 or lo[-3] <= most:
         lo.append(100 * lo[-1] // similarity + 1)
@@ -129,59 +137,83 @@ def bands(similarity: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     k = [(hi[i] + hi[i + 1]) * (100 - similarity) // (100 + similarity) for i in range(len(hi) - 1)]
     parts = []
     for s, d in zip(lo, k):
-        n = 1 << 20
-        if s > 64:
-            n = d + 2
-            while True:  # filled parts: their mean less eight standard deviations
-                empty = np.exp(-s / n)
-                if n * (1 - empty) - 8 * np.sqrt(max(0.0, n * empty * (1 - (1 + s / n) * empty))) > d + 1:
-                    break
-                n += max(1, n // 50)
+        n = d + 2
+        while s > SINGLE:  # filled parts: over k, even three standard deviations below their mean
+            empty = np.exp(-s / n)
+            if n * (1 - empty) - 3 * np.sqrt(max(0.0, n * empty * (1 - (1 + s / n) * empty))) > d + 1:
+                break
+            n += max(1, n // 50)
         parts.append(n)
-    return np.array(lo), np.array(k), np.array(parts)
+    return np.array(lo), np.array(k), np.array(parts), np.array([max(8, s // 2) for s in lo[: len(k)]])
+
+
+def by_part(key: np.ndarray, value: np.ndarray, owner: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the values in each part of each set, one set after the other, and where each set's parts start."""
+    start = np.r_[0, np.cumsum(n)]
+    total = np.zeros(int(start[-1]), np.uint64)
+    np.add.at(total, start[owner] + (((key >> np.uint64(32)) * n[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64), value)
+    return total, start
 
 
-def signatures(h: np.ndarray, offsets: np.ndarray, similarity: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, index of the set) of all sets, and the indexes of sets with too few filled parts."""
+def signatures(h: np.ndarray, offsets: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, index of the set) of all sets.
+
+    Small sets have each shingle as a part of its own. So have, besides, larger ones with no more than k filled parts: if
+    a linked pair shares no filled part, both of it are such.
+    """
     size = np.diff(offsets)
-    lo, k, parts = bands(similarity, int(size.max(initial=1)))
+    lo, k, parts, _ = bands(similarity, int(size.max(initial=1)))
     band = np.searchsorted(lo, size, side="right") - 1
     owner = np.repeat(np.arange(len(size)), size)
-    key = mix(h + np.uint64((seed + 1) * 0x632BE59BD9B4E019 % (1 << 64)))
+    key = mix(h + np.uint64(0x632BE59BD9B4E019))
     value = mix(key ^ np.uint64(0x2545F4914F6CDD1D))
-    out_sig, out_set, few = [], [], []
+    single = (size > 0) & (size <= SINGLE)
+    out_sig, out_set = [], []
     for step in (0, 1):
-        instance = band - step
-        use = (size > 0) & (instance >= 0)
-        n = np.where(use, parts[np.maximum(instance, 0)], 0)
-        # Sets whose parts outnumber their shingles by far are kept sparse: by sorting, not by counting.
-        at = ((key >> np.uint64(32)) * n[owner].astype(np.uint64)) >> np.uint64(32)
+        instance = np.maximum(band - step, 0)
+        use = (size > SINGLE) & (band >= step) & (lo[instance] > SINGLE)
+        single |= (size > 0) & (lo[instance] <= SINGLE)  # partners in the band below are small
+        n = np.where(use, parts[instance], 0)
         ok = use[owner]
-        place = owner[ok] * (1 << 21) + at[ok].astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        place = place[order]
-        edge = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
-        if not len(edge):
-            continue
-        total = np.add.reduceat(value[ok][order], edge)
-        place = place[edge]
-        which = place >> 21
-        tag = instance[which] * (1 << 22) + (place & ((1 << 21) - 1))
-        out_sig.append(mix(total ^ mix(tag.astype(np.uint64))) >> np.uint64(64 - SIG_BITS))
+        total, start = by_part(key[ok], value[ok], owner[ok], n)
+        which = np.repeat(np.arange(len(size)), n)
+        place = np.arange(len(total)) - np.repeat(start[:-1], n)
+        full = np.flatnonzero(total)
+        which, place = which[full], place[full]
+        out_sig.append(mix(total[full] ^ mix(((instance[which] + 1) * (1 << 32) + place).astype(np.uint64))))
         out_set.append(which)
-        filled = np.bincount(which, minlength=len(size))
-        few.append(np.flatnonzero(use & (filled <= k[np.maximum(instance, 0)])))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none.astype(np.uint64), *out_sig]), np.concatenate([none, *out_set]), np.concatenate([none, *few])
+        single |= use & (np.bincount(which, minlength=len(size)) <= k[instance])
+    alone = single[owner]
+    sig, which = np.concatenate([*out_sig, value[alone]]), np.concatenate([*out_set, owner[alone]])
+    return sig >> np.uint64(64 - SIG_BITS), which
+
+
+def sketches(h: np.ndarray, offsets: np.ndarray, similarity: int) -> tuple[np.ndarray, list[bytes]]:
+    """Band of each set, and a byte for each part of a coarse partition, for its band and the one below.
+
+    Sets that differ in d shingles differ in d parts at most; so pairs with more unequal bytes can't link.
+    """
+    size = np.diff(offsets)
+    lo, _, _, coarse = bands(similarity, int(size.max(initial=1)))
+    band = np.where(size > 0, np.searchsorted(lo, size, side="right") - 1, 0)
+    owner = np.repeat(np.arange(len(size)), size)
+    key = mix(h ^ np.uint64(0x9FB21C651E98DF25))
+    value = mix(key)
+    both = []
+    for step in (0, 1):
+        total, start = by_part(key, value, owner, np.where(size > 0, coarse[np.maximum(band - step, 0)], 0))
+        raw = (mix(total) >> np.uint64(56)).astype(np.uint8).tobytes()
+        both.append([raw[a:b] for a, b in zip(start[:-1].tolist(), start[1:].tolist())])
+    return band, [a + b for a, b in zip(*both)]
 
 
-SCHEMA = "part int, kind int, id long, n long, cls long, list array<long>, data binary"
-MEMBER, STAR, GROUP, FEW, PACKED = range(5)
+SCHEMA = "part int, kind int, id long, n long, cls long, band long, list array<long>, data binary"
+MEMBER, STAR, GROUP, PACKED = range(4)
 
 
 def rows(kind: int, part: np.ndarray | int, length: int, **columns) -> pa.RecordBatch:
     """Rows of SCHEMA; what isn't given is null."""
-    kinds = {"id": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "list": pa.list_(pa.int64()), "data": pa.binary()}
+    kinds = {"id": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "band": pa.int64(), "list": pa.list_(pa.int64()), "data": pa.binary()}
     part = pa.array(np.broadcast_to(np.asarray(part, np.int32), length))
     own = [columns[c] if c in columns else pa.nulls(length, t) for c, t in kinds.items()]
     return pa.RecordBatch.from_arrays([part, pa.array(np.full(length, kind, np.int32)), *(x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(own, kinds.values()))], ["part", "kind", *kinds])
@@ -197,9 +229,10 @@ def groups(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return edge, sig, cls
 
 
-def told(sig: np.ndarray, cls: np.ndarray, edge: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
-    """Star links of groups, each once, and groups of three or more, each list once."""
+def told(sig: np.ndarray, cls: np.ndarray, edge: np.ndarray, n_parts: int, always: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Star links of groups, each once, and groups of three or more, each list once; those of ``always`` in any case."""
     size = np.diff(edge)
+    always = np.zeros(len(size), bool) if always is None else always
     several = np.flatnonzero(size > 1)
     if not len(several):
         return
@@ -209,9 +242,9 @@ def told(sig: np.ndarray, cls: np.ndarray, edge: np.ndarray, n_parts: int) -> It
     yield rows(STAR, np.abs(stars[:, 0] % n_parts), len(stars), id=stars[:, 1], cls=stars[:, 0])
     seen: set[bytes] = set()
     pick = []
-    for g in np.flatnonzero(size > 2).tolist():
+    for g in np.flatnonzero((size > 2) | always & (size > 1)).tolist():
         own = cls[edge[g] : edge[g + 1]].tobytes()
-        if own not in seen:
+        if always[g] or own not in seen:
             seen.add(own)
             pick.append(g)
     for s in range(0, len(pick), 5000):
@@ -221,39 +254,42 @@ def told(sig: np.ndarray, cls: np.ndarray, edge: np.ndarray, n_parts: int) -> It
         yield rows(GROUP, own % n_parts, len(some), id=own, list=lists)
 
 
-def find(similarity: int, seed: int, n_parts: int):
+def find(similarity: int, n_parts: int):
     """Texts to members, and signatures by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 3 << 20):
             h, offsets = shingle_sets(*buffers(part.column(1)))
             cls, size = class_of(h, offsets).view(np.int64), np.diff(offsets)
-            yield rows(MEMBER, np.abs(cls % n_parts), len(cls), id=part.column(0), n=size, cls=cls)
-            good = part.column(0).is_valid().to_numpy(zero_copy_only=False)
-            if not good.all():  # rows without an id take no part
-                keep = np.repeat(good, size)
-                h, size = h[keep], np.where(good, size, 0)
-                offsets = np.r_[0, np.cumsum(size)]
-            _, first = np.unique(cls, return_index=True)  # equal sets once
+            band, sketch = sketches(h, offsets, similarity)
+            yield rows(MEMBER, np.abs(cls % n_parts), len(cls), id=part.column(0), n=size, cls=cls, band=band, data=pa.array(sketch, pa.binary()))
+            # Equal sets once; rows without an id take no part.
+            good = np.flatnonzero(part.column(0).is_valid().to_numpy(zero_copy_only=False))
             once = np.zeros(len(cls), bool)
-            once[first] = True
-            h = h[np.repeat(once, size)]
-            size = np.where(once, size, 0)
-            sig, owner, few = signatures(h, np.r_[0, np.cumsum(size)], similarity, seed)
-            if len(few):
-                yield rows(FEW, 0, len(few), cls=cls[few])
+            once[good[np.unique(cls[good], return_index=True)[1]]] = True
+            h, size = h[np.repeat(once, size)], np.where(once, size, 0)
+            sig, owner = signatures(h, np.r_[0, np.cumsum(size)], similarity)
             edge, sig, own = groups(sig, cls[owner])
-            yield from told(sig, own, edge, n_parts)
-            sig, own = sig[edge[:-1]], own[edge[:-1]]  # the smallest of each group goes on
+            # Of a signature that very many sets here have, the smallest set goes on for all.
+            size = np.diff(edge)
+            hot = size > MANY
+            if hot.any():
+                inside = np.repeat(hot, size)
+                yield from told(sig[inside], own[inside], np.r_[0, np.cumsum(size[hot])], n_parts, np.ones(int(hot.sum()), bool))
+                keep = ~inside
+                keep[edge[:-1]] = True
+                size = np.where(hot, 1, size)
+                sig, own = sig[keep], own[keep]
+            hot = np.repeat(hot, size).view(np.uint8)
             to = (sig % np.uint64(n_parts)).astype(np.int64)
             order = np.lexsort((own, to))
-            to, sig, own = to[order], sig[order], own[order]
+            to, sig, own, hot = to[order], sig[order], own[order], hot[order]
             runs = cut(len(to), to)
             data = []
             for _, s, e in runs:
                 some = own[s:e]
                 new = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
-                data.append(pack(sig[s:e], some[new], np.diff(np.r_[new, e - s]).astype(np.uint32)))
+                data.append(pack(sig[s:e], some[new], np.diff(np.r_[new, e - s]).astype(np.uint32), hot[s:e]))
             yield rows(PACKED, np.array([r[0] for r in runs]), len(runs), data=pa.array(data, pa.binary()))
 
     return run
@@ -263,17 +299,105 @@ def meet(n_parts: int):
     """A partition's signatures to star links and groups; other rows pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, owners = [], []
+        sigs, owners, hots = [], [], []
         for batch in batches:
             packed = pa.array(batch.column(1).to_numpy() == PACKED)
-            for blob in batch.filter(packed).column(6).to_pylist():
-                sig, cls, times = unpack(blob, np.uint64, np.int64, np.uint32)
+            for blob in batch.filter(packed).column(7).to_pylist():
+                sig, cls, times, hot = unpack(blob, np.uint64, np.int64, np.uint32, np.uint8)
                 sigs.append(sig)
+                hots.append(sig[hot > 0])
                 owners.append(np.repeat(cls, times))
             yield batch.filter(pa.compute.invert(packed))
         if sigs:
             edge, sig, cls = groups(np.concatenate(sigs), np.concatenate(owners))
-            yield from told(sig, cls, edge, n_parts)
+            hot = np.isin(sig[edge[:-1]], np.unique(np.concatenate(hots)))
+            yield from told(sig, cls, edge, n_parts, hot)
+
+    return run
+
+
+def may_link(n: np.ndarray, band: np.ndarray, sketch: list[bytes], i: np.ndarray, j: np.ndarray, similarity: int) -> np.ndarray:
+    """Which pairs (i, j) of sets the sketches don't rule out."""
+    _, _, _, coarse = bands(similarity, int(n.max(initial=1)))
+    swap = band[i] > band[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    out = np.zeros(len(i), bool)
+    near = np.flatnonzero(band[j] - band[i] <= 1)
+    for k, x, y in zip(near.tolist(), i[near].tolist(), j[near].tolist()):
+        size = int(coarse[band[x]])
+        first = 0 if band[y] == band[x] else int(coarse[band[y]])
+        differ = int(np.count_nonzero(np.frombuffer(sketch[x], np.uint8, size) != np.frombuffer(sketch[y], np.uint8, size, first)))
+        out[k] = differ <= (int(n[x]) + int(n[y])) * (100 - similarity) // (100 + similarity)
+    return out
+
+
+def may_link_all(left: dict, right: dict, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i of left, j of right) of different components that the sketches don't rule out, by whole blocks."""
+    most = int(max(left["n"].max(initial=1), right["n"].max(initial=1)))
+    _, _, _, coarse = bands(similarity, most)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def rows(side: dict, low: int, above: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Sets of band ``low`` (or the one above), and their sketches for it."""
+        own = np.flatnonzero(side["band"] == low + above)
+        first, size = (int(coarse[low + 1]) if above else 0), int(coarse[low])
+        return own, np.frombuffer(b"".join(side["data"][k][first : first + size] for k in own.tolist()), np.uint8).reshape(len(own), size)
+
+    for low in np.unique(np.r_[left["band"], left["band"] - 1]).tolist():
+        for above_l, above_r in ((False, False), (False, True), (True, False)):
+            if low < 0 or above_l is False and not (left["band"] == low).any():
+                continue
+            (i, x), (j, y) = rows(left, low, above_l), rows(right, low, above_r)
+            step = max(1, (4 << 20) // max(1, y.size))
+            for s in range(0, len(i), step):
+                part = i[s : s + step]
+                differ = (x[s : s + step, None, :] != y[None, :, :]).sum(2, dtype=np.int32)
+                most_differ = (left["n"][part][:, None] + right["n"][j][None, :]) * (100 - similarity) // (100 + similarity)
+                ok = (differ <= most_differ) & (left["component"][part][:, None] != right["component"][j][None, :])
+                a, b = np.nonzero(ok)
+                found.append((part[a], j[b]))
+    return tuple(np.concatenate(f) for f in zip(*found))
+
+
+def not_ruled_out(pairs: DataFrame, meta: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) that sketches let pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            n, band = (np.r_[batch.column(c).to_numpy(), batch.column(c + 3).to_numpy()] for c in (2, 3))
+            sketch = batch.column(4).to_pylist() + batch.column(7).to_pylist()
+            yield batch.select(["a", "b"]).filter(pa.array(may_link(n, band, sketch, np.arange(m), np.arange(m, 2 * m), similarity)))
+
+    side = lambda x: meta.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("band").alias(f"band{x}"), F.col("data").alias(f"data{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "banda", "dataa", "nb", "bandb", "datab")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def unpacked_members(members: list[dict]) -> dict:
+    return {k: np.array([m[k] for m in members], np.int64) for k in ("cls", "component", "n", "band")} | {"data": [m["data"] for m in members], "prefix": [frozenset(m.get("prefix") or ()) for m in members]}
+
+
+def across(similarity: int):
+    """Groups (token, left, right: lists of members) to pairs of different components that sketches let pass.
+
+    Without a right list, left is paired with itself. With a token, a pair is told only where the token is the smallest
+    that both have in their prefixes, so it is told once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                token = batch.column(0)[k].as_py()
+                left = unpacked_members(batch.column(1)[k].as_py())
+                other = batch.column(2)[k].as_py()
+                right = left if other is None else unpacked_members(other)
+                i, j = may_link_all(left, right, similarity)
+                if token is not None:
+                    ok = np.fromiter((min(left["prefix"][x] & right["prefix"][y]) == token for x, y in zip(i.tolist(), j.tolist())), bool, len(i))
+                    i, j = i[ok], j[ok]
+                pairs = np.unique(np.sort(np.stack([left["cls"][i], right["cls"][j]], 1), 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["a", "b"])
 
     return run
 
@@ -303,45 +427,39 @@ def jaccard_components(documents: DataFrame, similarity: int = 80, id_col: str =
     """id, n_shingles, component_id for each row."""
     spark = documents.sparkSession
     docs = id_and_text(documents, id_col, text_col)
-    n_parts = partitions(spark, 3 * estimated_bytes(documents), 48 << 20)
+    n_parts = partitions(spark, 3 * estimated_bytes(documents), 24 << 20)
     at = run_dir(spark, "jaccard-join")
-    seed = 0
-    while True:
-        found = docs.mapInArrow(find(similarity, seed, n_parts), SCHEMA).repartition(n_parts, "part").mapInArrow(meet(n_parts), SCHEMA)
-        found = written(found.drop("part", "data"), f"{at}/found-{seed}")
-        if found.where(f"kind = {FEW}").isEmpty():
-            break
-        seed += 1  # some set had too few filled parts: other parts
+    found = docs.mapInArrow(find(similarity, n_parts), SCHEMA).repartition(n_parts, "part").mapInArrow(meet(n_parts), SCHEMA)
+    found = written(found.drop("part"), f"{at}/found")
     release(spark)
     members = found.where(f"kind = {MEMBER}").select("id", "n", "cls")
     stars = found.where(f"kind = {STAR}").select(F.col("cls").alias("a"), F.col("id").alias("b")).distinct()
-    listed = found.where(f"kind = {GROUP}").select(F.col("id").alias("sig"), F.explode("list").alias("cls"))
-    near = stars.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    classes = members.where("id is not null and n > 0").groupBy("cls").agg(F.min("id").alias("id"))
-    sets = written(sets_of(docs, classes.join(near, "cls")), f"{at}/sets")
-    release(spark)
-    links = written(verified(stars, sets, similarity), f"{at}/links")
-    first = components(links, f"{at}/first").withColumnRenamed("node", "cls")
+    # A slice's groups and the partition's name a signature alike.
+    listed = found.where(f"kind = {GROUP}").select(F.col("id").alias("sig"), F.explode("list").alias("cls")).distinct()
+    meta = found.where(f"kind = {MEMBER} and id is not null and n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("band").alias("band"), F.first("data").alias("data"))
+    meta = written(meta, f"{at}/classes")
+
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs that link; only sets that sketches don't rule out are built."""
+        pairs = written(pairs, f"{at}/{name}-pairs")
+        near = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        sets = written(sets_of(docs, meta.select("id", "cls").join(near, "cls")), f"{at}/{name}-sets")
+        release(spark)
+        return written(verified(pairs, sets, similarity), f"{at}/{name}")
+
+    first = components(links(not_ruled_out(stars, meta, similarity), "stars"), f"{at}/first").withColumnRenamed("node", "cls")
     first = written(first, f"{at}/components")
-    # Groups that hold several components, and all their members.
+    # Groups that hold several components.
     labelled = listed.join(first, "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("component"))
-    # A slice's groups and the partition's name a signature alike, and share its smallest member.
-    mixed = labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("sig")
-    open_ = labelled.join(mixed, "sig", "left_semi").select("cls", "component").distinct()
-    token = sets.join(open_, "cls").select("cls", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    token = written(token, f"{at}/tokens")
-    rare = token.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
-    # Linked sets of n and m shingles share n * similarity / 100 at least: of the rarest n - that + 1, one.
-    ranked = token.join(rare, "token").groupBy("cls", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("common"))
-    # Shingles of one set only come first in the order; they can't be shared.
-    prefix = F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1 - (F.col("n") - F.size("common"))
-    prefixes = ranked.where(prefix > 0).select("cls", "component", F.explode(F.slice("common", 1, prefix.cast("int"))).alias("s")).select("cls", "component", "s.token")
-    prefixes = written(prefixes, f"{at}/prefixes")
-    several = prefixes.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
-    left = prefixes.join(several, "token", "left_semi")
-    right = left.select(F.col("cls").alias("b"), F.col("component").alias("other"), "token")
-    pairs = left.join(right, "token").where("component < other").select(F.col("cls").alias("a"), "b").distinct()
-    more = written(verified(pairs, sets, similarity), f"{at}/more")
+    mixed = labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x != y and m > 2").select("sig", "m")
+    mixed = written(mixed, f"{at}/mixed")
+    held = labelled.join(mixed.where(f"m <= {SMALL}").select("sig"), "sig").join(meta, "cls").groupBy("sig").agg(F.collect_list(F.struct("cls", "component", "n", "band", "data")).alias("members"))
+    same = held.select(F.lit(None).cast("long").alias("token"), F.col("members").alias("left"), F.lit(None).cast(held.schema["members"].dataType).alias("right"))
+    more = links(same.mapInArrow(across(similarity), "a long, b long").distinct(), "small")
+    found_large = mixed.where(f"m > {SMALL}")
+    if not found_large.isEmpty():
+        open_ = labelled.join(found_large.select("sig"), "sig", "left_semi").select("cls", "component").distinct()
+        more = more.union(links(prefix_pairs(docs, meta, open_, similarity, at), "large"))
     final = first
     if not more.isEmpty():
         final = components(first.select(F.col("cls").alias("a"), F.col("component").alias("b")).union(more), f"{at}/final").withColumnRenamed("node", "cls")
@@ -352,6 +470,29 @@ def jaccard_components(documents: DataFrame, similarity: int = 80, id_col: str =
     return joined.union(members.where("id is null").select("id", "n", F.lit(None).cast("long")))
 
 
+def prefix_pairs(docs: DataFrame, meta: DataFrame, open_: DataFrame, similarity: int, at: str) -> DataFrame:
+    """Pairs of open classes (cls, component) of different components that share one of their rarest shingles."""
+    sets = sets_of(docs, meta.select("id", "cls").join(open_.select("cls"), "cls"))
+    token = sets.join(open_, "cls").select("cls", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    token = written(token, f"{at}/tokens")
+    rare = token.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    # Linked sets share n * similarity / 100 at least of a set's n: of its rarest n - that + 1, one.
+    ranked = token.join(rare, "token").groupBy("cls", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("common"))
+    # Shingles of one set only come first in the order; they can't be shared.
+    prefix = F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1 - (F.col("n") - F.size("common"))
+    prefixes = ranked.where(prefix > 0).select("cls", "component", F.explode(F.slice("common", F.lit(1), prefix.cast("int"))).alias("s")).select("cls", "component", "s.token")
+    prefixes = written(prefixes, f"{at}/prefixes")
+    several = prefixes.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x != y").select("token", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    own = prefixes.groupBy("cls").agg(F.collect_list("token").alias("prefix"))
+    member = prefixes.join(several, "token").join(meta, "cls").join(own, "cls")
+    member = member.select("token", "blocks", F.pmod(F.xxhash64("cls"), "blocks").alias("block"), F.struct("cls", "component", "n", "band", "data", "prefix").alias("member"))
+    lists = written(member.groupBy("token", "blocks", "block").agg(F.collect_list("member").alias("left")), f"{at}/lists")
+    alone = lists.select("token", "left", F.lit(None).cast(lists.schema["left"].dataType).alias("right"))
+    wide = lists.where("blocks > 1")
+    twice = wide.join(wide.select("token", F.col("block").alias("other"), F.col("left").alias("right")), "token").where("block < other").select("token", "left", "right")
+    return alone.union(twice).mapInArrow(across(similarity), "a long, b long").distinct()
+
+
 def op6_partenum_jaccard(spark, sf_dir: str) -> DataFrame:
     """Components of near-equal documents."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
