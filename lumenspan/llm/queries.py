@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op1_qgram_decontamination
 from .jaccard_join import op6_partenum_jaccard
 from .line_rules import op10_line_rules
+from .pitman_yor import op8_pitman_yor
 from .pu_quality import op3_pu_quality
 from .sharding import op5_ring_sharding
 from .suffix_dedup import op2_suffix_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_ring_sharding": op5_ring_sharding,
     "op6_partenum_jaccard": op6_partenum_jaccard,
     "op7_token_counts": op7_token_counts,
+    "op8_pitman_yor": op8_pitman_yor,
     "op9_unigram_pieces": op9_unigram_pieces,
     "op10_line_rules": op10_line_rules,
 }
