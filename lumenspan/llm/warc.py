@@ -252,7 +252,7 @@ def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     at = run_dir(pages.sparkSession, "warc")
     runs = write_archives(pages, at, min_bytes)
     history = capture_histories(runs).select("url_key", "capture_ts", "file", "offset", "length")
-    return history.join(read_archives(runs, at), ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_ts", "file", "offset", "length")
+    return history.hint("merge").join(read_archives(runs, at), ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_ts", "file", "offset", "length")
 
 
 def op4_warc_merge(spark, sf_dir: str) -> DataFrame:
