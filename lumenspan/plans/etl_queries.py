@@ -4,22 +4,136 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import etl
+from ..operators import etl, logs
+from ..streaming.status import latest_by_key, status_of
+
+TYPES = ("click", "view", "purchase", "signup", "error", "logout")
+PARTS = (("almond", "nut"), ("azure", "blue"), ("blue", "blue"), ("steel", "metal"), ("brass", "metal"), ("copper", "metal"), ("1", "one"), ("2", "two"))
+
+
+def table(spark, d, name, *columns):
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return df.select(*columns) if columns else df
 
 
 def season_mean_of_sums(spark, d):
     """Sums by year and season, then their mean by season, in the order of seasons."""
-    orders = spark.read.parquet(f"{d}/orders.parquet").select(
-        F.year("o_orderdate").alias("year"), etl.season(F.month("o_orderdate")).alias("season"), F.col("o_totalprice").alias("total")
-    )
+    orders = table(spark, d, "orders").select(F.year("o_orderdate").alias("year"), etl.season(F.month("o_orderdate")).alias("season"), F.col("o_totalprice").alias("total"))
     sums = etl.sum_numeric(orders, ["year", "season"])
     return sums.groupBy("season").agg(F.round(F.avg("total"), 2).alias("mean_total")).withColumn("season_no", etl.season_order(F.col("season")).cast("int")).orderBy("season_no")
 
 
-QUERIES = {"season_mean_of_sums": season_mean_of_sums}
+def year_total(spark, d):
+    orders = table(spark, d, "orders", "o_orderkey", "o_orderdate")
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_extendedprice", "l_discount", "l_tax")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    metric = F.col("l_extendedprice") + F.col("l_discount") + F.col("l_tax")
+    return joined.groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.round(F.sum(metric), 2).alias("total")).orderBy("year")
+
+
+def select_rename_cast(spark, d):
+    raw = etl.select_renamed(table(spark, d, "orders"), {"o_orderkey": "order_no", "o_orderpriority": "priority", "o_totalprice": "price"})
+    raw = raw.withColumns({"level": F.split_part("priority", F.lit("-"), F.lit(1)), "broken": F.concat("priority", F.lit("x")), "price": F.format_string("%.2f", "price")})
+    return etl.cast_columns(raw, but=("order_no", "priority"))
+
+
+def prefix_strip(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", etl.before_dash(F.col("o_orderpriority")).alias("level"))
+
+
+def ordered_lookup_first_hit(spark, d):
+    return table(spark, d, "part").select("p_partkey", etl.ordered_lookup(F.lower("p_name"), r"(\p{L}+een)", PARTS, "other").alias("kind"))
+
+
+def value_counts_topk(spark, d):
+    return etl.value_counts(table(spark, d, "customer"), "c_mktsegment", 15)
+
+
+def value_counts_by_key(spark, d):
+    return etl.value_counts(table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day")), "day", by_key=True)
+
+
+def describe_numeric(spark, d):
+    out = etl.describe(table(spark, d, "part"), ["p_size", "p_retailprice"])
+    return out.select("name", "n", *(F.round(c, 4).alias(c) for c in ("mean", "std", "lowest", "q1", "q2", "q3", "highest")))
+
+
+def hourly(spark, d):
+    e = table(spark, d, "events", "ts", "event_type", "props", "value")
+    n = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long"))
+    return e.select(F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), "event_type", n.alias("k"), F.lit(1).cast("long").alias("one"))
+
+
+def pivot_sum_fill0(spark, d):
+    out = etl.pivot_sum(hourly(spark, d), "hour", "event_type", ["click", "view", "purchase"], ["k", "one"])
+    return out.select("hour", *(F.col(f"{t}_{m}").alias(f"{t}_{m}") for t in ("click", "view", "purchase") for m in ("k", "one")))
+
+
+def pivot_count_fixed_cols(spark, d):
+    return etl.pivot_count(hourly(spark, d), "hour", "event_type", ["click", "view", "absent"], "k")
+
+
+def json_field_default(spark, d):
+    k = F.get_json_object("props", "$.k").cast("long")
+    z = F.get_json_object("props", "$.missing").cast("long")
+    return table(spark, d, "events").select("event_id", F.coalesce(k, F.lit(0).cast("long")).alias("k"), F.coalesce(z, F.lit(7).cast("long")).alias("missing"))
+
+
+def array_unnest_tagged(spark, d):
+    e = table(spark, d, "events", "event_id", "event_type", "user_id").withColumns(
+        {"balanced_cpks": F.array(F.col("event_type")), "dedicated_cpks": F.when(F.col("user_id") % 2 == 0, F.array(F.col("event_type"), F.lit("even"))).otherwise(F.array().cast("array<string>")), "shared_cpks": F.lit(None).cast("array<string>")}
+    )
+    return etl.unnest_tagged(e, {f"{t}_cpks": t for t in logs.TYPES}, ["event_id"], "cpk")
+
+
+def first_seen_keys(spark, d):
+    return etl.first_seen(table(spark, d, "events"), "event_type", "event_id")
+
+
+def stage_shares(spark, d):
+    sums = table(spark, d, "lineitem", "l_returnflag", "l_linestatus", "l_quantity").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"))
+    return etl.shares_of_total(sums, "qty", ["l_returnflag"]).select("l_returnflag", "l_linestatus", "qty", F.round("share_pct", 6).alias("share_pct"))
+
+
+def latest_status(spark, d):
+    e = table(spark, d, "events", "event_id", "user_id", "value")
+    inc = (F.floor(F.col("value")) % 4).cast("long")
+    progress = e.groupBy("user_id").agg(F.least(F.lit(100).cast("long"), F.sum(inc)).alias("progress")).withColumn("status", status_of(F.col("progress")))
+    return progress.join(latest_by_key(e.select("user_id", "event_id"), "user_id", "event_id"), "user_id").select("user_id", "progress", "status", F.col("event_id").alias("last_event"))
+
+
+def union_pages(spark, d):
+    o = table(spark, d, "orders", "o_orderkey", "o_orderstatus")
+    return o.where("o_orderstatus = 'F'").unionByName(o.where("o_orderstatus = 'O'")).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (season_mean_of_sums, year_total, select_rename_cast, prefix_strip, ordered_lookup_first_hit, value_counts_topk, value_counts_by_key, describe_numeric, pivot_sum_fill0, pivot_count_fixed_cols, json_field_default, array_unnest_tagged, first_seen_keys, stage_shares, latest_status, union_pages)}
+
+_LOOKUP = " ".join(f"WHEN contains(lower(p_name), '{k}') THEN '{v}'" for k, v in PARTS)
+_HOURLY = "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events"
 ORACLES = {
     "season_mean_of_sums": """
 WITH s AS (SELECT year(o_orderdate) y, CASE WHEN month(o_orderdate) IN (12,1,2) THEN 'winter' WHEN month(o_orderdate) IN (3,4,5) THEN 'spring'
   WHEN month(o_orderdate) IN (6,7,8) THEN 'summer' ELSE 'autumn' END season, sum(o_totalprice) total FROM orders GROUP BY ALL)
 SELECT season, round(avg(total), 2) AS mean_total, CAST(list_position(['spring','summer','autumn','winter'], season) AS INTEGER) AS season_no FROM s GROUP BY season""",
-}
+    "year_total": "SELECT CAST(year(o_orderdate) AS BIGINT) AS year, round(sum(l_extendedprice + l_discount + l_tax), 2) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+    "select_rename_cast": "SELECT o_orderkey AS order_no, o_orderpriority AS priority, CAST(format('{:.2f}', o_totalprice) AS DOUBLE) AS price, CAST(split_part(o_orderpriority, '-', 1) AS DOUBLE) AS level, CAST(NULL AS DOUBLE) AS broken FROM orders",
+    "prefix_strip": "SELECT o_orderkey, CASE WHEN contains(o_orderpriority, '-') THEN trim(split_part(o_orderpriority, '-', 1)) ELSE o_orderpriority END AS level FROM orders",
+    "ordered_lookup_first_hit": f"SELECT p_partkey, CASE WHEN regexp_extract(lower(p_name), '(\\p{{L}}+een)', 1) <> '' THEN regexp_extract(lower(p_name), '(\\p{{L}}+een)', 1) {_LOOKUP} ELSE 'other' END AS kind FROM part",
+    "value_counts_topk": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1 ORDER BY n DESC, c_mktsegment LIMIT 15",
+    "value_counts_by_key": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1",
+    "describe_numeric": " UNION ALL ".join(
+        f"SELECT '{c}' AS name, count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(CAST(min({c}) AS DOUBLE), 4) AS lowest, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 4) AS q1, "
+        f"round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS q2, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 4) AS q3, round(CAST(max({c}) AS DOUBLE), 4) AS highest FROM part" for c in ("p_size", "p_retailprice")
+    ),
+    "pivot_sum_fill0": "SELECT hour, " + ", ".join(f"CAST(coalesce(sum(k) FILTER (event_type = '{t}'), 0) AS BIGINT) AS {t}_k, count(*) FILTER (event_type = '{t}') AS {t}_one" for t in ("click", "view", "purchase")) + f" FROM ({_HOURLY}) GROUP BY hour",
+    "pivot_count_fixed_cols": "SELECT hour, " + ", ".join(f"count(k) FILTER (event_type = '{t}') AS {t}" for t in ("click", "view", "absent")) + f" FROM ({_HOURLY}) GROUP BY hour",
+    "json_field_default": "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, coalesce(CAST(json_extract_string(props, '$.missing') AS BIGINT), 7) AS missing FROM events",
+    "array_unnest_tagged": "SELECT event_id, 'balanced' AS type, event_type AS cpk FROM events UNION ALL SELECT event_id, 'dedicated', unnest([event_type, 'even']) FROM events WHERE user_id % 2 = 0",
+    "first_seen_keys": "SELECT event_type, min(event_id) AS first_at FROM events GROUP BY 1",
+    "stage_shares": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, round(100 * sum(l_quantity) / sum(sum(l_quantity)) OVER (PARTITION BY l_returnflag), 6) AS share_pct FROM lineitem GROUP BY 1, 2",
+    "latest_status": """
+WITH p AS (SELECT user_id, least(100, CAST(sum(CAST(floor(value) AS BIGINT) % 4) AS BIGINT)) AS progress, max(event_id) AS last_event FROM events GROUP BY 1)
+SELECT user_id, progress, CASE WHEN progress >= 100 THEN 'completed' WHEN progress > 0 THEN 'processing' ELSE 'pending' END AS status, last_event FROM p""",
+    "union_pages": "SELECT o_orderstatus, count(*) AS n FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT * FROM orders WHERE o_orderstatus = 'O') GROUP BY 1",
+}
