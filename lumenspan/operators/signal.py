@@ -127,14 +127,12 @@ def best_offset(a_runs: DataFrame, b_runs: DataFrame, keys: Sequence[str], max_s
     pairs = a.join(b, list(keys)).where((F.col("b0") - F.col("a1") <= max_shift) & (F.col("b1") - F.col("a0") >= -max_shift))
     at = lambda x, y, d: F.struct((F.col(x) - F.col(y)).cast("long").alias("shift"), F.lit(d).cast("long").alias("d"))
     slopes = pairs.select(*keys, F.inline(F.array(at("b0", "a1", 1), at("b0", "a0", -1), at("b1", "a1", -1), at("b1", "a0", 1)))).groupBy(*keys, "shift").agg(F.sum("d").alias("d"))
-    all_shifts = a.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift))).cast("long").alias("shift")).withColumn("d", F.lit(0).cast("long"))
+    all_shifts = a.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(-max_shift).cast("long"), F.lit(max_shift).cast("long"))).alias("shift")).withColumn("d", F.lit(0).cast("long"))
     w = Window.partitionBy(*keys).orderBy("shift")
-    upto = w.rowsBetween(Window.unboundedPreceding, -1)
     merged = slopes.unionByName(all_shifts).groupBy(*keys, "shift").agg(F.sum("d").alias("d")).withColumn("slope", F.sum("d").over(w))
     # Between events the score is linear: slope times the way since the event before.
     step = merged.withColumn("_rise", F.coalesce(F.lag("slope").over(w) * (F.col("shift") - F.lag("shift").over(w)), F.lit(0)))
     score = step.withColumn("score", F.sum("_rise").over(w)).where(F.abs("shift") <= max_shift)
-    del upto
     best = Window.partitionBy(*keys).orderBy(F.desc("score"), "shift")
     return score.withColumn("_k", F.row_number().over(best)).where("_k = 1").select(*keys, "shift", "score")
 
