@@ -59,9 +59,10 @@ def written(df: DataFrame, path: str, **options: str) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The size of a plan's inputs as the optimizer has it; for files, what they take on disk."""
+    """The size of a plan's inputs as the optimizer has it; for files, what they take on disk. Unknown sizes count as 0."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def partitions(spark: SparkSession, n_bytes: int, each: int = 32 << 20) -> int:
