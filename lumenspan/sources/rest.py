@@ -73,6 +73,7 @@ def paged_source(name: str, transport: Transport, service: str) -> type[DataSour
 
 def read_pages(spark: SparkSession, source: str, fields: list[str], page_size: int = 1000, stop_at_failure: bool = True, year: str | None = None, month: str | None = None) -> DataFrame:
     """Text columns of all rows. A failed or empty page ends the result there, or with ``stop_at_failure`` off only goes missing."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # year and month go into the requests
     pages = spark.read.format(source).option("page_size", page_size).load()
     for column, value in (("year", year), ("month", month)):
         if value is not None:

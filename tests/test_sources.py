@@ -138,3 +138,13 @@ def test_status_stream(spark, tmp_path):
     q = status.stream_status(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("statuses").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("statuses").collect()} == {("r", 80, "processing", True), ("u", 0, "pending", False)}
+
+
+def test_paged_source_pushes_year_and_month(spark):
+    def yearly(first, last, filters):
+        if filters != {"year": "2024", "month": "03"}:
+            raise OSError("asked for everything")
+        return pages(first, last, {})
+
+    spark.dataSource.register(rest.paged_source("paged_yearly", yearly, "svc"))
+    assert rest.read_pages(spark, "paged_yearly", ["a"], 3, year="2024", month="03").count() == 7
