@@ -217,3 +217,19 @@ def centred_rms(x: Column, frame: int = 2048, hop: int = 512) -> Column:
         return values.map(one)
 
     return run(x)
+
+
+def time_axis(x: Column, rate: Column | int, duration: Column | None = None) -> Column:
+    """Seconds of each sample: i / rate, or, with a duration, evenly from 0 to it, both included."""
+    n = F.size(x)
+    at = (lambda i: i / rate) if duration is None else (lambda i: i * duration / F.greatest(n - 1, F.lit(1)))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<double>"))
+
+
+def paint_mask(intervals: DataFrame, clips: DataFrame, keys: Sequence[str], rate: int) -> DataFrame:
+    """keys, i of every sample inside an interval of seconds [start, end), once; for what needs single samples.
+
+    Where runs will do, keep intervals: merge_gaps and silences work on those without a row for each sample.
+    """
+    cut = intervals.join(clips, list(keys)).select(*keys, F.greatest((F.col("start") * rate).cast("long"), F.lit(0)).alias("s"), F.least((F.col("end") * rate).cast("long"), F.col("n")).alias("e")).where("e > s")
+    return cut.select(*keys, F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("i")).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import intervals, quality
+from ..operators import intervals, match, quality
 from .etl_queries import table
 
 EPOCH = 1_700_000_000
@@ -104,7 +104,26 @@ def speech_totals(spark, d):
     return out.select("key", F.round("speech_s", 3).alias("speech_s"), F.round("speech_pct", 6).alias("speech_pct"))
 
 
-QUERIES = {f.__name__: f for f in (gap_stats, segment_quality_summary, gap_merge_sessions, interval_overlap_join, interval_match_class_geometry, unmatched_right, positional_compare, positional_stats, window_clip, adjacent_boundaries, long_silence_gaps, silence_accounts, speech_totals)}
+def edge_views(spark, d):
+    s = segments(spark, d)
+    base = s.groupBy("key").agg(F.min("start").alias("t0"))
+    s = s.join(base, "key").withColumns({"start": F.col("start") - F.col("t0"), "end": F.col("end") - F.col("t0")})
+    return intervals.edge_windows(s, "start", "end", F.lit(1_000_000.0)).select("event_id", *(F.round(c, 3).alias(c) for c in ("head_start", "head_end", "tail_start", "tail_end")))
+
+
+def metric_compare(spark, d):
+    """Sums by kind on two days, where both have the kind."""
+    e = table(spark, d, "events", "ts", "event_type", "value").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    a, b = (e.where(F.col("day") == x).groupBy(F.col("event_type").alias("metric")).agg(F.round(F.sum("value"), 2).alias("value")) for x in ("2024-01-01", "2024-01-02"))
+    return match.compare_metrics(a, b).select("metric", "left", "right", F.round("diff", 2).alias("diff"))
+
+
+def first_of_rounded(spark, d):
+    s = segments(spark, d).select("event_id", "key", F.floor("start").cast("double").alias("start"), F.floor("start").cast("double").alias("end"))
+    return intervals.keep_first_rounded(s, ["key"], "event_id", -2).groupBy("key").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+QUERIES = {f.__name__: f for f in (gap_stats, segment_quality_summary, gap_merge_sessions, interval_overlap_join, interval_match_class_geometry, unmatched_right, positional_compare, positional_stats, window_clip, adjacent_boundaries, long_silence_gaps, silence_accounts, speech_totals, edge_views, metric_compare, first_of_rounded)}
 
 S = "SELECT event_id, event_type AS key, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + value AS e FROM events"
 S10 = "SELECT event_id, event_type AS key, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + value * 10.0 AS e FROM events"
@@ -155,5 +174,10 @@ SELECT key, round(min(s), 3) AS start, round(max(e), 3) AS "end", count(*) AS n
 SELECT key, event_id, ne AS next_event_id, round(greatest(0.0, e - 50), 3) AS window_start, round(least(ns + 100, e + 50), 3) AS window_end FROM x WHERE ne IS NOT NULL""",
     "long_silence_gaps": f'{CLIPS} SELECT key, s AS start, e AS "end" FROM g WHERE e - s >= 600000',
     "silence_accounts": f"{CLIPS}, z AS (SELECT key, sum(CASE WHEN (e - s) / 1000 >= 600 THEN (e - s) / 1000 ELSE 0 END) AS l, sum(CASE WHEN (e - s) / 1000 < 600 THEN (e - s) / 1000 ELSE 0 END) AS k FROM g GROUP BY key) SELECT key, round(n / 1000 - l - k, 3) AS speech_s, round(l, 3) AS long_s, round(k, 3) AS short_s FROM n JOIN z USING (key)",
+    "edge_views": f"""WITH x AS (SELECT event_id, s - min(s) OVER (PARTITION BY key) AS s, e - min(s) OVER (PARTITION BY key) AS e FROM ({S}))
+SELECT event_id, round(greatest(0.0, s - 1.5), 3) AS head_start, round(least(1000000.0, s + 4.5), 3) AS head_end, round(greatest(0.0, e - 4.5), 3) AS tail_start, round(least(1000000.0, e + 1.5), 3) AS tail_end FROM x""",
+    "metric_compare": """WITH x AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS metric, round(sum(value), 2) AS v FROM events GROUP BY ALL)
+SELECT a.metric, a.v AS "left", b.v AS "right", round(b.v - a.v, 2) AS diff FROM x a JOIN x b ON a.metric = b.metric AND a.day = '2024-01-01' AND b.day = '2024-01-02'""",
+    "first_of_rounded": f"SELECT key, count(DISTINCT round(floor(s), -2)) AS n, min(event_id) AS first FROM ({S}) GROUP BY key",
     "speech_totals": f"SELECT key, round(sum(e - s), 3) AS speech_s, round(100 * sum(e - s) / 2592000.0, 6) AS speech_pct FROM ({S}) GROUP BY key",
 }

@@ -103,7 +103,34 @@ def spectrum_peak(spark, d):
     return s.groupBy("vec_id").agg(F.count("*").alias("frames"), F.round(F.max(F.array_max("frame")), 3).alias("top_db"))
 
 
-QUERIES = {f.__name__: f for f in (frame_rms_tumbling, frame_rms_hopping, rms_summary, moving_rms_mask, mask_runs, topn_runs, mask_confusion, frame_confusion, best_offset, shift_mask, rms_dbfs, diff_signal, linear_resample, pcm16_quantise, silence_suppressed, spectrum_peak)}
+def painted_samples(spark, d):
+    c = clips(spark, d).select("vec_id", F.size("embedding").cast("long").alias("n"))
+    spans = c.select("vec_id", F.inline(F.array(F.struct(F.lit(0.1).alias("start"), F.lit(0.4).alias("end")), F.struct(F.lit(0.3).alias("start"), (F.col("vec_id") % 5 / 4.0).alias("end")))))
+    return signal.paint_mask(spans, c, ["vec_id"], 64).groupBy("vec_id").agg(F.count("*").alias("n"), F.min("i").alias("first"), F.max("i").alias("last"))
+
+
+def time_axes(spark, d):
+    c = clips(spark, d).select("vec_id", signal.time_axis(F.col("embedding"), 64).alias("a"), signal.time_axis(F.col("embedding"), 64, F.lit(1.0)).alias("b"))
+    return c.select("vec_id", F.round(F.element_at("a", -1), 6).alias("last"), F.round(F.element_at("b", -1), 6).alias("last_even"), F.round(F.aggregate("a", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+
+
+def padded_pairs(spark, d):
+    """Each clip's first half against the whole next clip, filled up with zeros."""
+    x = signal.long_form(clips(spark, d), ["vec_id"], "embedding")
+    a = x.where("i < 32").withColumnRenamed("vec_id", "pair")
+    b = x.select((F.col("vec_id") - 1).alias("pair"), "i", "x").where("pair >= 0")
+    out = signal.pair_signals(a, b, ["pair"], pad=True)
+    return out.groupBy("pair").agg(F.count("*").alias("n"), F.round(F.sum(F.col("a").cast("double") * F.col("b")), 6).alias("dot"))
+
+
+def mono_mix(spark, d):
+    c = clips(spark, d)
+    other = c.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    mono = c.join(other, "vec_id").select("vec_id", signal.to_mono(F.array("embedding", "next")).alias("x"))
+    return mono.select("vec_id", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (frame_rms_tumbling, frame_rms_hopping, rms_summary, moving_rms_mask, mask_runs, topn_runs, mask_confusion, frame_confusion, best_offset, shift_mask, rms_dbfs, diff_signal, linear_resample, pcm16_quantise, silence_suppressed, spectrum_peak, painted_samples, time_axes, padded_pairs, mono_mix)}
 
 X = "(SELECT vec_id, CAST(unnest(range(len(embedding))) AS BIGINT) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
 M = f"(SELECT vec_id, i, x, CASE WHEN x > 0 THEN 1 ELSE 0 END AS m FROM {X})"
@@ -131,6 +158,12 @@ SELECT pair, shift, score FROM (SELECT *, row_number() OVER (PARTITION BY pair O
 WITH t AS (SELECT CAST(k AS BIGINT) AS i, CAST(floor(k * 64 / 48) AS BIGINT) AS lo, k * 64 / 48 - floor(k * 64 / 48) AS f FROM range(0, 48) r(k))
 SELECT a.vec_id, t.i, round(a.x + (b.x - a.x) * f, 6) AS x FROM t JOIN {X} a ON a.i = lo JOIN {X} b ON b.vec_id = a.vec_id AND b.i = least(lo + 1, 63)""",
     "pcm16_quantise": f"SELECT vec_id, i, CAST(trunc(greatest(least(x * 32767, 32767.0), -32768.0)) AS BIGINT) AS v FROM {X}",
+    "painted_samples": """
+WITH s AS (SELECT vec_id, unnest([[6, 25], [19, least(CAST(trunc(vec_id % 5 / 4.0 * 64) AS BIGINT), len(embedding))]]) AS v FROM embeddings), i AS (SELECT DISTINCT vec_id, unnest(range(v[1], v[2])) AS i FROM s WHERE v[2] > v[1])
+SELECT vec_id, count(*) AS n, min(i) AS first, max(i) AS last FROM i GROUP BY vec_id""",
+    "time_axes": "SELECT vec_id, round((len(embedding) - 1) / 64, 6) AS last, 1.0::DOUBLE AS last_even, round(len(embedding) * (len(embedding) - 1) / 2 / 64, 6) AS total FROM embeddings",
+    "padded_pairs": f"SELECT coalesce(a.vec_id, b.vec_id - 1) AS pair, count(*) AS n, round(sum(coalesce(a.x, 0) * coalesce(b.x, 0)), 6) AS dot FROM (SELECT * FROM {X} WHERE i < 32) a FULL JOIN (SELECT * FROM {X} WHERE vec_id > 0) b ON b.vec_id = a.vec_id + 1 AND a.i = b.i GROUP BY 1",
+    "mono_mix": f"SELECT a.vec_id, round(sum((a.x + b.x) / 2), 6) AS total FROM {X} a JOIN {X} b ON b.vec_id = a.vec_id + 1 AND a.i = b.i GROUP BY a.vec_id",
     "silence_suppressed": f"""
 WITH m AS (SELECT vec_id, i, x, CASE WHEN x > 0.05 THEN 1 ELSE 0 END AS m FROM {X}), g AS (SELECT vec_id, i, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS g FROM m WHERE m = 0),
 q AS (SELECT vec_id, i, count(*) OVER (PARTITION BY vec_id, g) AS len FROM g)
