@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEASONS = ("spring", "summer", "autumn", "winter")
+# Districts by road, tried in this order.
+ROADS = (
+    ("테헤란로", "역삼동"), ("강남대로", "역삼동"), ("언주로", "논현동"), ("봉은사로", "삼성동"), ("영동대로", "삼성동"), ("선릉로", "역삼동"), ("도곡로", "도곡동"), ("개포로", "개포동"), ("양재천로", "양재동"),
+    ("학동로", "논현동"), ("압구정로", "압구정동"), ("남부순환로", "도곡동"), ("헌릉로", "일원동"), ("광평로", "수서동"), ("밤고개로", "수서동"), ("개포동", "개포동"), ("자곡로", "자곡동"),
+)
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -40,6 +45,11 @@ def ordered_lookup(value: Column, pattern: str, table: Sequence[tuple[str, str]]
     return out.otherwise(F.lit(default))
 
 
+def district(address: Column) -> Column:
+    """The district that an address names, or that of its road; null and others are "기타"."""
+    return ordered_lookup(address, r"([\p{L}\p{N}_]+동)", ROADS, "기타")
+
+
 def before_dash(value: Column) -> Column:
     """What stands before the first dash, trimmed; without a dash the value itself."""
     return F.when(value.contains("-"), F.trim(F.split_part(value, F.lit("-"), F.lit(1)))).otherwise(value)

@@ -91,7 +91,7 @@ def pattern_counts(spark, d):
 
 
 def html_extract(spark, d):
-    return articles(table(spark, d, "pages", "page_id", "html"), "html", ["page_id"], {"title": ("title", None), "summary": ("p", None), "press": ("h1", None), "date": ("time", None)})
+    return articles(table(spark, d, "pages", "page_id", "html"), "html", ["page_id"], {"title": "article h1", "around": "article", "summary": "p"})
 
 
 def clock_round_trip(spark, d):

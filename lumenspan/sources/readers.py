@@ -57,20 +57,20 @@ STAMP = r"(\d{1,2}:\d{2}:\d{2}[.,]\d{1,3})\s*-->\s*(\d{1,2}:\d{2}:\d{2}[.,]\d{1,
 def parse_subtitles(texts: DataFrame) -> DataFrame:
     """Lenient SRT, VTT or TXT: text up to a blank line or the next time range; lines of digits and empty texts go.
 
-    A .txt file, or one without any time range, is one segment without times.
+    A .txt file is one segment without times. So is a file that gives no segment: all its lines but blank ones and digits.
     """
-    line = texts.select("file_id", F.posexplode(F.split("content", "\n")).alias("k", "line")).withColumn("line", F.trim("line"))
-    untimed = F.lower("file_id").endswith(".txt") | (F.max(F.col("line").rlike(STAMP).cast("int")).over(Window.partitionBy("file_id")) == 0)
-    w = Window.partitionBy("file_id").orderBy("k")
-    line = line.withColumns({"untimed": untimed, "stamp": F.col("line").rlike(STAMP)})
-    line = line.withColumn("block", F.when(F.col("untimed"), 0).otherwise(F.sum(F.col("stamp").cast("int")).over(w)))
-    inside = Window.partitionBy("file_id", "block").orderBy("k")
-    line = line.withColumn("ended", F.max(((F.col("line") == "") & ~F.col("untimed")).cast("int")).over(inside))
-    keep = (F.col("line") != "") & ~F.col("stamp") & (F.col("untimed") | (F.col("block") > 0) & (F.col("ended") == 0) & ~F.col("line").rlike(r"^\p{Nd}+$"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("k", "line")))), lambda s: s["line"]), " ")
-    time = lambda g: F.max(F.when(F.col("stamp") & ~F.col("untimed"), clock_seconds(F.regexp_extract("line", STAMP, g))))
-    out = line.groupBy("file_id", "block").agg(time(1).alias("start"), time(2).alias("end"), text.alias("text"))
-    return out.where("text != ''").select("file_id", F.col("block").cast("int").alias("ordinal"), "start", "end", "text")
+    plain = F.lower("file_id").endswith(".txt")
+    stripped = F.regexp_replace("content", r"^\s+|\s+$", "")
+    whole = texts.where(plain & (stripped != "")).select("file_id", F.lit(0).alias("ordinal"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), stripped.alias("text"))
+    line = texts.where(~plain).select("file_id", F.posexplode(F.split("content", "\n")).alias("k", "line")).withColumn("line", F.trim("line"))
+    line = line.withColumns({"stamp": F.col("line").rlike(STAMP), "digits": F.col("line").rlike(r"^\p{Nd}+$")})
+    line = line.withColumn("block", F.sum(F.col("stamp").cast("int")).over(Window.partitionBy("file_id").orderBy("k")))
+    line = line.withColumn("ended", F.max((F.col("line") == "").cast("int")).over(Window.partitionBy("file_id", "block").orderBy("k")))
+    joined = lambda keep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep & (F.col("line") != "") & ~F.col("digits"), F.struct("k", "line")))), lambda s: s["line"]), " ")
+    time = lambda g: F.max(F.when(F.col("stamp"), clock_seconds(F.regexp_extract("line", STAMP, g))))
+    timed = line.where("block > 0").groupBy("file_id", F.col("block").cast("int").alias("ordinal")).agg(time(1).alias("start"), time(2).alias("end"), joined(~F.col("stamp") & (F.col("ended") == 0)).alias("text")).where("text != ''")
+    flat = line.join(timed.select("file_id").distinct(), "file_id", "left_anti").groupBy("file_id").agg(joined(F.lit(True)).alias("text")).where("text != ''")
+    return timed.unionByName(whole).unionByName(flat.withColumn("ordinal", F.lit(0)), allowMissingColumns=True).select("file_id", "ordinal", "start", "end", "text")
 
 
 def parse_asr(texts: DataFrame) -> DataFrame:
@@ -92,15 +92,19 @@ def read_metric_log(spark: SparkSession, paths) -> DataFrame:
     return spark.read.schema(METRIC_LOG + ", _corrupt_record string").json(paths, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record").where("_corrupt_record IS NULL AND msg IS NOT NULL").drop("_corrupt_record")
 
 
-NEW = r"(?m)(\d+):\s*(\d+\.?\d*)s\s*~\s*(\d+\.?\d*)s\s*\((\d+\.?\d*)s\)"
-OLD = r"(?m)\[\s*(\d+)\]\s*(\d+\.?\d*)s?\s*[-~]\s*(\d+\.?\d*)s"
-LOOSE = r"(?m)(\d+):\s*(\d+\.?\d*)s\s*~\s*(\d+\.?\d*)s"
+# The log formats and labels that the programs print.
+NEW = r"\s(\d+):\s+([\d.]+)s\s+~\s+([\d.]+)s\s+\(([\d.]+)s\)"
+OLD = r"음성\s*구간\s*(\d+):\s*([\d.]+)s\s*~\s*([\d.]+)s"
+LOOSE = r"(?m)^\s*(\d+):\s*([\d.]+)s\s*~\s*([\d.]+)s"
+TOTAL = r"전체:\s+([\d.]+)s"
+SPEECH = r"음성:\s+([\d.]+)s\s+\(([\d.]+)%\)"
+SILENCE = r"무음제거:\s+([\d.]+)s\s+\(([\d.]+)%\)"
 
 
 def _found(texts: DataFrame, pattern: str, groups: int) -> DataFrame:
     names = ["id", "start", "end", "duration"][:groups]
     found = F.arrays_zip(*(F.regexp_extract_all("content", F.lit(pattern), F.lit(g + 1)).alias(n) for g, n in enumerate(names)))
-    return texts.select("file_id", F.posexplode(found).alias("ordinal", "s")).select("file_id", "ordinal", F.col("s.id").cast("int").alias("id"), *(F.col(f"s.{n}").cast("double").alias(n) for n in names[1:]))
+    return texts.select("file_id", F.posexplode(found).alias("ordinal", "s")).select("file_id", "ordinal", F.col("s.id").cast("int").alias("id"), *(F.col(f"s.{n}").try_cast("double").alias(n) for n in names[1:]))
 
 
 def parse_vad_log(texts: DataFrame) -> DataFrame:
@@ -118,12 +122,9 @@ def parse_any_vad_log(texts: DataFrame) -> DataFrame:
 
 def parse_vad_summary(texts: DataFrame) -> DataFrame:
     """Totals that a log prints: total_s, speech_s, speech_pct, silence_s, silence_pct; null where it doesn't."""
-    number = lambda p, g: F.nullif(F.regexp_extract("content", p, g), F.lit("")).cast("double")
-    tail = r":\s*(\d+\.?\d*)s\s*\((\d+\.?\d*)%\)"
-    return texts.select(
-        "file_id", number(r"(?:전체|총)[^:\n]*:\s*(\d+\.?\d*)s", 1).alias("total_s"), number("음성" + tail, 1).alias("speech_s"), number("음성" + tail, 2).alias("speech_pct"),
-        number("무음" + tail, 1).alias("silence_s"), number("무음" + tail, 2).alias("silence_pct"),
-    )
+    number = lambda p, g: F.regexp_extract("content", p, g).try_cast("double")
+    named = (("total_s", TOTAL, 1), ("speech_s", SPEECH, 1), ("speech_pct", SPEECH, 2), ("silence_s", SILENCE, 1), ("silence_pct", SILENCE, 2))
+    return texts.select("file_id", *(number(p, g).alias(n) for n, p, g in named))
 
 
 def parse_chunks(texts: DataFrame) -> DataFrame:
@@ -132,7 +133,7 @@ def parse_chunks(texts: DataFrame) -> DataFrame:
     w = Window.partitionBy("file_id").orderBy("k")
     line = line.withColumn("chunk", F.sum(F.col("line").startswith("Chunk #").cast("int")).over(w) - 1).where("chunk >= 0")
     number = lambda p, g: F.nullif(F.regexp_extract("line", p, g), F.lit("")).cast("double")
-    span, item = r"^Time Range:\s*(\d+\.?\d*)s?\s*-\s*(\d+\.?\d*)s", r"^\[\d+\]\s*(\d+\.?\d*)\s*s\s*-\s*(\d+\.?\d*)\s*s"
+    span, item = r"Time Range:\s*(\d+\.?\d*)s?\s*-\s*(\d+\.?\d*)s", r"^\[\d+\]\s*(\d+\.?\d*)\s*s\s*-\s*(\d+\.?\d*)\s*s"
     segment = F.when(F.col("line").rlike(item), F.struct("k", number(item, 1).alias("start"), number(item, 2).alias("end")))
     out = line.groupBy("file_id", "chunk").agg(F.max(number(span, 1)).alias("start"), F.max(number(span, 2)).alias("end"), F.array_sort(F.collect_list(segment)).alias("s"))
     return out.select("file_id", F.col("chunk").cast("int").alias("chunk"), "start", "end", F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("segments"))

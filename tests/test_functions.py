@@ -79,9 +79,8 @@ def test_relative_date(spark):
 
 
 def test_etl_scalars(spark):
-    table = (("테헤란", "역삼동"), ("강남", "기타동"))
     rows = [("강남구 역삼동 1",), ("강남구 테헤란로 5",), (None,)]
-    assert values(spark, etl.ordered_lookup(F.col("a"), r"([\p{L}\p{N}_]+동)", table, "기타"), rows, "a string") == ["역삼동", "역삼동", "기타"]
+    assert values(spark, etl.district(F.col("a")), rows, "a string") == ["역삼동", "역삼동", "기타"]
     assert values(spark, etl.before_dash(F.col("a")), [("공공 -와이파이",), ("x",), (None,)], "a string") == ["공공", "x", None]
     assert values(spark, etl.season(F.col("m")), [(12,), (3,), (9,), (13,)], "m int") == ["winter", "spring", "autumn", "autumn"]
     assert values(spark, etl.to_number(F.col("a")), [(" 3.5 ",), ("1,2",), ("1d",), ("",), ("NaN",), ("-1e3",)], "a string") == [3.5, None, None, None, None, -1000.0]

@@ -25,7 +25,7 @@ def test_strict_srt(spark, tmp_path):
 def test_lenient_subtitles(spark):
     df = texts(spark, ("a.vtt", "WEBVTT\n\n1\n00:00:01.000 --> 00:00:02.500\n12\nhello\nthere\n\nlost\n2\n00:00:03,000 --> 00:00:04,000\nbye"), ("b.txt", "plain\n\ntext"), ("c.srt", "no times\nat all"))
     rows = {(r["file_id"], r["start"], r["end"], r["text"]) for r in readers.parse_subtitles(df).collect()}
-    assert rows == {("a.vtt", 1.0, 2.5, "hello there"), ("a.vtt", 3.0, 4.0, "bye"), ("b.txt", None, None, "plain text"), ("c.srt", None, None, "no times at all")}
+    assert rows == {("a.vtt", 1.0, 2.5, "hello there"), ("a.vtt", 3.0, 4.0, "bye"), ("b.txt", None, None, "plain\n\ntext"), ("c.srt", None, None, "no times at all")}
 
 
 def test_asr_json(spark):
@@ -35,7 +35,7 @@ def test_asr_json(spark):
 
 
 def test_vad_logs(spark):
-    df = texts(spark, ("a", "   1: 24.49s ~ 27.22s (2.73s)\n음성 구간 2: 10.20s ~ 15.40s (5.20s)\n   3: 24.4900s ~ 27.22s\n[ 4] 1.0s - 2.0s\n전체 길이: 153.92s\n음성:   89.30s (58.0%)"))
+    df = texts(spark, ("a", "   1: 24.49s ~ 27.22s (2.73s)\n음성 구간 2: 10.20s ~ 15.40s (5.20s)\n   3: 24.4900s ~ 27.22s\n음성 구간 4: 1.0s ~ 2.0s\n전체: 153.92s\n음성:   89.30s (58.0%)"))
     assert [(r["id"], r["start"], r["end"], r["duration"]) for r in readers.parse_vad_log(df).orderBy("ordinal").collect()] == [(1, 24.49, 27.22, 2.73), (2, 10.2, 15.4, 5.2)]
     assert [(r["start"], r["end"]) for r in readers.parse_any_vad_log(df).orderBy("ordinal").collect()] == [(1.0, 2.0), (10.2, 15.4), (24.49, 27.22)]
     s = readers.parse_vad_summary(df).first()
@@ -83,9 +83,12 @@ def test_encodings(spark, tmp_path):
 
 
 def test_articles(spark):
-    page = '<div><a class="news_tit">A <mark>b</mark> &amp; c</a><p class="dsc">sum</p><a class="news_tit">D</a><script>x</script></div>'
-    out = html.articles(spark.createDataFrame([(1, page), (2, None)], "id int, html string"), "html", ["id"], {"title": ("a", "news_tit"), "summary": ("p", "dsc")}).collect()
-    assert [(r["title"], r["summary"] == html.MISSING["summary"]) for r in out] == [("A b & c", False), ("D", True)]
+    block = '<div class="sds-comps-vertical-layout x"><span class="sds-comps-text-type-headline1">A <mark>b</mark> &amp; c</span><span class="sds-comps-text-type-body1">sum</span></div>'
+    profile = '<div data-sds-comp="Profile"><span class="sds-comps-text-type-body2 sds-comps-text-weight-sm">press</span><span class="sds-comps-profile-info-subtext"><a><span class="sds-comps-text">2일 전</span></a></span></div>'
+    page = f'{profile}{block}<span class="sds-comps-text-type-headline1">D<br></span><script>x</script></p>'
+    out = html.articles(spark.createDataFrame([(1, page), (2, None)], "id int, html string"), "html", ["id"]).collect()
+    assert [tuple(r)[1:] for r in out] == [(0, "Ab& c", "press", "2일 전", "sum"), (1, "D", *(html.MISSING[k] for k in ("press", "date", "summary")))]
+    assert spark.createDataFrame([(page,)], "html string").select(html.texts(F.col("html"), "div mark")).first()[0] == ["b"]
 
 
 def pages(first, last, filters):
