@@ -25,4 +25,33 @@ QUERIES = {
     "op9_unigram_pieces": op9_unigram_pieces,
     "op10_line_rules": op10_line_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, CAST(unnest(range(0, n - 49)) AS INTEGER) AS i, h, n FROM d WHERE n >= 50),
+k AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS g FROM w),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM k),
+b AS (SELECT doc_id, i, CASE WHEN i <= 49 + lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 1 THEN 0 ELSE 1 END AS new FROM f WHERE first < doc_id),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM b) GROUP BY doc_id, span),
+x AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY z) AS z, sum(z - a) AS gone, count(*) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(from_hex(CASE WHEN gone IS NULL THEN h ELSE substr(h, 1, 2 * a[1]) || array_to_string(list_transform(range(1, len(a) + 1), lambda j: CASE WHEN j = len(a) THEN substr(h, 2 * z[j] + 1) ELSE substr(h, 2 * z[j] + 1, 2 * (a[j + 1] - z[j])) END), '') END)) AS kept_sha256
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id""",
+    "op4_warc_merge": r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT *, sha1(html) AS h, min(page_id) OVER (PARTITION BY sha1(html)) AS first FROM p),
+k AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query FROM d)
+SELECT page_id, strlen(html) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 1 + 5 * i // 4, 2) AS BIGINT) >> (3 - 5 * i % 4)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+  array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id % 1000000000), '%Y%m%d%H%M%S') AS capture_ts FROM k""",
+    "op6_partenum_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, low) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.y, r.low FROM r JOIN e ON e.x = r.doc_id WHERE r.low < e.y)
+SELECT n.doc_id, n.n AS n_shingles, min(r.low) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY 1, 2""",
+}
