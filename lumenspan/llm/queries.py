@@ -45,6 +45,30 @@ SELECT page_id, strlen(html) AS payload_bytes, array_to_string(list_transform(ra
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
   array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key,
   strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id % 1000000000), '%Y%m%d%H%M%S') AS capture_ts FROM k""",
+    "op5_ring_sharding": r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY b) AS t FROM range(256) r(b)),
+pts AS (SELECT row_number() OVER (ORDER BY pos, shard) - 1 AS arc, shard, pos FROM (SELECT i % 24 AS shard, CAST('0x' || substr(md5('shard ' || (i % 24) || ' node ' || (i // 24)), 1, 8) AS BIGINT) AS pos FROM range(3072) r(i))),
+raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+keys AS (SELECT doc_id, CAST(n + 8 AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS pos,
+  xor(list_reduce(list_prepend(4294967295, list_transform(range(n), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INTEGER)])), 4294967295) AS text_crc32 FROM raw, tab),
+placed AS (SELECT k.*, coalesce(p.arc, 0) AS arc FROM keys k ASOF LEFT JOIN pts p ON k.pos <= p.pos),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY arc ORDER BY pos, doc_id, text_crc32, size) - 1 AS k FROM placed),
+total AS (SELECT count(*) AS n FROM keys),
+a0 AS (SELECT pts.arc, shard, coalesce(c.n, 0) AS n, total.n // 24 + CASE WHEN shard < total.n % 24 THEN 1 ELSE 0 END AS cap FROM pts LEFT JOIN (SELECT arc, count(*) AS n FROM placed GROUP BY arc) c ON c.arc = pts.arc, total),
+a1 AS (SELECT *, greatest(0, least(n, cap - CAST(sum(n) OVER (PARTITION BY shard ORDER BY arc) AS BIGINT) + n)) AS stay FROM a0),
+a2 AS (SELECT *, n - stay AS leave, CAST(sum(stay) OVER (PARTITION BY shard ORDER BY arc) AS BIGINT) - stay AS slot, CAST(sum(stay) OVER (PARTITION BY shard) AS BIGINT) AS home, CAST(sum(n - stay) OVER (ORDER BY arc) AS BIGINT) - (n - stay) AS left_before FROM a1),
+walk(step, queue, used, sent, take, shard, slot) AS (
+  SELECT -1, CAST(0 AS BIGINT), (SELECT list(home ORDER BY shard) FROM (SELECT DISTINCT shard, home FROM a2)), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+  UNION ALL
+  SELECT step, q - take, list_transform(used, lambda u, i: CASE WHEN i = shard + 1 THEN u + take ELSE u END), sent + take, take, shard, slot FROM (
+    SELECT w.step + 1 AS step, w.queue + CASE WHEN w.step + 1 < 3072 THEN a2.leave ELSE 0 END AS q, w.used, w.sent, a2.shard, w.used[CAST(a2.shard + 1 AS INTEGER)] AS slot,
+      least(w.queue + CASE WHEN w.step + 1 < 3072 THEN a2.leave ELSE 0 END, a2.cap - w.used[CAST(a2.shard + 1 AS INTEGER)]) AS take
+    FROM walk w JOIN a2 ON a2.arc = (w.step + 1) % 3072 WHERE w.step < 6143)),
+pieces AS (SELECT sent - take AS lo, sent AS hi, shard, slot FROM walk WHERE take > 0),
+away AS (SELECT r.*, a2.shard AS home_shard, a2.stay, a2.slot AS first_slot, a2.left_before + r.k - a2.stay AS rank FROM ranked r JOIN a2 USING (arc))
+SELECT w.doc_id, w.size, w.text_crc32, 'rows' AS law, CAST(coalesce(p.shard, w.home_shard) AS INTEGER) AS shard, coalesce(p.slot + w.rank - p.lo, w.first_slot + w.k) AS slot, CAST(NULL AS INTEGER) AS grown_shard,
+  CAST(w.home_shard AS INTEGER) AS home_shard, p.shard IS NOT NULL AS moved
+FROM away w LEFT JOIN pieces p ON w.k >= w.stay AND w.rank >= p.lo AND w.rank < p.hi""",
     "op6_partenum_jaccard": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
