@@ -26,6 +26,26 @@ QUERIES = {
     "op10_line_rules": op10_line_rules,
 }
 ORACLES: dict[str, str] = {
+    "op10_line_rules": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, unnest(range(len(s))) AS k, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM t)),
+w AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words, regexp_replace(line, '[^\p{L}]', '', 'g') AS letters, regexp_replace(left(line, 200), '[^\p{L}]', '', 'g') AS first_letters FROM l),
+x AS (SELECT *, len(words) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS again, list_sum(list_transform(words, lambda v: length(v))) AS size,
+  len(list_filter(words, lambda v: v IN ('|', '||', '·', '•', '»', '›', '>', '/', '::'))) AS bars, len(list_filter(words, lambda v: regexp_matches(v, '[#*$%&|<>]'))) AS marked,
+  len(list_filter(words, lambda v: ends_with(v, '!!'))) AS shouts, len(list_distinct(words)) AS kinds, len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS twins FROM w WHERE len(words) > 0),
+j AS (SELECT *, CASE WHEN bars >= 2 AND 4 * bars > n THEN 'navigation' WHEN 10 * marked > 3 * n THEN 'symbols'
+  WHEN n >= 3 AND (2 * shouts > n OR (regexp_matches(first_letters, '\p{Lu}') AND NOT regexp_matches(first_letters, '\p{Ll}') AND 10 * length(regexp_replace(letters, '[^\p{Lu}]', '', 'g')) > 7 * length(letters))) THEN 'shouting'
+  WHEN n >= 10 AND (2 * twins > n OR (5 * kinds < n AND n < 2000)) THEN 'repetition'
+  WHEN regexp_matches(line, '(?i)cookie policy|accept (?:all )?cookies|we use cookies|enable javascript|javascript is (?:disabled|required)|privacy policy|terms of (?:use|service)|all rights reserved|sign in to|log in to|subscribe to our|click here|skip to (?:main )?content|lorem ipsum') THEN 'boilerplate'
+  WHEN again THEN 'duplicate' WHEN n < 3 AND NOT regexp_matches(line, '[.!?…:;"'')»”。！？,]\s*$') THEN 'fragment' ELSE '' END AS why FROM x),
+d AS (SELECT doc_id, sum(n) AS n_words, sum(size) AS word_chars, count(*) FILTER (again) AS n_dup_lines, count(*) AS n_lines, count(*) FILTER (why = '') AS n_kept_lines, coalesce(sum(size) FILTER (why = ''), 0) AS kept_chars,
+  coalesce(string_agg(DISTINCT why, ',' ORDER BY why) FILTER (why <> ''), '') AS failed_rules FROM j GROUP BY doc_id),
+v AS (SELECT doc_id, unnest(range(1, len(a) - 1)) AS i, unnest(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2])) AS g FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS a FROM t)),
+o AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM v) WHERE c > 1),
+r AS (SELECT doc_id, count(*) AS n_repeat_words FROM o GROUP BY doc_id),
+e AS (SELECT t.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_kept_lines, 0) AS n_kept_lines, CAST(coalesce(kept_chars, 0) AS BIGINT) AS kept_chars, coalesce(failed_rules, '') AS failed_rules FROM t LEFT JOIN d ON d.doc_id = t.doc_id LEFT JOIN r ON r.doc_id = t.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * kept_chars >= word_chars AS kept FROM e""",
     "op2_suffix_dedup": r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 w AS (SELECT doc_id, CAST(unnest(range(0, n - 49)) AS INTEGER) AS i, h, n FROM d WHERE n >= 50),
