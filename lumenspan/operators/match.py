@@ -38,31 +38,30 @@ def classify_segments(left: DataFrame, right: DataFrame, bucket: float = 10.0, o
     segment that nothing matched is ``merged`` if several left ones overlap it. Matched means: by the segment's index.
     """
     a, b = _segments(left), _segments(right)
-    pairs = overlap_ratio_join(a, b, ["file_id"], bucket, overlap)
-    pairs = pairs.withColumn("similarity", similarity(F.col("l_norm"), F.col("r_norm")))
-    own = Window.partitionBy("l_file_id", "l_ordinal")
-    pairs = pairs.withColumns({"n": F.count("*").over(own), "exact": F.min(F.when(F.col("similarity") > ALMOST, F.col("r_ordinal"))).over(own)})
-    one, several = F.col("n") == 1, F.col("n") > 1
-    single = pairs.where(one | several & (F.col("r_ordinal") == F.col("exact"))).select(
-        F.col("l_file_id").alias("file_id"), F.when(one & (F.col("similarity") < ALMOST), "text_diff_only").otherwise("one_to_one").alias("pattern"),
-        F.col("l_index").alias("left_index"), F.col("r_index").alias("right_index"), F.when(several, F.lit(1.0)).otherwise(F.col("similarity")).alias("similarity"),
-    )
-    in_order = lambda p: F.transform(F.array_sort(F.collect_list(F.struct(f"{p}_ordinal", f"{p}_index"))), lambda s: s[f"{p}_index"])
-    split = pairs.where(several & F.col("exact").isNull()).groupBy(F.col("l_file_id").alias("file_id"), "l_ordinal", F.col("l_index").alias("left_index")).agg(in_order("r").alias("right_list"))
-    split = split.select("file_id", F.lit("split").alias("pattern"), "left_index", "right_list")
-    keys = [F.col("l_file_id").alias("file_id"), F.col("l_ordinal").alias("ordinal")]
-    alone = a.join(pairs.select(*keys).distinct(), ["file_id", "ordinal"], "left_anti")
-    moved = best_text_match(alone, b, text_threshold)
+    pairs = overlap_ratio_join(a, b, ["file_id"], bucket, overlap).withColumn("similarity", similarity(F.col("l_norm"), F.col("r_norm")))
+    pairs = pairs.select(F.col("l_file_id").alias("file_id"), "l_ordinal", "l_index", "r_ordinal", "r_index", "similarity")
+    # One row for each left segment, with what overlaps it in order.
+    hit = F.array_sort(F.collect_list(F.struct("r_ordinal", "r_index", "similarity")))
+    own = a.join(pairs.groupBy("file_id", F.col("l_ordinal").alias("ordinal")).agg(hit.alias("hits")), ["file_id", "ordinal"], "left")
+    moved = best_text_match(own.where("hits IS NULL").drop("hits"), b, text_threshold)
     middle = lambda p: (F.col(f"{p}_start") + F.col(f"{p}_end")) / 2
-    moved_rows = moved.select(F.col("l_file_id").alias("file_id"), F.lit("timeline_mismatch").alias("pattern"), F.col("l_index").alias("left_index"), F.col("r_index").alias("right_index"), "similarity", F.abs(middle("l") - middle("r")).alias("time_diff_s"))
-    missing = alone.join(moved.select(*keys), ["file_id", "ordinal"], "left_anti").select("file_id", F.lit("missing").alias("pattern"), F.col("index").alias("left_index"))
-    matched = single.select("file_id", F.col("right_index").alias("index")).union(moved_rows.select("file_id", "right_index")).union(split.select("file_id", F.explode("right_list"))).distinct()
-    rest = pairs.join(matched.withColumnsRenamed({"file_id": "l_file_id", "index": "r_index"}), ["l_file_id", "r_index"], "left_anti")
-    merged = rest.groupBy(F.col("l_file_id").alias("file_id"), "r_ordinal", F.col("r_index").alias("right_index")).agg(in_order("l").alias("left_list"), F.count("*").alias("n")).where("n > 1")
-    merged = merged.select("file_id", F.lit("merged").alias("pattern"), "left_list", "right_index")
-    out = single
-    for part in (split, moved_rows, missing, merged):
-        out = out.unionByName(part, allowMissingColumns=True)
+    moved = moved.select(F.col("l_file_id").alias("file_id"), F.col("l_ordinal").alias("ordinal"), F.col("r_index").alias("moved_index"), F.col("similarity").alias("moved_similarity"), F.abs(middle("l") - middle("r")).alias("time_diff_s"))
+    n, first = F.size("hits"), F.get("hits", F.lit(0))
+    exact = F.get(F.filter("hits", lambda h: h["similarity"] > ALMOST), F.lit(0))
+    chosen = F.when(n == 1, first["r_index"]).otherwise(exact["r_index"])
+    lefts = own.join(moved, ["file_id", "ordinal"], "left").select(
+        "file_id",
+        F.when(n == 1, F.when(first["similarity"] < ALMOST, "text_diff_only").otherwise("one_to_one")).when(n > 1, F.when(exact.isNotNull(), "one_to_one").otherwise("split"))
+        .when(F.col("moved_index").isNotNull(), "timeline_mismatch").otherwise("missing").alias("pattern"),
+        F.col("index").alias("left_index"), F.lit(None).cast("array<int>").alias("left_list"), F.coalesce(chosen, "moved_index").alias("right_index"),
+        F.when((n > 1) & exact.isNull(), F.transform("hits", lambda h: h["r_index"])).alias("right_list"),
+        F.when(n == 1, first["similarity"]).when((n > 1) & exact.isNotNull(), F.lit(1.0)).otherwise(F.col("moved_similarity")).alias("similarity"), "time_diff_s",
+    )
+    # Right segments that nothing matched, with what overlaps them.
+    matched = lefts.select("file_id", F.explode(F.concat(F.array("right_index"), F.coalesce("right_list", F.array().cast("array<int>")))).alias("r_index")).where("r_index IS NOT NULL").distinct()
+    by_right = pairs.groupBy("file_id", "r_ordinal", "r_index").agg(F.array_sort(F.collect_list(F.struct("l_ordinal", "l_index"))).alias("hits")).where("size(hits) > 1")
+    merged = by_right.join(matched, ["file_id", "r_index"], "left_anti").select("file_id", F.lit("merged").alias("pattern"), F.transform("hits", lambda h: h["l_index"]).alias("left_list"), F.col("r_index").alias("right_index"))
+    out = lefts.unionByName(merged, allowMissingColumns=True)
     return out.select("file_id", "pattern", "left_index", "left_list", "right_index", "right_list", "similarity", "time_diff_s", (F.col("time_diff_s") * 1000).alias("time_diff_ms"))
 
 
