@@ -8,13 +8,15 @@ equal shingles are one class; classes are what is joined.
    partitioned into n parts, n so large that nearly all sets have more than k parts that aren't empty; of those of
    either set at least one is the same in both. A signature is (i, part, the set's shingles in it). Small sets, and sets
    with k filled parts or fewer, have a signature for each shingle, so no link rests on luck.
-2. Classes with a signature in common form a group, and all are checked against its smallest. Of a signature that many
-   sets of a slice of texts have, only the smallest set goes on, so that a group with a third of all rows arrives as few.
-   Sketches, a byte for each part of a coarser partition, rule out most pairs that can't link; the others' sets are
-   compared. Links make components.
-3. In a group with several components, members that weren't compared may still link. Up to 128 members, pairs of
-   different components are compared by their sketches. The members of larger groups go through an exact prefix filter:
-   a set's rarest shingles, so many that linked sets share one. Within a component nothing more needs to be compared.
+2. Classes with a signature in common form a group, and members are checked against the smallest of it: of the smallest
+   members of its groups a class takes the six with most signatures in common. Of a signature that many sets of a slice of
+   texts have, only the smallest set goes on, so that a group with a third of all rows arrives as few. Sketches, a byte for
+   each part of a coarser partition, rule out most pairs that can't link; the others' sets are compared. Links make
+   components.
+3. In a group with several components, members that weren't compared may still link. Up to 1,024 members, pairs of
+   different components are compared by their sketches; the members of larger groups go through an exact prefix filter: a
+   set's rarest shingles, so many that linked sets share one. In a first round only the closest pair of each component is
+   compared, then all that are left. Within a component nothing more needs to be compared.
 
 Candidates are verified on whole sets. Shingles are 64-bit hashes.
 
@@ -31,12 +33,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .packing import cut, pack, release, unpack
-from .util import SPACES, buffers, estimated_bytes, id_and_text, partitions, pieces, run_dir, written
+from .util import buffers, estimated_bytes, id_and_text, lean, partitions, pieces, run_dir, SPACES, written
 
 WORDS = 5
 SIG_BITS = 48
@@ -45,9 +47,15 @@ SINGLE = 48
 #: Above so many sets with a signature in one slice of texts, only one goes on.
 MANY = 64
 #: Groups up to this size are compared by sketches, larger ones by prefixes.
-SMALL = 128
+SMALL = 1024
+#: Of the smallest members of its groups, a set is first checked against so many.
+CENTRES = 6
 #: Sets with a shingle in their prefix are compared by blocks of so many.
 BLOCK = 512
+#: First rounds, in which of each component of a group only the closest pair is compared.
+CLOSEST = 1
+REMEMBERED = 100_000
+PAIR = "a long, b long"
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -238,8 +246,8 @@ def told(sig: np.ndarray, cls: np.ndarray, edge: np.ndarray, n_parts: int, alway
         return
     inside = np.repeat(size > 1, size)
     stars = np.stack([cls[inside], np.repeat(cls[edge[several]], size[several])], 1)
-    stars = np.unique(stars[stars[:, 0] != stars[:, 1]], axis=0)
-    yield rows(STAR, np.abs(stars[:, 0] % n_parts), len(stars), id=stars[:, 1], cls=stars[:, 0])
+    stars, times = np.unique(stars[stars[:, 0] != stars[:, 1]], axis=0, return_counts=True)
+    yield rows(STAR, np.abs(stars[:, 0] % n_parts), len(stars), id=stars[:, 1], cls=stars[:, 0], n=times)
     seen: set[bytes] = set()
     pick = []
     for g in np.flatnonzero((size > 2) | always & (size > 1)).tolist():
@@ -258,7 +266,7 @@ def find(similarity: int, n_parts: int):
     """Texts to members, and signatures by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, 3 << 20):
+        for part in pieces(batches, 2 << 20):
             h, offsets = shingle_sets(*buffers(part.column(1)))
             cls, size = class_of(h, offsets).view(np.int64), np.diff(offsets)
             band, sketch = sketches(h, offsets, similarity)
@@ -292,7 +300,7 @@ def find(similarity: int, n_parts: int):
                 data.append(pack(sig[s:e], some[new], np.diff(np.r_[new, e - s]).astype(np.uint32), hot[s:e]))
             yield rows(PACKED, np.array([r[0] for r in runs]), len(runs), data=pa.array(data, pa.binary()))
 
-    return run
+    return lean(run)
 
 
 def meet(n_parts: int):
@@ -313,7 +321,7 @@ def meet(n_parts: int):
             hot = np.isin(sig[edge[:-1]], np.unique(np.concatenate(hots)))
             yield from told(sig, cls, edge, n_parts, hot)
 
-    return run
+    return lean(run)
 
 
 def may_link(n: np.ndarray, band: np.ndarray, sketch: list[bytes], i: np.ndarray, j: np.ndarray, similarity: int) -> np.ndarray:
@@ -331,11 +339,11 @@ def may_link(n: np.ndarray, band: np.ndarray, sketch: list[bytes], i: np.ndarray
     return out
 
 
-def may_link_all(left: dict, right: dict, similarity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i of left, j of right) of different components that the sketches don't rule out, by whole blocks."""
+def may_link_all(left: dict, right: dict, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i of left, j of right) of different components that the sketches don't rule out, and how many parts differ."""
     most = int(max(left["n"].max(initial=1), right["n"].max(initial=1)))
     _, _, _, coarse = bands(similarity, most)
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    found = [(np.zeros(0, np.int64),) * 3]
 
     def rows(side: dict, low: int, above: bool) -> tuple[np.ndarray, np.ndarray]:
         """Sets of band ``low`` (or the one above), and their sketches for it."""
@@ -355,7 +363,7 @@ def may_link_all(left: dict, right: dict, similarity: int) -> tuple[np.ndarray,
                 most_differ = (left["n"][part][:, None] + right["n"][j][None, :]) * (100 - similarity) // (100 + similarity)
                 ok = (differ <= most_differ) & (left["component"][part][:, None] != right["component"][j][None, :])
                 a, b = np.nonzero(ok)
-                found.append((part[a], j[b]))
+                found.append((part[a], j[b], differ[a, b].astype(np.int64)))
     return tuple(np.concatenate(f) for f in zip(*found))
 
 
@@ -378,41 +386,85 @@ def unpacked_members(members: list[dict]) -> dict:
     return {k: np.array([m[k] for m in members], np.int64) for k in ("cls", "component", "n", "band")} | {"data": [m["data"] for m in members], "prefix": [frozenset(m.get("prefix") or ()) for m in members]}
 
 
-def across(similarity: int):
-    """Groups (token, left, right: lists of members) to pairs of different components that sketches let pass.
+def closest(ca: np.ndarray, cb: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Of each component the pair with the fewest parts that differ."""
+    order = np.argsort(differ, kind="stable")
+    _, first = np.unique(np.stack([ca[order], cb[order]], 1).ravel(), return_index=True)
+    return np.unique(order[first // 2])
 
-    Without a right list, left is paired with itself. With a token, a pair is told only where the token is the smallest
-    that both have in their prefixes, so it is told once.
+
+class Told:
+    """Pairs of different components that sketches pass, each once as long as it can be remembered."""
+
+    def __init__(self, similarity: int, only_closest: bool) -> None:
+        self.similarity, self.only_closest = similarity, only_closest
+        self.seen: set[tuple[int, int]] = set()
+
+    def pairs(self, left: dict, right: dict, token: int | None = None) -> Iterator[pa.RecordBatch]:
+        i, j, differ = may_link_all(left, right, self.similarity)
+        if token is not None:
+            ok = np.fromiter((min(left["prefix"][x] & right["prefix"][y]) == token for x, y in zip(i.tolist(), j.tolist())), bool, len(i))
+            i, j, differ = i[ok], j[ok], differ[ok]
+        if self.only_closest and len(i):
+            ok = closest(left["component"][i], right["component"][j], differ)
+            i, j = i[ok], j[ok]
+        a, b = left["cls"][i], right["cls"][j]
+        found = [p for p in set(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist())) if p not in self.seen]
+        if found:
+            if len(self.seen) + len(found) > REMEMBERED:
+                self.seen.clear()
+            self.seen.update(found)
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def within(similarity: int, only_closest: bool):
+    """Rows by smallest member: first the classes of its groups, then the groups as lists; to pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told_, low, known = Told(similarity, only_closest), None, {}
+        for batch in batches:
+            for at, cls, component, n, band, data, list_ in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != low:
+                    low, known = at, {}
+                if list_ is None:
+                    known[cls] = {"cls": cls, "component": component, "n": n, "band": band, "data": data}
+                else:
+                    members = unpacked_members([known[c] for c in list_])
+                    yield from told_.pairs(members, members)
+
+    return lean(run)
+
+
+def across(similarity: int, only_closest: bool):
+    """Lists of members with a shingle (token) in their prefixes, left and right, to pairs.
+
+    Without a right list, left is paired with itself. A pair is told only where the token is the smallest that both have
+    in their prefixes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told_ = Told(similarity, only_closest)
         for batch in batches:
             for k in range(batch.num_rows):
-                token = batch.column(0)[k].as_py()
                 left = unpacked_members(batch.column(1)[k].as_py())
                 other = batch.column(2)[k].as_py()
-                right = left if other is None else unpacked_members(other)
-                i, j = may_link_all(left, right, similarity)
-                if token is not None:
-                    ok = np.fromiter((min(left["prefix"][x] & right["prefix"][y]) == token for x, y in zip(i.tolist(), j.tolist())), bool, len(i))
-                    i, j = i[ok], j[ok]
-                pairs = np.unique(np.sort(np.stack([left["cls"][i], right["cls"][j]], 1), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["a", "b"])
+                yield from told_.pairs(left, left if other is None else unpacked_members(other), batch.column(0)[k].as_py())
 
-    return run
+    return lean(run)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, shingles (sorted) for wanted (id, cls)."""
+    """cls, shingles (sorted) for wanted (id, cls); rows that repeat do no harm to what joins them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, 3 << 20):
+        for part in pieces(batches, 2 << 20):
             h, offsets = shingle_sets(*buffers(part.column(1)))
             right = class_of(h, offsets).view(np.int64) == part.column(2).to_numpy()  # ids can repeat
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column(2), lists], ["cls", "shingles"]).filter(pa.array(right))
 
-    return docs.join(wanted, "id").select("id", "text", "cls").mapInArrow(run, "cls long, shingles array<long>").dropDuplicates(["cls"])
+    return docs.join(wanted, "id").select("id", "text", "cls").mapInArrow(lean(run), "cls long, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -433,36 +485,48 @@ def jaccard_components(documents: DataFrame, similarity: int = 80, id_col: str =
     found = written(found.drop("part"), f"{at}/found")
     release(spark)
     members = found.where(f"kind = {MEMBER}").select("id", "n", "cls")
-    stars = found.where(f"kind = {STAR}").select(F.col("cls").alias("a"), F.col("id").alias("b")).distinct()
+    # Of the smallest classes of its groups, a class is checked against those with most signatures in common; groups that
+    # don't become one component that way are open.
+    stars = found.where(f"kind = {STAR}").groupBy(F.col("cls").alias("a"), F.col("id").alias("b")).agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
+    stars = stars.withColumn("k", rank).where(F.col("k") <= CENTRES).select("a", "b")
     # A slice's groups and the partition's name a signature alike.
     listed = found.where(f"kind = {GROUP}").select(F.col("id").alias("sig"), F.explode("list").alias("cls")).distinct()
     meta = found.where(f"kind = {MEMBER} and id is not null and n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("band").alias("band"), F.first("data").alias("data"))
     meta = written(meta, f"{at}/classes")
 
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs that link; only sets that sketches don't rule out are built."""
-        pairs = written(pairs, f"{at}/{name}-pairs")
-        near = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        sets = written(sets_of(docs, meta.select("id", "cls").join(near, "cls")), f"{at}/{name}-sets")
+    listed = written(listed, f"{at}/listed")
+    stars = written(not_ruled_out(stars, meta, similarity), f"{at}/stars")
+    near = stars.select(F.explode(F.array("a", "b")).alias("cls")).union(listed.select("cls")).distinct()
+    sets = written(sets_of(docs, meta.select("id", "cls").join(near, "cls")), f"{at}/sets")
+    release(spark)
+    edges = written(verified(stars, sets, similarity), f"{at}/links")
+    label = components(edges, f"{at}/star-components")
+
+    def mixed_groups() -> tuple[DataFrame, DataFrame]:
+        """Members of groups with their components, and the groups that hold several: sig, m, low; of equal ones one."""
+        own = listed.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("component"))
+        several = own.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"), F.min("cls").alias("low"), F.bit_xor(F.xxhash64("cls")).alias("who")).where("x != y and m > 2")
+        return own, written(several.groupBy("who", "m", "low").agg(F.min("sig").alias("sig")), f"{at}/mixed-{k}")
+
+    for k in range(CLOSEST + 1):
+        own, mixed = mixed_groups()
+        # Groups with one smallest member are much alike: one task has them all and tells each pair once.
+        held = own.join(mixed.where(f"m <= {SMALL}").select("sig", "low"), "sig")
+        who = held.select("low", "cls", "component").distinct().join(meta.drop("id"), "cls").withColumn("kind", F.lit(0))
+        lists = held.groupBy("low", "sig").agg(F.collect_list("cls").alias("list")).select("low", "list", F.lit(1).alias("kind"))
+        rows_ = who.unionByName(lists, allowMissingColumns=True).repartition(n_parts, "low").sortWithinPartitions("low", "kind")
+        pairs = rows_.select("low", "cls", "component", "n", "band", "data", "list").mapInArrow(within(similarity, k < CLOSEST), PAIR)
+        wide = mixed.where(f"m > {SMALL}")
+        if not wide.isEmpty():
+            open_ = own.join(wide.select("sig"), "sig", "left_semi").select("cls", "component").distinct()
+            pairs = pairs.union(prefix_pairs(sets, meta, open_, similarity, f"{at}/wide-{k}", k < CLOSEST))
+        more = written(verified(written(pairs.distinct(), f"{at}/pairs-{k}"), sets, similarity), f"{at}/links-{k}")
         release(spark)
-        return written(verified(pairs, sets, similarity), f"{at}/{name}")
-
-    first = components(links(not_ruled_out(stars, meta, similarity), "stars"), f"{at}/first").withColumnRenamed("node", "cls")
-    first = written(first, f"{at}/components")
-    # Groups that hold several components.
-    labelled = listed.join(first, "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("component"))
-    mixed = labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x != y and m > 2").select("sig", "m")
-    mixed = written(mixed, f"{at}/mixed")
-    held = labelled.join(mixed.where(f"m <= {SMALL}").select("sig"), "sig").join(meta, "cls").groupBy("sig").agg(F.collect_list(F.struct("cls", "component", "n", "band", "data")).alias("members"))
-    same = held.select(F.lit(None).cast("long").alias("token"), F.col("members").alias("left"), F.lit(None).cast(held.schema["members"].dataType).alias("right"))
-    more = links(same.mapInArrow(across(similarity), "a long, b long").distinct(), "small")
-    found_large = mixed.where(f"m > {SMALL}")
-    if not found_large.isEmpty():
-        open_ = labelled.join(found_large.select("sig"), "sig", "left_semi").select("cls", "component").distinct()
-        more = more.union(links(prefix_pairs(docs, meta, open_, similarity, at), "large"))
-    final = first
-    if not more.isEmpty():
-        final = components(first.select(F.col("cls").alias("a"), F.col("component").alias("b")).union(more), f"{at}/final").withColumnRenamed("node", "cls")
+        if not more.isEmpty():
+            edges = edges.union(more)
+            label = components(edges, f"{at}/components-{k}")
+    final = label.withColumnRenamed("node", "cls")
     # From classes to ids: the smallest id of each component.
     label = members.where("id is not null").join(final, "cls", "left").select("id", "n", "cls", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component"))
     small = label.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
@@ -470,9 +534,8 @@ def jaccard_components(documents: DataFrame, similarity: int = 80, id_col: str =
     return joined.union(members.where("id is null").select("id", "n", F.lit(None).cast("long")))
 
 
-def prefix_pairs(docs: DataFrame, meta: DataFrame, open_: DataFrame, similarity: int, at: str) -> DataFrame:
+def prefix_pairs(sets: DataFrame, meta: DataFrame, open_: DataFrame, similarity: int, at: str, only_closest: bool) -> DataFrame:
     """Pairs of open classes (cls, component) of different components that share one of their rarest shingles."""
-    sets = sets_of(docs, meta.select("id", "cls").join(open_.select("cls"), "cls"))
     token = sets.join(open_, "cls").select("cls", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     token = written(token, f"{at}/tokens")
     rare = token.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
@@ -490,7 +553,7 @@ def prefix_pairs(docs: DataFrame, meta: DataFrame, open_: DataFrame, similarity:
     alone = lists.select("token", "left", F.lit(None).cast(lists.schema["left"].dataType).alias("right"))
     wide = lists.where("blocks > 1")
     twice = wide.join(wide.select("token", F.col("block").alias("other"), F.col("left").alias("right")), "token").where("block < other").select("token", "left", "right")
-    return alone.union(twice).mapInArrow(across(similarity), "a long, b long").distinct()
+    return alone.union(twice).mapInArrow(across(similarity, only_closest), PAIR)
 
 
 def op6_partenum_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import WORD, buffers, id_and_text, pieces
+from .util import WORD, buffers, id_and_text, lean, pieces
 
 SAMPLE = 6000
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
@@ -195,7 +195,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 rows = part.slice(at, 2048)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(model.score(features(rows.column(1))), pa.float64())], ["id", "score"])
 
-    return docs.mapInArrow(run, "id long, score double")
+    return docs.mapInArrow(lean(run), "id long, score double")
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -211,7 +211,7 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 rows = part.slice(first, 2048)
                 yield rows.filter(pa.array(model.score(features(rows.column(at))) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .induced_sort import sorted_suffixes
 from .packing import cut, pack, release, unpack
-from .util import buffers, estimated_bytes, partitions, pieces, remove, run_dir, written
+from .util import buffers, estimated_bytes, lean, partitions, pieces, remove, run_dir, written
 
 GRAM = 16
 #: A shard's bytes, roughly; a task holds a few times as much.
@@ -115,7 +115,7 @@ def find_anchors(window: int, n_parts: int):
                 out_data.append(pack(ids[doc[pick]], keys[doc[pick]], start[pick]))
             yield pa.RecordBatch.from_arrays([pa.array(out_part, pa.int32()), pa.array(out_kind, pa.int32()), pa.array(out_data, pa.binary())], ["part", "kind", "data"])
 
-    return run
+    return lean(run)
 
 
 def by_bucket(ids: np.ndarray, keys: np.ndarray, values: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
@@ -184,7 +184,7 @@ def repeated_anchors(n_parts: int):
         if known:
             yield from by_bucket(*(np.concatenate(x) for x in zip(*known)), n_parts)
 
-    return run
+    return lean(run)
 
 
 def cut_pieces(window: int, n_parts: int):
@@ -223,7 +223,7 @@ def cut_pieces(window: int, n_parts: int):
                 data.append(pack(ids[doc[gone]], keys[doc[gone]], np.stack([start[gone], start[gone] + last[gone] - first[gone] + window], 1).astype(np.uint32).ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(data, pa.binary())], ["part", "kind", "data"])
 
-    return run
+    return lean(run)
 
 
 def sort_shard(window: int, n_parts: int):
@@ -243,7 +243,7 @@ def sort_shard(window: int, n_parts: int):
         if lost:
             yield from by_bucket(*(np.concatenate(x) for x in zip(*lost)), n_parts)
 
-    return run
+    return lean(run)
 
 
 def lost_in(got: list, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
