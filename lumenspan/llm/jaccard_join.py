@@ -15,7 +15,7 @@ equal shingles are one class; classes are what is joined.
    components.
 3. In a group with several components, members that weren't compared may still link. Up to 1,024 members, pairs of
    different components are compared by their sketches; the members of larger groups go through an exact prefix filter: a
-   set's rarest shingles, so many that linked sets share one. In a first round only the closest pair of each component is
+   set's rarest shingles, so many that linked sets share one. In two first rounds only the closest pair of each component is
    compared, then all that are left. Within a component nothing more needs to be compared.
 
 Candidates are verified on whole sets. Shingles are 64-bit hashes.
@@ -53,7 +53,7 @@ CENTRES = 6
 #: Sets with a shingle in their prefix are compared by blocks of so many.
 BLOCK = 512
 #: First rounds, in which of each component of a group only the closest pair is compared.
-CLOSEST = 1
+CLOSEST = 2
 REMEMBERED = 100_000
 PAIR = "a long, b long"
 _SPACE = np.zeros(256, bool)
