@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 import re
 import unicodedata
 
@@ -67,22 +68,53 @@ def normalise_unicode(text: Column, form: str = "NFKC", casefold: bool = True, d
 
 def edit_counts(a, b) -> tuple[int, int, int, int]:
     """(distance, substitutions, deletions, insertions); of ties a match or substitution goes before a deletion, that
-    before an insertion. Counts are carried along two rows, so no table is kept."""
-    row = [(j, 0, 0, j) for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        now = [(i, 0, i, 0)]
-        for j, y in enumerate(b, 1):
-            d, s, e, n = row[j - 1]
-            best = (d, s, e, n) if x == y else (d + 1, s + 1, e, n)
-            d, s, e, n = row[j]
-            if d + 1 < best[0]:
-                best = (d + 1, s, e + 1, n)
-            d, s, e, n = now[j - 1]
-            if d + 1 < best[0]:
-                best = (d + 1, s, e, n + 1)
-            now.append(best)
-        row = now
-    return row[-1]
+    before an insertion.
+
+    Bit-parallel after Myers and Hyyro: a row of the table is a pair of integers with a bit for each item of b, set where
+    the cost rises or falls. The way back needs two bits a cell; every square root of the rows is kept, and the rows
+    between are worked out again when the way comes to them, so memory grows with len(b) times the root of len(a)."""
+    m, n = len(a), len(b)
+    full = (1 << n) - 1
+    equal: dict = {}
+    for j, y in enumerate(b):
+        equal[y] = equal.get(y, 0) | 1 << j
+    step = math.isqrt(m) + 1
+
+    def rows(start: int, up: int, down: int, told: list | None = None) -> tuple[int, int]:
+        """Carries a row on over up to ``step`` items of a; told gets where the way isn't diagonal, and where it deletes."""
+        for x in a[start : start + step]:
+            same = equal.get(x, 0)
+            t = same | down
+            zero = ((((t & up) + up) ^ up) | t) & full
+            rise = down | full & ~(zero | up)
+            if told is not None:
+                off = zero & ~same
+                told.append((off, off & rise))
+            rise, fall = rise << 1 | 1, (zero & up) << 1
+            up, down = (fall | ~(zero | rise)) & full, rise & zero
+        return up, down
+
+    kept = [(full, 0)]
+    for start in range(0, m, step):
+        kept.append(rows(start, *kept[-1]))
+    s = d = i = 0
+    at = n
+    for start in reversed(range(0, m, step)):
+        told: list[tuple[int, int]] = []
+        rows(start, *kept[start // step], told)
+        k = len(told) - 1
+        while k >= 0 and at:
+            off, gone = told[k]
+            if not off >> (at - 1) & 1:
+                s += a[start + k] != b[at - 1]
+                k, at = k - 1, at - 1
+            elif gone >> (at - 1) & 1:
+                d, k = d + 1, k - 1
+            else:
+                i, at = i + 1, at - 1
+        d += k + 1
+    i += at
+    return s + d + i, s, d, i
 
 
 def edit_ops(reference: Column, hypothesis: Column) -> Column:

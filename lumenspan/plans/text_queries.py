@@ -51,7 +51,7 @@ def cer_native(spark, d):
 
 
 def edit_ops(spark, d):
-    return neighbours(spark, d).select("conv_id", "turn", text.edit_ops(F.substring("ref", 1, 120), F.substring("hyp", 1, 120)).alias("e")).select("conv_id", "turn", "e.dist", "e.s", "e.d", "e.i")
+    return neighbours(spark, d).select("conv_id", "turn", text.edit_ops(F.col("ref"), F.col("hyp")).alias("e")).select("conv_id", "turn", "e.dist", "e.s", "e.d", "e.i")
 
 
 def wer(spark, d):
