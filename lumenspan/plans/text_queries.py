@@ -34,7 +34,7 @@ def srt_of(spark, d, role):
     start = k * 10.0 + F.col("turn") % 2
     return c.select(
         F.col("conv_id").cast("string").alias("file_id"), k.cast("int").alias("ordinal"), (k + 1).cast("int").alias("index"), start.cast("double").alias("start_time"),
-        (start + F.least(words / 5.0, F.lit(25.0))).cast("double").alias("end_time"), F.substring("text", 1, 200).alias("text"),
+        (start + F.least(words / 5.0, F.lit(25.0))).cast("double").alias("end_time"), "text",
     ).where("end_time > start_time")
 
 

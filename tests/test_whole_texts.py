@@ -35,3 +35,17 @@ def test_edit_counts_choose_as_the_table_does():
     cases = [("abcabcabc" * 20, "acbacb" * 25), ("가나다" * 40 + "x", "나다가" * 41), ("a" * 70, "ba" * 64), ("xy" * 33, "yx" * 65), (["a", "b", "a"] * 30, ["b", "a"] * 40)]
     for a, b in cases:
         assert text.edit_counts(a, b) == plain_edits(a, b)
+
+
+def test_segments_of_whole_texts(spark, tmp_path):
+    same = "word " * 50
+    rows = [(1, 0, "user", same + "alpha " * 150), (1, 1, "assistant", same + "other things " * 75), (2, 0, "user", same + "beta"), (2, 1, "assistant", same + "beta"), (3, 0, "user", None), (3, 1, "assistant", "a b")]
+    d = conversations(spark, tmp_path, rows)
+    diff = {r["file_id"]: (r["word_diff"], r["word_loss_pct"]) for r in text_queries.transcript_diff(spark, d).collect()}
+    assert diff == {"1": (0, 0.0), "2": (0, 0.0)}
+    patterns = {r["file_id"]: (r["pattern"], r["similarity"]) for r in text_queries.segment_patterns(spark, d).collect()}
+    assert patterns["2"] == ("one_to_one", 1.0) and patterns["1"][0] == "text_diff_only" and patterns["1"][1] < 0.95
+    stats = {r["file_id"]: r["words"] for r in text_queries.match.transcript_stats(text_queries.srt_of(spark, d, "user")).collect()}
+    assert stats == {"1": 200, "2": 51}
+    counts = {r["pattern"]: r["n"] for r in text_queries.pattern_counts(spark, d).collect()}
+    assert counts == {"text_diff_only": 1, "one_to_one": 1}
