@@ -40,9 +40,20 @@ BOILERPLATE = re.compile(
     re.I,
 )
 ENDS = (".", "!", "?", "…", ":", ";", '"', "'", ")", "»", "”", "。", "！", "？", ",")
+CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_WORDS, MAX_REPEAT, MIN_KEPT = 50, 50, 0.5
 
 
+def cases(line: str) -> tuple[int, int]:
+    """Capitals and letters of the whole line."""
+    if line.isascii():
+        raw = line.encode()
+        capitals = len(raw) - len(raw.translate(None, CAPITALS))
+        return capitals, capitals + len(raw) - len(raw.translate(None, CAPITALS.lower()))
+    letters = "".join(filter(str.isalpha, line))
+    return sum(map(str.isupper, letters)), len(letters)
+
+
 def judge(line: str, words: list[str], earlier: set[str]) -> str:
     """The first rule that a line with words fails, or ''."""
     n = len(words)
@@ -54,11 +65,9 @@ def judge(line: str, words: list[str], earlier: set[str]) -> str:
     if n >= 3:
         if 2 * sum(w.endswith("!!") for w in words) > n:
             return "shouting"
-        letters = "".join(filter(str.isalpha, line[:200]))
-        if letters.isupper():  # cheap first look; the rule itself counts the whole line
-            letters = "".join(filter(str.isalpha, line))
-            if 10 * sum(map(str.isupper, letters)) > 7 * len(letters):
-                return "shouting"
+        capitals, letters = cases(line)
+        if 10 * capitals > 7 * letters:
+            return "shouting"
     if n >= 10 and (2 * sum(map(str.__eq__, words, words[1:])) > n or 5 * len(set(words)) < n and n < 2000):
         return "repetition"
     if BOILERPLATE.search(line):
