@@ -5,7 +5,8 @@ A line with a word is judged by, in this order (the first that fails names the l
 * ``navigation``: separators such as ``|`` make up over a quarter of its tokens (at least two of them);
 * ``symbols``: over three tenths of its words carry one of ``#*$%&|<>``;
 * ``shouting``: over half of its words end in ``!!``, or over seven tenths of its letters are capitals (three words at least);
-* ``repetition``: of ten words or more, over half stand directly after the same word, or under a fifth are different;
+* ``repetition``: of ten words or more, over half stand directly after the same word, or under a fifth are different, on
+  average over all windows of ``SPAN`` consecutive words (of fewer words, over the line);
 * ``boilerplate``: a known notice, see BOILERPLATE;
 * ``duplicate``: equal to an earlier line of the text;
 * ``fragment``: under three words without a mark that ends a sentence.
@@ -42,6 +43,8 @@ BOILERPLATE = re.compile(
 ENDS = (".", "!", "?", "…", ":", ";", '"', "'", ")", "»", "”", "。", "！", "？", ",")
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_WORDS, MAX_REPEAT, MIN_KEPT = 50, 50, 0.5
+# A longer text has ever fewer new words, so the share of different ones is taken over as many words at most.
+SPAN = 2000
 
 
 def cases(line: str) -> tuple[int, int]:
@@ -54,6 +57,20 @@ def cases(line: str) -> tuple[int, int]:
     return sum(map(str.isupper, letters)), len(letters)
 
 
+def kinds(words: list[str]) -> tuple[int, int]:
+    """Different words and words, summed over all windows of SPAN words, or of the line if it is shorter."""
+    n, span = len(words), min(len(words), SPAN)
+    if n == span:
+        return len(set(words)), n
+    last: dict[str, int] = {}
+    first = 0
+    for i, w in enumerate(words):
+        # Windows in which this word is the first of its kind: they start after its last place, and hold place i.
+        first += max(0, min(i, n - span) - max(last.get(w, -1), i - span))
+        last[w] = i
+    return first, span * (n - span + 1)
+
+
 def judge(line: str, words: list[str], earlier: set[str]) -> str:
     """The first rule that a line with words fails, or ''."""
     n = len(words)
@@ -68,8 +85,10 @@ def judge(line: str, words: list[str], earlier: set[str]) -> str:
         capitals, letters = cases(line)
         if 10 * capitals > 7 * letters:
             return "shouting"
-    if n >= 10 and (2 * sum(map(str.__eq__, words, words[1:])) > n or 5 * len(set(words)) < n and n < 2000):
-        return "repetition"
+    if n >= 10:
+        different, of = kinds(words)
+        if 5 * different < of or 2 * sum(map(str.__eq__, words, words[1:])) > n:
+            return "repetition"
     if BOILERPLATE.search(line):
         return "boilerplate"
     if line in earlier:

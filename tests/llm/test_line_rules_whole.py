@@ -14,3 +14,22 @@ def test_shouting_is_seven_tenths_of_the_whole_line():
     assert judged("ABCDEFG hij is") == "" and judged("A good line of text that SAYS SOMETHING.") == ""
     assert judged("CAPITALS AT FIRST " * 20 + "then words that are small as usual " * 20) != "shouting"
     assert line_rules.cases("aB1 é") == (1, 3) and line_rules.cases("aB1 e") == (1, 3)
+
+
+def test_repetition_is_the_same_at_every_length():
+    import random
+
+    rng = random.Random(5)
+    for n in (1999, 2000, 2500, 9000):
+        assert judged(" ".join(f"key{rng.randrange(300)}" for _ in range(n))) == "repetition", n
+        assert judged(" ".join(f"key{int(3000 * rng.random() ** 2)}" for _ in range(n))) == "", n
+
+
+def test_kinds_by_windows(monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    monkeypatch.setattr(line_rules, "SPAN", 30)
+    for n in (1, 10, 30, 31, 57, 90):
+        words, span = [rng.choice("abcdefghijklmnop") for _ in range(n)], min(n, 30)
+        assert line_rules.kinds(words) == (sum(len(set(words[k : k + span])) for k in range(n - span + 1)), span * (n - span + 1))
