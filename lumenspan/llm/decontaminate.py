@@ -1,7 +1,8 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts and benchmark items are lower-cased, and runs of ASCII characters that are neither letters nor digits become one
-blank. Items are cut into overlapping patterns of ``PATTERN`` bytes (shorter items are one pattern). A pattern of m
+blank. Items are cut into overlapping patterns, of 96 bytes every 48 and of 64 bytes every 16 (``CUTS``; shorter items are
+one pattern), so any stretch of 79 bytes of an item holds a whole pattern, wherever it starts. A pattern of m
 bytes has an edit budget of e = m / 10, less where the bound below would vanish. An occurrence with e edits or fewer
 shares at least t = m - q + 1 - q * e of its q-grams with the pattern, on diagonals that lie e apart or less. So
 
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .util import id_and_text, pieces
 
-Q, PATTERN, STRIDE, BAND, RATE = 8, 96, 48, 16, 10
+Q, PATTERN, BAND, RATE = 8, 96, 16, 10
+#: Patterns' bytes and how far apart they start: long ones for their larger budget, short ones for parts of items.
+CUTS = ((PATTERN, 48), (64, 16))
 BLOCK = 2 << 20
 BITS = 20
 #: More bytes than any budget has edits: no match reaches from one text into the next.
@@ -71,9 +74,9 @@ class Patterns:
         text, item, size = [], [], []
         for k, (i, _) in enumerate(items):
             own = raw[at[k] : at[k + 1] - len(APART)].tobytes().strip()
-            last = max(0, len(own) - PATTERN)
-            for s in sorted({*range(0, last, STRIDE), last}):
-                piece = own[s : s + PATTERN]
+            lasts = [max(0, len(own) - length) for length, _ in CUTS]
+            for s, e in sorted({(s, min(s + length, len(own))) for (length, stride), last in zip(CUTS, lasts) for s in (*range(0, last, stride), last)}):
+                piece = own[s:e]
                 if len(piece) >= Q:
                     text.append(np.frombuffer(piece.ljust(PATTERN, b"\xfe"), np.uint8))
                     item.append(i)
