@@ -16,8 +16,8 @@ Items are read in blocks of at most ``BLOCK`` bytes, one pass over the documents
 bounded whatever the benchmark's size.
 
 Defined results: null or empty texts and items, and items under q bytes, match nothing; repeated rows match alike;
-equal items each get their rows; a null id gives rows with a null id; an empty table on either side gives no rows;
-other columns are ignored.
+equal items each get their rows; a null id gives rows with a null id, and items without one share theirs; an empty table
+on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,20 +67,21 @@ def slot(gram: np.ndarray) -> np.ndarray:
 
 
 class Patterns:
-    """A block of items: their patterns and q-grams."""
+    """A block of items: their patterns and q-grams. A pattern's item is its index in ``ids``."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int | None, str]]) -> None:
         raw, at = normalised([t for _, t in items])
         text, item, size = [], [], []
-        for k, (i, _) in enumerate(items):
+        for k in range(len(items)):
             own = raw[at[k] : at[k + 1] - len(APART)].tobytes().strip()
             lasts = [max(0, len(own) - length) for length, _ in CUTS]
             for s, e in sorted({(s, min(s + length, len(own))) for (length, stride), last in zip(CUTS, lasts) for s in (*range(0, last, stride), last)}):
                 piece = own[s:e]
                 if len(piece) >= Q:
                     text.append(np.frombuffer(piece.ljust(PATTERN, b"\xfe"), np.uint8))
-                    item.append(i)
+                    item.append(k)
                     size.append(len(piece))
+        self.ids = pa.array([i for i, _ in items], pa.int64())
         self.item, self.size = np.array(item, np.int64), np.array(size, np.int64)
         self.text = np.stack(text) if text else np.zeros((0, PATTERN), np.uint8)
         self.budget = np.minimum(self.size // RATE, (self.size - Q) // Q)
@@ -171,7 +172,7 @@ class Patterns:
 def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Patterns]:
     """The items in blocks of bounded size."""
     rows, size = [], 0
-    for row in id_and_text(benchmark, id_col, text_col).where("id is not null").orderBy("id").toLocalIterator():
+    for row in id_and_text(benchmark, id_col, text_col).orderBy("id").toLocalIterator():
         if rows and size + len(row["text"]) > BLOCK:
             yield Patterns(rows)
             rows, size = [], 0
@@ -193,7 +194,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for part in pieces(batches, 4 << 20):
                 doc, item, edits, end = block.search(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(item), pa.array(edits), pa.array(end)], ["id", "item_id", "edits", "end"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), block.ids.take(pa.array(item)), pa.array(edits), pa.array(end)], ["id", "item_id", "edits", "end"])
 
         out = out.union(docs.mapInArrow(run, schema))
     return out.groupBy("id", "item_id").agg(F.count("*").alias("n_patterns"), F.min("edits").alias("min_edits"), F.max("end").alias("last_end"))

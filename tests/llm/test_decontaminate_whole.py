@@ -13,3 +13,13 @@ def test_parts_of_items_are_found_wherever_they_start():
     assert found == set(range(len(docs)))
     # Edits that lie close together: too many for 64 bytes, not for 90.
     assert len(decontaminate.Patterns([(0, item[:90])]).search([item[:40] + "Q" * 8 + item[48:90]])[0])
+
+
+def test_items_without_an_id_are_searched(spark):
+    rng = random.Random(9)
+    passages = [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(20)) for _ in range(3)]
+    items = spark.createDataFrame([(None, passages[0]), (7, passages[1]), (None, passages[2])], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so " + passages[0]), (2, passages[1] + " it"), (None, passages[0]), (4, "nothing of the kind"), (5, passages[2] + " " + passages[0])], "doc_id long, text string")
+    found = sorted((r["id"] or 0, r["item_id"] or 0, r["min_edits"]) for r in decontaminate.leaks(docs, items).collect())
+    assert found == [(0, 0, 0), (1, 0, 0), (2, 7, 0), (5, 0, 0)]
+    assert [r["doc_id"] for r in decontaminate.keep_clean(docs, items).collect()] == [4]
