@@ -1,24 +1,25 @@
-"""Jaccard join of word shingles with PartEnum signatures.
+"""Jaccard join of word shingles with two-level PartEnum signatures.
 
 Two documents link when 100 * |A and B| >= similarity * |A or B| over their sets of distinct 5-word shingles. Sets with
 equal shingles are one class; classes are what is joined.
 
-1. Sizes fall into bands, each reaching as far as its smallest size can link, so that linked sets lie in one band or in
-   neighbours. For bands i and i + 1 together, linked sets differ in at most k shingles. The domain of shingles is
-   partitioned into n parts, n so large that nearly all sets have more than k parts that aren't empty; of those of
-   either set at least one is the same in both. A signature is (i, part, the set's shingles in it). Small sets, and sets
-   with k filled parts or fewer, have a signature for each shingle, so no link rests on luck.
-2. Classes with a signature in common form a group, and members are checked against the smallest of it: of the smallest
-   members of its groups a class takes the six with most signatures in common. Of a signature that many sets of a slice of
-   texts have, only the smallest set goes on, so that a group with a third of all rows arrives as few. Sketches, a byte for
-   each part of a coarser partition, rule out most pairs that can't link; the others' sets are compared. Links make
-   components.
-3. In a group with several components, members that weren't compared may still link. Up to 1,024 members, pairs of
-   different components are compared by their sketches; the members of larger groups go through an exact prefix filter: a
-   set's rarest shingles, so many that linked sets share one. In two first rounds only the closest pair of each component is
-   compared, then all that are left. Within a component nothing more needs to be compared.
-
-Candidates are verified on whole sets. Shingles are 64-bit hashes.
+1. Sizes fall into bands, so that linked sets lie in one band or in neighbours; a set signs for its own band and, if its
+   partners can be that small, for the one below. For a set of size s all partners there differ in k(s) shingles at most.
+   The domain of shingles is partitioned by hash into n1 parts, each of those into n2, and a signature is a subset of t
+   filled second-level parts of one first-level part, with the shingles that the set has in them; all such subsets are
+   enumerated. If a set has more than k(s) + n1 * (t - 1) filled parts, then in some first-level part t of them are the
+   same in any partner, so the two share a signature. A pair of which neither set has so many is met by single shingles,
+   which such sets sign besides, so no link rests on luck. n1, n2 and t are chosen by band for selective signatures.
+2. Classes with a signature in common form a group, and all that are in a group with its smallest class (the leader) form
+   that leader's bundle. Linked classes lie in one bundle. Signatures that many sets of a slice of texts have are told by
+   one packed row a slice, so that a third of all rows never meet in one task.
+3. A bundle's members are compared by sketches, a byte for each part of a coarser partition: sets that differ in d shingles
+   differ in d bytes at most. Of those that may link, directly or by others, the whole sets are then compared, and each
+   component found is told as links to its smallest class: fewer links than members. Larger bundles than ``BLOCK`` are
+   dealt into blocks, and every two blocks meet. A search in breadth looks only at members that aren't reached yet.
+4. Links make components.
+
+Shingles are 64-bit hashes, and classes are told apart by 64-bit hashes of their sets.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; under five words make one
 shingle; rows that repeat an id share its component; a row with a null id links with nothing and has a null component;
@@ -29,11 +30,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -41,21 +44,14 @@ from .packing import cut, pack, release, unpack
 from .util import buffers, estimated_bytes, id_and_text, lean, partitions, pieces, run_dir, SPACES, written
 
 WORDS = 5
-SIG_BITS = 48
-#: Up to this size every shingle is a part of its own.
-SINGLE = 48
-#: Above so many sets with a signature in one slice of texts, only one goes on.
+#: Bits of a signature for a GB of input; each doubling adds one.
+SIG_BITS = 40
+#: Above so many sets with a signature in one slice of texts, they travel as one packed row.
 MANY = 64
-#: Groups up to this size are compared by sketches, larger ones by prefixes.
-SMALL = 1024
-#: Of the smallest members of its groups, a set is first checked against so many.
-CENTRES = 6
-#: Sets with a shingle in their prefix are compared by blocks of so many.
-BLOCK = 512
-#: First rounds, in which of each component of a group only the closest pair is compared.
-CLOSEST = 2
-REMEMBERED = 100_000
-PAIR = "a long, b long"
+#: Bundles are compared in blocks of so many members, or shingles.
+BLOCK, BLOCK_SHINGLES = 2048, 4 << 20
+#: Bits of the filter that picks the texts to be read again: for each wanted one, and at most.
+FILTER_BITS, FILTER_MOST = 64, 1 << 26
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -135,93 +131,138 @@ def class_of(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(total ^ mix(size.astype(np.uint64)))
 
 
+def most_different(a, b, similarity: int):
+    """In how many shingles linked sets of these sizes can differ."""
+    return (a + b) * (100 - similarity) // (100 + similarity)
+
+
 @lru_cache(None)
-def bands(similarity: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Smallest size of each band (and some beyond), k, the number of parts and that of a sketch's, up to size ``most``."""
+def plan(lo: int, hi: int, similarity: int) -> tuple[int, int, int] | None:
+    """(n1, n2, t) for sets of a band and those of the next that sign for it, or None: single shingles.
+
+    Of the choices that give nearly all sets enough filled parts, and not too many signatures, the most selective one.
+    """
+    reach = lambda s: s * 100 // similarity
+    needed = [(s, most_different(s, partner, similarity)) for s, partner in ((lo, reach(lo)), (hi, reach(hi)), (reach(hi), hi))]
+    limit, weight = (max(0.62 if lo < 200 else 0, 0.42 + 14 / lo), 2) if lo > 40 else (0.3 + 40 / lo, 0.5)
+    best, found = 0.0, None
+    for n2 in (2, 3, 4, 5, 6, 7, 8, 10, 12):
+        for t in range(2, min(n2, 5) + 1):
+            for n1 in sorted({1, 2, 3, 4, 5, 6, 8, *(max(1, int(lo * x / 20 / n2)) for x in range(6, 40))}):
+                n, cost, size = n1 * n2, 0.0, 99.0
+                for s, k in needed:
+                    empty = np.exp(-s / n)
+                    filled, spread = n * (1 - empty), np.sqrt(max(0.0, n * empty * (1 - (1 + s / n) * empty)))
+                    if 5 * s < n or filled - 2 * spread - k < n1 * (t - 1) + 1:
+                        break
+                    cost = max(cost, n1 * comb(n2, t) * (1 - empty) ** t / s)
+                    size = min(size, t * s / filled)
+                else:
+                    if cost <= limit and size - weight * cost > best:
+                        best, found = size - weight * cost, (n1, n2, t)
+    return found
+
+
+def bands(similarity: int, size: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
+    """Smallest size of each band (and some beyond), the bands' plans and the parts of a sketch's, up to the largest size.
+
+    Smaller sets than the first band's link with equal ones only.
+    """
+    return bands_up_to(similarity, 1 << int(size.max(initial=1)).bit_length())
+
+
+@lru_cache(None)
+def bands_up_to(similarity: int, most: int) -> tuple[np.ndarray, list, np.ndarray]:
     lo = [1]
+    while not most_different(lo[0], lo[0] * 100 // similarity, similarity):
+        lo[0] += 1
     while len(lo) < 4 or lo[-3] <= most:
-        lo.append(100 * lo[-1] // similarity + 1)
-    hi = [x - 1 for x in lo[1:]]
-    k = [(hi[i] + hi[i + 1]) * (100 - similarity) // (100 + similarity) for i in range(len(hi) - 1)]
-    parts = []
-    for s, d in zip(lo, k):
-        n = d + 2
-        while s > SINGLE:  # filled parts: over k, even three standard deviations below their mean
-            empty = np.exp(-s / n)
-            if n * (1 - empty) - 3 * np.sqrt(max(0.0, n * empty * (1 - (1 + s / n) * empty))) > d + 1:
-                break
-            n += max(1, n // 50)
-        parts.append(n)
-    return np.array(lo), np.array(k), np.array(parts), np.array([max(8, s // 2) for s in lo[: len(k)]])
-
-
-def by_part(key: np.ndarray, value: np.ndarray, owner: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the values in each part of each set, one set after the other, and where each set's parts start."""
-    start = np.r_[0, np.cumsum(n)]
-    total = np.zeros(int(start[-1]), np.uint64)
-    np.add.at(total, start[owner] + (((key >> np.uint64(32)) * n[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64), value)
-    return total, start
-
-
-def signatures(h: np.ndarray, offsets: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of the set) of all sets.
-
-    Small sets have each shingle as a part of its own. So have, besides, larger ones with no more than k filled parts: if
-    a linked pair shares no filled part, both of it are such.
-    """
-    size = np.diff(offsets)
-    lo, k, parts, _ = bands(similarity, int(size.max(initial=1)))
+        lo.append(max(100 * lo[-1] // similarity + 1, lo[-1] * 8 // 5 if lo[-1] >= 200 else 0))
+    plans = [plan(a, b - 1, similarity) for a, b in zip(lo, lo[1:])]
+    return np.array(lo), plans, np.array([max(8, x // 2) for x in lo])
+
+
+def band_of(size: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's band, -1 for sets that link with equal ones only, and whether partners can lie in the band below."""
+    lo, _, _ = bands(similarity, size)
     band = np.searchsorted(lo, size, side="right") - 1
-    owner = np.repeat(np.arange(len(size)), size)
+    return band, (band > 0) & (-(-size * similarity // 100) < lo[np.maximum(band, 0)])
+
+
+def taken(offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values of some sets, one set after the other, and the index in ``which`` of each."""
+    size = np.diff(offsets)[which]
+    owner = np.repeat(np.arange(len(which)), size)
+    return np.repeat(offsets[which] - np.cumsum(size) + size, size) + np.arange(len(owner)), owner
+
+
+def sums_of_parts(key: np.ndarray, value: np.ndarray, owner: np.ndarray, n_sets: int, n: int) -> np.ndarray:
+    """Sums of the values in each of n parts of each set."""
+    total = np.zeros(n_sets * n, np.uint64)
+    np.add.at(total, owner * n + ((key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64), value)
+    return total.reshape(n_sets, n)
+
+
+def signatures(h: np.ndarray, offsets: np.ndarray, similarity: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, index of the set) of all sets, see 1 above."""
+    size = np.diff(offsets)
+    lo, plans, _ = bands(similarity, size)
+    band, below = band_of(size, similarity)
     key = mix(h + np.uint64(0x632BE59BD9B4E019))
     value = mix(key ^ np.uint64(0x2545F4914F6CDD1D))
-    single = (size > 0) & (size <= SINGLE)
-    out_sig, out_set = [], []
-    for step in (0, 1):
-        instance = np.maximum(band - step, 0)
-        use = (size > SINGLE) & (band >= step) & (lo[instance] > SINGLE)
-        single |= (size > 0) & (lo[instance] <= SINGLE)  # partners in the band below are small
-        n = np.where(use, parts[instance], 0)
-        ok = use[owner]
-        total, start = by_part(key[ok], value[ok], owner[ok], n)
-        which = np.repeat(np.arange(len(size)), n)
-        place = np.arange(len(total)) - np.repeat(start[:-1], n)
-        full = np.flatnonzero(total)
-        which, place = which[full], place[full]
-        out_sig.append(mix(total[full] ^ mix(((instance[which] + 1) * (1 << 32) + place).astype(np.uint64))))
-        out_set.append(which)
-        single |= use & (np.bincount(which, minlength=len(size)) <= k[instance])
-    alone = single[owner]
-    sig, which = np.concatenate([*out_sig, value[alone]]), np.concatenate([*out_set, owner[alone]])
-    return sig >> np.uint64(64 - SIG_BITS), which
-
-
-def sketches(h: np.ndarray, offsets: np.ndarray, similarity: int) -> tuple[np.ndarray, list[bytes]]:
-    """Band of each set, and a byte for each part of a coarse partition, for its band and the one below.
+    out_sig, out_set = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for b in np.unique(np.r_[band[band >= 0], band[below] - 1]).tolist():
+        own = np.flatnonzero(band == b)
+        which = np.r_[own, np.flatnonzero(below & (band == b + 1))]
+        at, owner = taken(offsets, which)
+        seed = mix(np.array([b + 1], np.uint64))[0]
+        alone = np.ones(len(which), bool)
+        if plans[b]:
+            n1, n2, t = plans[b]
+            total = sums_of_parts(key[at], value[at], owner, len(which), n1 * n2)
+            partner = size[which] * 100 // similarity
+            partner[len(own) :] = lo[b + 1] - 1
+            alone = (total != 0).sum(1) - most_different(size[which], partner, similarity) < n1 * (t - 1) + 1
+            full = (total != 0).reshape(-1, n1, n2)
+            total = mix(total ^ mix(seed + np.arange(n1 * n2, dtype=np.uint64))).reshape(-1, n1, n2)
+            for some in combinations(range(n2), t):
+                w, g = np.nonzero(np.logical_and.reduce([full[:, :, c] for c in some]))
+                out_sig.append(mix(np.add.reduce([total[w, g, c] for c in some])))
+                out_set.append(which[w])
+        single = alone[owner]
+        out_sig.append(mix(value[at[single]] ^ seed))
+        out_set.append(which[owner[single]])
+    return np.concatenate(out_sig) >> np.uint64(64 - bits), np.concatenate(out_set)
+
+
+def sketches(h: np.ndarray, offsets: np.ndarray, similarity: int) -> list[bytes]:
+    """A byte for each part of a coarse partition, for the set's band and, if partners can lie there, for the one below.
 
     Sets that differ in d shingles differ in d parts at most; so pairs with more unequal bytes can't link.
     """
     size = np.diff(offsets)
-    lo, _, _, coarse = bands(similarity, int(size.max(initial=1)))
-    band = np.where(size > 0, np.searchsorted(lo, size, side="right") - 1, 0)
-    owner = np.repeat(np.arange(len(size)), size)
+    band, below = band_of(size, similarity)
+    _, _, coarse = bands(similarity, size)
     key = mix(h ^ np.uint64(0x9FB21C651E98DF25))
     value = mix(key)
-    both = []
-    for step in (0, 1):
-        total, start = by_part(key, value, owner, np.where(size > 0, coarse[np.maximum(band - step, 0)], 0))
-        raw = (mix(total) >> np.uint64(56)).astype(np.uint8).tobytes()
-        both.append([raw[a:b] for a, b in zip(start[:-1].tolist(), start[1:].tolist())])
-    return band, [a + b for a, b in zip(*both)]
+    out = [b""] * len(size)
+    for step, use in ((0, band >= 0), (1, below)):
+        for b in np.unique(band[use]).tolist():
+            which = np.flatnonzero(use & (band == b))
+            at, owner = taken(offsets, which)
+            raw = (mix(sums_of_parts(key[at], value[at], owner, len(which), int(coarse[b - step]))) >> np.uint64(56)).astype(np.uint8)
+            for k, own in zip(which.tolist(), raw):
+                out[k] += own.tobytes()
+    return out
 
 
-SCHEMA = "part int, kind int, id long, n long, cls long, band long, list array<long>, data binary"
-MEMBER, STAR, GROUP, PACKED = range(4)
+SCHEMA = "part int, kind int, id long, n long, cls long, data binary"
+MEMBER, CLASS, STAR, LEADER, HOT, PACKED = range(6)
 
 
 def rows(kind: int, part: np.ndarray | int, length: int, **columns) -> pa.RecordBatch:
     """Rows of SCHEMA; what isn't given is null."""
-    kinds = {"id": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "band": pa.int64(), "list": pa.list_(pa.int64()), "data": pa.binary()}
+    kinds = {"id": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "data": pa.binary()}
     part = pa.array(np.broadcast_to(np.asarray(part, np.int32), length))
     own = [columns[c] if c in columns else pa.nulls(length, t) for c, t in kinds.items()]
     return pa.RecordBatch.from_arrays([part, pa.array(np.full(length, kind, np.int32)), *(x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(own, kinds.values()))], ["part", "kind", *kinds])
@@ -237,325 +278,294 @@ def groups(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return edge, sig, cls
 
 
-def told(sig: np.ndarray, cls: np.ndarray, edge: np.ndarray, n_parts: int, always: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Star links of groups, each once, and groups of three or more, each list once; those of ``always`` in any case."""
-    size = np.diff(edge)
-    always = np.zeros(len(size), bool) if always is None else always
-    several = np.flatnonzero(size > 1)
-    if not len(several):
-        return
-    inside = np.repeat(size > 1, size)
-    stars = np.stack([cls[inside], np.repeat(cls[edge[several]], size[several])], 1)
-    stars, times = np.unique(stars[stars[:, 0] != stars[:, 1]], axis=0, return_counts=True)
-    yield rows(STAR, np.abs(stars[:, 0] % n_parts), len(stars), id=stars[:, 1], cls=stars[:, 0], n=times)
-    seen: set[bytes] = set()
-    pick = []
-    for g in np.flatnonzero((size > 2) | always & (size > 1)).tolist():
-        own = cls[edge[g] : edge[g + 1]].tobytes()
-        if always[g] or own not in seen:
-            seen.add(own)
-            pick.append(g)
-    for s in range(0, len(pick), 5000):
-        some = pick[s : s + 5000]
-        own = sig[edge[some]].astype(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[some])].astype(np.int32)), pa.array(np.concatenate([cls[edge[g] : edge[g + 1]] for g in some])))
-        yield rows(GROUP, own % n_parts, len(some), id=own, list=lists)
-
-
-def find(similarity: int, n_parts: int):
-    """Texts to members, and signatures by partition."""
+def find(similarity: int, n_parts: int, bits: int, many: int):
+    """Texts to members, classes, and signatures by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 2 << 20):
             h, offsets = shingle_sets(*buffers(part.column(1)))
             cls, size = class_of(h, offsets).view(np.int64), np.diff(offsets)
-            band, sketch = sketches(h, offsets, similarity)
-            yield rows(MEMBER, np.abs(cls % n_parts), len(cls), id=part.column(0), n=size, cls=cls, band=band, data=pa.array(sketch, pa.binary()))
-            # Equal sets once; rows without an id take no part.
-            good = np.flatnonzero(part.column(0).is_valid().to_numpy(zero_copy_only=False))
-            once = np.zeros(len(cls), bool)
-            once[good[np.unique(cls[good], return_index=True)[1]]] = True
-            h, size = h[np.repeat(once, size)], np.where(once, size, 0)
-            sig, owner = signatures(h, np.r_[0, np.cumsum(size)], similarity)
+            yield rows(MEMBER, np.arange(len(cls)) % n_parts, len(cls), id=part.column(0), n=size, cls=cls)
+            # Equal sets once, with their smallest id; rows without an id and sets without shingles take no part.
+            ids = part.column(0).fill_null(0).to_numpy()
+            good = np.flatnonzero(part.column(0).is_valid().to_numpy(zero_copy_only=False) & (size > 0))
+            good = good[np.lexsort((ids[good], cls[good]))]
+            good = good[np.r_[True, cls[good][1:] != cls[good][:-1]]] if len(good) else good
+            at, _ = taken(offsets, good)
+            h, offsets, cls, ids = h[at], np.r_[0, np.cumsum(size[good])], cls[good], ids[good]
+            yield rows(CLASS, np.abs(cls % n_parts), len(cls), id=ids, n=np.diff(offsets), cls=cls, data=pa.array(sketches(h, offsets, similarity), pa.binary()))
+            sig, owner = signatures(h, offsets, similarity, bits)
             edge, sig, own = groups(sig, cls[owner])
-            # Of a signature that very many sets here have, the smallest set goes on for all.
+            # Of a signature that very many sets here have, the smallest goes where all its sets meet.
             size = np.diff(edge)
-            hot = size > MANY
-            if hot.any():
-                inside = np.repeat(hot, size)
-                yield from told(sig[inside], own[inside], np.r_[0, np.cumsum(size[hot])], n_parts, np.ones(int(hot.sum()), bool))
-                keep = ~inside
-                keep[edge[:-1]] = True
-                size = np.where(hot, 1, size)
-                sig, own = sig[keep], own[keep]
-            hot = np.repeat(hot, size).view(np.uint8)
+            hot = np.flatnonzero(size > many)
+            if len(hot):
+                lists = [pack(own[edge[g] : edge[g + 1]]) for g in hot.tolist()]
+                name = sig[edge[hot]]
+                yield rows(HOT, (mix(name ^ cls.view(np.uint64)[0]) % np.uint64(n_parts)).astype(np.int64), len(hot), id=name.view(np.int64), data=pa.array(lists, pa.binary()))
+                keep = ~np.repeat(size > many, size)
+                keep[edge[hot]] = True
+                sig, own, flag = sig[keep], own[keep], np.repeat(size > many, np.where(size > many, 1, size))
+            else:
+                flag = np.zeros(len(sig), bool)
             to = (sig % np.uint64(n_parts)).astype(np.int64)
             order = np.lexsort((own, to))
-            to, sig, own, hot = to[order], sig[order], own[order], hot[order]
+            to, sig, own, flag = to[order], sig[order], own[order], flag[order].view(np.uint8)
             runs = cut(len(to), to)
             data = []
             for _, s, e in runs:
                 some = own[s:e]
                 new = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
-                data.append(pack(sig[s:e], some[new], np.diff(np.r_[new, e - s]).astype(np.uint32), hot[s:e]))
+                data.append(pack(sig[s:e], some[new], np.diff(np.r_[new, e - s]).astype(np.uint32), flag[s:e]))
             yield rows(PACKED, np.array([r[0] for r in runs]), len(runs), data=pa.array(data, pa.binary()))
 
     return lean(run)
 
 
-def meet(n_parts: int):
-    """A partition's signatures to star links and groups; other rows pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, owners, hots = [], [], []
-        for batch in batches:
-            packed = pa.array(batch.column(1).to_numpy() == PACKED)
-            for blob in batch.filter(packed).column(7).to_pylist():
-                sig, cls, times, hot = unpack(blob, np.uint64, np.int64, np.uint32, np.uint8)
-                sigs.append(sig)
-                hots.append(sig[hot > 0])
-                owners.append(np.repeat(cls, times))
-            yield batch.filter(pa.compute.invert(packed))
-        if sigs:
-            edge, sig, cls = groups(np.concatenate(sigs), np.concatenate(owners))
-            hot = np.isin(sig[edge[:-1]], np.unique(np.concatenate(hots)))
-            yield from told(sig, cls, edge, n_parts, hot)
-
-    return lean(run)
-
-
-def may_link(n: np.ndarray, band: np.ndarray, sketch: list[bytes], i: np.ndarray, j: np.ndarray, similarity: int) -> np.ndarray:
-    """Which pairs (i, j) of sets the sketches don't rule out."""
-    _, _, _, coarse = bands(similarity, int(n.max(initial=1)))
-    swap = band[i] > band[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    out = np.zeros(len(i), bool)
-    near = np.flatnonzero(band[j] - band[i] <= 1)
-    for k, x, y in zip(near.tolist(), i[near].tolist(), j[near].tolist()):
-        size = int(coarse[band[x]])
-        first = 0 if band[y] == band[x] else int(coarse[band[y]])
-        differ = int(np.count_nonzero(np.frombuffer(sketch[x], np.uint8, size) != np.frombuffer(sketch[y], np.uint8, size, first)))
-        out[k] = differ <= (int(n[x]) + int(n[y])) * (100 - similarity) // (100 + similarity)
-    return out
-
-
-def may_link_all(left: dict, right: dict, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i of left, j of right) of different components that the sketches don't rule out, and how many parts differ."""
-    most = int(max(left["n"].max(initial=1), right["n"].max(initial=1)))
-    _, _, _, coarse = bands(similarity, most)
-    found = [(np.zeros(0, np.int64),) * 3]
-
-    def rows(side: dict, low: int, above: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Sets of band ``low`` (or the one above), and their sketches for it."""
-        own = np.flatnonzero(side["band"] == low + above)
-        first, size = (int(coarse[low + 1]) if above else 0), int(coarse[low])
-        return own, np.frombuffer(b"".join(side["data"][k][first : first + size] for k in own.tolist()), np.uint8).reshape(len(own), size)
-
-    for low in np.unique(np.r_[left["band"], left["band"] - 1]).tolist():
-        for above_l, above_r in ((False, False), (False, True), (True, False)):
-            if low < 0 or above_l is False and not (left["band"] == low).any():
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's signatures to stars, and the leaders of those that are hot in some slice; classes once."""
+    sigs, owners, hots = [], [], []
+    known: dict[int, tuple[int, int, bytes]] = {}
+    for batch in batches:
+        kind = batch.column(1).to_numpy()
+        for blob in batch.filter(pa.array(kind == PACKED)).column(5).to_pylist():
+            sig, cls, times, hot = unpack(blob, np.uint64, np.int64, np.uint32, np.uint8)
+            sigs.append(sig)
+            hots.append(sig[hot > 0])
+            owners.append(np.repeat(cls, times))
+        some = batch.filter(pa.array(kind == CLASS))
+        for i, n, cls, data in zip(*(some.column(k).to_pylist() for k in (2, 3, 4, 5))):
+            if cls not in known or i < known[cls][0]:
+                known[cls] = (i, n, data)
+        other = batch.filter(pa.array((kind != PACKED) & (kind != CLASS)))
+        if other.num_rows:
+            yield other
+    keys = list(known)
+    for s in range(0, len(keys), 4096):
+        own = keys[s : s + 4096]
+        ids, n, data = zip(*(known[c] for c in own))
+        yield rows(CLASS, 0, len(own), id=pa.array(ids, pa.int64()), n=pa.array(n, pa.int64()), cls=pa.array(own, pa.int64()), data=pa.array(data, pa.binary()))
+    known.clear()
+    if sigs:
+        edge, sig, cls = groups(np.concatenate(sigs), np.concatenate(owners))
+        hot = np.flatnonzero(np.isin(sig[edge[:-1]], np.unique(np.concatenate(hots))))
+        yield rows(LEADER, 0, len(hot), id=sig[edge[hot]].view(np.int64), cls=cls[edge[hot]])
+        size = np.diff(edge)
+        follows = np.ones(len(cls), bool)
+        follows[edge[:-1]] = False
+        stars = np.unique(np.stack([cls[follows], np.repeat(cls[edge[:-1]], size - 1)], 1), axis=0)
+        yield rows(STAR, 0, len(stars), id=stars[:, 1], cls=stars[:, 0])
+
+
+def unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaders and packed classes to stars."""
+    for batch in batches:
+        for lead, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            cls = unpack(blob, np.int64)[0]
+            cls = cls[cls != lead]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), lead, np.int64)), pa.array(cls)], ["lead", "cls"])
+
+
+def reached(n: int, near) -> Iterator[list[int]]:
+    """Components of 0 .. n - 1 by a search in breadth; near(i, rest) says which of the rest i is joined with."""
+    rest = np.arange(n)
+    while len(rest):
+        found, rest = [int(rest[0])], rest[1:]
+        done = 0
+        while done < len(found) and len(rest):
+            hit = near(found[done], rest)
+            if hit.any():
+                found += rest[hit].tolist()
+                rest = rest[~hit]
+            done += 1
+        yield found
+
+
+def by_sketch(n: np.ndarray, data: list[bytes], similarity: int):
+    """near() for sets of these sizes, in rising order, that the sketches don't rule out."""
+    band, below = band_of(n, similarity)
+    _, _, coarse = bands(similarity, n)
+    first = np.searchsorted(band, np.arange(int(band.max(initial=0)) + 3))
+    empty = np.zeros((0, 1), np.uint8)
+    own, lower = {}, {}
+    for b in np.unique(band[band >= 0]).tolist():
+        size, less = int(coarse[b]), int(coarse[b - 1]) if b else 0
+        all_ = range(int(first[b]), int(first[b + 1]))
+        own[b] = np.frombuffer(b"".join(data[k][:size] for k in all_), np.uint8).reshape(-1, size)
+        lower[b] = np.frombuffer(b"".join(data[k][size:].ljust(less, b"\0") for k in all_), np.uint8).reshape(-1, less) if less else empty
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        hit = np.zeros(len(rest), bool)
+        b = int(band[i])
+        if b < 0:
+            return hit
+        edge = np.searchsorted(rest, first[max(b - 1, 0) : b + 3])
+        edge = np.r_[edge[0], edge] if b == 0 else edge  # nothing lies below the first band
+        mine, mine_lower = own[b][i - first[b]], lower[b][i - first[b]] if below[i] else None
+        for k, (side, x) in enumerate(((own, mine_lower), (own, mine), (lower, mine))):
+            s, e, at = int(edge[k]), int(edge[k + 1]), b - 1 + k
+            if s == e or x is None:
                 continue
-            (i, x), (j, y) = rows(left, low, above_l), rows(right, low, above_r)
-            step = max(1, (4 << 20) // max(1, y.size))
-            for s in range(0, len(i), step):
-                part = i[s : s + step]
-                differ = (x[s : s + step, None, :] != y[None, :, :]).sum(2, dtype=np.int32)
-                most_differ = (left["n"][part][:, None] + right["n"][j][None, :]) * (100 - similarity) // (100 + similarity)
-                ok = (differ <= most_differ) & (left["component"][part][:, None] != right["component"][j][None, :])
-                a, b = np.nonzero(ok)
-                found.append((part[a], j[b], differ[a, b].astype(np.int64)))
-    return tuple(np.concatenate(f) for f in zip(*found))
-
-
-def not_ruled_out(pairs: DataFrame, meta: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) that sketches let pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = batch.num_rows
-            n, band = (np.r_[batch.column(c).to_numpy(), batch.column(c + 3).to_numpy()] for c in (2, 3))
-            sketch = batch.column(4).to_pylist() + batch.column(7).to_pylist()
-            yield batch.select(["a", "b"]).filter(pa.array(may_link(n, band, sketch, np.arange(m), np.arange(m, 2 * m), similarity)))
-
-    side = lambda x: meta.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("band").alias(f"band{x}"), F.col("data").alias(f"data{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "banda", "dataa", "nb", "bandb", "datab")
-    return both.mapInArrow(run, "a long, b long")
-
-
-def unpacked_members(members: list[dict]) -> dict:
-    return {k: np.array([m[k] for m in members], np.int64) for k in ("cls", "component", "n", "band")} | {"data": [m["data"] for m in members], "prefix": [frozenset(m.get("prefix") or ()) for m in members]}
-
-
-def closest(ca: np.ndarray, cb: np.ndarray, differ: np.ndarray) -> np.ndarray:
-    """Of each component the pair with the fewest parts that differ."""
-    order = np.argsort(differ, kind="stable")
-    _, first = np.unique(np.stack([ca[order], cb[order]], 1).ravel(), return_index=True)
-    return np.unique(order[first // 2])
+            some = rest[s:e]
+            ok = (n[some] * 100 >= n[i] * similarity) & (n[i] * 100 >= n[some] * similarity)
+            if k == 2:
+                ok &= below[some]
+            some = some[ok]
+            differ = (side[at][some - first[at]] != x).sum(1)
+            hit[s + np.flatnonzero(ok)[differ <= most_different(n[some], n[i], similarity)]] = True
+        return hit
 
+    return near
 
-class Told:
-    """Pairs of different components that sketches pass, each once as long as it can be remembered."""
 
-    def __init__(self, similarity: int, only_closest: bool) -> None:
-        self.similarity, self.only_closest = similarity, only_closest
-        self.seen: set[tuple[int, int]] = set()
-
-    def pairs(self, left: dict, right: dict, token: int | None = None) -> Iterator[pa.RecordBatch]:
-        i, j, differ = may_link_all(left, right, self.similarity)
-        if token is not None:
-            ok = np.fromiter((min(left["prefix"][x] & right["prefix"][y]) == token for x, y in zip(i.tolist(), j.tolist())), bool, len(i))
-            i, j, differ = i[ok], j[ok], differ[ok]
-        if self.only_closest and len(i):
-            ok = closest(left["component"][i], right["component"][j], differ)
-            i, j = i[ok], j[ok]
-        a, b = left["cls"][i], right["cls"][j]
-        found = [p for p in set(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist())) if p not in self.seen]
-        if found:
-            if len(self.seen) + len(found) > REMEMBERED:
-                self.seen.clear()
-            self.seen.update(found)
-            a, b = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def within(similarity: int, only_closest: bool):
-    """Rows by smallest member: first the classes of its groups, then the groups as lists; to pairs."""
+def by_set(h: np.ndarray, offsets: np.ndarray, similarity: int):
+    """near() for sets that link."""
+    _, token = np.unique(h, return_inverse=True)
+    size = np.diff(offsets)
+    mark = np.zeros(int(token.max(initial=0)) + 1, np.int32)
+    held = [np.arange(len(size)), token, offsets[:-1]]
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        if 2 * len(rest) < len(held[0]):
+            at, _ = taken(offsets, rest)
+            held[:] = rest, token[at], np.cumsum(size[rest]) - size[rest]
+        mine = token[offsets[i] : offsets[i + 1]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[held[1]], held[2])[np.searchsorted(held[0], rest)]
+        mark[mine] = 0
+        return 100 * both >= similarity * (size[rest] + size[i] - both)
+
+    return near
+
+
+def keyed(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows with equal first columns, which arrive together."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def closed() -> tuple[tuple, pa.Table]:
+        return last, pa.Table.from_batches(held)
+
+    for batch in batches:
+        m = batch.num_rows
+        if not m:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(n_keys)], 1)
+        edges = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, m]
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            key = tuple(keys[s].tolist())
+            if key != last and held:
+                yield closed()
+                held = []
+            last = key
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield closed()
+
+
+def may_link(similarity: int):
+    """lead, x, y, cls, n, data by bundle and blocks, to those that may link with another: root says with which."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told_, low, known = Told(similarity, only_closest), None, {}
-        for batch in batches:
-            for at, cls, component, n, band, data, list_ in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != low:
-                    low, known = at, {}
-                if list_ is None:
-                    known[cls] = {"cls": cls, "component": component, "n": n, "band": band, "data": data}
-                else:
-                    members = unpacked_members([known[c] for c in list_])
-                    yield from told_.pairs(members, members)
+        out: list[tuple] = []
+        for key, table in keyed(batches, 3):
+            cls, n = table.column(3).to_numpy(), table.column(4).to_numpy()
+            order = np.lexsort((cls, n))
+            cls, n = cls[order], n[order]
+            data = table.column(5).take(pa.array(order)).to_pylist()
+            for found in reached(len(cls), by_sketch(n, data, similarity)):
+                if len(found) > 1:
+                    out += [(*key, found[0], int(cls[k]), int(n[k])) for k in found]
+            if len(out) > 10_000:
+                yield told(out)
+                out = []
+        if out:
+            yield told(out)
+
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["lead", "x", "y", "root", "cls", "n"])
 
     return lean(run)
 
 
-def across(similarity: int, only_closest: bool):
-    """Lists of members with a shingle (token) in their prefixes, left and right, to pairs.
-
-    Without a right list, left is paired with itself. A pair is told only where the token is the smallest that both have
-    in their prefixes.
-    """
+def linked(similarity: int):
+    """lead, x, y, root, cls, shingles by the first four, to links of each component with its smallest class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told_ = Told(similarity, only_closest)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                left = unpacked_members(batch.column(1)[k].as_py())
-                other = batch.column(2)[k].as_py()
-                yield from told_.pairs(left, left if other is None else unpacked_members(other), batch.column(0)[k].as_py())
+        for _, table in keyed(batches, 4):
+            cls, first = np.unique(table.column(4).to_numpy(), return_index=True)  # rows can repeat an id
+            raw, offsets = buffers(table.column(5).take(pa.array(first)))
+            a, b = [], []
+            for found in reached(len(cls), by_set(np.frombuffer(raw.tobytes(), np.uint64), offsets // 8, similarity)):
+                low = int(cls[min(found)])
+                a += [c for c in cls[found].tolist() if c != low]
+                b += [low] * (len(found) - 1)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return lean(run)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, shingles (sorted) for wanted (id, cls); rows that repeat do no harm to what joins them."""
+def filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be one of ``ids``: a bitmap of ``FILTER_MOST`` bits at most is broadcast."""
+    n = max(1, min(FILTER_MOST, FILTER_BITS * ids.count()) // 64)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * n))
+    bits = ids.select(place("id").alias("at")).select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    rows_ = docs.withColumn("at", place("id"))
+    met = (F.expr("at div 64") == F.col("word")) & (F.expr("shiftrightunsigned(bits, cast(at % 64 as int)) & 1L") == 1)
+    return rows_.join(F.broadcast(bits), met, "left_semi").drop("at")
+
+
+def sets_of(docs: DataFrame) -> DataFrame:
+    """cls, shingles (sorted, as bytes) of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 2 << 20):
             h, offsets = shingle_sets(*buffers(part.column(1)))
-            right = class_of(h, offsets).view(np.int64) == part.column(2).to_numpy()  # ids can repeat
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(2), lists], ["cls", "shingles"]).filter(pa.array(right))
-
-    return docs.join(wanted, "id").select("id", "text", "cls").mapInArrow(lean(run), "cls long, shingles array<long>")
-
+            data = h.tobytes()
+            own = pa.array([data[8 * a : 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(class_of(h, offsets).view(np.int64)), own], ["cls", "shingles"])
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    a = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "a").join(b, "b").where(100 * both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return docs.select("id", "text").mapInArrow(lean(run), "cls long, shingles binary")
 
 
-def jaccard_components(documents: DataFrame, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(documents: DataFrame, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", many: int = MANY, block: int = BLOCK) -> DataFrame:
     """id, n_shingles, component_id for each row."""
     spark = documents.sparkSession
     docs = id_and_text(documents, id_col, text_col)
-    n_parts = partitions(spark, 3 * estimated_bytes(documents), 24 << 20)
+    n_bytes = estimated_bytes(documents)
+    n_parts = partitions(spark, 3 * n_bytes, 24 << 20)
     at = run_dir(spark, "jaccard-join")
-    found = docs.mapInArrow(find(similarity, n_parts), SCHEMA).repartition(n_parts, "part").mapInArrow(meet(n_parts), SCHEMA)
+    found = docs.mapInArrow(find(similarity, n_parts, min(63, SIG_BITS + (n_bytes >> 30).bit_length()), many), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(lean(meet), SCHEMA)
     found = written(found.drop("part"), f"{at}/found")
     release(spark)
     members = found.where(f"kind = {MEMBER}").select("id", "n", "cls")
-    # Of the smallest classes of its groups, a class is checked against those with most signatures in common; groups that
-    # don't become one component that way are open.
-    stars = found.where(f"kind = {STAR}").groupBy(F.col("cls").alias("a"), F.col("id").alias("b")).agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
-    stars = stars.withColumn("k", rank).where(F.col("k") <= CENTRES).select("a", "b")
-    # A slice's groups and the partition's name a signature alike.
-    listed = found.where(f"kind = {GROUP}").select(F.col("id").alias("sig"), F.explode("list").alias("cls")).distinct()
-    meta = found.where(f"kind = {MEMBER} and id is not null and n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("band").alias("band"), F.first("data").alias("data"))
-    meta = written(meta, f"{at}/classes")
-
-    listed = written(listed, f"{at}/listed")
-    stars = written(not_ruled_out(stars, meta, similarity), f"{at}/stars")
-    near = stars.select(F.explode(F.array("a", "b")).alias("cls")).union(listed.select("cls")).distinct()
-    sets = written(sets_of(docs, meta.select("id", "cls").join(near, "cls")), f"{at}/sets")
-    release(spark)
-    edges = written(verified(stars, sets, similarity), f"{at}/links")
-    label = components(edges, f"{at}/star-components")
-
-    def mixed_groups() -> tuple[DataFrame, DataFrame]:
-        """Members of groups with their components, and the groups that hold several: sig, m, low; of equal ones one."""
-        own = listed.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("component"))
-        several = own.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"), F.min("cls").alias("low"), F.bit_xor(F.xxhash64("cls")).alias("who")).where("x != y and m > 2")
-        return own, written(several.groupBy("who", "m", "low").agg(F.min("sig").alias("sig")), f"{at}/mixed-{k}")
-
-    for k in range(CLOSEST + 1):
-        own, mixed = mixed_groups()
-        # Groups with one smallest member are much alike: one task has them all and tells each pair once.
-        held = own.join(mixed.where(f"m <= {SMALL}").select("sig", "low"), "sig")
-        who = held.select("low", "cls", "component").distinct().join(meta.drop("id"), "cls").withColumn("kind", F.lit(0))
-        lists = held.groupBy("low", "sig").agg(F.collect_list("cls").alias("list")).select("low", "list", F.lit(1).alias("kind"))
-        rows_ = who.unionByName(lists, allowMissingColumns=True).repartition(n_parts, "low").sortWithinPartitions("low", "kind")
-        pairs = rows_.select("low", "cls", "component", "n", "band", "data", "list").mapInArrow(within(similarity, k < CLOSEST), PAIR)
-        wide = mixed.where(f"m > {SMALL}")
-        if not wide.isEmpty():
-            open_ = own.join(wide.select("sig"), "sig", "left_semi").select("cls", "component").distinct()
-            pairs = pairs.union(prefix_pairs(sets, meta, open_, similarity, f"{at}/wide-{k}", k < CLOSEST))
-        more = written(verified(written(pairs.distinct(), f"{at}/pairs-{k}"), sets, similarity), f"{at}/links-{k}")
-        release(spark)
-        if not more.isEmpty():
-            edges = edges.union(more)
-            label = components(edges, f"{at}/components-{k}")
-    final = label.withColumnRenamed("node", "cls")
+    classes = found.where(f"kind = {CLASS}").select("cls", "id", "n", "data")
+    leaders = found.where(f"kind = {LEADER}").select(F.col("id").alias("sig"), F.col("cls").alias("lead"))
+    hot = found.where(f"kind = {HOT}").select(F.col("id").alias("sig"), "data").join(leaders, "sig").select("lead", "data").mapInArrow(unfolded, "lead long, cls long")
+    stars = found.where(f"kind = {STAR}").select(F.col("id").alias("lead"), "cls").union(hot).distinct()
+    stars = written(stars.join(classes.select("cls", "n"), "cls").select("lead", "cls", "n"), f"{at}/stars")
+    # Bundles with more members, or longer ones, than a task should hold are dealt into blocks.
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    large = stars.groupBy("lead").agg(blocks.alias("blocks")).where("blocks > 1")
+    own = stars.select("lead", "cls").union(stars.select("lead", F.col("lead").alias("cls")).distinct()).join(large, "lead", "left")
+    own = own.withColumn("block", F.pmod(F.xxhash64("cls"), F.coalesce("blocks", F.lit(1))))
+    pair = F.expr("if(blocks is null, array(named_struct('x', 0L, 'y', 0L)), transform(filter(sequence(0L, blocks - 1), o -> o != block), o -> named_struct('x', least(o, block), 'y', greatest(o, block))))")
+    dealt = own.select("lead", "cls", F.explode(pair).alias("p")).select("lead", "p.x", "p.y", "cls").join(classes.select("cls", "n", "data"), "cls").select("lead", "x", "y", "cls", "n", "data")
+    near = dealt.repartition(n_parts, "lead", "x", "y").sortWithinPartitions("lead", "x", "y").mapInArrow(may_link(similarity), "lead long, x long, y long, root long, cls long, n long")
+    near = written(near, f"{at}/near")
+    wanted = classes.join(near.select("cls").distinct(), "cls", "left_semi").select("id")
+    sets = sets_of(filtered(docs, wanted))
+    met = near.select("lead", "x", "y", "root", "cls").join(sets, "cls").select("lead", "x", "y", "root", "cls", "shingles")
+    links = met.repartition(n_parts, "lead", "x", "y", "root").sortWithinPartitions("lead", "x", "y", "root").mapInArrow(linked(similarity), "a long, b long")
+    final = components(links, f"{at}/components").withColumnRenamed("node", "cls")
     # From classes to ids: the smallest id of each component.
-    label = members.where("id is not null").join(final, "cls", "left").select("id", "n", "cls", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component"))
+    label = members.where("id is not null").join(final, "cls", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component"))
     small = label.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
     joined = label.join(small, "component", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return joined.union(members.where("id is null").select("id", "n", F.lit(None).cast("long")))
 
 
-def prefix_pairs(sets: DataFrame, meta: DataFrame, open_: DataFrame, similarity: int, at: str, only_closest: bool) -> DataFrame:
-    """Pairs of open classes (cls, component) of different components that share one of their rarest shingles."""
-    token = sets.join(open_, "cls").select("cls", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    token = written(token, f"{at}/tokens")
-    rare = token.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
-    # Linked sets share n * similarity / 100 at least of a set's n: of its rarest n - that + 1, one.
-    ranked = token.join(rare, "token").groupBy("cls", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("common"))
-    # Shingles of one set only come first in the order; they can't be shared.
-    prefix = F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1 - (F.col("n") - F.size("common"))
-    prefixes = ranked.where(prefix > 0).select("cls", "component", F.explode(F.slice("common", F.lit(1), prefix.cast("int"))).alias("s")).select("cls", "component", "s.token")
-    prefixes = written(prefixes, f"{at}/prefixes")
-    several = prefixes.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x != y").select("token", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    own = prefixes.groupBy("cls").agg(F.collect_list("token").alias("prefix"))
-    member = prefixes.join(several, "token").join(meta, "cls").join(own, "cls")
-    member = member.select("token", "blocks", F.pmod(F.xxhash64("cls"), "blocks").alias("block"), F.struct("cls", "component", "n", "band", "data", "prefix").alias("member"))
-    lists = written(member.groupBy("token", "blocks", "block").agg(F.collect_list("member").alias("left")), f"{at}/lists")
-    alone = lists.select("token", "left", F.lit(None).cast(lists.schema["left"].dataType).alias("right"))
-    wide = lists.where("blocks > 1")
-    twice = wide.join(wide.select("token", F.col("block").alias("other"), F.col("left").alias("right")), "token").where("block < other").select("token", "left", "right")
-    return alone.union(twice).mapInArrow(across(similarity, only_closest), PAIR)
-
-
 def op6_partenum_jaccard(spark, sf_dir: str) -> DataFrame:
     """Components of near-equal documents."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")

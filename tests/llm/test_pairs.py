@@ -102,13 +102,25 @@ def near_copies(n=60, size=90, edits=5):
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"SMALL": 2, "BLOCK": 3, "MANY": 2}])
-def test_join_equals_brute_force(spark, limits, monkeypatch):
-    for k, v in limits.items():
-        monkeypatch.setattr(jaccard_join, k, v)
+@pytest.mark.parametrize("limits", [{}, {"block": 3, "many": 2}])
+def test_join_equals_brute_force(spark, limits):
     rows = near_copies()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert Counter(tuple(r) for r in jaccard_join.jaccard_components(df).collect()) == components_by_hand(rows)
+    assert Counter(tuple(r) for r in jaccard_join.jaccard_components(df, **limits).collect()) == components_by_hand(rows)
+
+
+def test_a_document_quoted_by_many_keeps_its_own_links(spark):
+    """Six shorter texts that quote A sign more often with it than B does, whose likeness to A is exactly 0.8."""
+    rng = random.Random(5)
+    word = lambda: f"q{rng.randrange(10**7)}"
+    rows = []
+    for family in range(60):
+        a = [word() for _ in range(64)]
+        b = [*a, *(word() for _ in range(15))]
+        quotes = [[word() for _ in range(20)] + a[s : s + 14] for s in range(0, 60, 10)]
+        rows += [(8 * family + k, " ".join(t)) for k, t in enumerate((a, b, *quotes))]
+    got = {r["id"]: r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {k: k - k % 8 if k % 8 < 2 else k for k in range(8 * 60)}
 
 
 def test_join_of_odd_tables(odd, odd_rows, empty):
@@ -121,7 +133,7 @@ def test_join_of_odd_tables(odd, odd_rows, empty):
 
 def test_sketches_never_rule_out_a_link():
     rng = np.random.default_rng(2)
-    for size in (1, 3, 20, 49, 60, 300):
+    for size in (4, 5, 9, 20, 49, 60, 110, 300, 2000):
         for _ in range(20):
             a = np.unique(rng.integers(0, 1 << 62, size, dtype=np.uint64))
             b = np.unique(np.r_[a[: max(1, int(len(a) * 0.9))], rng.integers(0, 1 << 62, max(0, size // 10), dtype=np.uint64)])
@@ -131,8 +143,10 @@ def test_sketches_never_rule_out_a_link():
             h, offsets = np.r_[a, b], np.r_[0, len(a), len(a) + len(b)]
             sig, owner = jaccard_join.signatures(h, offsets, 80)
             assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
-            band, sketch = jaccard_join.sketches(h, offsets, 80)
-            assert jaccard_join.may_link(np.diff(offsets), band, sketch, np.array([0]), np.array([1]), 80).all()
+            n, sketch = np.diff(offsets), jaccard_join.sketches(h, offsets, 80)
+            order = np.argsort(n, kind="stable")
+            near = jaccard_join.by_sketch(n[order], [sketch[k] for k in order], 80)
+            assert near(0, np.array([1])).all() and near(1, np.array([0])).all()
 
 
 def test_components(spark):
