@@ -7,7 +7,8 @@ bytes has an edit budget of e = m / 10, less where the bound below would vanish.
 shares at least t = m - q + 1 - q * e of its q-grams with the pattern, on diagonals that lie e apart or less. So
 
 1. each text position whose q-gram (q = 8) is one of the benchmark's gives a hit for each place of it in a pattern; hits
-   in stretches too sparse to hold t are left out first, which loses none;
+   in stretches too sparse to hold t, or on diagonals of an item where too few lie together, are left out first, which
+   loses none;
 2. hits are counted per pattern in diagonal bands of BAND + budget, BAND apart, so that bands overlap and one holds all
    diagonals of an occurrence; bands with t hits or more are kept;
 3. kept bands are verified by banded alignment: the pattern against any stretch of the text on the band's diagonals.
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .util import id_and_text, pieces
 
 Q, PATTERN, BAND, RATE = 8, 96, 16, 10
+#: Hits are first counted by item in wider bands, each in one of 2 ** CELL_BITS cells.
+WIDE, CELL_BITS = 64, 22
 #: Patterns' bytes and how far apart they start: long ones for their larger budget, short ones for parts of items.
 CUTS = ((PATTERN, 48), (64, 16))
 BLOCK = 2 << 20
@@ -55,10 +58,13 @@ def normalised(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(raw: np.ndarray) -> np.ndarray:
-    """The q-gram from each position as a number."""
-    g = np.zeros(max(0, len(raw) - Q + 1), np.uint64)
-    for k in range(Q):
-        g |= raw[k : len(g) + k].astype(np.uint64) << np.uint64(8 * k)
+    """The q-gram from each position as a number, by doubling."""
+    if len(raw) < Q:
+        return np.zeros(0, np.uint64)
+    g, step = raw.astype(np.uint64), 1
+    while step < Q:
+        g = g[:-step] | g[step:] << np.uint64(8 * step)
+        step *= 2
     return g
 
 
@@ -71,9 +77,10 @@ class Patterns:
 
     def __init__(self, items: list[tuple[int | None, str]]) -> None:
         raw, at = normalised([t for _, t in items])
-        text, item, size = [], [], []
+        text, item, size, whole = [], [], [], []
         for k in range(len(items)):
             own = raw[at[k] : at[k + 1] - len(APART)].tobytes().strip()
+            whole.append(own if len(own) >= Q else b"")
             lasts = [max(0, len(own) - length) for length, _ in CUTS]
             for s, e in sorted({(s, min(s + length, len(own))) for (length, stride), last in zip(CUTS, lasts) for s in (*range(0, last, stride), last)}):
                 piece = own[s:e]
@@ -94,6 +101,17 @@ class Patterns:
         self.gram, self.first, self.times = np.unique(gram[order], return_index=True, return_counts=True)
         self.known = np.zeros(1 << BITS, bool)
         self.known[slot(self.gram)] = True
+        # The same q-grams by item, with the fewest hits that any pattern of the item needs.
+        gram = np.concatenate([np.zeros(0, np.uint64), *(grams(np.frombuffer(w, np.uint8)) for w in whole)])
+        owner = np.repeat(np.arange(len(whole)), [max(0, len(w) - Q + 1) for w in whole])
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(max(0, len(w) - Q + 1)) for w in whole)])
+        order = np.argsort(gram, kind="stable")
+        self.in_item, self.item_place = owner[order], place[order]
+        self.item_first = np.searchsorted(gram[order], self.gram)
+        self.item_times = np.searchsorted(gram[order], self.gram, side="right") - self.item_first
+        self.item_least = np.full(len(items), PATTERN)
+        np.minimum.at(self.item_least, self.item, self.least)
+        self.longest = max(map(len, whole), default=0)
 
     def hits(self, raw: np.ndarray) -> np.ndarray:
         """Positions with a benchmark q-gram, in stretches that hold enough of them; and which q-gram."""
@@ -103,14 +121,44 @@ class Patterns:
         which[which == len(self.gram)] = 0
         good = self.gram[which] == gram[at]
         at, which = at[good], which[good]
+        # A hit counts only if it is one of ``least`` that lie in some stretch of ``span`` positions.
+        at, which = self.dense(at, which)
+        return self.gathered(at, which)
+
+    def dense(self, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         least, span = int(self.least.min()), PATTERN + int(self.budget.max())
-        # A hit counts only if some stretch of ``span`` positions around it holds ``least`` hits.
-        mark = np.zeros(len(raw) + span + 1, np.int32)
-        mark[at + 1] = 1
-        upto = np.cumsum(mark)
-        dense = (upto[span:] - upto[:-span]) >= least  # of positions s .. s + span - 1
-        reach = np.cumsum(np.r_[np.zeros(1, np.int32), dense.astype(np.int32)])
-        ok = reach[np.minimum(at + 1, len(reach) - 1)] - reach[np.maximum(at - span + 1, 0)] > 0
+        first = np.zeros(len(at) + 1, np.int32)
+        full = np.flatnonzero(at[least - 1 :] - at[: max(0, len(at) - least + 1)] < span)
+        np.add.at(first, full, 1)
+        np.add.at(first, full + least, -1)
+        ok = np.cumsum(first[:-1]) > 0
+        return at[ok], which[ok]
+
+    def gathered(self, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hits that lie with as many as a pattern needs on an item's diagonals.
+
+        A pattern's band lies within one of the item's bands, WIDE diagonals apart and overlapping by a band's width.
+        Cells that several bands share only let more hits pass.
+        """
+        ok = np.zeros(len(at), bool)
+        overlap, n_items = BAND + int(self.budget.max()), len(self.item_least)
+        for s in range(0, len(at), 1 << 18):
+            # Hits whose bands meet those of this part are counted with it.
+            e = min(len(at), s + (1 << 18))
+            reach = self.longest + WIDE + overlap
+            lo, hi = int(np.searchsorted(at, at[s] - 2 * reach)), int(np.searchsorted(at, at[e - 1] + 2 * reach))
+            w = which[lo:hi]
+            n = self.item_times[w]
+            hit = np.repeat(np.arange(lo, hi), n)
+            k = np.repeat(self.item_first[w] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            item = self.in_item[k]
+            diagonal = at[hit] - self.item_place[k] + reach
+            band = diagonal // WIDE
+            also = diagonal % WIDE < overlap
+            band, item, hit = np.r_[band, band[also] - 1], np.r_[item, item[also]], np.r_[hit, hit[also]]
+            cell = ((band * n_items + item).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+            good = np.bincount(cell, minlength=1 << CELL_BITS)[cell] >= self.item_least[item]
+            ok[hit[good]] = True
         return at[ok], which[ok]
 
     def candidates(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
