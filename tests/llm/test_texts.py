@@ -82,6 +82,18 @@ def test_quality_on_held_out_rows(spark):
     flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
     again = {r["id"]: r["score"] for r in pu_quality.classify(docs, flipped).collect()}
     assert all(again[r["id"]] == r["score"] for r in rows)
+    # Labels of 0 teach nothing: without them every score is the same.
+    again = {r["id"]: r["score"] for r in pu_quality.classify(docs, labels.where("quality = 1")).collect()}
+    assert all(again[r["id"]] == r["score"] for r in rows)
+
+
+def test_moments_are_those_of_all_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text", (F.col("doc_id") % 3 == 0).alias("positive"))
+    got = pu_quality.moments(pu_quality.sums(docs.repartition(7)).toArrow())
+    rows = docs.toArrow()
+    x = np.hstack([pu_quality.features(rows["text"].combine_chunks()), np.ones((rows.num_rows, 1))]).astype(np.float64)
+    for k, own in ((0, x), (1, x[rows["positive"].to_numpy(zero_copy_only=False)])):
+        assert got[k].n == len(own) and np.allclose(got[k].mean, own.mean(0), atol=1e-5) and np.allclose(got[k].square, own.T @ own / len(own), atol=1e-5)
 
 
 def test_quality_of_odd_tables(spark, odd, empty):
