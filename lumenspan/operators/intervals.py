@@ -65,6 +65,12 @@ def adjacent(df: DataFrame, keys: Sequence[str], order: Sequence[str], names: Se
     return df.withColumns({f"next_{c}": F.lead(c).over(w) for c in names} | {"_more": F.lead(F.lit(1)).over(w)}).where("_more = 1").drop("_more")
 
 
+def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """An array column followed by the next row's; the last row of a key keeps its own."""
+    after = F.lead(name).over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(name, F.concat(F.col(name), F.coalesce(after, F.slice(F.col(name), 1, 0))))
+
+
 def gaps(df: DataFrame, keys: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
     """Adds gap: the time since the end of the interval before, 0 at least; null for the first."""
     w = Window.partitionBy(*keys).orderBy("start", "end", *tie)

@@ -92,6 +92,12 @@ def read_metric_log(spark: SparkSession, paths) -> DataFrame:
     return spark.read.schema(METRIC_LOG + ", _corrupt_record string").json(paths, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record").where("_corrupt_record IS NULL AND msg IS NOT NULL").drop("_corrupt_record")
 
 
+def parse_metric_lines(lines: DataFrame, name: str = "value") -> DataFrame:
+    """The same from a column of lines."""
+    row = F.from_json(name, METRIC_LOG + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.select(row.alias("s")).select("s.*").where("_corrupt_record IS NULL AND msg IS NOT NULL").drop("_corrupt_record")
+
+
 # The log formats and labels that the programs print.
 NEW = r"\s(\d+):\s+([\d.]+)s\s+~\s+([\d.]+)s\s+\(([\d.]+)s\)"
 OLD = r"음성\s*구간\s*(\d+):\s*([\d.]+)s\s*~\s*([\d.]+)s"
