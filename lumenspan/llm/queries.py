@@ -62,11 +62,12 @@ FROM d LEFT JOIN x ON x.doc_id = d.doc_id""",
     "op4_warc_merge": r"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
 d AS (SELECT *, sha1(html) AS h, min(page_id) OVER (PARTITION BY sha1(html)) AS first FROM p),
-k AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query FROM d)
-SELECT page_id, strlen(html) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 1 + 5 * i // 4, 2) AS BIGINT) >> (3 - 5 * i % 4)) & 31), 1)), '') AS payload_digest,
+k AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query FROM d),
+r AS (SELECT page_id, strlen(html) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 1 + 5 * i // 4, 2) AS BIGINT) >> (3 - 5 * i % 4)) & 31), 1)), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
   array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key,
-  strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id % 1000000000), '%Y%m%d%H%M%S') AS capture_ts FROM k""",
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id % 1000000000), '%Y%m%d%H%M%S') AS capture_ts FROM k)
+SELECT *, row_number() OVER (ORDER BY url_key, capture_ts, page_id) - 1 AS history_no, lag(capture_ts) OVER (PARTITION BY url_key ORDER BY capture_ts, page_id) AS previous_ts FROM r""",
     "op5_ring_sharding": r"""
 WITH RECURSIVE tab AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY b) AS t FROM range(256) r(b)),
 pts AS (SELECT row_number() OVER (ORDER BY pos, shard) - 1 AS arc, shard, pos FROM (SELECT i % 24 AS shard, CAST('0x' || substr(md5('shard ' || (i % 24) || ' node ' || (i // 24)), 1, 8) AS BIGINT) AS pos FROM range(3072) r(i))),

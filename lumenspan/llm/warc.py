@@ -5,8 +5,9 @@
   the smallest id becomes a response, the others revisits without a payload. Each archive's index entries, sorted by
   URL key and time, are a run; runs are a Parquet table, so an archive that a lost task left behind is never read.
 * ``capture_histories`` merges the runs: entries are dealt into ranges of (URL key, time, id), so that even one URL's
-  captures can span ranges, and each range merges its slices of the k runs by a loser tree. Read by partition, the
-  result is ordered over all.
+  captures can span ranges, and each range merges its slices of the k runs by a loser tree. Each entry gets its place in
+  the order over all and the time of the capture before of its URL key. Ranges are of bounded size, so a task holds its
+  slices in memory.
 * ``read_archives`` reads archives by streaming, a member at a time, and checks payloads against their digests.
 
 Defined results: a null html is an empty payload; a null url has the key ``-``; a page with a null id is always a
@@ -26,7 +27,8 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .util import estimated_bytes, partitions, pieces, run_dir, written
@@ -153,8 +155,12 @@ class LoserTree:
             self._play(run)
 
 
-def capture_histories(runs: DataFrame) -> DataFrame:
-    """The index of all runs in the order of URL key, time and id; partitions follow each other."""
+MERGED = "url_key string, capture_ts string, page_id long, file string, offset long, length long, range int, seq long, previous_ts string"
+
+
+def merged_ranges(runs: DataFrame) -> DataFrame:
+    """The index of all runs, range by range: each range's number, an entry's place in it, and the time of the capture
+    before of its URL key, as far as the range tells."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices: dict[str, list[pa.RecordBatch]] = {}
@@ -172,9 +178,10 @@ def capture_histories(runs: DataFrame) -> DataFrame:
                 for row in zip(*(part.column(c).to_pylist() for c in ("url_key", "capture_ts", "page_id", "file", "offset", "length"))):
                     yield (row[0], row[1], -1 if row[2] is None else row[2], row[3], row[4], row[5])
 
-        out = []
+        number, seq, before, out = TaskContext.get().partitionId(), 0, (None, None), []
         for row in LoserTree([entries(s) for s in slices.values()]):
-            out.append(row)
+            out.append((*row, number, seq, before[1] if before[0] == row[0] else None))
+            seq, before = seq + 1, row
             if len(out) == 8192:
                 yield packed(out)
                 out = []
@@ -182,11 +189,24 @@ def capture_histories(runs: DataFrame) -> DataFrame:
             yield packed(out)
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        key, ts, ids, file, offset, length = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ts), pa.array([None if i == -1 else i for i in ids], pa.int64()), pa.array(file), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], ["url_key", "capture_ts", "page_id", "file", "offset", "length"])
+        key, ts, ids, file, offset, length, number, seq, before = zip(*rows)
+        columns = [pa.array(key), pa.array(ts), pa.array([None if i == -1 else i for i in ids], pa.int64()), pa.array(file), pa.array(offset, pa.int64()), pa.array(length, pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(number, pa.int32()), pa.array(seq, pa.int64()), pa.array(before, pa.string())], [c.split()[0] for c in MERGED.split(", ")])
 
     n = partitions(runs.sparkSession, estimated_bytes(runs), 16 << 20)
-    return runs.repartitionByRange(n, "url_key", "capture_ts", "page_id").mapInArrow(merge, "url_key string, capture_ts string, page_id long, file string, offset long, length long")
+    return runs.repartitionByRange(n, "url_key", "capture_ts", "page_id").mapInArrow(merge, MERGED)
+
+
+def capture_histories(runs: DataFrame, at: str) -> DataFrame:
+    """The index of all runs with each entry's place in the order of URL key, time and id (``history_no``, from 0), and
+    the time of the capture before of its URL key (``previous_ts``)."""
+    ranges = written(merged_ranges(runs), f"{at}/ranges")
+    # A row for each range: what lies before it, and the entry before its first. As many rows as ranges, whatever they hold.
+    last = ranges.groupBy("range").agg(F.count("*").alias("n"), F.max_by("url_key", "seq").alias("key"), F.max_by("capture_ts", "seq").alias("ts"))
+    w = Window.orderBy("range")
+    first = last.select("range", (F.sum("n").over(w) - F.col("n")).alias("before"), F.lag("key").over(w).alias("last_key"), F.lag("ts").over(w).alias("last_ts"))
+    carried = F.when((F.col("seq") == 0) & (F.col("last_key") == F.col("url_key")), F.col("last_ts")).otherwise(F.col("previous_ts"))
+    return ranges.join(F.broadcast(first), "range").select("url_key", "capture_ts", "page_id", "file", "offset", "length", (F.col("before") + F.col("seq")).alias("history_no"), carried.alias("previous_ts"))
 
 
 def members(stream, block: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
@@ -251,8 +271,8 @@ def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write the pages, merge the index and read the archives back: a row per page, with its place in the histories."""
     at = run_dir(pages.sparkSession, "warc")
     runs = write_archives(pages, at, min_bytes)
-    history = capture_histories(runs).select("url_key", "capture_ts", "file", "offset", "length")
-    return history.hint("merge").join(read_archives(runs, at), ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_ts", "file", "offset", "length")
+    history = capture_histories(runs, at).select("url_key", "capture_ts", "history_no", "previous_ts", "file", "offset", "length")
+    return history.hint("merge").join(read_archives(runs, at), ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_ts", "history_no", "previous_ts", "file", "offset", "length")
 
 
 def op4_warc_merge(spark, sf_dir: str) -> DataFrame:

@@ -189,7 +189,12 @@ def test_archives_round_trip(spark, monkeypatch):
         want[i, len(raw), warc.digest(raw), "revisit" if again else "response", first if again else None] += 1
     assert got == want
     at = run_dir(spark, "t")
-    order = [(r["url_key"], r["capture_ts"]) for r in warc.capture_histories(warc.write_archives(pages, at)).collect()]
+    found = sorted(warc.capture_histories(warc.write_archives(pages, at), at).collect(), key=lambda r: r["history_no"])
+    order, last = [(r["url_key"], r["capture_ts"]) for r in found], {}
+    assert [r["history_no"] for r in found] == list(range(len(found)))
+    for key, ts, before in ((r["url_key"], r["capture_ts"], r["previous_ts"]) for r in found):
+        assert before == last.get(key)
+        last[key] = ts
     assert order == sorted(order) and len(order) == len(PAGES) and warc.url_key(PAGES[0][1]) == "com,example,b)/x?y=1"
     assert warc.archive(pages, min_bytes=10).where("record_type = 'revisit'").count() == 1
     assert not warc.archive(pages.limit(0)).collect()
