@@ -19,7 +19,8 @@ from lumenspan.llm.util import id_and_text, run_dir, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the classifier accepts. A null text is judged as an empty one."""
+    """Keep the documents that the classifier accepts. A null text is judged as an empty one, repeated rows are judged
+    alike, an empty table gives no rows."""
     model = pu_quality.train(id_and_text(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return pu_quality.keep(docs, model)
 
@@ -34,23 +35,32 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").select(*docs.columns)
     # Rows that repeat an id: the first by its text stays. Ids are nearly always different, so groups are small.
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c != "text"]))
-    rows = rows.withColumn("_k", F.row_number().over(first)).where("_k = 1").select(*docs.columns)
+    rank = "rank_of_id"
+    while rank in docs.columns:
+        rank += "_"
+    rows = rows.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).select(*docs.columns)
     return rows.unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated passages out of the texts; n_chars is counted anew."""
+    """Cut repeated passages out of the texts; n_chars is counted anew.
+
+    A null text stays null; rows without an id, and rows that repeat one, take nothing from each other; an empty table
+    gives no rows.
+    """
     out = suffix_dedup.remove_repeats(docs, kept="text").select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that match a benchmark item go."""
+    """Documents that match a benchmark item go; null and empty texts match nothing, repeated rows match alike, an empty
+    table gives no rows, and items without an id count too."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, n_byte_tokens, ids_crc32, round_trip, token_ids."""
+    """doc_id, n_tokens, n_byte_tokens, ids_crc32, round_trip, token_ids; a null text is encoded as an empty one, a null id
+    stays null, each repeated row is encoded, an empty table gives no rows."""
     return unigram.encode(docs).withColumnRenamed("id", "doc_id")
 
 
