@@ -127,10 +127,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def fit_nnpu(pos: Moments, unl: Moments, prior: float, steps: int = 200) -> np.ndarray:
     """Weights that minimise the non-negative risk with squared loss: Newton steps on all rows' moments.
 
-    The ridge is less the more rows there are.
+    The ridge is less the more rows there are, and 0.05 at most.
     """
     d = len(unl.mean)
-    ridge = max(1e-4, RIDGE_ROWS / unl.n)
+    ridge = min(0.05, max(1e-4, RIDGE_ROWS / unl.n))
     keep = ridge * np.eye(d)
     keep[-1, -1] = 1e-9
     inverse = np.linalg.inv(unl.square / 2 + keep)

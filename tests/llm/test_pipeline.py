@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from lumenspan.llm.util import run_dir, written
 from test_pairs import components_by_hand, removed_by_hand
@@ -37,3 +39,10 @@ def test_stages_of_odd_tables(spark, odd, odd_rows, empty):
     assert ids[None] == 2 and all(n == 1 for i, n in ids.items() if i is not None) and 1 not in ids and 2 not in ids
     assert pipeline.repeats(spark, odd, SF).columns == odd.columns and pipeline.repeats(spark, odd, SF).count() == len(odd_rows)
     assert pipeline.encoded(spark, odd, SF).count() == len(odd_rows)
+    assert pipeline.quality(spark, odd, SF).columns == odd.columns
+    assert pipeline.benchmark(spark, odd, SF).count() == len(odd_rows)
+    for stage in (pipeline.quality, pipeline.repeats, pipeline.benchmark, pipeline.encoded):
+        assert not stage(spark, empty, SF).collect()
+    # A column named as the stage's own would be is kept.
+    named = odd.withColumn("rank_of_id", F.lit(77))
+    assert {r["rank_of_id"] for r in pipeline.near_copies(spark, named, SF).collect()} == {77}
