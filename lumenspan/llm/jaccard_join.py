@@ -558,11 +558,11 @@ def jaccard_components(documents: DataFrame, similarity: int = 80, id_col: str =
     sets = sets_of(filtered(docs, wanted))
     met = near.select("lead", "x", "y", "root", "cls").join(sets, "cls").select("lead", "x", "y", "root", "cls", "shingles")
     links = met.repartition(n_parts, "lead", "x", "y", "root").sortWithinPartitions("lead", "x", "y", "root").mapInArrow(linked(similarity), "a long, b long")
-    final = components(links, f"{at}/components").withColumnRenamed("node", "cls")
-    # From classes to ids: the smallest id of each component.
-    label = members.where("id is not null").join(final, "cls", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component"))
-    small = label.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
-    joined = label.join(small, "component", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    final = written(components(links, f"{at}/components").withColumnRenamed("node", "cls"), f"{at}/final")
+    # The smallest id of each component, by class: members of a large component stay spread over its classes.
+    low = final.join(classes.select("cls", "id"), "cls").groupBy("component").agg(F.min("id").alias("low"))
+    label = classes.select("cls", "id").join(final.join(low, "component").select("cls", "low"), "cls", "left").select("cls", F.coalesce("low", "id").alias("component_id"))
+    joined = members.where("id is not null").join(label, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return joined.union(members.where("id is null").select("id", "n", F.lit(None).cast("long")))
 
 
