@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import private
+
 SEASONS = ("spring", "summer", "autumn", "winter")
 # Districts by road, tried in this order.
 ROADS = (
@@ -115,17 +117,10 @@ def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 5) -> DataFrame:
     """The first ``n`` rows of each key, for the samples that a report shows; ties by all of ``order``."""
-    rank = _private(df, "rank")
+    rank = private(df, "rank")
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n).drop(rank)
 
 
-def _private(df: DataFrame, name: str) -> str:
-    """A column name that the table doesn't have."""
-    while name in df.columns:
-        name = f"_{name}"
-    return name
-
-
 def shares_of_total(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Each row's percentage of its group's total; null where the total is 0."""
     total = F.sum(value).over(Window.partitionBy(*keys))

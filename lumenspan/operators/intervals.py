@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import private
+
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket: float, on: Callable[[DataFrame], Column] | None = None, start: str = "start", end: str = "end") -> DataFrame:
     """Pairs of overlapping intervals with equal keys, as an equi-join on time buckets.
@@ -62,7 +64,8 @@ def positional_stats(compared: DataFrame, keys: Sequence[str] = ()) -> DataFrame
 def adjacent(df: DataFrame, keys: Sequence[str], order: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Each row with the named columns of the next one as ``next_*``; the last row of a key is left out."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumns({f"next_{c}": F.lead(c).over(w) for c in names} | {"_more": F.lead(F.lit(1)).over(w)}).where("_more = 1").drop("_more")
+    more = private(df, "_more")
+    return df.withColumns({f"next_{c}": F.lead(c).over(w) for c in names} | {more: F.lead(F.lit(1)).over(w)}).where(F.col(more) == 1).drop(more)
 
 
 def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
@@ -84,8 +87,9 @@ def merge_gaps(df: DataFrame, keys: Sequence[str], merge_window: float = 1.5, ti
     """
     w = Window.partitionBy(*keys).orderBy("start", "end", *tie)
     upto = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = df.where(F.col("start").isNotNull()).withColumn("_new", F.when(F.col("start") - upto <= merge_window, 0).otherwise(1))
-    blocks = flagged.withColumn("block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    new = private(df, "_new")
+    flagged = df.where(F.col("start").isNotNull()).withColumn(new, F.when(F.col("start") - upto <= merge_window, 0).otherwise(1))
+    blocks = flagged.withColumn("block", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     cols = [F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")]
     if text:
         joined = F.array_sort(F.collect_list(F.struct("start", "end", *tie, F.col(text).alias("_text"))))
@@ -144,7 +148,8 @@ def edge_windows(df: DataFrame, start: str, end: str, duration: Column, context:
 def keep_first_rounded(df: DataFrame, keys: Sequence[str], order: str, places: int = 3) -> DataFrame:
     """The first row of each pair of start and end, rounded."""
     w = Window.partitionBy(*keys, F.round("start", places), F.round("end", places)).orderBy(order)
-    return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    rank = private(df, "_k")
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
 
 
 def speech_totals(df: DataFrame, keys: Sequence[str], clip_seconds: Column) -> DataFrame:

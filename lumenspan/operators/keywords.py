@@ -12,8 +12,8 @@ from ..functions.text import keep_letters, split_words
 
 # Particles and common words of news titles.
 STOPWORDS = (
-    "에", "와", "한", "하다", "을", "를", "에서", "으로", "과", "의", "로", "등", "및", "더", "것", "수", "년", "월", "일", "위해", "통해", "대한", "하는", "있는", "있다", "되다", "된다",
-    "많은", "크다", "작다", "좋다", "나쁘다",
+    "의", "가", "이", "은", "들", "는", "좀", "잘", "걍", "과", "도", "를", "으로", "자", "에", "와", "한", "하다", "을", "에서", "로", "등", "및", "더", "것", "수", "년", "월", "일",
+    "위해", "통해", "대한", "하는", "있는", "있다", "되다", "된다", "많은", "크다", "작다", "좋다", "나쁘다",
 )
 
 

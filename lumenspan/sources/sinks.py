@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import struct
 import wave
@@ -27,15 +28,22 @@ def export_csv(df: DataFrame, path: str, limit: int = 1_000_000) -> bool:
 
     A result of more than ``limit`` rows is refused rather than cut.
     """
-    if df.isEmpty():
-        return False
-    if df.limit(limit + 1).count() > limit:
+    at, n = Path(path), 0
+    plain = lambda v: "" if v is None or v != v else v
+    for n, row in enumerate(df.limit(limit + 1).toLocalIterator(), 1):  # the plan runs once
+        if n > limit:
+            break
+        if n == 1:
+            out = at.open("w", encoding="utf-8-sig", newline="")
+            writer = csv.writer(out, lineterminator="\n")
+            writer.writerow(df.columns)
+        writer.writerow([plain(v) for v in row])
+    if n:
+        out.close()
+    if n > limit:
+        at.unlink()
         raise ValueError(f"over {limit} rows: use write_csv")
-    with Path(path).open("w", encoding="utf-8-sig", newline="") as out:
-        out.write(",".join(df.columns) + "\n")
-        for row in df.toLocalIterator():
-            pd.DataFrame([row.asDict()], columns=df.columns).to_csv(out, header=False, index=False)
-    return True
+    return n > 0
 
 
 def fixed(df: DataFrame, names: Sequence[str], places: int = 3) -> DataFrame:
