@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import gaps
@@ -27,17 +27,42 @@ def segment_summary(df: DataFrame, keys: Sequence[str], words: Column | None = N
     """Counts, durations, gaps and coverage of each key's segments, ordered by start and end.
 
     Durations and gaps are 0 at least. ``words`` counts a segment's words; segments without any don't enter the mean.
+    Quantiles pick rows by their rank among the key's sorted values, so no key's values are held in one row. A key with
+    one segment has no gaps, and null for all that is told of them; an empty table gives no rows.
     """
     seconds = F.greatest(F.lit(0.0), F.col("end") - F.col("start"))
     words = words if words is not None else F.lit(0)
     own = gaps(df, keys).select(*keys, "start", "end", "gap", seconds.alias("d"), words.alias("w"))
+    whole = Window.partitionBy(*keys)
+    ranked = own.select(
+        *(F.col(k).alias(f"key{i}") for i, k in enumerate(keys)), "start", "end", "gap", "d", "w",
+        *(x for c in ("d", "gap") for x in (F.row_number().over(whole.orderBy(F.asc_nulls_last(c))).alias(f"rank_{c}"), F.count(c).over(whole).alias(f"size_{c}"))),
+    )
     ratio = lambda c, over: F.sum(c.cast("long")) / F.when(over > 0, over)
     n, n_gaps = F.count("*"), F.count("gap")
-    out = own.groupBy(*keys).agg(
-        n.alias("n"), F.avg("d").alias("mean_s"), F.percentile("d", F.lit(0.5)).alias("median_s"), F.collect_list("d").alias("_d"), F.collect_list("gap").alias("_g"),
-        ratio(F.col("d") < short, n).alias("short_ratio"), F.percentile("gap", F.lit(0.5)).alias("gap_median_s"), ratio(F.col("gap") < tiny, n_gaps).alias("tiny_gap_ratio"),
+    out = ranked.groupBy(*(F.col(f"key{i}").alias(k) for i, k in enumerate(keys))).agg(
+        n.alias("n"), F.avg("d").alias("mean_s"), _median("d").alias("median_s"),
+        ratio(F.col("d") < short, n).alias("short_ratio"), _median("gap").alias("gap_median_s"), ratio(F.col("gap") < tiny, n_gaps).alias("tiny_gap_ratio"),
         F.sum((F.coalesce(F.col("gap"), F.lit(0.0)) >= long).cast("long")).alias("long_gaps"), F.avg(F.when(F.col("w") > 0, F.col("w"))).alias("mean_words"),
         F.sum("d").alias("coverage_s"), (F.max_by("end", F.struct("start", "end")) - F.min("start")).alias("span_s"),
+        *(_exclusive(c, i).alias(f"{p}p{10 * i}_s") for p, c in (("", "d"), ("gap_", "gap")) for i in (1, 9)),
     )
-    named = {f"{p}p{10 * i}_s": exclusive_quantile(F.col(c), i) for p, c in (("", "_d"), ("gap_", "_g")) for i in (1, 9)}
-    return out.withColumns(named).drop("_d", "_g")
+    return out
+
+
+def _at(c: str, rank: Column) -> Column:
+    """The value of that rank, as an aggregate over rows with rank_c and size_c."""
+    return F.max(F.when(F.col(f"rank_{c}") == rank, F.col(c)))
+
+
+def _median(c: str) -> Column:
+    size = F.col(f"size_{c}")
+    return (_at(c, F.floor((size + 1) / 2)) + _at(c, F.ceil((size + 1) / 2))) / 2
+
+
+def _exclusive(c: str, i: int, n: int = 10) -> Column:
+    """exclusive_quantile() by ranks."""
+    size = F.col(f"size_{c}")
+    j = F.greatest(F.lit(1), F.least(F.floor(i * (size + 1) / n), size - 1))
+    rest = F.max(i * (size + 1) - j * n)
+    return F.when(F.max(size) == 1, _at(c, F.lit(1))).when(F.max(size) > 1, (_at(c, j) * (n - rest) + _at(c, j + 1) * rest) / n)
