@@ -21,7 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, a laptop) a temporary folder is made and named there.
+    Only where the session names none and runs in one process (tests, a laptop) a temporary folder is made and named there;
+    on a cluster that is an error, as executors would write to their own disks.
     """
     held = spark.conf.get("spark.checkpoint.dir", None)
     if held:
@@ -30,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="lumenspan-")
     sc.setCheckpointDir(made)
     return made
