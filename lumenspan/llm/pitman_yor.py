@@ -1,22 +1,24 @@
 """Language-model scores from a hierarchical Pitman-Yor model seated by Gibbs sampling.
 
 Tokens are words (split by ASCII white space, A-Z as a-z) and an end after each text. Below a root restaurant, whose
-base is even over the words known and one unknown, lie ``CONTEXTS`` context restaurants, a word's context being the class
-of the word before it (its last three bytes, so that short words have a restaurant nearly to themselves; a text's first
-word has one of its own). All have the root as parent: a table in a context is a customer of the root. With customers c,
-tables t, discount d and strength s,
+base is even over the words known and one unknown, lies a restaurant for every word that comes before another (the end
+stands before a text's first word). All have the root as parent: a table in a context is a customer of the root. With
+customers c, tables t, discount d and strength s,
 
     p(w | u) = (c_uw - d * t_uw) / (s + c_u) + (s + d * t_u) / (s + c_u) * p(w)
 
 and likewise p(w) over the base. A Gibbs sweep seats each dish's customers anew, one after another, by the Chinese
-restaurant's odds, given all other dishes' seats and the parent's probabilities as the last sweep left them; from the
-65th customer of a dish on, they sit down in groups of a sixteenth. Scores average the predictive probabilities of the
-last ``KEPT`` of ``SWEEPS`` sweeps. Discounts are estimated from the counts of counts.
-
-Dishes are dealt by word, so a word's seats in all contexts and at the root lie in one partition and a sweep needs no
-shuffle; only the contexts' totals, a table of fixed size, are summed and passed on. To score, tokens go to their word's
-partition in packed rows, and documents get sums back. Words with a thousandth of all tokens or more, which can only be
-a thousand, are scored where they are read. What is gathered, all training counts, grows with the corpus.
+restaurant's odds, given all other dishes' seats and the parent's probabilities as the last sweep left them. Scores
+average the predictive probabilities of the last ``KEPT`` of ``SWEEPS`` sweeps. Discounts are estimated from the counts
+of counts.
+
+Pairs of context and word are dealt by context, so a context's totals are at hand where it lies. Each partition sends the
+root's partitions, which are dealt by word, its tables summed by word, and gets back each of its words' customers and
+tables at the root. Contexts with a share of the tokens that may be too much for one partition (``hot_share``, found by a
+mergeable count of frequent words) are dealt by pair, and their totals go the same way as the root's. Pairs that are only
+met in texts not learned from are counted with no customers, so every pair asked for has a place. To score, a slice's
+tokens go to their pairs' partitions in packed rows, and documents get sums back; pairs as frequent as hot contexts, of
+which there are few, are scored where they are read. What is gathered grows with the corpus: all its pairs of words.
 
 Defined results: a null or empty text is its end alone; rows with a null id aren't learned from and aren't held out;
 repeated rows are counted and scored each; very long texts are read whole; without any training text every token has
@@ -26,208 +28,378 @@ probability 1; an empty table gives no rows; other columns are ignored. Words an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard_join import _LOWER, mix, words
+from .jaccard_join import mix, words
 from .packing import cut, pack, release, unpack
 from .util import buffers, estimated_bytes, lean, partitions, pieces, remove, run_dir, written
 
-CONTEXTS, START = 4096, 4096
 SWEEPS, KEPT, STRENGTH, SEED = 3, 2, 5.0, 11
 FOLDS = 10
-HOT = 1000  # words with at least N / HOT tokens are scored where they are read
+SLICE = 16 << 20  # bytes of text whose tokens are counted or asked for together
 END = np.uint64(0xE4D0F7E57A11ED01)
 
 
+def hot_share(n_parts: int) -> int:
+    """Contexts and pairs with one of so many tokens or more are dealt apart; bounds what the driver and all tasks hold."""
+    return min(max(1000, 2 * n_parts), 1 << 20)
+
+
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: its word, its context, the index of its text."""
+    """The different tokens in order, the index among them of each token, the index of its text."""
     n = len(offsets) - 1
-    word, doc, last, size = words(raw, offsets)
-    kind = np.zeros(len(word), np.int64)
-    if len(word):
-        own = _LOWER[raw[last]].astype(np.uint64)
-        own |= np.where(size > 1, _LOWER[raw[last - 1]], 0).astype(np.uint64) << np.uint64(8)
-        own |= np.where(size > 2, _LOWER[raw[last - 2]], 0).astype(np.uint64) << np.uint64(16)
-        kind = (mix(own) % np.uint64(CONTEXTS)).astype(np.int64)
+    word, doc, _, _ = words(raw, offsets)
     after = np.cumsum(np.bincount(doc, minlength=n))
-    before = np.r_[START, np.insert(kind, after, START)][:-1]
-    return np.insert(word, after, END), before, np.insert(doc, after, np.arange(n))
+    known, at = np.unique(np.insert(word, after, END), return_inverse=True)
+    return known, at, np.insert(doc, after, np.arange(n))
+
+
+def pair_keys(known: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each token: context and word as one number."""
+    end = np.searchsorted(known, END)
+    return np.r_[end, at][:-1] * len(known) + at
+
+
+def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(context ^ mix(word))
+
+
+def isin_sorted(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    if not len(held):
+        return np.zeros(len(x), bool)
+    return held[np.minimum(np.searchsorted(held, x), len(held) - 1)] == x
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """By Stirling's series, for x over 3."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
 
 
 def seated(customers: np.ndarray, odds: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes by seating their customers one by one; odds: (strength + discount * tables) * parent's probability."""
-    tables = np.ones(len(customers), np.int64)
+    """Tables of dishes by seating their customers one by one; odds: (strength + discount * tables) * parent's probability.
+
+    After a dish's 64th customer, how many sit down before the next new table is drawn by its exact distribution, which
+    takes a step for each table instead of one for each customer.
+    """
+    tables = np.minimum(customers, 1).astype(np.int64)
     live, i = np.flatnonzero(customers > 1), 1
-    while len(live):
-        step = 1 if i < 64 else i // 16
-        group = np.minimum(step, customers[live] - i)
-        p = odds[live] / (odds[live] + i + (group - 1) / 2 - discount * tables[live])
-        tables[live] += rng.random(len(live)) < p if step == 1 else rng.binomial(group, np.clip(p, 0, 1))
-        i += step
+    while len(live) and i < 64:
+        tables[live] += rng.random(len(live)) < odds[live] / (odds[live] + i - discount * tables[live])
+        i += 1
         live = live[customers[live] > i]
-    return np.minimum(tables, customers)
+    at = np.full(len(live), i, np.int64)
+    while len(live):
+        taken, theta, n = discount * tables[live], odds[live], customers[live]
+        none_new = lambda x: log_gamma(x - taken) - log_gamma(x - taken + theta)  # noqa: E731, B023
+        least = np.log1p(-rng.random(len(live))) + none_new(at)
+        low, high = at.copy(), n.copy()
+        for _ in range(int(np.max(high - low)).bit_length()):
+            middle = (low + high + 1) // 2
+            yes = none_new(middle) >= least
+            low, high = np.where(yes, middle, low), np.where(yes, high, middle - 1)
+        new = low < n
+        tables[live] += new
+        at = low + 1
+        more = new & (at < n)
+        live, at = live[more], at[more]
+    return tables
 
 
 @dataclass
 class Totals:
-    """What all partitions know: totals of a sweep."""
+    """What all partitions know of a sample."""
 
-    n_tokens: int = 0
-    n_words: int = 0
-    discount: float = 0.5
-    root_discount: float = 0.5
-    customers: np.ndarray = field(default_factory=lambda: np.zeros(CONTEXTS + 1))
-    tables: np.ndarray = field(default_factory=lambda: np.zeros(CONTEXTS + 1))
-    root_customers: int = 0
-    root_tables: int = 0
+    n_tokens: int
+    n_words: int
+    discount: float
+    root_discount: float
+    root_customers: int
+    root_tables: int
 
     def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """p(w) of words with so many customers and tables at the root."""
         below = STRENGTH + self.root_customers
         return (customers - self.root_discount * tables) / below + (STRENGTH + self.root_discount * self.root_tables) / below / (self.n_words + 1)
 
-    def context(self, at: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    def context(self, customers: np.ndarray, tables: np.ndarray, all_customers: np.ndarray, all_tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
         """p(w | u)."""
-        return (customers - self.discount * tables + (STRENGTH + self.discount * self.tables[at]) * parent) / (STRENGTH + self.customers[at])
+        return (customers - self.discount * tables + (STRENGTH + self.discount * all_tables) * parent) / (STRENGTH + all_customers)
 
 
 class Dishes:
-    """A partition's words, sorted, and their customers by context; tables of one or more samples."""
+    """A partition's contexts and words, sorted, and their pairs' customers; of each sample the tables and totals.
+
+    A sample is [tables of pairs, tables of contexts, customers and tables of words at the root]; but for the pairs' tables
+    the last sample's are known only with the root's replies.
+    """
 
-    KINDS = (np.uint64, np.uint32, np.uint16, np.uint32)
+    KINDS = (np.uint64, np.int64, np.uint64, np.uint32, np.int64, np.uint32, np.uint32, np.uint32)
+    SAMPLE = (np.uint32, np.int64, np.int64, np.int64)
 
-    def __init__(self, word, each, context, customers, samples=()) -> None:
-        self.word, self.each, self.context, self.customers = word, each.astype(np.int64), context.astype(np.int64), customers.astype(np.int64)
-        self.owner = np.repeat(np.arange(len(word)), self.each)
-        self.samples = [(t.astype(np.int64), r.astype(np.int64)) for t, r in samples]
+    def __init__(self, word, count, context, each, total, at, customers, others, samples) -> None:
+        self.word, self.count, self.context, self.each, self.total = word, count, context, each.astype(np.int64), total
+        self.at, self.customers, self.others, self.samples = at.astype(np.int64), customers.astype(np.int64), others, samples
+        self.owner = np.repeat(np.arange(len(context)), self.each)
 
     @classmethod
     def unpacked(cls, blob: bytes, samples: int) -> Dishes:
-        got = unpack(blob, *cls.KINDS, *[np.uint32] * (2 * samples))
-        return cls(*got[:4], list(zip(got[4::2], got[5::2])))
+        got = unpack(blob, *cls.KINDS, *cls.SAMPLE * samples)
+        rest = [x.astype(np.int64) for x in got[8:]]
+        return cls(*got[:8], [rest[k : k + 4] for k in range(0, len(rest), 4)])
 
     def packed(self) -> bytes:
-        tables = [x.astype(np.uint32) for s in self.samples for x in s]
-        return pack(self.word, self.each.astype(np.uint32), self.context.astype(np.uint16), self.customers.astype(np.uint32), *tables)
+        flat = [x.astype(kind) for s in self.samples for x, kind in zip(s, self.SAMPLE)]
+        return pack(*(x.astype(k) for x, k in zip((self.word, self.count, self.context, self.each, self.total, self.at, self.customers, self.others), self.KINDS)), *flat)
+
+    def by_word(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, x, minlength=len(self.word)).astype(np.int64)
+
+    def by_context(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, x, minlength=len(self.context)).astype(np.int64)
+
+    def fresh(self, tables: np.ndarray) -> list:
+        """A sample as far as it is known here."""
+        none = np.zeros(len(self.word), np.int64)
+        return [tables, self.by_context(tables), none, none]
+
+    def told(self, replies: list[bytes]) -> None:
+        """Take the root's replies into the last sample."""
+        _, of_contexts, customers, tables = self.samples[-1]
+        for blob in replies:
+            word, count, own, seats, context, total, theirs = unpack(blob, *REPLIED)
+            i, k = np.searchsorted(self.word, word), np.searchsorted(self.context, context)
+            self.count[i], customers[i], tables[i] = count, own, seats
+            self.total[k], of_contexts[k] = total, theirs
+        self.samples[-1] = [self.samples[-1][0], of_contexts, customers, tables]
+
+    def probability(self, totals: list[Totals]) -> np.ndarray:
+        """Averaged p(w | u) of all pairs; a sample is dropped once it has been added."""
+        p = np.zeros(len(self.at))
+        for (tables, of_contexts, customers, root_tables), t in zip(self.samples, totals):
+            parent = t.root(customers, root_tables)[self.at]
+            p += t.context(self.customers, tables, self.total[self.owner], of_contexts[self.owner], parent)
+        return p / max(1, len(totals))
+
+    def row(self, part: int, n_parts: int, hot: np.ndarray, sums: tuple = ()) -> Iterator[pa.RecordBatch]:
+        """The state's row, and the rows for the root's partitions: words with tables and counts, hot contexts likewise."""
+        tables, of_contexts = self.samples[-1][:2]
+        by_word, count = self.by_word(tables), self.by_word(self.customers)
+        own = np.flatnonzero(isin_sorted(self.context, hot))
+        own_total = self.by_context(self.customers)[own]
+        to_w, to_c = ((x % np.uint64(n_parts)).astype(np.int64) for x in (self.word, self.context[own]))
+        wo, co = np.argsort(to_w, kind="stable"), np.argsort(to_c, kind="stable")
+        runs_w, runs_c = ({p: (s, e) for p, s, e in cut(len(t), t[o])} for t, o in ((to_w, wo), (to_c, co)))
+        parts, kinds, data = [part], [SEATS], [self.packed()]
+        for p in sorted(runs_w.keys() | runs_c.keys()):
+            i = wo[slice(*runs_w.get(p, (0, 0)))]
+            k = co[slice(*runs_c.get(p, (0, 0)))]
+            parts.append(p)
+            kinds.append(TO_ROOT)
+            data.append(pack(np.array([part]), self.word[i], count[i], by_word[i], self.context[own[k]], own_total[k], of_contexts[own[k]]))
+        yield batch_of(parts, kinds, data, [list(sums)] + [[]] * (len(parts) - 1))
+
+
+STATE = "part int, kind int, data binary, sums array<long>"
+SEATS, REPLY, ASKED, ROSTER, PARTIAL, TO_ROOT = range(6)
+REPLIED = (np.uint64, np.int64, np.int64, np.int64, np.uint64, np.int64, np.int64)
+
+
+def batch_of(parts: list, kinds: list, data: list, sums: list | None = None) -> pa.RecordBatch:
+    columns = [pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(data, pa.binary())]
+    names = ["part", "kind", "data"]
+    if sums is not None:
+        columns, names = [*columns, pa.array(sums, pa.list_(pa.int64()))], [*names, "sums"]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+# -- frequent words ---------------------------------------------------------------------------------------------------
+
+
+def fewer(word: np.ndarray, count: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most so many counters: the largest, less the largest of the rest (Misra and Gries, as merged)."""
+    if len(word) > slots:
+        count = count - np.partition(count, len(count) - slots - 1)[len(count) - slots - 1]
+        word, count = word[count > 0], count[count > 0]
+    return word, count
+
+
+def frequent(slots: int, of_texts: bool):
+    """Counters of a task's words, and how many tokens there were. No counter is short by over tokens / slots."""
 
-    def at_root(self, tables: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, tables, minlength=len(self.word)).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, count, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        for batch in pieces(batches, SLICE) if of_texts else batches:
+            if of_texts:
+                new, at, _ = tokens(*buffers(batch.column(0)))
+                found = [(new, np.bincount(at), len(at))]
+            else:
+                found = [(*unpack(b, np.uint64, np.int64), k) for b, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            for w, c, k in found:
+                word, at = np.unique(np.concatenate([word, w]), return_inverse=True)
+                word, count = fewer(word, np.bincount(at, np.r_[count, c]).astype(np.int64), slots)
+                n += k
+        yield pa.RecordBatch.from_arrays([pa.array([pack(word, count)], pa.binary()), pa.array([n], pa.int64())], ["data", "n"])
+
+    return lean(run)
+
+
+def hot_words(texts: DataFrame, n_parts: int) -> tuple[np.ndarray, int]:
+    """All words with one of hot_share tokens or more, and few others; the number of tokens."""
+    share = hot_share(n_parts)
+    slots = 2 * share
+    found = texts.mapInArrow(frequent(slots, True), "data binary, n long").repartition(16).mapInArrow(frequent(slots, False), "data binary, n long")
+    rows = found.coalesce(1).mapInArrow(frequent(slots, False), "data binary, n long").collect()
+    if not rows:
+        return np.zeros(0, np.uint64), 0
+    word, count = unpack(bytes(rows[0]["data"]), np.uint64, np.int64)
+    n = rows[0]["n"]
+    return word[count >= n / share - n / slots], n
 
-    def row(self, part: int) -> pa.RecordBatch:
-        """A row of STATE, with this sample's sums."""
-        tables, root_tables = self.samples[-1]
-        root = self.at_root(tables)
-        by_context = lambda x: np.bincount(self.context, x, minlength=CONTEXTS + 1).astype(np.int64)
-        once = [int((x == k).sum()) for x in (self.customers, root) for k in (1, 2)]
-        sums = np.r_[int(self.customers.sum()), len(self.word), once, int(root.sum()), int(root_tables.sum()), by_context(self.customers), by_context(tables)]
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([self.packed()], pa.binary()), pa.array([sums], pa.list_(pa.int64()))], ["part", "data", "sums"])
 
+# -- counting and seating -----------------------------------------------------------------------------------------------
 
-#: sums: tokens, words, dishes with one and two customers, the same at the root, its customers and tables; then by
-#: context customers and tables.
-STATE = "part int, data binary, sums array<long>"
-N_SUMS = 8
 
+def dealt(known: np.ndarray, keys: np.ndarray, hot: np.ndarray, n_parts: int) -> np.ndarray:
+    """The partitions of pairs."""
+    context, word = known[keys // len(known)], known[keys % len(known)]
+    apart = isin_sorted(context, hot)
+    out = context % np.uint64(n_parts)
+    out[apart] = pair_hash(context[apart], word[apart]) % np.uint64(n_parts)
+    return out.astype(np.int64)
 
-def counted(n_parts: int):
-    """Training texts to packed rows of words and contexts with counts, by partition."""
+
+def named(known: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
+    """Sorted pairs as words, contexts, the number of each context's pairs, and their words' indices."""
+    context, word = keys // len(known), keys % len(known)
+    new = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+    used, at = np.unique(word, return_inverse=True)
+    return [known[used], known[context[new]], np.diff(np.r_[new, len(keys)]).astype(np.uint32), at.astype(np.uint32)]
+
+
+def counted(n_parts: int, hot: np.ndarray):
+    """Texts, and whether they are learned from, to packed rows of pairs with counts, by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, 8 << 20):
-            word, context, _ = tokens(*buffers(part.column(0)))
-            order = np.argsort(word, kind="stable")
-            word, context = word[order], context[order]
-            rank = np.cumsum(np.r_[False, word[1:] != word[:-1]])
-            key, count = np.unique(rank * (CONTEXTS + 1) + context, return_counts=True)
-            word = word[np.r_[True, word[1:] != word[:-1]]]
-            owner, context = key // (CONTEXTS + 1), key % (CONTEXTS + 1)
-            to = (word % np.uint64(n_parts)).astype(np.int64)
-            order = np.argsort(to[owner], kind="stable")
-            owner, context, count = owner[order], context[order], count[order]
-            parts, data = [], []
-            for p, s, e in cut(len(owner), to[owner]):
-                own = owner[s:e]
-                new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                parts.append(p)
-                data.append(pack(word[own[new]], np.diff(np.r_[new, e - s]).astype(np.uint32), context[s:e].astype(np.uint16), count[s:e].astype(np.uint32)))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+        for piece in pieces(batches, SLICE):
+            known, at, doc = tokens(*buffers(piece.column(0)))
+            learn = piece.column(1).to_numpy(zero_copy_only=False)[doc]
+            keys, which = np.unique(pair_keys(known, at), return_inverse=True)
+            all_of, own = np.bincount(which), np.bincount(which[learn], minlength=len(keys))
+            to = dealt(known, keys, hot, n_parts)
+            order = np.argsort(to, kind="stable")
+            runs = cut(len(keys), to[order])
+            data = [pack(*named(known, keys[o]), own[o].astype(np.uint32), (all_of - own)[o].astype(np.uint32)) for o in (order[s:e] for _, s, e in runs)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
 
     return lean(run)
 
 
-def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def combined(n_parts: int, hot: np.ndarray):
     """A partition's counts to its dishes, each with one table."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held.setdefault(part, []).append(blob)
-    for part, blobs in held.items():
-        got = [unpack(b, *Dishes.KINDS) for b in blobs]
-        blobs.clear()
-        word = np.concatenate([np.repeat(g[0], g[1]) for g in got])
-        context, count = np.concatenate([g[2] for g in got]), np.concatenate([g[3] for g in got])
-        del got
-        order = np.lexsort((context, word))
-        word, context, count = word[order], context[order], count[order]
-        new = np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])]
-        edge = np.flatnonzero(new)
-        count = np.add.reduceat(count.astype(np.int64), edge)
-        word, context = word[edge], context[edge]
-        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        each = np.diff(np.r_[first, len(word)])
-        yield Dishes(word[first], each, context, count, [(np.ones(len(word)), np.ones(len(first)))]).row(part)
-
-
-def swept(totals: Totals, sweep: int, held: int):
-    """One Gibbs sweep over a partition's dishes; the samples before are kept if they count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                dishes = Dishes.unpacked(blob, held)
-                rng = np.random.default_rng([SEED, sweep, part])
-                tables, root_tables = dishes.samples[-1]
-                parent = totals.root(dishes.at_root(tables), root_tables)
-                odds = (STRENGTH + totals.discount * totals.tables[dishes.context]) * parent[dishes.owner]
-                tables = seated(dishes.customers, odds, totals.discount, rng)
-                root = dishes.at_root(tables)
-                base = (STRENGTH + totals.root_discount * totals.root_tables) / (totals.n_words + 1)
-                root_tables = seated(root, np.full(len(root), base), totals.root_discount, rng)
-                dishes.samples = [*(dishes.samples if sweep > SWEEPS - KEPT + 1 else []), (tables, root_tables)]
-                yield dishes.row(part)
-
-    return run
-
-
-def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows' sums in one row."""
-    total = np.zeros(N_SUMS + 2 * (CONTEXTS + 1), np.int64)
-    for batch in batches:
-        total += batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1).sum(0)
-    yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], ["sums"])
+                held.setdefault(part, []).append(blob)
+        for part, blobs in held.items():
+            got = [unpack(b, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32) for b in blobs]
+            blobs.clear()
+            word, context = (np.unique(np.concatenate([g[k] for g in got])) for k in (0, 1))
+            key = np.concatenate([np.repeat(np.searchsorted(context, g[1]), g[2]) * len(word) + np.searchsorted(word, g[0])[g[3]] for g in got])
+            customers, others = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in (4, 5))
+            del got
+            order = np.argsort(key)
+            key = key[order]
+            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            customers, others, key = np.add.reduceat(customers[order], edge), np.add.reduceat(others[order], edge), key[edge]
+            each, none = np.bincount(key // len(word), minlength=len(context)), np.zeros(len(word), np.int64)
+            dishes = Dishes(word, none, context, each, np.zeros(len(context), np.int64), key % len(word), customers, others, [])
+            dishes.total = dishes.by_context(customers)
+            dishes.samples = [dishes.fresh(np.minimum(customers, 1))]
+            yield from dishes.row(part, n_parts, hot, (int((customers == 1).sum()), int((customers == 2).sum())))
 
+    return lean(run)
 
-def totals_of(state: DataFrame, before: Totals | None = None) -> Totals:
-    """Sums over partitions: added up by task, then in 16 tasks, so 16 rows of fixed size reach the driver."""
-    rows = state.select("sums").mapInArrow(added, "sums array<long>").repartition(16).mapInArrow(added, "sums array<long>").collect()
-    x = np.sum([r["sums"] for r in rows], axis=0, dtype=np.int64)
-    n_tokens, n_words, one, two, root_one, root_two, root_customers, root_tables = x[:N_SUMS].tolist()
-    share = lambda one, two: min(0.95, max(0.05, one / max(1, one + 2 * two)))
-    discounts = (share(one, two), share(root_one, root_two)) if before is None else (before.discount, before.root_discount)
-    customers, tables = x[N_SUMS:].reshape(2, -1).astype(np.float64)
-    return Totals(n_tokens, n_words, *discounts, customers, tables, root_customers, root_tables)
+
+def rooted(sweep: int, before: Totals | None, n_parts: int):
+    """The root: customers from all partitions, tables seated anew; what each partition has to know of it.
+
+    Sums: tokens, words, words with one and two customers, customers, tables.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(part, []).append(unpack(blob, np.int64, *REPLIED[:3], *REPLIED[4:]))
+        for part, got in held.items():
+            got.sort(key=lambda g: g[0][0])
+            word, at = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
+            count, customers = (np.bincount(at, np.concatenate([g[k] for g in got]), minlength=len(word)).astype(np.int64) for k in (2, 3))
+            tables = np.minimum(customers, 1)
+            if before is not None:
+                base = (STRENGTH + before.root_discount * before.root_tables) / (before.n_words + 1)
+                tables = seated(customers, np.full(len(word), base), before.root_discount, np.random.default_rng([SEED, sweep, part, 1]))
+            context, where = np.unique(np.concatenate([g[4] for g in got]), return_inverse=True)
+            total, theirs = (np.bincount(where, np.concatenate([g[k] for g in got]), minlength=len(context)).astype(np.int64) for k in (5, 6))
+            parts, data, i, k = [], [], 0, 0
+            for g in got:
+                own, ctx = at[i : i + len(g[1])], where[k : k + len(g[4])]
+                i, k = i + len(own), k + len(ctx)
+                parts.append(int(g[0][0]))
+                data.append(pack(word[own], count[own], customers[own], tables[own], context[ctx], total[ctx], theirs[ctx]))
+            sums = [int(count.sum()), int((count > 0).sum()), int((customers == 1).sum()), int((customers == 2).sum()), int(customers.sum()), int(tables.sum())]
+            yield batch_of(parts, [REPLY] * len(parts), data, [sums] + [[]] * (len(parts) - 1))
+
+    return lean(run)
+
+
+def swept(totals: Totals, sweep: int, n_parts: int, hot: np.ndarray):
+    """One Gibbs sweep over a partition's dishes; the sample before is kept if it counts."""
+    held = max(1, sweep - (SWEEPS - KEPT + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, dishes in settled(batches, held):
+            tables, of_contexts, customers, root_tables = dishes.samples[-1]
+            odds = (STRENGTH + totals.discount * of_contexts)[dishes.owner] * totals.root(customers, root_tables)[dishes.at]
+            tables = seated(dishes.customers, odds, totals.discount, np.random.default_rng([SEED, sweep, part, 0]))
+            dishes.samples = [*(dishes.samples if sweep > SWEEPS - KEPT + 1 else []), dishes.fresh(tables)]
+            yield from dishes.row(part, n_parts, hot)
+
+    return lean(run)
+
+
+def settled(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[tuple[int, Dishes]]:
+    """Partitions' dishes with the root's replies taken in."""
+    seats: dict[int, bytes] = {}
+    replies: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for part, kind, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if kind == SEATS:
+                seats[part] = blob
+            else:
+                replies.setdefault(part, []).append(blob)
+    for part in sorted(seats):
+        dishes = Dishes.unpacked(seats.pop(part), held)
+        dishes.told(replies.pop(part, []))
+        yield part, dishes
 
 
 @dataclass
 class Model:
-    state: DataFrame
+    """seats and replies: a row for each partition, and for each of its words' places at the root."""
+
+    seats: DataFrame
+    replies: DataFrame
     samples: list[Totals]
-    at: str
+    hot: np.ndarray
+    n_seen: int
     n_parts: int
 
     @property
@@ -235,103 +407,137 @@ class Model:
         return self.samples[-1].n_tokens
 
 
+def sums_of(rows: DataFrame, n: int) -> list[int]:
+    """Sums over partitions, by Spark: one row reaches the driver."""
+    got = rows.where(F.size("sums") == n).agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(n)]).first()
+    return [int(x or 0) for x in got]
+
+
 def train(docs: DataFrame, at: str, n_parts: int) -> Model:
-    """docs: text of the training rows."""
+    """docs: text, and learn, whether it is learned from."""
     spark = docs.sparkSession
-    state = written(docs.mapInArrow(counted(n_parts), "part int, data binary").repartition(n_parts, "part").mapInArrow(combined, STATE), f"{at}/seats-0")
-    release(spark)
-    totals, samples, held = totals_of(state), [], 1
-    for sweep in range(1, SWEEPS + 1):
-        state = written(state.mapInArrow(swept(totals, sweep, held), STATE), f"{at}/seats-{sweep}")
-        remove(spark, f"{at}/seats-{sweep - 1}")
-        totals = totals_of(state, totals)
-        held = held + 1 if sweep > SWEEPS - KEPT + 1 else 1
-        samples = [*samples, totals] if sweep > SWEEPS - KEPT + 1 else [totals]
-    return Model(state, samples, at, n_parts)
-
-
-def predictive(dishes: Dishes, samples: list[Totals], word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Averaged p(word | context), and the words' training counts."""
-    at = np.minimum(np.searchsorted(dishes.word, word), max(0, len(dishes.word) - 1))
-    known = dishes.word[at] == word if len(dishes.word) else np.zeros(len(word), bool)
-    keys = dishes.owner * (CONTEXTS + 1) + dishes.context
-    wanted = at * (CONTEXTS + 1) + context
-    k = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-    met = known & (keys[k] == wanted) if len(keys) else known
-    p = np.zeros(len(word))
-    for (tables, root_tables), totals in zip(dishes.samples, samples):
-        root = dishes.at_root(tables)
-        parent = totals.root(np.where(known, root[at], 0), np.where(known, root_tables[at], 0)) if len(root) else totals.root(np.zeros(len(word)), np.zeros(len(word)))
-        p += totals.context(context, np.where(met, dishes.customers[k], 0), np.where(met, tables[k], 0), parent) if len(keys) else totals.context(context, 0, 0, parent)
-    count = np.where(known, dishes.at_root(dishes.customers)[at], 0) if len(dishes.word) else np.zeros(len(word), np.int64)
-    return p / len(samples), count
-
-
-def hot_table(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words with a thousandth of all tokens or more: the words, their counts, log10 p(w | u) for every context."""
-    least, samples, kept = model.n_tokens / HOT, model.samples, len(model.samples)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hot, n_seen = hot_words(docs.select("text"), n_parts)
+    share = lambda one, two: min(0.95, max(0.05, one / max(1, one + 2 * two)))
+    pairs = docs.mapInArrow(counted(n_parts, hot), "part int, data binary").repartition(n_parts, "part")
+    state = written(pairs.mapInArrow(combined(n_parts, hot), STATE), f"{at}/seats-0")
+    del pairs
+    discount, totals, samples = share(*sums_of(state, 2)), None, []
+    for sweep in range(SWEEPS + 1):
+        if sweep:
+            both = state.where(F.col("kind") == SEATS).union(root).select("part", "kind", "data").repartition(n_parts, "part")
+            state = written(both.mapInArrow(swept(totals, sweep, n_parts, hot), STATE), f"{at}/seats-{sweep}")
+            for name in ("seats", "root"):
+                remove(spark, f"{at}/{name}-{sweep - 1}")
+            del both
+        up = state.where(F.col("kind") == TO_ROOT).select("part", "data").repartition(n_parts, "part")
+        root = written(up.mapInArrow(rooted(sweep, totals, n_parts), STATE), f"{at}/root-{sweep}")
+        del up
+        n_tokens, n_words, one, two, customers, tables = sums_of(root, 6)
+        totals = Totals(n_tokens, n_words, discount, totals.root_discount if totals else share(one, two), customers, tables)
+        samples = [*(samples if sweep > SWEEPS - KEPT + 1 else []), totals]
+        release(spark)
+    return Model(state.where(F.col("kind") == SEATS).select("part", "kind", "data"), root.select("part", "kind", "data"), samples, hot, n_seen, n_parts)
+
+
+# -- scoring --------------------------------------------------------------------------------------------------------------
+
+
+def hot_pairs(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs with one of hot_share tokens or more: their hashes in order, their words' counts, log10 p(w | u).
+
+    Their contexts are hot as well, so all that is missing in the seats is in the replies.
+    """
+    least, kept = max(2, model.n_seen / hot_share(model.n_parts)), len(model.samples)
+
+    def seats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                dishes = Dishes.unpacked(blob, kept)
-                count = dishes.at_root(dishes.customers)
-                pick = np.flatnonzero(count >= least)
-                logs = [np.log10(predictive(dishes, samples, np.full(CONTEXTS + 1, dishes.word[i]), np.arange(CONTEXTS + 1))[0]).tobytes() for i in pick]
-                yield pa.RecordBatch.from_arrays([pa.array(dishes.word[pick].view(np.int64)), pa.array(count[pick]), pa.array(logs, pa.binary())], ["word", "n", "logs"])
-
-    rows = model.state.select("data").mapInArrow(run, "word long, n long, logs binary").collect() if model.n_tokens else []
-    rows.sort(key=lambda r: r["word"] % (1 << 64))
-    word = np.array([r["word"] % (1 << 64) for r in rows], np.uint64)
-    logs = np.frombuffer(b"".join(bytes(r["logs"]) for r in rows)).reshape(len(rows), CONTEXTS + 1)
-    return word, np.array([r["n"] for r in rows], np.int64), logs
+                d = Dishes.unpacked(blob, kept)
+                i = np.flatnonzero(d.customers + d.others >= least)
+                w, u = d.at[i], d.owner[i]
+                values = np.stack([d.word[w].view(np.int64), d.context[u].view(np.int64), d.customers[i], *(x for s in d.samples for x in (s[0][i], s[1][u], s[2][w], s[3][w]))], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(list(values), pa.list_(pa.int64()))], ["x"])
+
+    rows = [r["x"] for r in model.seats.select("data").mapInArrow(lean(seats), "x array<long>").collect()]
+    if not rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+    x = np.array(rows, np.int64)
+    word, context = (np.ascontiguousarray(x[:, k]).view(np.uint64) for k in (0, 1))
+    all_words, all_contexts = np.unique(word), np.unique(context)
+
+    def of_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                w, count, own, seats, u, total, theirs = unpack(blob, *REPLIED)
+                i, k = np.flatnonzero(isin_sorted(w, all_words)), np.flatnonzero(isin_sorted(u, all_contexts))
+                values = [np.stack([np.zeros(len(i), np.int64), w[i].view(np.int64), count[i], own[i], seats[i]], 1), np.stack([np.ones(len(k), np.int64), u[k].view(np.int64), total[k], theirs[k], total[k]], 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(np.concatenate(values)), pa.list_(pa.int64()))], ["x"])
+
+    facts = model.replies.select("data").mapInArrow(lean(of_root), "x array<long>").distinct().collect()
+    of_word = {r["x"][1] % (1 << 64): r["x"][2:] for r in facts if not r["x"][0]}
+    of_context = {r["x"][1] % (1 << 64): r["x"][2:4] for r in facts if r["x"][0]}
+    count, *last = (np.array([of_word[w][k] for w in word.tolist()], np.int64) for k in range(3))
+    total, theirs = (np.array([of_context[u][k] for u in context.tolist()], np.int64) for k in range(2))
+    p = np.zeros(len(x))
+    for s, t in enumerate(model.samples):
+        tables, of_contexts, own, seats_ = x[:, 3 + 4 * s : 7 + 4 * s].T
+        if s == kept - 1:
+            of_contexts, own, seats_ = theirs, *last
+        p += t.context(x[:, 2], tables, total, of_contexts, t.root(own, seats_))
+    key = pair_hash(context, word)
+    order = np.argsort(key)
+    return key[order], count[order], np.log10(p / kept)[order]
 
 
 SUMS = (np.uint64, np.int64, np.int64, np.float64, np.float64)
-ROSTER, ASKED, SEATS, PARTIAL = range(4)
 
 
-def asked(model: Model, hot: tuple, n_out: int):
-    """Texts to packed rows: tokens by their word's partition, and a roster with what is known at once."""
-    words_hot, count_hot, logs_hot = hot
-    n, v, n_parts = model.n_tokens, model.samples[-1].n_words, model.n_parts
+def asked(model: Model, hot_table: tuple, n_out: int):
+    """Texts to packed rows: tokens by their pair's partition, and a roster with what is known at once."""
+    hash_hot, count_hot, log_hot = hot_table
+    n, v, n_parts, hot = model.n_tokens, model.samples[-1].n_words, model.n_parts, model.hot
     base_hot = np.log10((count_hot + 0.1) / (n + 0.1 * (v + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, 8 << 20):
-            rows = part.num_rows
-            ids = part.column(0).fill_null(0).to_numpy()
-            row = mix(mix(ids.view(np.uint64)) ^ part.column(1).to_numpy().view(np.uint64) ^ np.where(part.column(0).is_null().to_numpy(zero_copy_only=False), 1, 0).astype(np.uint64))
-            word, context, doc = tokens(*buffers(part.column(2)))
-            base, score, total = np.zeros(rows), np.zeros(rows), np.bincount(doc, minlength=rows)
-            near = np.zeros(len(word), bool)
-            if len(words_hot):
-                at = np.minimum(np.searchsorted(words_hot, word), len(words_hot) - 1)
-                near = words_hot[at] == word
-                own, at = doc[near], at[near]
-                base = np.bincount(own, base_hot[at], minlength=rows)
-                score = np.bincount(own, logs_hot[at, context[near]], minlength=rows)
-            known = np.bincount(doc[near], minlength=rows)
+        for piece in pieces(batches, SLICE):
+            rows = piece.num_rows
+            ids, valid = piece.column(0).fill_null(0).to_numpy(), piece.column(0).is_valid().to_numpy(zero_copy_only=False)
+            row = mix(mix(ids.view(np.uint64)) ^ piece.column(1).to_numpy().view(np.uint64) ^ (~valid).astype(np.uint64))
+            known, at, doc = tokens(*buffers(piece.column(2)))
+            total = np.bincount(doc, minlength=rows)
+            keys, which = np.unique(pair_keys(known, at), return_inverse=True)
+            hashes = pair_hash(known[keys // len(known)], known[keys % len(known)])
+            near = isin_sorted(hashes, hash_hot)
+            met, base, score = (np.zeros(rows) for _ in range(3))
+            if near.any():
+                here = near[which]
+                own, k = doc[here], np.searchsorted(hash_hot, hashes[which[here]])
+                met, base, score = (np.bincount(own, x[k], minlength=rows) for x in (count_hot > 0, base_hot, log_hot))
+                doc, which = doc[~here], which[~here]
             to = (row % np.uint64(n_out)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            out = [(p, ROSTER, pack(row[order[s:e]], total[order[s:e]], known[order[s:e]], base[order[s:e]], score[order[s:e]], ids[order[s:e]], part.column(0).is_valid().to_numpy(zero_copy_only=False)[order[s:e]].view(np.uint8))) for p, s, e in cut(rows, to[order])]
-            word, context, doc = word[~near], context[~near], doc[~near]
-            to = (word % np.uint64(n_parts)).astype(np.int64)
-            order = np.lexsort((doc, word, to))
-            word, context, doc, to = word[order], context[order], doc[order], to[order]
-            for p, s, e in cut(len(word), to):
-                w = word[s:e]
-                new = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-                docs, d = np.unique(doc[s:e], return_inverse=True)
-                out.append((p, ASKED, pack(w[new], np.diff(np.r_[new, e - s]).astype(np.uint32), context[s:e].astype(np.uint16), d.astype(np.uint32), row[docs])))
-            parts, kinds, data = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(data, pa.binary())], ["part", "kind", "data"])
+            columns = (row, total, met.astype(np.int64), base, score, ids, valid.view(np.uint8))
+            out = [(p, ROSTER, pack(*(c[order[s:e]] for c in columns))) for p, s, e in cut(rows, to[order])]
+            far = np.flatnonzero(~near)
+            to = dealt(known, keys[far], hot, n_parts)
+            order = np.argsort(to, kind="stable")
+            far, runs = far[order], cut(len(far), to[order])
+            place = np.zeros(len(keys), np.int64)
+            place[far] = np.arange(len(far))
+            place = place[which]
+            doc = doc[np.argsort(place, kind="stable")]
+            times = np.bincount(place, minlength=len(far))
+            start = np.r_[0, np.cumsum(times)]
+            for p, s, e in runs:
+                used, d = np.unique(doc[start[s] : start[e]], return_inverse=True)
+                out.append((p, ASKED, pack(*named(known, keys[far[s:e]]), times[s:e].astype(np.uint32), d.astype(np.uint32), row[used])))
+            yield batch_of(*(list(x) for x in zip(*out)))
 
     return lean(run)
 
 
 def answered(model: Model, n_out: int):
-    """A partition's tokens to sums by document, with its dishes; rosters pass."""
+    """A partition's tokens to sums by document; its seats and the root's replies come first, rosters pass."""
     samples, kept, n, v = model.samples, len(model.samples), model.n_tokens, model.samples[-1].n_words
 
     def flushed(sums: list) -> Iterator[pa.RecordBatch]:
@@ -343,35 +549,39 @@ def answered(model: Model, n_out: int):
         zero = np.zeros(len(row), np.int64)
         runs = cut(len(row), to[order])
         data = [pack(row[o], zero[o], known[o].astype(np.int64), base[o], score[o]) for o in (order[s:e] for _, s, e in runs)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array([PARTIAL] * len(runs), pa.int32()), pa.array(data, pa.binary())], ["part", "kind", "data"])
+        yield batch_of([r[0] for r in runs], [PARTIAL] * len(runs), data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seats: dict[int, bytes] = {}
-        waiting: dict[int, list[bytes]] = {}
+        part, seats, replies, dishes, sums, size = None, b"", [], None, [], 0
         for batch in batches:
-            kind = batch.column(1).to_numpy()
-            if (kind == ROSTER).any():
-                yield batch.filter(pa.array(kind == ROSTER))
-            for part, k, blob in zip(batch.column(0).to_pylist(), kind.tolist(), batch.column(2).to_pylist()):
-                if k == SEATS:
-                    seats[part] = blob
-                elif k == ASKED:
-                    waiting.setdefault(part, []).append(blob)
-        none = np.zeros(0, np.int64)
-        for part, blobs in waiting.items():
-            dishes = Dishes.unpacked(seats.pop(part), kept) if part in seats else Dishes(none.astype(np.uint64), none, none, none, [(none, none)] * kept)
-            sums, size = [], 0
-            for blob in blobs:
-                word, each, context, doc, row = unpack(blob, np.uint64, np.uint32, np.uint16, np.uint32, np.uint64)
-                p, count = predictive(dishes, samples, np.repeat(word, each), context.astype(np.int64))
-                base = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
-                sums.append((row, np.bincount(doc, count > 0, minlength=len(row)), np.bincount(doc, base, minlength=len(row)), np.bincount(doc, np.log10(p), minlength=len(row))))
-                size += len(row)
-                if size > 1_000_000:
-                    yield from flushed(sums)
-                    sums, size = [], 0
-            if sums:
-                yield from flushed(sums)
+            for p, kind, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if p != part:
+                    if sums:
+                        yield from flushed(sums)
+                    part, replies, dishes, sums, size = p, [], None, [], 0
+                if kind == ROSTER:
+                    yield batch_of([p], [kind], [blob])
+                elif kind == SEATS:
+                    seats = blob
+                elif kind == REPLY:
+                    replies.append(blob)
+                else:
+                    if dishes is None:
+                        dishes = Dishes.unpacked(seats, kept)
+                        dishes.told(replies)
+                        logs, base = np.log10(dishes.probability(samples)), np.log10((dishes.count + 0.1) / (n + 0.1 * (v + 1)))
+                        keys = dishes.owner * len(dishes.word) + dishes.at
+                    word, context, each, w, times, doc, row = unpack(blob, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint64)
+                    w = np.searchsorted(dishes.word, word)[w]
+                    k = np.repeat(np.searchsorted(keys, np.repeat(np.searchsorted(dishes.context, context), each) * len(dishes.word) + w), times)
+                    w = np.repeat(w, times)
+                    sums.append((row, *(np.bincount(doc, x, minlength=len(row)) for x in (dishes.count[w] > 0, base[w], logs[k]))))
+                    size += len(row)
+                    if size > 1_000_000:
+                        yield from flushed(sums)
+                        sums, size = [], 0
+        if sums:
+            yield from flushed(sums)
 
     return lean(run)
 
@@ -400,21 +610,30 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + 50_000], mask=valid[s : s + 50_000] == 0), pa.array(total[a]), pa.array(known[a]), pa.array(columns[2][a]), pa.array(columns[3][a])], ["id", "n_tokens", "n_known", "base_score", "score"])
 
 
+def answers(docs: DataFrame, model: Model) -> DataFrame:
+    """id, n_tokens, n_known, base_score, score of the documents that the model was trained with; docs: id, key, text."""
+    n_parts = model.n_parts
+    schema = "part int, kind int, data binary"
+    rows = docs.select("id", "key", "text").mapInArrow(asked(model, hot_pairs(model), n_parts), schema).union(model.seats).union(model.replies)
+    sums = rows.repartition(n_parts, "part").sortWithinPartitions("part", "kind").mapInArrow(answered(model, n_parts), schema)
+    return sums.repartition(n_parts, "part").mapInArrow(summed, "id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def prepared(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, key, text, and learn: whether the row is learned from."""
+    learn = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS != 0, F.lit(False))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), learn.alias("learn"))
+
+
 def scored(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     spark = documents.sparkSession
-    at = run_dir(spark, "pitman-yor")
     n_parts = partitions(spark, 3 * estimated_bytes(documents), 40 << 20)
-    remainder = F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    model = train(documents.where(remainder != 0).select(text.alias("text")), at, n_parts)
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    schema = "part int, kind int, data binary"
-    rows = docs.mapInArrow(asked(model, hot_table(model), n_parts), schema).union(model.state.select("part", F.lit(SEATS).alias("kind"), "data"))
-    sums = rows.repartition(n_parts, "part").mapInArrow(answered(model, n_parts), schema)
-    out = sums.repartition(n_parts, "part").mapInArrow(summed, "id long, n_tokens long, n_known long, base_score double, score double")
+    docs = prepared(documents, id_col, text_col)
+    model = train(docs.select("text", "learn"), run_dir(spark, "pitman-yor"), n_parts)
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
-    return out.select("id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return answers(docs, model).select("id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_pitman_yor(spark, sf_dir: str) -> DataFrame:

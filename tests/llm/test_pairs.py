@@ -218,34 +218,80 @@ def test_scores(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_predictive_sums_to_one(spark):
-    """Over all known words and one unknown, in contexts seen and unseen."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120").select("text")
-    model = pitman_yor.train(docs, run_dir(spark, "t"), 3)
-    parts = [pitman_yor.Dishes.unpacked(bytes(r["data"]), pitman_yor.KEPT) for r in model.state.collect()]
-    assert sum(len(p.word) for p in parts) == model.samples[-1].n_words
-    for u in (pitman_yor.START, *np.argsort(model.samples[-1].customers)[[0, -1, -50]].tolist()):
-        total = sum(pitman_yor.predictive(p, model.samples, p.word, np.full(len(p.word), u))[0].sum() for p in parts)
-        unknown = pitman_yor.predictive(parts[0], model.samples, np.array([12345], np.uint64), np.array([u]))[0][0]
-        assert total + unknown == pytest.approx(1, abs=1e-9)
+def test_scores_follow_from_the_seats(spark):
+    """Scores against the formulas on all seats, in plain Python; probabilities over all words and one unknown sum to one."""
+    docs = pitman_yor.prepared(spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120"))
+    model = pitman_yor.train(docs.select("text", "learn"), run_dir(spark, "t"), 3)
+    batches = model.seats.union(model.replies).toArrow().to_batches()
+    customers, samples = {}, [({}, Counter(), {}) for _ in model.samples]
+    for _, d in pitman_yor.settled(batches, len(model.samples)):
+        pairs = list(zip(d.context[d.owner].tolist(), d.word[d.at].tolist()))
+        customers |= dict(zip(pairs, d.customers.tolist()))
+        for (tables, _, own, seats), (t, totals, root) in zip(d.samples, samples):
+            t |= dict(zip(pairs, tables.tolist()))
+            root |= dict(zip(d.word.tolist(), zip(own.tolist(), seats.tolist())))
+            for (u, _), x in zip(pairs, tables.tolist()):
+                totals[u] += x
+    c_u = Counter()
+    for (u, _), c in customers.items():
+        c_u[u] += c
+    for s, (t, t_u, root) in zip(model.samples, samples):
+        own = Counter()
+        for (u, w), x in t.items():
+            own[w] += x
+            assert (x > 0) == (customers[u, w] > 0) and x <= customers[u, w]
+        assert all(root[w][0] == x for w, x in own.items()) and s.root_customers == sum(own.values())
+        assert s.root_tables == sum(x for _, x in root.values()) and s.n_words == sum(x > 0 for x in own.values())
+
+    def p(u, w):
+        out = 0.0
+        for s, (t, t_u, root) in zip(model.samples, samples):
+            c, r = root.get(w, (0, 0))
+            below = 5.0 + s.root_customers
+            parent = (c - s.root_discount * r) / below + (5.0 + s.root_discount * s.root_tables) / below / (s.n_words + 1)
+            out += (customers.get((u, w), 0) - s.discount * t.get((u, w), 0) + (5.0 + s.discount * t_u[u]) * parent) / (5.0 + c_u[u])
+        return out / len(model.samples)
+
+    known = [w for w, (c, _) in samples[0][2].items() if c]
+    for u in [int(pitman_yor.END), *[u for u, _ in c_u.most_common(3)], 12345]:
+        assert sum(p(u, w) for w in known) + p(u, 54321) == pytest.approx(1, abs=1e-9)
+    got = {r["id"]: r["score"] for r in pitman_yor.answers(docs, model).collect()}
+    for r in docs.collect():
+        raw = np.frombuffer(r["text"].encode(), np.uint8)
+        words, at, _ = pitman_yor.tokens(raw, np.array([0, len(raw)]))
+        own = words[at].tolist()
+        assert got[r["id"]] == pytest.approx(sum(math.log10(p(u, w)) for u, w in zip([int(pitman_yor.END), *own], own)), rel=1e-9)
+    assert len(got) == docs.count()
+
+
+def test_scores_do_not_depend_on_how_contexts_are_dealt(spark, monkeypatch):
+    """With every context hot, or none, counts are the same and held-out scores alike."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 200")
+    out = []
+    for share in (1, 1 << 20):
+        monkeypatch.setattr(pitman_yor, "hot_share", lambda n_parts, share=share: share)
+        out.append({r["id"]: r for r in pitman_yor.scored(docs).collect()})
+    a, b = out
+    assert a.keys() == b.keys()
+    for i, r in a.items():
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (b[i]["n_tokens"], b[i]["n_known"], b[i]["train_tokens"])
+        assert r["base_score"] == pytest.approx(b[i]["base_score"], rel=1e-9) and r["score"] == pytest.approx(b[i]["score"], rel=0.05)
 
 
 def test_seating():
     rng = np.random.default_rng(1)
-    c = np.array([1, 2, 5, 100, 5000])
-    tables = np.mean([pitman_yor.seated(c, np.full(5, 0.5), 0.3, rng) for _ in range(3000)], axis=0)
+    c = np.array([0, 1, 2, 5, 100, 3000])
+    tables = np.mean([pitman_yor.seated(c, np.full(6, 0.5), 0.3, rng) for _ in range(3000)], axis=0)
     want = []
-    for n in c:  # tables expected, by the recursion on their number
-        p = {1: 1.0}
-        for i in range(1, min(n, 100)):
-            q = defaultdict(float)
-            for t, w in p.items():
-                new = 0.5 / (0.5 + i - 0.3 * t)
-                q[t + 1] += w * new
-                q[t] += w * (1 - new)
-            p = q
-        want.append(sum(t * w for t, w in p.items()))
-    assert tables[:4] == pytest.approx(want[:4], rel=0.05) and tables[4] > want[3]
+    for n in c.tolist():  # tables expected, by the recursion on their number
+        p = np.zeros(n + 2)
+        p[min(n, 1)] = 1.0
+        t = np.arange(n + 2)
+        for i in range(1, n):
+            new = 0.5 / (0.5 + i - 0.3 * np.minimum(t, i))
+            p = p * (1 - new) + np.r_[0, (p * new)[:-1]]
+        want.append((p * t).sum())
+    assert tables == pytest.approx(np.array(want), rel=0.03)
 
 
 def test_scores_of_odd_tables(odd, empty):
