@@ -41,6 +41,7 @@ from .util import buffers, estimated_bytes, lean, partitions, pieces, remove, ru
 
 SWEEPS, KEPT, STRENGTH, SEED = 3, 2, 5.0, 11
 FOLDS = 10
+FEW = 16  # dishes that are seated one by one
 SLICE = 16 << 20  # bytes of text whose tokens are counted or asked for together
 END = np.uint64(0xE4D0F7E57A11ED01)
 
@@ -75,38 +76,31 @@ def isin_sorted(x: np.ndarray, held: np.ndarray) -> np.ndarray:
     return held[np.minimum(np.searchsorted(held, x), len(held) - 1)] == x
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """By Stirling's series, for x over 3."""
-    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
-
-
 def seated(customers: np.ndarray, odds: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of dishes by seating their customers one by one; odds: (strength + discount * tables) * parent's probability.
 
-    After a dish's 64th customer, how many sit down before the next new table is drawn by its exact distribution, which
-    takes a step for each table instead of one for each customer.
+    Dishes are seated side by side, a customer of each a step. The last few dishes, the largest, go one by one, in runs of
+    customers: a customer opens a table if the dish has over a drawn number of tables by then, so from the tables before
+    the run, recounting until nothing changes gives just what seating in turn gives. Time grows with customers.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
     live, i = np.flatnonzero(customers > 1), 1
-    while len(live) and i < 64:
+    while len(live) > FEW:
         tables[live] += rng.random(len(live)) < odds[live] / (odds[live] + i - discount * tables[live])
         i += 1
         live = live[customers[live] > i]
-    at = np.full(len(live), i, np.int64)
-    while len(live):
-        taken, theta, n = discount * tables[live], odds[live], customers[live]
-        none_new = lambda x: log_gamma(x - taken) - log_gamma(x - taken + theta)  # noqa: E731, B023
-        least = np.log1p(-rng.random(len(live))) + none_new(at)
-        low, high = at.copy(), n.copy()
-        for _ in range(int(np.max(high - low)).bit_length()):
-            middle = (low + high + 1) // 2
-            yes = none_new(middle) >= least
-            low, high = np.where(yes, middle, low), np.where(yes, high, middle - 1)
-        new = low < n
-        tables[live] += new
-        at = low + 1
-        more = new & (at < n)
-        live, at = live[more], at[more]
+    for k in live.tolist():
+        at, n, theta, own = i, int(customers[k]), float(odds[k]), int(tables[k])
+        while at < n:
+            size = min(n - at, max(64, at), 1 << 18)
+            least = (theta + np.arange(at, at + size) - theta / (1 - rng.random(size))) / discount
+            opened = 0
+            new = own > least
+            while (found := int(np.count_nonzero(new))) > opened:
+                opened = found
+                new = own + np.cumsum(new) - new > least
+            own, at = own + opened, at + size
+        tables[k] = own
     return tables
 
 
