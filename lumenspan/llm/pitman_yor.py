@@ -42,7 +42,7 @@ from .util import buffers, estimated_bytes, lean, partitions, pieces, remove, ru
 SWEEPS, KEPT, STRENGTH, SEED = 3, 2, 5.0, 11
 FOLDS = 10
 FEW = 16  # dishes that are seated one by one
-SLICE = 16 << 20  # bytes of text whose tokens are counted or asked for together
+SLICE = 8 << 20  # bytes of text whose tokens are counted or asked for together
 END = np.uint64(0xE4D0F7E57A11ED01)
 
 
