@@ -136,7 +136,7 @@ class Dishes:
     SAMPLE = (np.uint32, np.int64, np.int64, np.int64)
 
     def __init__(self, word, count, context, each, total, at, customers, others, samples) -> None:
-        self.word, self.count, self.context, self.each, self.total = word, count, context, each.astype(np.int64), total
+        self.word, self.count, self.context, self.each, self.total = word, count.copy(), context, each.astype(np.int64), total.copy()
         self.at, self.customers, self.others, self.samples = at.astype(np.int64), customers.astype(np.int64), others, samples
         self.owner = np.repeat(np.arange(len(context)), self.each)
 
