@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import op12_chat_format
 from .decontaminate import op1_qgram_decontamination
 from .jaccard_join import op6_partenum_jaccard
 from .line_rules import op10_line_rules
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_pitman_yor": op8_pitman_yor,
     "op9_unigram_pieces": op9_unigram_pieces,
     "op10_line_rules": op10_line_rules,
+    "op12_chat_format": op12_chat_format,
 }
 ORACLES: dict[str, str] = {
     "op10_line_rules": r"""
@@ -101,4 +103,10 @@ l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r(doc_id, low) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.y, r.low FROM r JOIN e ON e.x = r.doc_id WHERE r.low < e.y)
 SELECT n.doc_id, n.n AS n_shingles, min(r.low) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY 1, 2""",
+    "op12_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (SELECT *, length(text) + len(regexp_extract_all(text, '\\|<s>|</s>|\[/?INST\]|\[TEXT\]|\[/?ROLE\]')) AS n, length(role) + len(regexp_extract_all(role, '\\|<s>|</s>|\[/?INST\]|\[TEXT\]|\[/?ROLE\]')) AS r FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(CASE role WHEN 'user' THEN n + 15 WHEN 'assistant' THEN n + 10 ELSE r + n + 17 END) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
 }
