@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .chat_format import op12_chat_format
 from .decontaminate import op1_qgram_decontamination
+from .divergence import op13_source_divergence
 from .jaccard_join import op6_partenum_jaccard
+from .lexical_search import op11_ranked_search
 from .line_rules import op10_line_rules
 from .pitman_yor import op8_pitman_yor
 from .pu_quality import op3_pu_quality
@@ -25,7 +27,9 @@ QUERIES = {
     "op8_pitman_yor": op8_pitman_yor,
     "op9_unigram_pieces": op9_unigram_pieces,
     "op10_line_rules": op10_line_rules,
+    "op11_ranked_search": op11_ranked_search,
     "op12_chat_format": op12_chat_format,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLES: dict[str, str] = {
     "op10_line_rules": r"""
@@ -103,10 +107,34 @@ l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r(doc_id, low) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.y, r.low FROM r JOIN e ON e.x = r.doc_id WHERE r.low < e.y)
 SELECT n.doc_id, n.n AS n_shingles, min(r.low) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY 1, 2""",
+    "op11_ranked_search": r"""
+WITH
+d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM d),
+t AS (SELECT k, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT k, unnest(w) AS term FROM d) SEMI JOIN b USING (term) GROUP BY k, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * N + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term, N),
+m AS (SELECT k, doc_id, 50 + (50 * len(w) * N) // L AS m FROM d, c WHERE len(w) > 0),
+s AS (SELECT b.item_id, t.k, CAST(sum(f.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * m.m))) AS BIGINT) AS score FROM b JOIN t ON t.term = b.term JOIN f ON f.term = b.term JOIN m ON m.k = t.k GROUP BY b.item_id, t.k),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s JOIN m USING (k) WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50""",
     "op12_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 t AS (SELECT *, length(text) + len(regexp_extract_all(text, '\\|<s>|</s>|\[/?INST\]|\[TEXT\]|\[/?ROLE\]')) AS n, length(role) + len(regexp_extract_all(role, '\\|<s>|</s>|\[/?INST\]|\[TEXT\]|\[/?ROLE\]')) AS r FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(3 + sum(CASE role WHEN 'user' THEN n + 15 WHEN 'assistant' THEN n + 10 ELSE r + n + 17 END) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+    "op13_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+keep AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN keep USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM keep GROUP BY lang),
+g AS (SELECT d.lang, d.source, coalesce(any_value(v.v), 0) AS v, coalesce((SELECT sum(c.n) FROM c WHERE c.lang = d.lang AND c.source = d.source), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN v ON v.lang = d.lang GROUP BY d.lang, d.source),
+p AS (SELECT g.lang, g.source, keep.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // CAST(g.n + 2 * g.v AS HUGEINT) AS p FROM g JOIN keep ON keep.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = keep.term),
+q AS (SELECT keep.lang, keep.term, 1 + CAST(1000000000 AS HUGEINT) * (keep.n + 2) // CAST(v.n + 2 * v.v AS HUGEINT) AS q FROM keep JOIN v ON v.lang = keep.lang),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, CAST((p.p - q.q) * (p.p - q.q) // (p.p + q.q) AS BIGINT) FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 10""",
 }
