@@ -7,9 +7,10 @@ A line with a word is judged by, in this order (the first that fails names the l
 * ``shouting``: over half of its words end in ``!!``, or over seven tenths of its letters are capitals (three words at least);
 * ``repetition``: of ten words or more, over half stand directly after the same word, or under a fifth are different, on
   average over all windows of ``SPAN`` consecutive words (of fewer words, over the line);
-* ``boilerplate``: a known notice, see BOILERPLATE;
+* ``boilerplate``: known notices, see BOILERPLATE, make up a fifth of its words or more; one mention in a longer line is
+  no reason;
 * ``duplicate``: equal to an earlier line of the text;
-* ``fragment``: under three words without a mark that ends a sentence.
+* ``punctuation``: its last word ends with no mark of ENDS, and under one in 40 of its words does, whatever its length.
 
 Lines without a word don't count. Words are split by ASCII white space. A document is kept unless it fails the base
 rules (under 50 words, or over half of its words in repeated 3-word windows) or the lines kept hold under half of its
@@ -40,7 +41,9 @@ BOILERPLATE = re.compile(
     r"|all rights reserved|sign in to|log in to|subscribe to our|click here|skip to (?:main )?content|lorem ipsum",
     re.I,
 )
-ENDS = (".", "!", "?", "…", ":", ";", '"', "'", ")", "»", "”", "。", "！", "？", ",")
+ENDS = (".", "!", "?", "…", ":", ";", '"', "'", ")", "»", "”", "。", "！", "？", "؟", "।", ",")
+# One word in so many is enough of notices to fail a line, and of ends of sentences or clauses to pass it.
+NOTICE, SENTENCE = 5, 40
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_WORDS, MAX_REPEAT, MIN_KEPT = 50, 50, 0.5
 # A longer text has ever fewer new words, so the share of different ones is taken over as many words at most.
@@ -89,12 +92,13 @@ def judge(line: str, words: list[str], earlier: set[str]) -> str:
         different, of = kinds(words)
         if 5 * different < of or 2 * sum(map(str.__eq__, words, words[1:])) > n:
             return "repetition"
-    if BOILERPLATE.search(line):
+    notices = [m[0] for m in BOILERPLATE.finditer(line)]
+    if notices and NOTICE * sum(m.count(" ") + 1 for m in notices) >= n:
         return "boilerplate"
     if line in earlier:
         return "duplicate"
-    if n < 3 and not line.rstrip().endswith(ENDS):
-        return "fragment"
+    if not words[-1].endswith(ENDS) and SENTENCE * sum(w.endswith(ENDS) for w in words) < n:
+        return "punctuation"
     return ""
 
 

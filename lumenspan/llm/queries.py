@@ -40,12 +40,13 @@ v0 AS (SELECT doc_id, k, len(words) AS n, unnest(range(len(words))) AS i, unnest
 y AS (SELECT doc_id, k, sum(greatest(0, least(i, n - 2000) - greatest(last, i - 2000))) AS different FROM (SELECT *, coalesce(lag(i) OVER (PARTITION BY doc_id, k, v ORDER BY i), -1) AS last FROM v0) GROUP BY doc_id, k),
 x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS again, list_sum(list_transform(words, lambda v: length(v))) AS size,
   len(list_filter(words, lambda v: v IN ('|', '||', '·', '•', '»', '›', '>', '/', '::'))) AS bars, len(list_filter(words, lambda v: regexp_matches(v, '[#*$%&|<>]'))) AS marked,
-  len(list_filter(words, lambda v: ends_with(v, '!!'))) AS shouts, CASE WHEN n <= 2000 THEN len(list_distinct(words)) ELSE different END AS kinds, CASE WHEN n <= 2000 THEN n ELSE 2000 * (n - 1999) END AS whole, len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS twins FROM (SELECT w.*, len(words) AS n, different FROM w LEFT JOIN y USING (doc_id, k)) WHERE n > 0),
+  len(list_filter(words, lambda v: ends_with(v, '!!'))) AS shouts, CASE WHEN n <= 2000 THEN len(list_distinct(words)) ELSE different END AS kinds, CASE WHEN n <= 2000 THEN n ELSE 2000 * (n - 1999) END AS whole, len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS twins,
+  coalesce(list_sum(list_transform(regexp_extract_all(line, '(?i)cookie policy|accept (?:all )?cookies|we use cookies|enable javascript|javascript is (?:disabled|required)|privacy policy|terms of (?:use|service)|all rights reserved|sign in to|log in to|subscribe to our|click here|skip to (?:main )?content|lorem ipsum'), lambda m: len(string_split(m, ' ')))), 0) AS notice FROM (SELECT w.*, len(words) AS n, different FROM w LEFT JOIN y USING (doc_id, k)) WHERE n > 0),
 j AS (SELECT *, CASE WHEN bars >= 2 AND 4 * bars > n THEN 'navigation' WHEN 10 * marked > 3 * n THEN 'symbols'
   WHEN n >= 3 AND (2 * shouts > n OR 10 * length(regexp_replace(letters, '[^\p{Lu}]', '', 'g')) > 7 * length(letters)) THEN 'shouting'
   WHEN n >= 10 AND (2 * twins > n OR 5 * kinds < whole) THEN 'repetition'
-  WHEN regexp_matches(line, '(?i)cookie policy|accept (?:all )?cookies|we use cookies|enable javascript|javascript is (?:disabled|required)|privacy policy|terms of (?:use|service)|all rights reserved|sign in to|log in to|subscribe to our|click here|skip to (?:main )?content|lorem ipsum') THEN 'boilerplate'
-  WHEN again THEN 'duplicate' WHEN n < 3 AND NOT regexp_matches(line, '[.!?…:;"'')»”。！？,]\s*$') THEN 'fragment' ELSE '' END AS why FROM x),
+  WHEN notice > 0 AND 5 * notice >= n THEN 'boilerplate'
+  WHEN again THEN 'duplicate' WHEN NOT regexp_matches(words[-1], '[.!?…:;"'')»”。！？؟।,]$') AND 40 * len(list_filter(words, lambda v: regexp_matches(v, '[.!?…:;"'')»”。！？؟।,]$'))) < n THEN 'punctuation' ELSE '' END AS why FROM x),
 d AS (SELECT doc_id, sum(n) AS n_words, sum(size) AS word_chars, count(*) FILTER (again) AS n_dup_lines, count(*) AS n_lines, count(*) FILTER (why = '') AS n_kept_lines, coalesce(sum(size) FILTER (why = ''), 0) AS kept_chars,
   coalesce(string_agg(DISTINCT why, ',' ORDER BY why) FILTER (why <> ''), '') AS failed_rules FROM j GROUP BY doc_id),
 v AS (SELECT doc_id, unnest(range(1, len(a) - 1)) AS i, unnest(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2])) AS g FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS a FROM t)),
