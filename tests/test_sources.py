@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenspan.operators import logs
-from lumenspan.sources import html, readers, rest, sinks
+from lumenspan.operators import intervals, logs
+from lumenspan.sources import crawl, files, html, readers, rest, sinks
 from lumenspan.streaming import status
 
 
@@ -143,7 +143,7 @@ def test_status_stream(spark, tmp_path):
     assert {tuple(r) for r in spark.table("statuses").collect()} == {("r", 80, "processing", True), ("u", 0, "pending", False)}
 
 
-def test_paged_source_pushes_year_and_month(spark):
+def test_paged_source_asks_for_year_and_month(spark):
     def yearly(first, last, filters):
         if filters != {"year": "2024", "month": "03"}:
             raise OSError("asked for everything")
@@ -151,3 +151,169 @@ def test_paged_source_pushes_year_and_month(spark):
 
     spark.dataSource.register(rest.paged_source("paged_yearly", yearly, "svc"))
     assert rest.read_pages(spark, "paged_yearly", ["a"], 3, year="2024", month="03").count() == 7
+
+
+def logged(path, *told):
+    """Tasks may be processes of their own, so requests are told in a file."""
+    with open(path, "a") as f:
+        f.write(json.dumps(told) + "\n")
+
+
+def requests(path):
+    return sorted(path.read_text().splitlines()) if path.exists() else []
+
+
+@pytest.mark.parametrize("broken", [None, 5])
+def test_every_page_is_requested_once(spark, tmp_path, broken):
+    at = tmp_path / "log"
+
+    def counted(first, last, filters):
+        logged(at, first, last)
+        if first == broken:
+            raise OSError("no network")
+        return pages(first, last, {})
+
+    name = f"paged_counted_{broken}"
+    spark.dataSource.register(rest.paged_source(name, counted, "svc"))
+    out = rest.read_pages(spark, name, ["a"], 2, keep=str(tmp_path / "kept"))
+    assert sorted(r["a"] for r in out.collect()) == list("1234567")[: 7 if broken is None else 4]
+    assert out.count() and requests(at) == sorted(json.dumps(x) for x in ([1, 1], [1, 2], [3, 4], [5, 6], [7, 7]))
+
+
+def monthly(path):
+    def run(first, last, filters):
+        logged(path, first, last, filters["year"], filters["month"])
+        year, month = int(filters["year"]), int(filters["month"])
+        if (year, month) == (2016, 2) or (year, month, first) == (2017, 3, 3):
+            raise OSError("no network")
+        total = 0 if month == 12 else month % 5
+        return json.dumps({"svc": {"list_total_count": total, "RESULT": {"CODE": "INFO-000"}, "row": [{"a": f"{year}-{month}-{k}"} for k in range(first, min(last, total) + 1)]}})
+
+    return run
+
+
+def test_all_months_in_one_scan(spark, tmp_path):
+    """120 months, each a partition: every request once, a failure ends its month alone."""
+    at = tmp_path / "log"
+    spark.dataSource.register(rest.monthly_source("months_all", monthly(at), "svc"))
+    df = rest.read_months(spark, "months_all", ["a"], page_size=2)
+    got = sorted(r["a"] for r in df.collect())
+    want = [f"{y}-{m}-{k}" for y in range(2015, 2025) for m in range(1, 12) for k in range(1, m % 5 + 1) if (y, m) != (2016, 2) and not ((y, m) == (2017, 3) and k >= 3)]
+    assert got == sorted(want)
+    made = requests(at)
+    assert len(made) == len(set(made)) and sum('[1, 1, ' in x for x in made) == 120
+    assert df.rdd.getNumPartitions() == 120
+
+
+@pytest.mark.parametrize("condition, n", [("year IN (2016, 2018) AND month = 3", 2), ("year >= 2020 AND year < 2022 AND month > 10", 4), ("year = 2024 AND month <= 2", 2), ("year > 2024", 0)])
+def test_months_are_chosen_by_pushed_predicates(spark, tmp_path, condition, n):
+    at, name = tmp_path / "log", f"months_{abs(hash(condition))}"
+    spark.dataSource.register(rest.monthly_source(name, monthly(at), "svc", pushdown=True))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = spark.read.format(name).option("page_size", 10).load().where(condition).collect()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert sum("[1, 1, " in x for x in requests(at)) == n
+    assert {(r.year, r.month) for r in rows} <= {(r.year, r.month) for r in spark.createDataFrame([(y, m) for y in range(2015, 2025) for m in range(1, 13)], "year int, month int").where(condition).collect()}
+
+
+def test_crawl_tells_and_skips_failing_pages(spark, tmp_path):
+    at = tmp_path / "log"
+
+    def fetch(start):
+        logged(at, start)
+        if start == 11 or start == 31 and sum(x == "[31]" for x in requests(at)) < 2:
+            raise OSError("no network")
+        return f'<article><h1>page {start}</h1><p>text</p></article>'
+
+    spark.dataSource.register(crawl.crawl_source("crawl_test", fetch))
+    got = crawl.crawl(spark, "crawl_test", pages=4, retries=2)
+    rows = {r.page: r for r in got.collect()}
+    assert [rows[k].attempts for k in (1, 2, 3, 4)] == [1, 3, 1, 2] and rows[2].error == "OSError: no network" and rows[2].html is None
+    kept = html.articles(got.where("error IS NULL"), "html", ["page"], {"title": "article h1", "around": "article", "summary": "p"})
+    assert sorted((r.page, r.title) for r in kept.collect()) == [(1, "page 1"), (3, "page 21"), (4, "page 31")]
+
+
+def test_fetched_rows_of_a_table(spark):
+    def fetch(row):
+        if row["url"] is None:
+            raise ValueError("no address")
+        return row["url"].upper()
+
+    got = crawl.fetched(spark.createDataFrame([(1, "a"), (2, None)], "id long, url string"), fetch, retries=1).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "a", 1, None, "A"), (2, None, 2, "ValueError: no address", None)]
+
+
+def test_csv_writer_commits_and_aborts(spark, tmp_path):
+    files.register(spark)
+    df = spark.range(100).select("id", F.concat(F.lit("가, "), "id").alias("t")).repartition(3)
+    out = tmp_path / "csv"
+    df.write.format("csv_bom").mode("overwrite").save(str(out))
+    parts = sorted(out.iterdir())
+    assert len(parts) == 3 and all(p.read_bytes().startswith(b"\xef\xbb\xbfid,t\n") for p in parts)
+    assert sorted(int(line.split(",")[0]) for p in parts for line in p.read_text("utf-8-sig").splitlines()[1:]) == list(range(100))
+    with pytest.raises(Exception, match="broken on purpose"):
+        df.select("id", F.when(F.col("id") == 77, F.raise_error(F.lit("broken on purpose")).cast("string")).otherwise("t").alias("t")).write.format("csv_bom").mode("overwrite").save(str(out))
+    assert sorted(out.iterdir()) == parts  # the earlier files, and no staged ones
+    df.limit(0).write.format("csv_bom").mode("overwrite").save(str(out))
+    assert list(out.iterdir()) == []
+
+
+def test_wav_writer_and_long_files(spark, tmp_path):
+    files.register(spark)
+    rng = np.random.default_rng(0)
+    long = rng.integers(-32768, 32767, 50_001).astype("<i2")
+    rows = spark.createDataFrame([("a b/c", 8000, [1, -2, 3]), ("none", 8000, [])], "clip_id string, sr int, x array<short>")
+    rows.write.format("wav").mode("append").save(str(tmp_path / "w"))
+    want = b"RIFF" + (36 + 6).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + (1).to_bytes(2, "little") * 2 + (8000).to_bytes(4, "little") + (16000).to_bytes(4, "little") + (2).to_bytes(2, "little") + (16).to_bytes(2, "little") + b"data" + (6).to_bytes(4, "little") + np.array([1, -2, 3], "<i2").tobytes()
+    assert (tmp_path / "w" / "a_b_c.wav").read_bytes() == want and (tmp_path / "w" / "none.wav").stat().st_size == 44
+    with wave.open(str(tmp_path / "w" / "long.wav"), "wb") as f:
+        f.setnchannels(3)
+        f.setsampwidth(2)
+        f.setframerate(8000)
+        f.writeframes(long.tobytes())
+    df = files.read_long_wav(spark, str(tmp_path / "w"), 5000)
+    assert df.where("clip_id LIKE '%long.wav'").count() == 21
+    got = [r.x for r in files.long_form(df).where("clip_id LIKE '%long.wav'").orderBy("i").collect()]
+    whole = readers.read_wav(spark, str(tmp_path / "w" / "long.wav")).first().x
+    assert got == whole and len(got) == 16_667
+
+
+def test_sessions_of_a_stream_are_merged_gaps(spark, tmp_path):
+    """Replayed in three orders and batches, late rows included: the blocks of merge_gaps."""
+    import random
+
+    from pyspark.sql import types as T
+
+    rng = random.Random(3)
+    rows, at = [], 1_700_000_000.0
+    for k in range(120):
+        at += rng.choice([0.0, 1.5, 1.6, 4.0, 20.0])
+        rows.append((rng.choice("ab"), at, rng.choice([0.0, 0.5, 3.0])))
+    rows.append(("a", rows[0][1] + 1.5, 0.0))  # touches the window's edge
+    schema = T.StructType().add("key", "string").add("s", "double").add("duration", "double")
+    batch = spark.createDataFrame(rows, schema).select("key", F.col("s").alias("start"), (F.col("s") + F.col("duration")).alias("end"))
+    want = sorted((r.key, round(r.start, 3), round(r.end, 3), r.n) for r in intervals.merge_gaps(batch, ["key"], 1.5).collect())
+    for order in range(2):
+        at = tmp_path / str(order)
+        for k in range(0, len(rows), 30):  # each batch shuffled; the watermark allows for a batch's reach
+            part = rows[k : k + 30]
+            random.Random(order).shuffle(part)
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(at / "in"))
+        spark.createDataFrame([("end", rows[-2][1] + 1e6, 0.0)], schema).coalesce(1).write.mode("append").parquet(str(at / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(at / "in"))
+        out = status.stream_merged(stream.select("key", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")).alias("at"), "duration"), 1.5, "1 hour")
+        q = out.writeStream.outputMode("append").format("memory").queryName(f"merged_{order}").option("checkpointLocation", str(at / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got = sorted((r.key, round(r.start, 3), round(r.end, 3), r.n) for r in spark.table(f"merged_{order}").collect())
+        assert got == want
+
+
+def test_counts_and_sessions_of_a_metric_log(spark, tmp_path):
+    rows = spark.createDataFrame([("k", "2024-01-01T00:00:00", 1.0), ("k", "2024-01-01T00:00:02", 1.0), ("k", "2024-01-01T00:00:09", 1.0)], "key string, t string, duration double")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).select("key", F.to_timestamp("t").alias("at"), "duration")
+    q = status.stream_sessions(stream).writeStream.outputMode("complete").format("memory").queryName("session_windows").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.n for r in spark.table("session_windows").collect()) == [1, 2]
