@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .names import private
+from .selection import quantiles
 
 SEASONS = ("spring", "summer", "autumn", "winter")
 # Districts by road, tried in this order.
@@ -79,18 +80,14 @@ def value_counts(df: DataFrame, name: str, top: int | None = None, by_key: bool
     return out.limit(top) if top is not None else out
 
 
-def describe(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, exact quartiles and max of each column, a row for each, in one pass."""
-    row = df.agg(
-        *(
-            F.struct(
-                F.lit(c).alias("name"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("lowest"),
-                F.percentile(c, F.lit(0.25)).alias("q1"), F.percentile(c, F.lit(0.5)).alias("q2"), F.percentile(c, F.lit(0.75)).alias("q3"), F.max(c).cast("double").alias("highest"),
-            ).alias(f"c{i}")
-            for i, c in enumerate(names)
-        )
-    )
-    return row.select(F.inline(F.array(*(f"c{i}" for i in range(len(names))))))
+def describe(df: DataFrame, names: Sequence[str], slices: int | None = None) -> DataFrame:
+    """name, n, mean, std, lowest, exact quartiles q1 to q3 and highest of each column, a row for each.
+
+    Quartiles are found by selection: no task sorts or holds a column.
+    """
+    row = df.agg(*(F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("lowest"), F.max(c).cast("double").alias("highest")).alias(f"c{i}") for i, c in enumerate(names)))
+    told = row.select(F.inline(F.array(*(f"c{i}" for i in range(len(names))))))
+    return told.join(quantiles(df, names, (0.25, 0.5, 0.75), slices), "name", "left").select("name", "n", "mean", "std", "lowest", "q1", "q2", "q3", "highest")
 
 
 def unnest_tagged(df: DataFrame, arrays: dict[str, str], keys: Sequence[str], value: str, tag: str = "type") -> DataFrame:

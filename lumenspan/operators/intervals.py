@@ -1,4 +1,4 @@
-"""Interval algebra over rows with a start and an end. Every window is partitioned by a real key."""
+"""Interval algebra over rows with a start and an end. Every window is partitioned by a key, in large tables by a slice of it."""
 
 from __future__ import annotations
 
@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .names import private
+from .scan import Slices, slice_count
+
+#: The most buckets for which an interval is repeated, and levels of ever wider buckets.
+BUCKETS, LEVELS = 1024, 5
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket: float, on: Callable[[DataFrame], Column] | None = None, start: str = "start", end: str = "end") -> DataFrame:
@@ -15,17 +19,39 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket
 
     Each side is repeated for the buckets that it touches, and a pair is kept only in the bucket where the later of the
     two starts lies, so it appears once. Columns get the prefixes ``l_`` and ``r_``. Intervals that only touch pair up too;
-    ``on`` can ask for more. Choose a width near the usual duration.
+    ``on`` can ask for more. Choose a width near the usual duration: an interval of more than BUCKETS buckets takes part with
+    buckets BUCKETS times as wide, and so on, so no interval is repeated more often; a pair meets on its longer one's level.
     """
 
-    def spread(df: DataFrame, p: str) -> DataFrame:
-        buckets = F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))
-        return df.where(F.col(end) >= F.col(start)).select(*(F.col(k).alias(f"_{k}") for k in keys), F.explode(buckets).alias("_bucket"), *(F.col(c).alias(f"{p}{c}") for c in df.columns))
-
-    pairs = spread(left, "l_").join(spread(right, "r_"), ["_bucket", *(f"_{k}" for k in keys)])
+    def levelled(df: DataFrame) -> DataFrame:
+        """Adds _own: the first level on which an interval has at most BUCKETS buckets."""
+        over = F.floor(F.col(end) / bucket) - F.floor(F.col(start) / bucket)
+        own = F.lit(LEVELS - 1)
+        for k in reversed(range(LEVELS - 1)):
+            own = F.when(over <= BUCKETS ** (k + 1), k).otherwise(own)
+        return df.where(F.col(end) >= F.col(start)).withColumn(held, own)
+
+    def width(level: Column) -> Column:
+        return F.lit(float(bucket)) * F.pow(F.lit(float(BUCKETS)), level)
+
+    def spread(df: DataFrame, other: DataFrame, p: str, q: str) -> DataFrame:
+        # On its own level an interval meets those of the same level, and shorter ones if it is longer than usual; on the
+        # levels above only longer ones, as far as the other side has any.
+        top = private(df, "_top")
+        df = df.withColumn(top, F.coalesce(other.agg(F.max(held)).scalar(), F.lit(0)))
+        levels = F.sequence(F.col(held), F.greatest(held, top))
+        entry = lambda k, kind: F.struct(k.alias("_level"), F.lit(kind).alias("_kind"))
+        places = F.flatten(F.transform(levels, lambda k: F.when(k > F.col(held), F.array(entry(k, q))).when(k == 0, F.array(entry(k, "="))).otherwise(F.array(entry(k, "="), entry(k, p)))))
+        rows = df.select(*(F.col(k).alias(f"_{k}") for k in keys), F.inline(places), *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in (held, top)))
+        at = lambda c: F.floor(F.col(f"{p}_{c}") / width(F.col("_level")))
+        return rows.withColumn("_bucket", F.explode(F.sequence(at(start), at(end))))
+
+    held = private(left, private(right, "_own"))
+    a, b = levelled(left), levelled(right)
+    pairs = spread(a, b, "l", "r").join(spread(b, a, "r", "l"), ["_bucket", "_level", "_kind", *(f"_{k}" for k in keys)])
     later = F.greatest(f"l_{start}", f"r_{start}")
-    pairs = pairs.where((F.col("_bucket") == F.floor(later / bucket)) & (later <= F.least(f"l_{end}", f"r_{end}")))
-    pairs = pairs.drop("_bucket", *(f"_{k}" for k in keys))
+    pairs = pairs.where((F.col("_bucket") == F.floor(later / width(F.col("_level")))) & (later <= F.least(f"l_{end}", f"r_{end}")))
+    pairs = pairs.drop("_bucket", "_level", "_kind", *(f"_{k}" for k in keys))
     return pairs.where(on(pairs)) if on is not None else pairs
 
 
@@ -74,22 +100,53 @@ def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
     return df.withColumn(name, F.concat(F.col(name), F.coalesce(after, F.slice(F.col(name), 1, 0))))
 
 
-def gaps(df: DataFrame, keys: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
-    """Adds gap: the time since the end of the interval before, 0 at least; null for the first."""
-    w = Window.partitionBy(*keys).orderBy("start", "end", *tie)
-    return df.withColumn("gap", F.when(F.lag("end").over(w).isNotNull(), F.greatest(F.lit(0.0), F.col("start") - F.lag("end").over(w))))
+def gaps(df: DataFrame, keys: Sequence[str], tie: Sequence[str] = (), slices: int | None = None) -> DataFrame:
+    """Adds gap: the time since the end of the interval before, 0 at least; null for the first.
+
+    Large tables are cut in ``slices`` of the order (key, start, end, tie), so that no task holds a whole key; the end of the
+    last interval of the slices before is carried into the next.
+    """
+    rows, at, cut, w = _sliced(df, keys, ["start", "end", *tie], slices)
+    before = F.lag(F.struct("end")).over(w)
+    if cut is not None:
+        held = private(rows, "_before")
+        rows = cut.carried(rows, at, {held: F.max_by(F.struct("end"), F.struct("start", "end", *tie))}, {held: _last})
+        before = F.coalesce(before, held)
+    upto = before["end"]
+    return rows.withColumn("gap", F.when(upto.isNotNull(), F.greatest(F.lit(0.0), F.col("start") - upto))).select(*df.columns, "gap")
+
+
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None):
+    """The rows with their slice, its column, the slices, and a window over a key's rows in a slice; one slice is none."""
+    n = slices or slice_count(df)
+    if n == 1:
+        return df, None, None, Window.partitionBy(*keys).orderBy(*order)
+    at, cut = private(df, "_slice"), Slices(df, keys, order, n)
+    return df.withColumn(at, cut.number), at, cut, Window.partitionBy(at, *keys).orderBy(*order)
+
+
+def _last(c: Column) -> Column:
+    return F.last(c, True)
 
 
-def merge_gaps(df: DataFrame, keys: Sequence[str], merge_window: float = 1.5, tie: Sequence[str] = (), text: str | None = None) -> DataFrame:
+def merge_gaps(df: DataFrame, keys: Sequence[str], merge_window: float = 1.5, tie: Sequence[str] = (), text: str | None = None, slices: int | None = None) -> DataFrame:
     """Join intervals that start within ``merge_window`` of the end so far: start, end, n and, if named, the joined text.
 
-    Rows without times are no part of this; pass them by yourself.
+    Rows without times are no part of this; pass them by yourself. In large tables the largest end so far and the number of
+    blocks so far are carried from slice to slice, so a key's rows lie in as many tasks as there are slices.
     """
-    w = Window.partitionBy(*keys).orderBy("start", "end", *tie)
+    rows, at, cut, w = _sliced(df.where(F.col("start").isNotNull()), keys, ["start", "end", *tie], slices)
+    held, new, first = private(rows, "_upto"), private(rows, "_new"), private(rows, "_first")
     upto = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = private(df, "_new")
-    flagged = df.where(F.col("start").isNotNull()).withColumn(new, F.when(F.col("start") - upto <= merge_window, 0).otherwise(1))
-    blocks = flagged.withColumn("block", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if cut is not None:
+        rows = cut.carried(rows, at, {held: F.max("end")}, {held: F.max})
+        upto = F.greatest(upto, held)
+    rows = rows.withColumn(new, F.when(F.col("start") - upto <= merge_window, 0).otherwise(1))
+    block = F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if cut is not None:
+        rows = cut.carried(rows, at, {first: F.sum(new)}, {first: F.sum})
+        block = block + F.coalesce(first, F.lit(0))
+    blocks = rows.withColumn("block", block)
     cols = [F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")]
     if text:
         joined = F.array_sort(F.collect_list(F.struct("start", "end", *tie, F.col(text).alias("_text"))))
@@ -97,16 +154,21 @@ def merge_gaps(df: DataFrame, keys: Sequence[str], merge_window: float = 1.5, ti
     return blocks.groupBy(*keys, "block").agg(*cols)
 
 
-def silences(speech: DataFrame, clips: DataFrame, keys: Sequence[str]) -> DataFrame:
+def silences(speech: DataFrame, clips: DataFrame, keys: Sequence[str], slices: int | None = None) -> DataFrame:
     """Stretches without speech, head and tail included, of clips [0, n); speech is clipped to them and may overlap.
 
-    speech: keys, start, end. clips: keys, n. A clip without speech is one silence.
+    speech: keys, start, end. clips: keys, n. A clip without speech is one silence. In large tables the end so far is
+    carried forward and the next start backward between slices.
     """
     cut = speech.join(clips, list(keys)).select(*keys, "n", F.greatest(F.col("start"), F.lit(0)).alias("start"), F.least("end", "n").alias("end")).where("end > start").select(*keys, "start", "end")
     bounds = cut.unionByName(clips.select(*keys, F.lit(0).cast(speech.schema["start"].dataType).alias("start"), F.lit(0).cast(speech.schema["end"].dataType).alias("end")))
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    upto = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = bounds.withColumns({"_from": upto, "_to": F.lead("start").over(w)}).join(clips, list(keys))
+    rows, at, parts, w = _sliced(bounds, keys, ["start", "end"], slices)
+    upto, after = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lead("start").over(w)
+    if parts is not None:
+        rows = parts.carried(rows, at, {"_held": F.max("end")}, {"_held": F.max})
+        rows = parts.carried(rows, at, {"_next": F.min("start")}, {"_next": F.min}, after=True)
+        upto, after = F.greatest(upto, "_held"), F.coalesce(after, "_next")
+    out = rows.withColumns({"_from": upto, "_to": after}).join(clips, list(keys))
     return out.select(*keys, F.col("_from").alias("start"), F.coalesce("_to", "n").alias("end")).where("end > start")
 
 

@@ -5,11 +5,17 @@ Segments have the columns of schemas.SRT. Two transcripts are compared per ``fil
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import may_reach, normalise, similarity, word_count
 from .intervals import overlap_ratio_join
+from .names import private
 
 ALMOST = 0.95
 
@@ -18,32 +24,101 @@ def _segments(df: DataFrame) -> DataFrame:
     return df.select("file_id", "ordinal", "index", F.col("start_time").alias("start"), F.col("end_time").alias("end"), "text", normalise(F.col("text")).alias("norm"))
 
 
-def best_text_match(left: DataFrame, right: DataFrame, threshold: float = 0.85) -> DataFrame:
+def best_text_match(left: DataFrame, right: DataFrame, threshold: float = 0.85, similar: Callable[[Column, Column], Column] = similarity) -> DataFrame:
     """For each left segment the right one (same file) with the most similar text, at least ``threshold``; the first of ties.
 
-    left and right come from ``_segments``. Lengths that can't reach the threshold are left out before any comparison.
+    left and right come from ``_segments``. Pairs come from an index of rare grams, see ``text_candidates``, which holds for
+    the ratio of matched characters; another measure than that compares all pairs of a file.
     """
-    pairs = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns)).join(right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)), F.col("l_file_id") == F.col("r_file_id"))
-    pairs = pairs.where(may_reach(F.col("l_norm"), F.col("r_norm"), threshold)).withColumn("similarity", similarity(F.col("l_norm"), F.col("r_norm"))).where(F.col("similarity") >= threshold)
+    if similar is similarity:
+        pairs = text_candidates(left, right, threshold)
+    else:
+        pairs = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns)).join(right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)), F.col("l_file_id") == F.col("r_file_id"))
+    pairs = pairs.withColumn("similarity", similar(F.col("l_norm"), F.col("r_norm"))).where(F.col("similarity") >= threshold)
     w = Window.partitionBy("l_file_id", "l_ordinal").orderBy(F.desc("similarity"), "r_ordinal")
-    return pairs.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    rank = private(pairs, "_k")
+    return pairs.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
+
 
+def text_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a file (``l_`` and ``r_`` columns) whose texts may match in a ratio of ``threshold``; none of those that do is lost.
 
-def classify_segments(left: DataFrame, right: DataFrame, bucket: float = 10.0, overlap: float = 0.2, text_threshold: float = 0.85) -> DataFrame:
+    A ratio t of two texts with S characters together means M >= t S / 2 matched characters in blocks, and a gap between two
+    blocks holds an unmatched character, so there are at most 1 + S - 2 M blocks and the texts share M - (1 + S - 2 M) >=
+    (1.5 t - 1) S - 1 character pairs, counted with repeats. Numbered character pairs are sorted by how rare they are in the
+    file, and two texts that share as many meet in the first ones of both (prefix filter), the rarest. Texts so short that
+    this asks for none meet by single characters, of which they share t S / 2. What meets is held against both bounds before
+    any comparison. Empty texts match each other. Below 2/3 there is no bound by pairs; single characters are used alone.
+    """
+    slope = 1.5 * threshold - 1
+    short = math.ceil(2 / slope) if slope > 0 else 1 << 30  # texts with so many characters together share a pair for certain
+    of = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns), _grams(F.col("norm"), 1).alias(f"{p}_chars"), _grams(F.col("norm"), 2).alias(f"{p}_pairs"))
+    a, b = of(left, "l"), of(right, "r")
+
+    def tokens(df: DataFrame, p: str) -> DataFrame:
+        """Each token that may stand in a prefix, with the file; the shared number holds for the shortest partner."""
+        n = F.length(f"{p}_norm")
+        least = F.ceil(n * threshold / (2 - threshold))  # the shortest text that can match has so many characters
+        kinds = F.array(
+            F.struct(F.lit("c").alias("kind"), F.when(n <= short, F.col(f"{p}_chars")).otherwise(F.array().cast("array<string>")).alias("all"), F.ceil(threshold * (n + least) / 2 - _EPS).alias("share")),
+            F.struct(F.lit("p").alias("kind"), F.when(F.lit(slope > 0) & (slope * (n + F.floor(n * (2 - threshold) / threshold)) - 1 > 0), F.col(f"{p}_pairs")).otherwise(F.array().cast("array<string>")).alias("all"), F.ceil(slope * (n + least) - 1 - _EPS).alias("share")),
+        )
+        rows = df.select(F.col(f"{p}_file_id").alias("file_id"), F.col(f"{p}_ordinal").alias("ordinal"), F.inline(kinds))
+        held = F.greatest(F.lit(1), F.col("share"))
+        return rows.select("file_id", "ordinal", "kind", (F.size("all") - held + 1).alias("prefix"), F.explode("all").alias("token"))
+
+    both = [tokens(a, "l"), tokens(b, "r")]
+    often = both[0].unionByName(both[1]).groupBy("file_id", "kind", "token").agg(F.count("*").alias("often"))
+    w = Window.partitionBy("file_id", "ordinal", "kind").orderBy("often", "token")
+    first = lambda t: t.join(often, ["file_id", "kind", "token"]).withColumn("k", F.row_number().over(w)).where("k <= prefix").select("file_id", "kind", "token", "ordinal")
+    met = first(both[0]).withColumnRenamed("ordinal", "l_ordinal").join(first(both[1]).withColumnRenamed("ordinal", "r_ordinal"), ["file_id", "kind", "token"])
+    empty = lambda df, p: df.where(F.col(f"{p}_norm") == "").select(F.col(f"{p}_file_id").alias("file_id"), f"{p}_ordinal")
+    found = met.select("file_id", "l_ordinal", "r_ordinal").unionByName(empty(a, "l").join(empty(b, "r"), "file_id")).distinct()
+    out = found.join(a.withColumnRenamed("l_file_id", "file_id"), ["file_id", "l_ordinal"]).join(b.withColumnRenamed("r_file_id", "file_id"), ["file_id", "r_ordinal"])
+    total = F.length("l_norm") + F.length("r_norm")
+    chars, pairs = (F.size(F.array_intersect(f"l_{c}", f"r_{c}")) for c in ("chars", "pairs"))
+    out = out.where(may_reach(F.col("l_norm"), F.col("r_norm"), threshold) & (chars >= threshold * total / 2 - _EPS) & (pairs >= slope * total - 1 - _EPS))
+    return out.select(F.col("file_id").alias("l_file_id"), *(f"l_{c}" for c in left.columns if c != "file_id"), F.col("file_id").alias("r_file_id"), *(f"r_{c}" for c in right.columns if c != "file_id"))
+
+
+_EPS = 1e-6
+
+
+def _grams(text: Column, q: int) -> Column:
+    """All q characters in a row; equal ones are numbered, so that sets of them are intersected with repeats."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[str]:
+            seen: Counter = Counter()
+            out = []
+            for k in range(len(t or "") - q + 1):
+                g = t[k : k + q]
+                out.append(f"{g}\0{seen[g]}")
+                seen[g] += 1
+            return out
+
+        return texts.map(one)
+
+    return run(text)
+
+
+def classify_segments(left: DataFrame, right: DataFrame, bucket: float = 10.0, overlap: float = 0.2, text_threshold: float = 0.85, similar: Callable[[Column, Column], Column] = similarity) -> DataFrame:
     """file_id, pattern, left_index, left_list, right_index, right_list, similarity, time_diff_s, time_diff_ms.
 
     A left segment without an overlap is a ``timeline_mismatch`` with the best text match, else ``missing``. With one it
     is ``one_to_one``, or ``text_diff_only`` below 0.95. With several, the first whose text is nearly equal (above 0.95)
     makes it ``one_to_one`` with similarity 1 and only that one counts as matched; without such it is ``split``. A right
     segment that nothing matched is ``merged`` if several left ones overlap it. Matched means: by the segment's index.
+    ``similar`` is the measure of two normalised texts.
     """
     a, b = _segments(left), _segments(right)
-    pairs = overlap_ratio_join(a, b, ["file_id"], bucket, overlap).withColumn("similarity", similarity(F.col("l_norm"), F.col("r_norm")))
+    pairs = overlap_ratio_join(a, b, ["file_id"], bucket, overlap).withColumn("similarity", similar(F.col("l_norm"), F.col("r_norm")))
     pairs = pairs.select(F.col("l_file_id").alias("file_id"), "l_ordinal", "l_index", "r_ordinal", "r_index", "similarity")
     # One row for each left segment, with what overlaps it in order.
     hit = F.array_sort(F.collect_list(F.struct("r_ordinal", "r_index", "similarity")))
     own = a.join(pairs.groupBy("file_id", F.col("l_ordinal").alias("ordinal")).agg(hit.alias("hits")), ["file_id", "ordinal"], "left")
-    moved = best_text_match(own.where("hits IS NULL").drop("hits"), b, text_threshold)
+    moved = best_text_match(own.where("hits IS NULL").drop("hits"), b, text_threshold, similar)
     middle = lambda p: (F.col(f"{p}_start") + F.col(f"{p}_end")) / 2
     moved = moved.select(F.col("l_file_id").alias("file_id"), F.col("l_ordinal").alias("ordinal"), F.col("r_index").alias("moved_index"), F.col("similarity").alias("moved_similarity"), F.abs(middle("l") - middle("r")).alias("time_diff_s"))
     n, first = F.size("hits"), F.get("hits", F.lit(0))

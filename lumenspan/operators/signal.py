@@ -6,6 +6,7 @@ goes to the long form (keys, i, x). Masks are best kept as runs [s, e).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import merge_gaps
+from .names import private
+
 
 def long_form(df: DataFrame, keys: Sequence[str], array: str, name: str = "x") -> DataFrame:
     return df.select(*keys, F.posexplode(array).alias("i", name))
@@ -62,18 +66,20 @@ def moving_rms_mask(df: DataFrame, keys: Sequence[str], win: int, eps: float = 1
     pad = win // 2
     w = Window.partitionBy(*keys).orderBy("i")
     upto = F.sum(F.col(x).cast("double") * F.col(x)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = df.withColumns({"_s": upto, "_last": F.max("i").over(Window.partitionBy(*keys)), "_all": F.sum(F.col(x).cast("double") * F.col(x)).over(Window.partitionBy(*keys))})
-    ahead, behind = F.coalesce(F.lead("_s", win - pad).over(w), F.col("_all")), F.coalesce(F.lag("_s", pad).over(w), F.lit(0.0))
+    so_far, last, every = (private(df, c) for c in ("_s", "_last", "_all"))
+    out = df.withColumns({so_far: upto, last: F.max("i").over(Window.partitionBy(*keys)), every: F.sum(F.col(x).cast("double") * F.col(x)).over(Window.partitionBy(*keys))})
+    ahead, behind = F.coalesce(F.lead(so_far, win - pad).over(w), F.col(every)), F.coalesce(F.lag(so_far, pad).over(w), F.lit(0.0))
     m = (F.sqrt(F.greatest(ahead - behind, F.lit(0.0)) / win + 1e-12) >= eps).cast("int")
     if win % 2:
-        m = F.when(F.col("i") == F.col("_last"), 0).otherwise(m)
-    return out.withColumn("m", m).drop("_s", "_last", "_all")
+        m = F.when(F.col("i") == F.col(last), 0).otherwise(m)
+    return out.withColumn("m", m).drop(so_far, last, every)
 
 
 def mask_runs(df: DataFrame, keys: Sequence[str], m: str = "m") -> DataFrame:
     """keys, s, len of the stretches of ones in the long form."""
     w = Window.partitionBy(*keys).orderBy("i")
-    return df.where(F.col(m) == 1).withColumn("_g", F.col("i") - F.row_number().over(w)).groupBy(*keys, "_g").agg(F.min("i").alias("s"), F.count("*").alias("len")).drop("_g")
+    run = private(df, "_run")
+    return df.where(F.col(m) == 1).withColumn(run, F.col("i") - F.row_number().over(w)).groupBy(*keys, run).agg(F.min("i").alias("s"), F.count("*").alias("len")).drop(run)
 
 
 def top_runs(runs: DataFrame, keys: Sequence[str], n: int = 15) -> DataFrame:
@@ -119,22 +125,46 @@ def frame_confusion(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def best_offset(a_runs: DataFrame, b_runs: DataFrame, keys: Sequence[str], max_shift: int) -> DataFrame:
     """keys, shift, score: the shift that makes most ones meet, a[i] with b[i + shift]; the smallest of ties.
 
-    Works on runs: two runs' overlap as a function of the shift is a trapezium, so each pair of runs that can meet adds
-    four changes of slope, and the double running sum over the shifts is the score. No shift is tried by itself.
+    Clips are cut in blocks of time. A block's ones of a, and of b as far as a shift can bring them there, are correlated by
+    a Fourier transform, so the cost is samples times the logarithm of a block, however many runs there are; a clip's blocks
+    are tasks of their own, and their scores are added up by shift.
     """
-    a = a_runs.select(*keys, F.col("s").alias("a0"), (F.col("s") + F.col("len")).alias("a1"))
-    b = b_runs.select(*keys, F.col("s").alias("b0"), (F.col("s") + F.col("len")).alias("b1"))
-    pairs = a.join(b, list(keys)).where((F.col("b0") - F.col("a1") <= max_shift) & (F.col("b1") - F.col("a0") >= -max_shift))
-    at = lambda x, y, d: F.struct((F.col(x) - F.col(y)).cast("long").alias("shift"), F.lit(d).cast("long").alias("d"))
-    slopes = pairs.select(*keys, F.inline(F.array(at("b0", "a1", 1), at("b0", "a0", -1), at("b1", "a1", -1), at("b1", "a0", 1)))).groupBy(*keys, "shift").agg(F.sum("d").alias("d"))
-    all_shifts = a.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(-max_shift).cast("long"), F.lit(max_shift).cast("long"))).alias("shift")).withColumn("d", F.lit(0).cast("long"))
-    w = Window.partitionBy(*keys).orderBy("shift")
-    merged = slopes.unionByName(all_shifts).groupBy(*keys, "shift").agg(F.sum("d").alias("d")).withColumn("slope", F.sum("d").over(w))
-    # Between events the score is linear: slope times the way since the event before.
-    step = merged.withColumn("_rise", F.coalesce(F.lag("slope").over(w) * (F.col("shift") - F.lag("shift").over(w)), F.lit(0)))
-    score = step.withColumn("score", F.sum("_rise").over(w)).where(F.abs("shift") <= max_shift)
-    best = Window.partitionBy(*keys).orderBy(F.desc("score"), "shift")
-    return score.withColumn("_k", F.row_number().over(best)).where("_k = 1").select(*keys, "shift", "score")
+    width = max(4 * max_shift, 4096)
+
+    def spread(runs: DataFrame, side: str, reach: int) -> DataFrame:
+        """A row for each block that a run, or what it may be moved to, lies in; places count from the block's reach on."""
+        s, e = F.col("s").cast("long"), (F.col("s") + F.col("len")).cast("long")
+        rows = runs.where("len > 0").select(*keys, s.alias("s"), e.alias("e"), F.explode(F.sequence(F.floor((s - reach) / width), F.floor((e - 1 + reach) / width))).alias("block"))
+        first, last = F.col("block") * width - reach, (F.col("block") + 1) * width + reach
+        return rows.select(*keys, "block", F.lit(side).alias("side"), (F.greatest("s", first) - first).alias("s"), (F.least("e", last) - first).alias("e"))
+
+    both = spread(a_runs, "a", 0).unionByName(spread(b_runs, "b", max_shift))
+    held = lambda side, c: F.collect_list(F.when(F.col("side") == side, F.col(c)))  # noqa: E731  a block holds half as many runs as samples at most
+    blocks = both.groupBy(*keys, "block").agg(*(held(x, c).alias(f"{x}_{c}") for x in "ab" for c in "se")).where("size(a_s) > 0")
+
+    @F.pandas_udf("array<long>")
+    def scores(a_s: pd.Series, a_e: pd.Series, b_s: pd.Series, b_e: pd.Series) -> pd.Series:
+        size = width + 2 * max_shift
+
+        def ones(starts, ends) -> np.ndarray:
+            steps = np.zeros(size + 1)
+            np.add.at(steps, starts.astype(int), 1)
+            np.add.at(steps, ends.astype(int), -1)
+            return np.minimum(np.cumsum(steps[:-1]), 1)
+
+        def one(row) -> np.ndarray:
+            if not len(row[2]):
+                return np.zeros(2 * max_shift + 1, np.int64)
+            # b starts max_shift before a does, so a shift of -max_shift meets at lag 0; lags wrap beyond those asked for.
+            met = np.fft.irfft(np.conj(np.fft.rfft(ones(row[0], row[1]))) * np.fft.rfft(ones(row[2], row[3])), size)
+            return np.rint(met[: 2 * max_shift + 1]).astype(np.int64)
+
+        return pd.Series([one(r) for r in zip(a_s, a_e, b_s, b_e)])
+
+    each = blocks.select(*keys, F.posexplode(scores("a_s", "a_e", "b_s", "b_e")).alias("k", "n"))
+    score = each.groupBy(*keys, "k").agg(F.sum("n").alias("score"))
+    best = score.groupBy(*keys).agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("best"))
+    return best.select(*keys, (-F.col("best.k") - max_shift).cast("long").alias("shift"), "best.score")
 
 
 def difference(a: Column, b: Column) -> Column:
@@ -162,6 +192,50 @@ def resample_linear(x: Column, rate_from: int, rate_to: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), value)).otherwise(F.array().cast("array<double>"))
 
 
+def filter_taps(up: int, down: int, beta: float = 5.0) -> np.ndarray:
+    """A windowed sine cardinal that keeps what both rates can hold, ten zero crossings to each side, for gain ``up``."""
+    widest = max(up, down)
+    half = 10 * widest
+    t = np.arange(-half, half + 1) / widest
+    h = np.sinc(t) * np.kaiser(2 * half + 1, beta)
+    return up * h / h.sum()
+
+
+def resample(x: Column, rate_from: int, rate_to: int) -> Column:
+    """Another rate by a polyphase filter bank: both rates over their greatest common divisor, zeros beyond the ends.
+
+    Sample m of the result is the sum of x[k] taps[half + m down - k up]; only these sums are worked out, each over the
+    taps of its phase. The result has ceil(n up / down) samples.
+    """
+    common = math.gcd(rate_from, rate_to)
+    up, down = rate_to // common, rate_from // common
+    taps = filter_taps(up, down)
+    half = len(taps) // 2
+    each = -(-len(taps) // up)  # taps of a phase
+    bank = np.zeros(each * up)
+    bank[: len(taps)] = taps
+    bank = bank.reshape(each, up).T
+
+    @F.pandas_udf("array<double>")
+    def run(values: pd.Series) -> pd.Series:
+        def one(v):
+            if v is None:
+                return None
+            wide = np.pad(np.asarray(v, np.float64), each)
+            n = -(-len(v) * up // down)
+            out = np.empty(n)
+            for at in range(0, n, 1 << 14):
+                place = np.arange(at, min(n, at + (1 << 14))) * down + half
+                rows = (place // up)[:, None] - np.arange(each) + each
+                held = (rows >= 0) & (rows < len(wide))
+                out[at : at + len(place)] = np.einsum("ij,ij->i", np.where(held, wide[np.clip(rows, 0, len(wide) - 1)], 0.0), bank[place % up])
+            return out
+
+        return values.map(one)
+
+    return run(x)
+
+
 def window_of(x: Column, rate: int, t0: float, t1: float) -> Column:
     """Samples from t0 to t1; under two of them the first two seconds instead."""
     a, b = int(t0 * rate), int(t1 * rate)
@@ -170,11 +244,23 @@ def window_of(x: Column, rate: int, t0: float, t1: float) -> Column:
 
 
 def suppress(df: DataFrame, quiet: DataFrame, keys: Sequence[str], array: str = "x") -> DataFrame:
-    """Zero the samples inside the quiet stretches (keys, start, end) of each clip; lengths stay."""
-    held = quiet.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("_quiet"))
+    """Zero the samples inside the quiet stretches (keys, start, end) of each clip; lengths stay.
+
+    Stretches that overlap or touch are joined first; then the clip is put together from what lies between them and zeros,
+    so the cost is samples and stretches.
+    """
+    whole = quiet.where("end > start").select(*keys, F.greatest(F.col("start"), F.lit(0)).cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    name = private(df, "_quiet")
+    held = merge_gaps(whole, keys, 0.0).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(name))
     out = df.join(held, list(keys), "left")
-    zero = lambda v, i: F.when(F.exists(F.coalesce("_quiet", F.array()), lambda q: (q["start"] <= i) & (i < q["end"])), F.lit(0.0)).otherwise(v.cast("double"))
-    return out.withColumn(array, F.transform(array, zero)).drop("_quiet")
+    n, x = F.size(array), F.transform(array, lambda v: v.cast("double"))
+    start = lambda q: F.least(q["start"], n)
+    end = lambda q: F.least(q["end"], n)
+    before = lambda k: F.when(k == 0, F.lit(0)).otherwise(end(F.get(name, k - 1)))
+    parts = F.transform(name, lambda q, k: F.concat(F.slice(array, before(k) + 1, F.greatest(start(q) - before(k), F.lit(0))), F.array_repeat(F.lit(0.0).cast(df.schema[array].dataType.elementType), F.greatest(end(q) - start(q), F.lit(0)))))
+    rest = F.slice(array, end(F.get(name, F.size(name) - 1)) + 1, F.greatest(n, F.lit(1)))
+    joined = F.transform(F.concat(F.flatten(parts), rest), lambda v: v.cast("double"))
+    return out.withColumn(array, F.when(F.col(name).isNull(), x).otherwise(joined)).drop(name)
 
 
 def signal_stats(x: Column) -> Column:

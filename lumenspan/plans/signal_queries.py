@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import intervals, signal
+from ..operators import intervals, match, signal
 from .etl_queries import table
 
 
@@ -85,6 +85,28 @@ def linear_resample(spark, d):
     return clips(spark, d).select("vec_id", F.posexplode(signal.resample_linear(F.col("embedding"), 64, 48)).alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
+def polyphase_resample(spark, d):
+    return clips(spark, d).select("vec_id", F.posexplode(signal.resample(F.col("embedding"), 64, 48)).alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+def time_slice(spark, d):
+    """A quarter second of each clip; of a slice that holds under two samples, the first two seconds."""
+    x = F.col("embedding")
+    each = clips(spark, d).select("vec_id", F.inline(F.array(*(F.struct(F.lit(k).alias("part"), signal.window_of(x, 64, a, b).alias("x")) for k, (a, b) in enumerate(((0.25, 0.5), (0.5, 0.51), (0.9, 2.0)))))))
+    return each.select("vec_id", "part", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double")), 5).alias("total"))
+
+
+def centred_rms(spark, d):
+    """Frames of 32 around each 16th sample."""
+    return clips(spark, d).select("vec_id", F.posexplode(signal.centred_rms(F.col("embedding"), 32, 16)).alias("k", "rms")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("rms", 6).alias("rms"))
+
+
+def filter_verdict(spark, d):
+    """Which of two neighbouring clips' masks keeps far more frames of its own."""
+    c = signal.frame_confusion(mask_pairs(spark, d), ["pair"])
+    return c.select("pair", "left_only", "right_only", match.verdict(F.col("left_only"), F.col("right_only"), 1.2).alias("verdict"))
+
+
 def pcm16_quantise(spark, d):
     return clips(spark, d).select("vec_id", F.posexplode(signal.pcm16(F.col("embedding"))).alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("v").cast("long").alias("v"))
 
@@ -130,7 +152,7 @@ def mono_mix(spark, d):
     return mono.select("vec_id", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (frame_rms_tumbling, frame_rms_hopping, rms_summary, moving_rms_mask, mask_runs, topn_runs, mask_confusion, frame_confusion, best_offset, shift_mask, rms_dbfs, diff_signal, linear_resample, pcm16_quantise, silence_suppressed, spectrum_peak, painted_samples, time_axes, padded_pairs, mono_mix)}
+QUERIES = {f.__name__: f for f in (frame_rms_tumbling, frame_rms_hopping, rms_summary, moving_rms_mask, mask_runs, topn_runs, mask_confusion, frame_confusion, best_offset, shift_mask, rms_dbfs, diff_signal, linear_resample, polyphase_resample, time_slice, centred_rms, filter_verdict, pcm16_quantise, silence_suppressed, spectrum_peak, painted_samples, time_axes, padded_pairs, mono_mix)}
 
 X = "(SELECT vec_id, CAST(unnest(range(len(embedding))) AS BIGINT) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
 M = f"(SELECT vec_id, i, x, CASE WHEN x > 0 THEN 1 ELSE 0 END AS m FROM {X})"
@@ -157,6 +179,19 @@ SELECT pair, shift, score FROM (SELECT *, row_number() OVER (PARTITION BY pair O
     "linear_resample": f"""
 WITH t AS (SELECT CAST(k AS BIGINT) AS i, CAST(floor(k * 64 / 48) AS BIGINT) AS lo, k * 64 / 48 - floor(k * 64 / 48) AS f FROM range(0, 48) r(k))
 SELECT a.vec_id, t.i, round(a.x + (b.x - a.x) * f, 6) AS x FROM t JOIN {X} a ON a.i = lo JOIN {X} b ON b.vec_id = a.vec_id AND b.i = least(lo + 1, 63)""",
+    "polyphase_resample": f"""
+WITH t AS (SELECT {[float(t) for t in signal.filter_taps(3, 4)]} AS taps), m AS (SELECT CAST(m AS BIGINT) AS m FROM range(0, 48) r(m))
+SELECT vec_id, m AS i, round(sum(x * taps[40 + m * 4 - i * 3 + 1]), 6) AS x FROM m JOIN {X} ON abs(m * 4 - i * 3) <= 40, t GROUP BY vec_id, m""",
+    "time_slice": f"""
+SELECT vec_id, CAST(p AS INTEGER) AS part, CAST(count(*) AS INTEGER) AS n, round(sum(x), 5) AS total FROM {X} JOIN (VALUES (0, 16, 32), (1, 0, 64), (2, 57, 64)) v(p, a, b) ON i >= a AND i < b GROUP BY vec_id, p""",
+    "centred_rms": f"SELECT vec_id, CAST(k AS BIGINT) AS k, round(sqrt(sum(x * x) / 32), 6) AS rms FROM {X} JOIN range(0, 5) f(k) ON i >= k * 16 - 16 AND i < k * 16 + 16 GROUP BY vec_id, k",
+    "filter_verdict": f"SELECT pair, n AS left_only, m AS right_only, CASE WHEN n > 1.2 * m THEN 'left' WHEN m > 1.2 * n THEN 'right' ELSE 'balanced' END AS verdict FROM (SELECT pair, count(*) FILTER (a = 1 AND b = 0) AS n, count(*) FILTER (a = 0 AND b = 1) AS m FROM {PAIRS} GROUP BY pair)",
+    # The transform written out: 32 samples around each 16th, with a raised cosine, at 17 frequencies.
+    "spectrum_peak": f"""
+WITH f AS (SELECT vec_id, k, q, sum(x * (0.5 - 0.5 * cos(2 * pi() * (i - k * 16 + 16) / 32)) * cos(2 * pi() * q * (i - k * 16 + 16) / 32)) AS re, sum(x * (0.5 - 0.5 * cos(2 * pi() * (i - k * 16 + 16) / 32)) * sin(2 * pi() * q * (i - k * 16 + 16) / 32)) AS im
+  FROM {X} JOIN range(0, 5) f(k) ON i >= k * 16 - 16 AND i < k * 16 + 16 JOIN range(0, 17) g(q) ON TRUE GROUP BY vec_id, k, q),
+s AS (SELECT *, sqrt(re * re + im * im) AS size, max(sqrt(re * re + im * im)) OVER (PARTITION BY vec_id) AS most FROM f)
+SELECT vec_id, count(DISTINCT k) AS frames, round(max(greatest(20 * log10(greatest(size, 1e-10) / greatest(most, 1e-10)), -80)), 3) AS top_db FROM s GROUP BY vec_id""",
     "pcm16_quantise": f"SELECT vec_id, i, CAST(trunc(greatest(least(x * 32767, 32767.0), -32768.0)) AS BIGINT) AS v FROM {X}",
     "painted_samples": """
 WITH s AS (SELECT vec_id, unnest([[6, 25], [19, least(CAST(trunc(vec_id % 5 / 4.0 * 64) AS BIGINT), len(embedding))]]) AS v FROM embeddings), i AS (SELECT DISTINCT vec_id, unnest(range(v[1], v[2])) AS i FROM s WHERE v[2] > v[1])

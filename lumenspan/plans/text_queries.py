@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, times
-from ..operators import match
+from ..operators import intervals, match
 from ..operators.keywords import keywords
 from ..sources.html import articles
 from .etl_queries import table
@@ -19,9 +19,8 @@ def turns(spark, d):
 
 
 def neighbours(spark, d):
-    """Each turn with the one before, ASCII only."""
-    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "")
-    c = turns(spark, d).select("conv_id", "turn", plain.alias("hyp"))
+    """Each turn's whole text with the one before."""
+    c = turns(spark, d).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("hyp"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     return c.withColumn("ref", F.lag("hyp").over(w)).where("ref IS NOT NULL")
 
@@ -54,6 +53,12 @@ def edit_ops(spark, d):
     return neighbours(spark, d).select("conv_id", "turn", text.edit_ops(F.col("ref"), F.col("hyp")).alias("e")).select("conv_id", "turn", "e.dist", "e.s", "e.d", "e.i")
 
 
+def edit_distance(spark, d):
+    """The distance, and what its parts have to add up to."""
+    e = edit_ops(spark, d)
+    return e.select("conv_id", "turn", "dist", (F.col("s") + F.col("d") + F.col("i")).alias("parts"), (F.col("i") - F.col("d")).alias("longer"), (F.least("s", "d", "i") >= 0).alias("counts"))
+
+
 def wer(spark, d):
     return neighbours(spark, d).select("conv_id", "turn", F.round(text.wer(F.col("ref"), F.col("hyp")), 6).alias("wer"))
 
@@ -66,6 +71,11 @@ def normalize_unicode(spark, d):
     return turns(spark, d).select("conv_id", "turn", text.normalise_unicode(F.col("text"), "NFKC", True, True).alias("norm"))
 
 
+def normalize_composed(spark, d):
+    """Composed form and folded case; SQL has this form, not the compatibility one of normalize_unicode."""
+    return turns(spark, d).select("conv_id", "turn", text.normalise_unicode(F.col("text"), "NFC", True, False).alias("norm"))
+
+
 def transcript_stats(spark, d):
     s = turns(spark, d).select(F.col("conv_id").cast("string").alias("file_id"), F.col("turn").cast("int").alias("ordinal"), (F.col("turn") * 2.5).alias("start_time"), (F.col("turn") * 2.5 + 2).alias("end_time"), F.coalesce("text", F.lit("")).alias("text"))
     out = match.transcript_stats(s)
@@ -90,6 +100,59 @@ def pattern_counts(spark, d):
     return match.pattern_counts(segment_patterns(spark, d)).groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
+def by_words(a, b):
+    """Share of common words: a measure of similarity that SQL has too."""
+    x, y = F.split(a, " "), F.split(b, " ")
+    return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+
+
+def word_patterns(spark, d):
+    return match.classify_segments(srt_of(spark, d, "user"), srt_of(spark, d, "assistant"), text_threshold=0.2, similar=by_words)
+
+
+def segment_classes(spark, d):
+    """The classes with similarity by words; lists as text."""
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return word_patterns(spark, d).select("file_id", "pattern", "left_index", listed("left_list"), "right_index", listed("right_list"), F.round("similarity", 6).alias("similarity"), F.round("time_diff_s", 4).alias("time_diff_s"), F.round("time_diff_ms", 1).alias("time_diff_ms"))
+
+
+def class_counts(spark, d):
+    return match.pattern_counts(word_patterns(spark, d))
+
+
+def least_similar_pairs(spark, d):
+    return match.least_similar(word_patterns(spark, d), "text_diff_only", 5).select("file_id", "k", "left_index", "right_index", F.round("similarity", 6).alias("similarity"))
+
+
+def report_read_back(spark, d):
+    """The nested reports, read back from their JSON: a row for each class that a report counts."""
+    a, b = srt_of(spark, d, "user"), srt_of(spark, d, "assistant")
+    reports = match.report_json(match.transcript_diff(match.transcript_stats(a), match.transcript_stats(b)), word_patterns(spark, d))
+    kind = "summary struct<segment_diff: long, word_diff: long, start_delta: double>, counts map<string, long>, details array<struct<pattern: string, right_index: int, similarity: double>>"
+    r = reports.select("file_id", F.from_json("report", kind).alias("r")).select("file_id", "r.summary.*", "r.details", F.explode("r.counts").alias("pattern", "n"))
+    mine = F.filter("details", lambda x: x["pattern"] == F.col("pattern"))
+    similar = F.aggregate(mine, F.lit(0.0), lambda s, x: s + F.coalesce(x["similarity"], F.lit(0.0)))
+    return r.select("file_id", "segment_diff", "word_diff", F.round("start_delta", 4).alias("start_delta"), "pattern", "n", F.size(mine).cast("long").alias("n_details"), F.round(similar, 4).alias("similarity"))
+
+
+def best_text_matches(spark, d):
+    """For each line of a conversation's users the assistant's line that is most like it, through the index of rare grams."""
+    lines = turns(spark, d).select("conv_id", "turn", "role", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "text")).where("text <> ''")
+    at = (F.col("turn") * 10_000 + F.col("k")).cast("int")
+    rows = lines.select(F.col("conv_id").cast("string").alias("file_id"), "role", at.alias("ordinal"), at.alias("index"), F.lit(0.0).alias("start_time"), F.lit(1.0).alias("end_time"), "text")
+    a, b = (match._segments(rows.where(F.col("role") == r)) for r in ("user", "assistant"))
+    return match.best_text_match(a, b, 0.7).select("l_file_id", "l_ordinal", "r_ordinal", F.round("similarity", 6).alias("similarity"))
+
+
+def joined_text(spark, d):
+    """Whole conversations as one text, and as one block of merged turns."""
+    s = turns(spark, d).select(F.col("conv_id").cast("string").alias("file_id"), F.col("turn").cast("int").alias("ordinal"), (F.col("turn") * 2.5).alias("start_time"), (F.col("turn") * 2.5 + 2).alias("end_time"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = match.transcript_stats(s).select("file_id", F.md5("text").alias("joined"))
+    spans = s.select("file_id", F.col("start_time").alias("start"), F.col("end_time").alias("end"), "text").where("start % 5 = 0 OR start > 5")
+    merged = intervals.merge_gaps(spans, ["file_id"], 0.6, (), "text").select("file_id", "start", "end", "n", F.md5("text").alias("merged"))
+    return whole.join(merged, "file_id")
+
+
 def html_extract(spark, d):
     return articles(table(spark, d, "pages", "page_id", "html"), "html", ["page_id"], {"title": "article h1", "around": "article", "summary": "p"})
 
@@ -105,34 +168,71 @@ def relative_dates(spark, d):
     return e.select("event_id", times.relative_date(F.col("said"), "2024-03-10").alias("day"))
 
 
-QUERIES = {f.__name__: f for f in (keyword_topk, normalize_text, cer_native, edit_ops, wer, similarity_ratio, normalize_unicode, transcript_stats, transcript_diff, segment_patterns, segment_report, pattern_counts, html_extract, clock_round_trip, relative_dates)}
+QUERIES = {f.__name__: f for f in (keyword_topk, normalize_text, cer_native, edit_ops, edit_distance, wer, similarity_ratio, normalize_unicode, normalize_composed, transcript_stats, transcript_diff, segment_patterns, segment_report, pattern_counts, segment_classes, class_counts, least_similar_pairs, report_read_back, best_text_matches, joined_text, html_extract, clock_round_trip, relative_dates)}
 
 WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> ''))"
-ASCII = "regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g')"
-NEIGHBOURS = f"SELECT conv_id, turn, {ASCII} AS hyp, lag({ASCII}) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations"
+NEIGHBOURS = "SELECT conv_id, turn, coalesce(text, '') AS hyp, lag(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations"
+# levenshtein() counts bytes, so each pair's characters are told by numbers below 128; the tables' texts have some 40 in a pair.
+NUMBERED = "array_to_string(list_transform({}, lambda x: chr(CAST(list_position(abc, x) AS INTEGER))), '')"
+DISTANCE = f"""SELECT conv_id, turn, len(r) AS n_ref, len(h) AS n_hyp, levenshtein({NUMBERED.format('r')}, {NUMBERED.format('h')}) AS dist
+FROM (SELECT *, list_distinct(r || h) AS abc FROM (SELECT conv_id, turn, regexp_extract_all(ref, '(?s).') AS r, regexp_extract_all(hyp, '(?s).') AS h FROM ({NEIGHBOURS}) WHERE ref IS NOT NULL))"""
 
 
 def _srt(role: str) -> str:
-    return f"""SELECT CAST(conv_id AS VARCHAR) AS file_id, turn // 2 AS ordinal, (turn // 2) * 10.0 + turn % 2 AS s, (turn // 2) * 10.0 + turn % 2 + least({WORDS} / 5.0, 25.0) AS e,
-  CAST({WORDS.replace("coalesce(text, '')", "left(text, 200)")} AS BIGINT) AS w FROM conversations WHERE role = '{role}'"""
+    return rf"""SELECT CAST(conv_id AS VARCHAR) AS file_id, turn // 2 AS ordinal, (turn // 2) * 10.0 + turn % 2 AS s, (turn // 2) * 10.0 + turn % 2 + least({WORDS} / 5.0, 25.0) AS e,
+  CAST({WORDS} AS BIGINT) AS w, trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM conversations WHERE role = '{role}'"""
 
 
 def _stats(role: str) -> str:
     return f"SELECT file_id, count(*) AS n, sum(w) AS words, arg_min(s, ordinal) AS first_start, arg_max(e, ordinal) AS last_end FROM ({_srt(role)}) WHERE e > s GROUP BY file_id"
 
 
+LIKE = "len(list_intersect(string_split({0}, ' '), string_split({1}, ' '))) / len(list_distinct(string_split({0}, ' ') || string_split({1}, ' ')))"
+CLASSES = f"""
+WITH a AS (SELECT *, CAST(ordinal + 1 AS INTEGER) AS idx FROM ({_srt('user')}) WHERE e > s), b AS (SELECT *, CAST(ordinal + 1 AS INTEGER) AS idx FROM ({_srt('assistant')}) WHERE e > s),
+p AS (SELECT a.file_id, a.ordinal AS lo, a.idx AS li, b.ordinal AS ro, b.idx AS ri, {LIKE.format('a.norm', 'b.norm')} AS sim FROM a JOIN b ON a.file_id = b.file_id AND least(a.e, b.e) >= greatest(a.s, b.s) AND greatest(0, least(a.e, b.e) - greatest(a.s, b.s)) / least(a.e - a.s, b.e - b.s) >= 0.2),
+h AS (SELECT file_id, lo, count(*) AS n, list(ri ORDER BY ro) AS ris, arg_min(ri, ro) AS ri, arg_min(sim, ro) AS sim, arg_min(ri, ro) FILTER (sim > 0.95) AS exact FROM p GROUP BY file_id, lo),
+m AS (SELECT a.file_id, a.ordinal AS lo, b.idx AS ri, {LIKE.format('a.norm', 'b.norm')} AS sim, abs((a.s + a.e) / 2 - (b.s + b.e) / 2) AS apart, row_number() OVER (PARTITION BY a.file_id, a.ordinal ORDER BY {LIKE.format('a.norm', 'b.norm')} DESC, b.ordinal) AS k
+  FROM a ANTI JOIN h ON h.file_id = a.file_id AND h.lo = a.ordinal JOIN b ON a.file_id = b.file_id WHERE {LIKE.format('a.norm', 'b.norm')} >= 0.2),
+l AS (SELECT a.file_id, CASE WHEN n = 1 THEN CASE WHEN h.sim < 0.95 THEN 'text_diff_only' ELSE 'one_to_one' END WHEN n > 1 THEN CASE WHEN exact IS NOT NULL THEN 'one_to_one' ELSE 'split' END WHEN m.ri IS NOT NULL THEN 'timeline_mismatch' ELSE 'missing' END AS pattern,
+  a.idx AS left_index, CAST(NULL AS INTEGER[]) AS left_list, coalesce(CASE WHEN n = 1 THEN h.ri ELSE exact END, m.ri) AS right_index, CASE WHEN n > 1 AND exact IS NULL THEN ris END AS right_list,
+  CASE WHEN n = 1 THEN h.sim WHEN n > 1 AND exact IS NOT NULL THEN 1.0 ELSE m.sim END AS similarity, m.apart AS time_diff_s FROM a LEFT JOIN h ON h.file_id = a.file_id AND h.lo = a.ordinal LEFT JOIN m ON m.file_id = a.file_id AND m.lo = a.ordinal AND m.k = 1),
+t AS (SELECT file_id, right_index AS ri FROM l WHERE right_index IS NOT NULL UNION SELECT file_id, unnest(right_list) FROM l),
+g AS (SELECT file_id, ri, list(li ORDER BY lo) AS lis FROM p ANTI JOIN t USING (file_id, ri) GROUP BY file_id, ro, ri HAVING count(*) > 1),
+c AS (SELECT * FROM l UNION ALL SELECT file_id, 'merged', NULL, lis, ri, NULL, NULL, NULL FROM g)"""
 ORACLES = {
     "keyword_topk": f"""
 WITH t AS (SELECT unnest(regexp_split_to_array(regexp_replace(text, '[^가-힣a-zA-Z0-9\\s]', ' ', 'g'), '\\s+')) AS word FROM documents WHERE lang = 'en')
 SELECT word, count(*) AS n FROM t WHERE length(word) >= 2 AND word NOT IN {STOPWORDS} GROUP BY word ORDER BY n DESC, word LIMIT 20""",
     "normalize_text": rf"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS norm, CAST({WORDS} AS BIGINT) AS words FROM conversations",
-    "cer_native": f"SELECT conv_id, turn, round(levenshtein(ref, hyp) / greatest(length(ref), 1), 6) AS cer FROM ({NEIGHBOURS}) WHERE ref IS NOT NULL",
+    "cer_native": f"SELECT conv_id, turn, round(dist / greatest(n_ref, 1), 6) AS cer FROM ({DISTANCE})",
+    "edit_distance": f"SELECT conv_id, turn, CAST(dist AS INTEGER) AS dist, CAST(dist AS INTEGER) AS parts, CAST(n_hyp - n_ref AS INTEGER) AS longer, true AS counts FROM ({DISTANCE})",
+    # Row by row of the table of distances, for all pairs at once; within a row insertions are a running minimum.
+    "wer": rf"""
+WITH RECURSIVE p AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(ref, '\s+'), lambda x: x <> '') AS r, list_filter(regexp_split_to_array(hyp, '\s+'), lambda x: x <> '') AS h FROM ({NEIGHBOURS}) WHERE ref IS NOT NULL),
+rec(conv_id, turn, i, j, v) AS (SELECT conv_id, turn, CAST(0 AS BIGINT), j, j FROM (SELECT conv_id, turn, unnest(range(len(h) + 1)) AS j FROM p)
+  UNION ALL SELECT conv_id, turn, i + 1, j, min(t - j) OVER (PARTITION BY conv_id, turn ORDER BY j) + j FROM (
+    SELECT x.conv_id, x.turn, x.i, x.j, CASE WHEN x.j = 0 THEN x.i + 1 ELSE least(x.v + 1, lag(x.v) OVER (PARTITION BY x.conv_id, x.turn ORDER BY x.j) + CASE WHEN p.r[x.i + 1] = p.h[x.j] THEN 0 ELSE 1 END) END AS t
+    FROM rec x JOIN p ON p.conv_id = x.conv_id AND p.turn = x.turn WHERE x.i < len(p.r)))
+SELECT p.conv_id, p.turn, round(CASE WHEN len(r) = 0 THEN CASE WHEN len(h) = 0 THEN 0.0 ELSE 100.0 END ELSE 100.0 * v / len(r) END, 6) AS wer FROM p JOIN rec ON rec.conv_id = p.conv_id AND rec.turn = p.turn AND i = len(r) AND j = len(h)""",
+    "normalize_composed": r"SELECT conv_id, turn, trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g')) AS norm FROM conversations",
+    "segment_classes": f"{CLASSES} SELECT file_id, pattern, left_index, array_to_string(left_list, ',') AS left_list, right_index, array_to_string(right_list, ',') AS right_list, round(similarity, 6) AS similarity, round(time_diff_s, 4) AS time_diff_s, round(time_diff_s * 1000, 1) AS time_diff_ms FROM c",
+    "class_counts": f"{CLASSES} SELECT file_id, pattern, count(*) AS n FROM c GROUP BY file_id, pattern",
+    "least_similar_pairs": f"{CLASSES} SELECT file_id, CAST(k AS INTEGER) AS k, left_index, right_index, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY similarity, left_index) AS k FROM c WHERE pattern = 'text_diff_only') WHERE k <= 5",
+    "joined_text": """
+WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS file_id, turn * 2.5 AS s, turn * 2.5 + 2 AS e, coalesce(text, '') AS text FROM conversations),
+x AS (SELECT *, max(e) OVER (PARTITION BY file_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM t WHERE s % 5 = 0 OR s > 5),
+y AS (SELECT *, sum(CASE WHEN s - upto <= 0.6 THEN 0 ELSE 1 END) OVER (PARTITION BY file_id ORDER BY s, e) AS block FROM x),
+m AS (SELECT file_id, CAST(min(s) AS DOUBLE) AS "start", CAST(max(e) AS DOUBLE) AS "end", count(*) AS n, md5(string_agg(text, ' ' ORDER BY s, e)) AS merged FROM y GROUP BY file_id, block)
+SELECT m.*, w.joined FROM m JOIN (SELECT file_id, md5(string_agg(text, ' ' ORDER BY s)) AS joined FROM t GROUP BY file_id) w USING (file_id)""",
     "transcript_stats": f"""
 SELECT CAST(conv_id AS VARCHAR) AS file_id, count(*) AS n, round(avg(2.0), 4) AS mean_s, CAST(sum({WORDS}) AS BIGINT) AS words, round(avg({WORDS}), 4) AS mean_words, CAST(min(turn) * 2.5 AS DOUBLE) AS first_start,
   CAST(max(turn) * 2.5 + 2 AS DOUBLE) AS last_end, CAST(sum(length(coalesce(text, ''))) + count(*) - 1 AS BIGINT) AS chars FROM conversations GROUP BY conv_id""",
     "transcript_diff": f"""
 SELECT a.file_id, b.n - a.n AS segment_diff, CAST(b.words - a.words AS BIGINT) AS word_diff, round(100 * (a.words - b.words) / nullif(a.words, 0), 4) AS word_loss_pct, round(CAST(b.first_start - a.first_start AS DOUBLE), 4) AS start_delta, round(CAST(b.last_end - a.last_end AS DOUBLE), 4) AS end_delta
 FROM ({_stats('user')}) a JOIN ({_stats('assistant')}) b USING (file_id)""",
+    "report_read_back": f"""{CLASSES}, d AS (SELECT a.file_id, b.n - a.n AS segment_diff, CAST(b.words - a.words AS BIGINT) AS word_diff, round(CAST(b.first_start - a.first_start AS DOUBLE), 4) AS start_delta FROM ({_stats('user')}) a JOIN ({_stats('assistant')}) b USING (file_id))
+SELECT d.*, pattern, n, n AS n_details, round(similarity, 4) AS similarity FROM d JOIN (SELECT file_id, pattern, count(*) AS n, sum(coalesce(similarity, 0.0)) AS similarity FROM c GROUP BY file_id, pattern) USING (file_id)""",
     "clock_round_trip": """
 WITH x AS (SELECT event_id, CAST(event_id AS DOUBLE) * 1.25 AS t FROM events)
 SELECT event_id, printf('%02d:%02d:%06.3f', CAST(floor(t / 3600) AS INTEGER), CAST(floor(t / 60) % 60 AS INTEGER), CAST(t % 60 AS DOUBLE)) AS clock, round(CAST(t AS DOUBLE), 3) AS seconds,
