@@ -7,10 +7,12 @@ customers c, tables t, discount d and strength s,
 
     p(w | u) = (c_uw - d * t_uw) / (s + c_u) + (s + d * t_u) / (s + c_u) * p(w)
 
-and likewise p(w) over the base. A Gibbs sweep seats each dish's customers anew, one after another, by the Chinese
-restaurant's odds, given all other dishes' seats and the parent's probabilities as the last sweep left them. Scores
-average the predictive probabilities of the last ``KEPT`` of ``SWEEPS`` sweeps. Discounts are estimated from the counts
-of counts.
+and likewise p(w) over the base. A Gibbs sweep goes through the dishes of every context and draws the number of tables
+at which a dish's customers sit from the Chinese restaurant's law, given the other dishes: the dish's own tables are taken
+out of its context's and of the root's customers first (``seating.drawn``). A context's dishes are drawn one after
+another, of more than ``seating.ROUNDS`` some together; contexts see the root, and the root the contexts, as the last
+sweep left them, as is usual when sampling in parallel. Scores average the predictive probabilities of the last ``KEPT``
+of ``SWEEPS`` sweeps. Discounts are estimated from the counts of counts.
 
 Pairs of context and word are dealt by context, so a context's totals are at hand where it lies. Each partition sends the
 root's partitions, which are dealt by word, its tables summed by word, and gets back each of its words' customers and
@@ -35,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import seating
 from .jaccard_join import mix, words
 from .packing import cut, pack, release, unpack
 from .util import buffers, estimated_bytes, lean, partitions, pieces, remove, run_dir, written
 
 SWEEPS, KEPT, STRENGTH, SEED = 3, 2, 5.0, 11
 FOLDS = 10
-FEW = 16  # dishes that are seated one by one
 SLICE = 8 << 20  # bytes of text whose tokens are counted or asked for together
 END = np.uint64(0xE4D0F7E57A11ED01)
 
@@ -76,34 +78,6 @@ def isin_sorted(x: np.ndarray, held: np.ndarray) -> np.ndarray:
     return held[np.minimum(np.searchsorted(held, x), len(held) - 1)] == x
 
 
-def seated(customers: np.ndarray, odds: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes by seating their customers one by one; odds: (strength + discount * tables) * parent's probability.
-
-    Dishes are seated side by side, a customer of each a step. The last few dishes, the largest, go one by one, in runs of
-    customers: a customer opens a table if the dish has over a drawn number of tables by then, so from the tables before
-    the run, recounting until nothing changes gives just what seating in turn gives. Time grows with customers.
-    """
-    tables = np.minimum(customers, 1).astype(np.int64)
-    live, i = np.flatnonzero(customers > 1), 1
-    while len(live) > FEW:
-        tables[live] += rng.random(len(live)) < odds[live] / (odds[live] + i - discount * tables[live])
-        i += 1
-        live = live[customers[live] > i]
-    for k in live.tolist():
-        at, n, theta, own = i, int(customers[k]), float(odds[k]), int(tables[k])
-        while at < n:
-            size = min(n - at, max(64, at), 1 << 18)
-            least = (theta + np.arange(at, at + size) - theta / (1 - rng.random(size))) / discount
-            opened = 0
-            new = own > least
-            while (found := int(np.count_nonzero(new))) > opened:
-                opened = found
-                new = own + np.cumsum(new) - new > least
-            own, at = own + opened, at + size
-        tables[k] = own
-    return tables
-
-
 @dataclass
 class Totals:
     """What all partitions know of a sample."""
@@ -120,6 +94,13 @@ class Totals:
         below = STRENGTH + self.root_customers
         return (customers - self.root_discount * tables) / below + (STRENGTH + self.root_discount * self.root_tables) / below / (self.n_words + 1)
 
+    def root_without(self, customers: np.ndarray, tables: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """p(w) once a dish has taken its own tables, customers of the root, out of it."""
+        left = customers - own
+        seats = np.minimum(tables, left)
+        below = STRENGTH + self.root_customers - own
+        return (left - self.root_discount * seats) / below + (STRENGTH + self.root_discount * (self.root_tables - tables + seats)) / below / (self.n_words + 1)
+
     def context(self, customers: np.ndarray, tables: np.ndarray, all_customers: np.ndarray, all_tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
         """p(w | u)."""
         return (customers - self.discount * tables + (STRENGTH + self.discount * all_tables) * parent) / (STRENGTH + all_customers)
@@ -171,6 +152,17 @@ class Dishes:
             self.total[k], of_contexts[k] = total, theirs
         self.samples[-1] = [self.samples[-1][0], of_contexts, customers, tables]
 
+    def drawn(self, totals: Totals, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Tables of all pairs, each drawn given the others; table: seating.log_stirling."""
+        tables, of_contexts, customers, root_tables = self.samples[-1]
+        tables, of_contexts = tables.copy(), of_contexts.copy()
+        for k in seating.rounds(self.owner, self.customers):
+            own, u, w = tables[k], self.owner[k], self.at[k]
+            parent = totals.root_without(customers[w], root_tables[w], own)
+            tables[k] = seating.drawn(self.customers[k], of_contexts[u] - own, parent, STRENGTH, totals.discount, rng, table)
+            np.add.at(of_contexts, u, tables[k] - own)
+        return tables
+
     def probability(self, totals: list[Totals]) -> np.ndarray:
         """Averaged p(w | u) of all pairs; a sample is dropped once it has been added."""
         p = np.zeros(len(self.at))
@@ -179,8 +171,9 @@ class Dishes:
             p += t.context(self.customers, tables, self.total[self.owner], of_contexts[self.owner], parent)
         return p / max(1, len(totals))
 
-    def row(self, part: int, n_parts: int, hot: np.ndarray, sums: tuple = ()) -> Iterator[pa.RecordBatch]:
-        """The state's row, and the rows for the root's partitions: words with tables and counts, hot contexts likewise."""
+    def row(self, part: int, n_parts: int, hot: np.ndarray, seen: np.ndarray, sums: tuple = ()) -> Iterator[pa.RecordBatch]:
+        """The state's row, and the rows for the root's partitions: words with tables, counts and the root's tables as seen
+        here, hot contexts likewise."""
         tables, of_contexts = self.samples[-1][:2]
         by_word, count = self.by_word(tables), self.by_word(self.customers)
         own = np.flatnonzero(isin_sorted(self.context, hot))
@@ -194,7 +187,7 @@ class Dishes:
             k = co[slice(*runs_c.get(p, (0, 0)))]
             parts.append(p)
             kinds.append(TO_ROOT)
-            data.append(pack(np.array([part]), self.word[i], count[i], by_word[i], self.context[own[k]], own_total[k], of_contexts[own[k]]))
+            data.append(pack(np.array([part]), self.word[i], count[i], by_word[i], self.context[own[k]], own_total[k], of_contexts[own[k]], seen[i]))
         yield batch_of(parts, kinds, data, [list(sums)] + [[]] * (len(parts) - 1))
 
 
@@ -316,7 +309,7 @@ def combined(n_parts: int, hot: np.ndarray):
             dishes = Dishes(word, none, context, each, np.zeros(len(context), np.int64), key % len(word), customers, others, [])
             dishes.total = dishes.by_context(customers)
             dishes.samples = [dishes.fresh(np.minimum(customers, 1))]
-            yield from dishes.row(part, n_parts, hot, (int((customers == 1).sum()), int((customers == 2).sum())))
+            yield from dishes.row(part, n_parts, hot, none, (int((customers == 1).sum()), int((customers == 2).sum())))
 
     return lean(run)
 
@@ -329,17 +322,20 @@ def rooted(sweep: int, before: Totals | None, n_parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        table = seating.log_stirling(seating.EXACT, before.root_discount) if before is not None else None
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(part, []).append(unpack(blob, np.int64, *REPLIED[:3], *REPLIED[4:]))
+                held.setdefault(part, []).append(unpack(blob, np.int64, *REPLIED[:3], *REPLIED[4:], np.int64))
         for part, got in held.items():
             got.sort(key=lambda g: g[0][0])
             word, at = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
             count, customers = (np.bincount(at, np.concatenate([g[k] for g in got]), minlength=len(word)).astype(np.int64) for k in (2, 3))
             tables = np.minimum(customers, 1)
             if before is not None:
-                base = (STRENGTH + before.root_discount * before.root_tables) / (before.n_words + 1)
-                tables = seated(customers, np.full(len(word), base), before.root_discount, np.random.default_rng([SEED, sweep, part, 1]))
+                seen = np.zeros(len(word), np.int64)
+                np.maximum.at(seen, at, np.concatenate([g[7] for g in got]))
+                parent = np.full(len(word), 1 / (before.n_words + 1))
+                tables = seating.drawn(customers, before.root_tables - seen, parent, STRENGTH, before.root_discount, np.random.default_rng([SEED, sweep, part, 1]), table)
             context, where = np.unique(np.concatenate([g[4] for g in got]), return_inverse=True)
             total, theirs = (np.bincount(where, np.concatenate([g[k] for g in got]), minlength=len(context)).astype(np.int64) for k in (5, 6))
             parts, data, i, k = [], [], 0, 0
@@ -359,12 +355,12 @@ def swept(totals: Totals, sweep: int, n_parts: int, hot: np.ndarray):
     held = max(1, sweep - (SWEEPS - KEPT + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = seating.log_stirling(seating.EXACT, totals.discount)
         for part, dishes in settled(batches, held):
-            tables, of_contexts, customers, root_tables = dishes.samples[-1]
-            odds = (STRENGTH + totals.discount * of_contexts)[dishes.owner] * totals.root(customers, root_tables)[dishes.at]
-            tables = seated(dishes.customers, odds, totals.discount, np.random.default_rng([SEED, sweep, part, 0]))
+            seen = dishes.samples[-1][3]
+            tables = dishes.drawn(totals, table, np.random.default_rng([SEED, sweep, part, 0]))
             dishes.samples = [*(dishes.samples if sweep > SWEEPS - KEPT + 1 else []), dishes.fresh(tables)]
-            yield from dishes.row(part, n_parts, hot)
+            yield from dishes.row(part, n_parts, hot, seen)
 
     return lean(run)
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenspan.llm import induced_sort, jaccard_join, pitman_yor, suffix_dedup, warc
+from lumenspan.llm import induced_sort, jaccard_join, pitman_yor, seating, suffix_dedup, warc
 from lumenspan.llm.components import components
 from lumenspan.llm.util import run_dir
 
@@ -278,20 +278,101 @@ def test_scores_do_not_depend_on_how_contexts_are_dealt(spark, monkeypatch):
         assert r["base_score"] == pytest.approx(b[i]["base_score"], rel=1e-9) and r["score"] == pytest.approx(b[i]["score"], rel=0.05)
 
 
-def test_seating():
-    rng = np.random.default_rng(1)
-    c = np.array([0, 1, 2, 5, 100, 3000])
-    tables = np.mean([pitman_yor.seated(c, np.full(6, 0.5), 0.3, rng) for _ in range(3000)], axis=0)
-    want = []
-    for n in c.tolist():  # tables expected, by the recursion on their number
-        p = np.zeros(n + 2)
-        p[min(n, 1)] = 1.0
-        t = np.arange(n + 2)
-        for i in range(1, n):
-            new = 0.5 / (0.5 + i - 0.3 * np.minimum(t, i))
-            p = p * (1 - new) + np.r_[0, (p * new)[:-1]]
-        want.append((p * t).sum())
-    assert tables == pytest.approx(np.array(want), rel=0.03)
+def log_stirling(c, d):
+    """log S_d(c, t) for t = 1 to c, by their recursion in plain numbers."""
+
+    def plus(x, y):
+        top = max(x, y)
+        return top + math.log1p(math.exp(min(x, y) - top)) if min(x, y) > -math.inf else top
+
+    row = [0.0]
+    for n in range(1, c):
+        row = [plus(row[t - 1] + math.log(n - d * t) if t <= n else -math.inf, row[t - 2] if t > 1 else -math.inf) for t in range(1, n + 2)]
+    return row
+
+
+def exact_law(c, others, p, s, d):
+    log = 0.0
+    w = []
+    for t, x in enumerate(log_stirling(c, d), 1):
+        log += math.log((s + d * (others + t - 1)) * p)
+        w.append(x + log)
+    top = max(w)
+    w = [math.exp(x - top) for x in w]
+    return [x / sum(w) for x in w]
+
+
+def test_stirling_numbers_count_seatings():
+    """Sums over all seatings of six customers of the tables' weights."""
+
+    def seatings(n):
+        if not n:
+            yield []
+            return
+        for rest in seatings(n - 1):
+            yield [*rest, 1]
+            for k in range(len(rest)):
+                yield [*rest[:k], rest[k] + 1, *rest[k + 1 :]]
+
+    for d in (0.3, 0.8):
+        want = Counter()
+        for tables in seatings(6):
+            want[len(tables)] += math.prod(math.prod(k - d for k in range(1, n)) for n in tables)
+        assert np.exp(log_stirling(6, d)) == pytest.approx([want[t] for t in range(1, 7)])
+        assert np.exp(seating.log_stirling(6, d)[6, 1:]) == pytest.approx([want[t] for t in range(1, 7)])
+
+
+@pytest.mark.parametrize(
+    "c, p, others, d",
+    [
+        (10, 0.1, 0, 0.8), (50, 0.3, 0, 0.8), (100, 0.05, 50, 0.8), (50, 0.01, 1000, 0.8), (2, 0.5, 3, 0.5), (256, 0.2, 10, 0.6), (257, 0.2, 10, 0.6), (1000, 0.05, 50, 0.8), (900, 0.3, 0, 0.8), (1000, 0.9, 10_000, 0.8),
+        (600, 0.001, 100_000, 0.8), (900, 0.3, 0, 0.3), (900, 0.05, 50, 0.05), (900, 0.9, 1000, 0.05), (900, 0.001, 1000, 0.95), (1000, 1e-6, 10, 0.7),
+    ],
+)
+def test_tables_are_drawn_from_their_law(c, p, others, d):
+    law = exact_law(c, others, p, 5.0, d)
+    n = 20_000
+    got = seating.drawn(np.full(n, c), np.full(n, others), np.full(n, p), 5.0, d, np.random.default_rng(1), seating.log_stirling(seating.EXACT, d))
+    mean = sum(t * x for t, x in enumerate(law, 1))
+    spread = math.sqrt(sum(t * t * x for t, x in enumerate(law, 1)) - mean**2)
+    assert got.mean() == pytest.approx(mean, rel=0.02, abs=4 * spread / math.sqrt(n))
+    assert got.std() == pytest.approx(spread, rel=0.06, abs=0.02)
+    few = [np.mean(got == t) for t in range(1, 9)]
+    assert few == pytest.approx([*law[:8], *[0] * (8 - len(law))], abs=0.015)
+
+
+def test_largest_dishes():
+    """Beyond any recursion: doubling customers of a stable law multiplies what they would sit at alone by 2 ** d."""
+    table = seating.log_stirling(seating.EXACT, 0.6)
+    mean = [seating.drawn(np.full(400, c), np.full(400, 10**9), np.full(400, 0.999), 5.0, 0.6, np.random.default_rng(c), table).mean() for c in (10**6, 10**7)]
+    assert all(m == pytest.approx(c, rel=0.01) for m, c in zip(mean, (10**6, 10**7)))  # with so many others nearly everyone opens a table
+    alone = [seating.drawn(np.full(2000, c), np.zeros(2000), np.ones(2000), 5.0, 0.6, np.random.default_rng(c), table).mean() for c in (300, 10**5)]
+    expected = [np.exp(math.lgamma(5 + 0.6 + c) - math.lgamma(5 + c) + math.lgamma(5 + 1) - math.lgamma(5 + 0.6)) / 0.6 - 5 / 0.6 for c in (300, 10**5)]
+    assert alone == pytest.approx(expected, rel=0.03)
+
+
+def test_a_sweep_leaves_the_joint_law_of_a_context_as_it_is():
+    """Two dishes of one context, enumerated: sweep after sweep their tables follow the law of both together."""
+    one = np.array([0, 0])
+    dishes = pitman_yor.Dishes(np.array([1, 2], np.uint64), one, np.array([9], np.uint64), np.array([2]), np.array([18]), np.array([0, 1]), np.array([12, 6]), one, [])
+    root = np.array([3 * 10**8, 10**8])  # so large that own tables don't matter
+    dishes.samples = [[np.array([1, 1]), np.array([2]), root, root // 10]]
+    totals = pitman_yor.Totals(18, 2, 0.7, 0.5, 10**9, 10**8)
+    p = totals.root(root, root // 10)
+    table, rng = seating.log_stirling(seating.EXACT, 0.7), np.random.default_rng(2)
+    seen = []
+    for _ in range(4000):
+        tables = dishes.drawn(totals, table, rng)
+        dishes.samples[-1][:2] = [tables, np.array([tables.sum()])]
+        seen.append(tables)
+    law = np.zeros((13, 7))
+    a, b = np.exp(log_stirling(12, 0.7)), np.exp(log_stirling(6, 0.7))
+    for i in range(1, 13):
+        for j in range(1, 7):
+            law[i, j] = a[i - 1] * b[j - 1] * p[0] ** i * p[1] ** j * math.prod(5 + 0.7 * k for k in range(i + j))
+    law /= law.sum()
+    want = [(law.sum(1) * np.arange(13)).sum(), (law.sum(0) * np.arange(7)).sum()]
+    assert np.mean(seen[100:], 0) == pytest.approx(want, rel=0.03)
 
 
 def test_scores_of_odd_tables(odd, empty):
