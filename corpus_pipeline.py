@@ -28,6 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component keep the document with the smallest id, once if its row repeats; rows without an id stay.
 
+    A null or empty text is linked with nothing, so its row stays; an empty table gives no rows.
+
     Only ids travel to be joined: the documents that go are few beside those that stay.
     """
     found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))

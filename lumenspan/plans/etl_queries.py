@@ -65,8 +65,8 @@ def hourly(spark, d):
 
 
 def pivot_sum_fill0(spark, d):
-    out = etl.pivot_sum(hourly(spark, d), "hour", "event_type", ["click", "view", "purchase"], ["k", "one"])
-    return out.select("hour", *(F.col(f"{t}_{m}").alias(f"{t}_{m}") for t in ("click", "view", "purchase") for m in ("k", "one")))
+    out = etl.pivot_sum(hourly(spark, d), "hour", "event_type", list(TYPES), ["k", "one"])
+    return out.select("hour", *(F.col(f"{t}_{m}").alias(f"{t}_{m}") for t in TYPES for m in ("k", "one")))
 
 
 def pivot_count_fixed_cols(spark, d):
@@ -104,10 +104,39 @@ def latest_status(spark, d):
 
 def union_pages(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_orderstatus")
-    return o.where("o_orderstatus = 'F'").unionByName(o.where("o_orderstatus = 'O'")).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    parts = [o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), o.where("o_orderstatus NOT IN ('F', 'O')")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+def metric_log(spark, d):
+    """Events as lines of a scheduler's log: two of three are metrics, of allocations or of batches."""
+    e = table(spark, d, "events", "event_id", "event_type", "user_id", "ts")
+    number = lambda m: F.when(F.col("event_id") % m != 0, F.col("event_id") % m)
+    lists = {f"{t}_cpks": F.when(F.col("event_id") % 4 != k, F.array("event_type", F.concat(F.lit(t), F.col("user_id").cast("string")))) for k, t in enumerate(logs.TYPES)}
+    return e.select(
+        F.when(F.col("event_id") % 3 != 0, "metric").otherwise("info").alias("msg"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), F.when(F.col("event_id") % 2 == 0, "cpk_allocate").otherwise("batch_summary").alias("metric_type"),
+        F.when(F.col("event_type") != "view", F.col("event_type")).alias("cpk"), number(5).alias("request_count"), number(7).alias("ongoing_count"), number(11).alias("queued_at_start"), F.col("event_id").cast("string").alias("batch_id"), *(c.alias(n) for n, c in lists.items()),
+    )
+
+
+def allocation_rows(spark, d):
+    """Lines that are metrics of allocations to a named key."""
+    a = logs.allocations(metric_log(spark, d))
+    return a.groupBy("cpk", F.date_format("time", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), *(F.sum(c).cast("long").alias(c) for c in ("count", "pending", "queued_at_start", "total")))
+
+
+def batch_type_rows(spark, d):
+    return logs.batch_types(metric_log(spark, d)).select("batch_id", "type", "cpk")
+
+
+def districts(spark, d):
+    """Addresses along the roads of the table, some with the district named."""
+    road = F.element_at(F.array(*(F.lit(r) for r, _ in etl.ROADS), F.lit("모르는길")), (F.col("c_custkey") % (len(etl.ROADS) + 1) + 1).cast("int"))
+    address = F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("서울 신사동 "), road)).when(F.col("c_custkey") % 10 == 1, F.lit(None)).otherwise(F.concat(F.lit("서울 "), road, F.lit(" "), F.col("c_custkey").cast("string")))
+    return table(spark, d, "customer", "c_custkey").select("c_custkey", etl.district(address).alias("district"))
 
 
-QUERIES = {f.__name__: f for f in (season_mean_of_sums, year_total, select_rename_cast, prefix_strip, ordered_lookup_first_hit, value_counts_topk, value_counts_by_key, describe_numeric, pivot_sum_fill0, pivot_count_fixed_cols, json_field_default, array_unnest_tagged, first_seen_keys, stage_shares, latest_status, union_pages)}
+QUERIES = {f.__name__: f for f in (season_mean_of_sums, year_total, select_rename_cast, prefix_strip, ordered_lookup_first_hit, value_counts_topk, value_counts_by_key, describe_numeric, pivot_sum_fill0, pivot_count_fixed_cols, json_field_default, array_unnest_tagged, first_seen_keys, stage_shares, latest_status, union_pages, allocation_rows, batch_type_rows, districts)}
 
 _LOOKUP = " ".join(f"WHEN contains(lower(p_name), '{k}') THEN '{v}'" for k, v in PARTS)
 _HOURLY = "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events"
@@ -126,7 +155,14 @@ SELECT season, round(avg(total), 2) AS mean_total, CAST(list_position(['spring',
         f"SELECT '{c}' AS name, count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(CAST(min({c}) AS DOUBLE), 4) AS lowest, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 4) AS q1, "
         f"round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS q2, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 4) AS q3, round(CAST(max({c}) AS DOUBLE), 4) AS highest FROM part" for c in ("p_size", "p_retailprice")
     ),
-    "pivot_sum_fill0": "SELECT hour, " + ", ".join(f"CAST(coalesce(sum(k) FILTER (event_type = '{t}'), 0) AS BIGINT) AS {t}_k, count(*) FILTER (event_type = '{t}') AS {t}_one" for t in ("click", "view", "purchase")) + f" FROM ({_HOURLY}) GROUP BY hour",
+    "pivot_sum_fill0": "SELECT hour, " + ", ".join(f"CAST(coalesce(sum(k) FILTER (event_type = '{t}'), 0) AS BIGINT) AS {t}_k, count(*) FILTER (event_type = '{t}') AS {t}_one" for t in TYPES) + f" FROM ({_HOURLY}) GROUP BY hour",
+    "allocation_rows": """
+WITH a AS (SELECT event_type AS cpk, strftime(ts, '%Y-%m-%d') AS day, event_id % 5 AS r, event_id % 7 AS o, event_id % 11 AS q FROM events WHERE event_id % 3 <> 0 AND event_id % 2 = 0 AND event_type <> 'view')
+SELECT cpk, day, count(*) AS n, CAST(sum(r) AS BIGINT) AS count, CAST(sum(o) AS BIGINT) AS pending, CAST(sum(q) AS BIGINT) AS queued_at_start, CAST(sum(r + o) AS BIGINT) AS total FROM a GROUP BY cpk, day""",
+    "batch_type_rows": " UNION ALL ".join(f"SELECT CAST(event_id AS VARCHAR) AS batch_id, '{t}' AS type, unnest([event_type, '{t}' || user_id]) AS cpk FROM events WHERE event_id % 3 <> 0 AND event_id % 2 = 1 AND event_id % 4 <> {k}" for k, t in enumerate(logs.TYPES)),
+    "districts": f"WITH a AS (SELECT c_custkey, [{', '.join(repr(r) for r, _ in etl.ROADS)}, '모르는길'][c_custkey % {len(etl.ROADS) + 1} + 1] AS road FROM customer) "
+    + r"SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN '신사동' WHEN c_custkey % 10 = 1 THEN '기타' WHEN contains(road, '동') THEN regexp_extract(road, '([\p{L}\p{N}_]+동)', 1) "
+    + " ".join(f"WHEN contains(road, '{r}') THEN '{v}'" for r, v in etl.ROADS) + " ELSE '기타' END AS district FROM a",
     "pivot_count_fixed_cols": "SELECT hour, " + ", ".join(f"count(k) FILTER (event_type = '{t}') AS {t}" for t in ("click", "view", "absent")) + f" FROM ({_HOURLY}) GROUP BY hour",
     "json_field_default": "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, coalesce(CAST(json_extract_string(props, '$.missing') AS BIGINT), 7) AS missing FROM events",
     "array_unnest_tagged": "SELECT event_id, 'balanced' AS type, event_type AS cpk FROM events UNION ALL SELECT event_id, 'dedicated', unnest([event_type, 'even']) FROM events WHERE user_id % 2 = 0",
@@ -135,5 +171,5 @@ SELECT season, round(avg(total), 2) AS mean_total, CAST(list_position(['spring',
     "latest_status": """
 WITH p AS (SELECT user_id, least(100, CAST(sum(CAST(floor(value) AS BIGINT) % 4) AS BIGINT)) AS progress, max(event_id) AS last_event FROM events GROUP BY 1)
 SELECT user_id, progress, CASE WHEN progress >= 100 THEN 'completed' WHEN progress > 0 THEN 'processing' ELSE 'pending' END AS status, last_event FROM p""",
-    "union_pages": "SELECT o_orderstatus, count(*) AS n FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT * FROM orders WHERE o_orderstatus = 'O') GROUP BY 1",
+    "union_pages": "SELECT o_orderstatus, count(*) AS n FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT * FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT * FROM orders WHERE o_orderstatus NOT IN ('F', 'O')) GROUP BY 1",
 }

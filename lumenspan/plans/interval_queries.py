@@ -75,6 +75,14 @@ def window_clip(spark, d):
     return out.select("key", "event_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
+def window_overlaps(spark, d):
+    """Segments with time in common with a window; those that only touch it don't count."""
+    s = segments(spark, d).select("event_id", "key", F.floor("start").alias("start"), F.floor("end").alias("end"))
+    first = s.groupBy("key").agg(F.min("start").alias("t0"))  # a row for each key
+    s = s.join(first, "key").withColumns({"start": F.col("start") - F.col("t0"), "end": F.col("end") - F.col("t0")})
+    return s.where(intervals.overlaps_window(F.col("start"), F.col("end"), F.lit(86400), F.lit(90000))).select("key", "event_id", "start", "end")
+
+
 def adjacent_boundaries(spark, d):
     s = intervals.adjacent(segments(spark, d), ["key"], ["start", "event_id"], ["event_id", "start"])
     s = intervals.boundary_windows(s, "end", F.col("next_start") + 100.0, 50.0)
@@ -123,7 +131,7 @@ def first_of_rounded(spark, d):
     return intervals.keep_first_rounded(s, ["key"], "event_id", -2).groupBy("key").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (gap_stats, segment_quality_summary, gap_merge_sessions, interval_overlap_join, interval_match_class_geometry, unmatched_right, positional_compare, positional_stats, window_clip, adjacent_boundaries, long_silence_gaps, silence_accounts, speech_totals, edge_views, metric_compare, first_of_rounded)}
+QUERIES = {f.__name__: f for f in (gap_stats, segment_quality_summary, gap_merge_sessions, interval_overlap_join, interval_match_class_geometry, unmatched_right, positional_compare, positional_stats, window_clip, window_overlaps, adjacent_boundaries, long_silence_gaps, silence_accounts, speech_totals, edge_views, metric_compare, first_of_rounded)}
 
 S = "SELECT event_id, event_type AS key, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + value AS e FROM events"
 S10 = "SELECT event_id, event_type AS key, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + value * 10.0 AS e FROM events"
@@ -170,6 +178,7 @@ SELECT key, round(min(s), 3) AS start, round(max(e), 3) AS "end", count(*) AS n
     "positional_stats": f"""{COMPARED} SELECT day, count(*) FILTER (status = 'match') AS matched, count(*) FILTER (status IN ('match', 'differs')) AS common,
   round(100 * matched / nullif(common, 0), 3) AS rate_pct, round(avg(sd) FILTER (status IN ('match', 'differs')), 3) AS mean_start_diff_ms, round(avg(ed) FILTER (status IN ('match', 'differs')), 3) AS mean_end_diff_ms FROM c GROUP BY day""",
     "window_clip": f"WITH x AS (SELECT event_id, key, s - min(s) OVER (PARTITION BY key) AS s, e - min(s) OVER (PARTITION BY key) AS e FROM ({S})) SELECT key, event_id, round(greatest(s, 86400.0), 3) AS start, round(least(e, 172800.0), 3) AS \"end\" FROM x WHERE e >= 86400 AND s <= 172800",
+    "window_overlaps": f"WITH y AS (SELECT event_id, key, CAST(floor(s) AS BIGINT) AS s, CAST(floor(e) AS BIGINT) AS e FROM ({S})), x AS (SELECT event_id, key, s - min(s) OVER (PARTITION BY key) AS s, e - min(s) OVER (PARTITION BY key) AS e FROM y) SELECT key, event_id, s AS start, e AS \"end\" FROM x WHERE s < 90000 AND e > 86400",
     "adjacent_boundaries": f"""WITH x AS (SELECT *, lead(event_id) OVER w AS ne, lead(s) OVER w AS ns FROM ({S}) WINDOW w AS (PARTITION BY key ORDER BY s, event_id))
 SELECT key, event_id, ne AS next_event_id, round(greatest(0.0, e - 50), 3) AS window_start, round(least(ns + 100, e + 50), 3) AS window_end FROM x WHERE ne IS NOT NULL""",
     "long_silence_gaps": f'{CLIPS} SELECT key, s AS start, e AS "end" FROM g WHERE e - s >= 600000',

@@ -125,6 +125,12 @@ def spectrum_peak(spark, d):
     return s.groupBy("vec_id").agg(F.count("*").alias("frames"), F.round(F.max(F.array_max("frame")), 3).alias("top_db"))
 
 
+def spectrum_levels(spark, d):
+    """Mean level of each frame's frequencies below the clip's loudest."""
+    s = clips(spark, d).select("vec_id", F.posexplode(signal.spectrum_db(F.col("embedding"), 32, 16)).alias("k", "frame"))
+    return s.select("vec_id", F.col("k").cast("long").alias("k"), F.round(F.aggregate("frame", F.lit(0.0), lambda a, x: a + x) / F.size("frame"), 3).alias("level"))
+
+
 def painted_samples(spark, d):
     c = clips(spark, d).select("vec_id", F.size("embedding").cast("long").alias("n"))
     spans = c.select("vec_id", F.inline(F.array(F.struct(F.lit(0.1).alias("start"), F.lit(0.4).alias("end")), F.struct(F.lit(0.3).alias("start"), (F.col("vec_id") % 5 / 4.0).alias("end")))))
@@ -152,12 +158,18 @@ def mono_mix(spark, d):
     return mono.select("vec_id", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (frame_rms_tumbling, frame_rms_hopping, rms_summary, moving_rms_mask, mask_runs, topn_runs, mask_confusion, frame_confusion, best_offset, shift_mask, rms_dbfs, diff_signal, linear_resample, polyphase_resample, time_slice, centred_rms, filter_verdict, pcm16_quantise, silence_suppressed, spectrum_peak, painted_samples, time_axes, padded_pairs, mono_mix)}
+QUERIES = {f.__name__: f for f in (frame_rms_tumbling, frame_rms_hopping, rms_summary, moving_rms_mask, mask_runs, topn_runs, mask_confusion, frame_confusion, best_offset, shift_mask, rms_dbfs, diff_signal, linear_resample, polyphase_resample, time_slice, centred_rms, filter_verdict, pcm16_quantise, silence_suppressed, spectrum_peak, spectrum_levels, painted_samples, time_axes, padded_pairs, mono_mix)}
 
 X = "(SELECT vec_id, CAST(unnest(range(len(embedding))) AS BIGINT) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
 M = f"(SELECT vec_id, i, x, CASE WHEN x > 0 THEN 1 ELSE 0 END AS m FROM {X})"
 RUNS = "SELECT vec_id, min(i) AS s, count(*) AS len FROM (SELECT vec_id, i, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS g FROM {} WHERE m = 1) GROUP BY vec_id, g"
 PAIRS = f"(SELECT a.vec_id AS pair, a.i, a.m AS a, b.m AS b FROM {M} a JOIN {M} b ON b.vec_id = a.vec_id + 1 AND a.i = b.i)"
+# The transform written out: 32 samples around each 16th, with a raised cosine, at 17 frequencies.
+SPECTRUM = f"""
+WITH f AS (SELECT vec_id, k, q, sum(x * (0.5 - 0.5 * cos(2 * pi() * (i - k * 16 + 16) / 32)) * cos(2 * pi() * q * (i - k * 16 + 16) / 32)) AS re, sum(x * (0.5 - 0.5 * cos(2 * pi() * (i - k * 16 + 16) / 32)) * sin(2 * pi() * q * (i - k * 16 + 16) / 32)) AS im
+  FROM {X} JOIN range(0, 5) f(k) ON i >= k * 16 - 16 AND i < k * 16 + 16 JOIN range(0, 17) g(q) ON TRUE GROUP BY vec_id, k, q),
+z AS (SELECT *, sqrt(re * re + im * im) AS size, max(sqrt(re * re + im * im)) OVER (PARTITION BY vec_id) AS most FROM f),
+s AS (SELECT vec_id, k, q, greatest(20 * log10(greatest(size, 1e-10) / greatest(most, 1e-10)), -80) AS db FROM z)"""
 ORACLES = {
     "frame_rms_tumbling": f"SELECT vec_id, i // 10 AS k, round(sqrt(sum(x * x) / 10), 6) AS rms FROM {X} GROUP BY vec_id, k",
     "frame_rms_hopping": f"SELECT vec_id, CAST(k AS BIGINT) AS k, round(sqrt(sum(x * x) / 16), 6) AS rms FROM {X} JOIN range(0, 6) f(k) ON i >= k * 8 AND i < k * 8 + 16 GROUP BY vec_id, k",
@@ -186,12 +198,8 @@ SELECT vec_id, m AS i, round(sum(x * taps[40 + m * 4 - i * 3 + 1]), 6) AS x FROM
 SELECT vec_id, CAST(p AS INTEGER) AS part, CAST(count(*) AS INTEGER) AS n, round(sum(x), 5) AS total FROM {X} JOIN (VALUES (0, 16, 32), (1, 0, 64), (2, 57, 64)) v(p, a, b) ON i >= a AND i < b GROUP BY vec_id, p""",
     "centred_rms": f"SELECT vec_id, CAST(k AS BIGINT) AS k, round(sqrt(sum(x * x) / 32), 6) AS rms FROM {X} JOIN range(0, 5) f(k) ON i >= k * 16 - 16 AND i < k * 16 + 16 GROUP BY vec_id, k",
     "filter_verdict": f"SELECT pair, n AS left_only, m AS right_only, CASE WHEN n > 1.2 * m THEN 'left' WHEN m > 1.2 * n THEN 'right' ELSE 'balanced' END AS verdict FROM (SELECT pair, count(*) FILTER (a = 1 AND b = 0) AS n, count(*) FILTER (a = 0 AND b = 1) AS m FROM {PAIRS} GROUP BY pair)",
-    # The transform written out: 32 samples around each 16th, with a raised cosine, at 17 frequencies.
-    "spectrum_peak": f"""
-WITH f AS (SELECT vec_id, k, q, sum(x * (0.5 - 0.5 * cos(2 * pi() * (i - k * 16 + 16) / 32)) * cos(2 * pi() * q * (i - k * 16 + 16) / 32)) AS re, sum(x * (0.5 - 0.5 * cos(2 * pi() * (i - k * 16 + 16) / 32)) * sin(2 * pi() * q * (i - k * 16 + 16) / 32)) AS im
-  FROM {X} JOIN range(0, 5) f(k) ON i >= k * 16 - 16 AND i < k * 16 + 16 JOIN range(0, 17) g(q) ON TRUE GROUP BY vec_id, k, q),
-s AS (SELECT *, sqrt(re * re + im * im) AS size, max(sqrt(re * re + im * im)) OVER (PARTITION BY vec_id) AS most FROM f)
-SELECT vec_id, count(DISTINCT k) AS frames, round(max(greatest(20 * log10(greatest(size, 1e-10) / greatest(most, 1e-10)), -80)), 3) AS top_db FROM s GROUP BY vec_id""",
+    "spectrum_peak": f"{SPECTRUM} SELECT vec_id, count(DISTINCT k) AS frames, round(max(db), 3) AS top_db FROM s GROUP BY vec_id",
+    "spectrum_levels": f"{SPECTRUM} SELECT vec_id, CAST(k AS BIGINT) AS k, round(avg(db), 3) AS level FROM s GROUP BY vec_id, k",
     "pcm16_quantise": f"SELECT vec_id, i, CAST(trunc(greatest(least(x * 32767, 32767.0), -32768.0)) AS BIGINT) AS v FROM {X}",
     "painted_samples": """
 WITH s AS (SELECT vec_id, unnest([[6, 25], [19, least(CAST(trunc(vec_id % 5 / 4.0 * 64) AS BIGINT), len(embedding))]]) AS v FROM embeddings), i AS (SELECT DISTINCT vec_id, unnest(range(v[1], v[2])) AS i FROM s WHERE v[2] > v[1])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text, times
 from ..operators import intervals, match
 from ..operators.keywords import keywords
+from ..sources import crawl
 from ..sources.html import articles
 from .etl_queries import table
 
@@ -38,7 +39,7 @@ def srt_of(spark, d, role):
 
 
 def keyword_topk(spark, d):
-    return keywords(table(spark, d, "documents", "lang", "text").where("lang = 'en'"), "text", STOPWORDS)
+    return keywords(table(spark, d, "documents", "text"), "text", STOPWORDS)
 
 
 def normalize_text(spark, d):
@@ -154,7 +155,15 @@ def joined_text(spark, d):
 
 
 def html_extract(spark, d):
-    return articles(table(spark, d, "pages", "page_id", "html"), "html", ["page_id"], {"title": "article h1", "around": "article", "summary": "p"})
+    """Articles of all pages; those without a body fail to be fetched, and are skipped."""
+
+    def body(row: dict) -> str:
+        if row["body"] is None:
+            raise ValueError("no body")
+        return row["body"]
+
+    got = crawl.fetched(table(spark, d, "pages", "page_id", "html").withColumnRenamed("html", "body"), body, retries=0)
+    return articles(got.where("error IS NULL"), "html", ["page_id"], {"title": "article h1", "around": "article", "summary": "p"})
 
 
 def clock_round_trip(spark, d):
@@ -202,7 +211,7 @@ g AS (SELECT file_id, ri, list(li ORDER BY lo) AS lis FROM p ANTI JOIN t USING (
 c AS (SELECT * FROM l UNION ALL SELECT file_id, 'merged', NULL, lis, ri, NULL, NULL, NULL FROM g)"""
 ORACLES = {
     "keyword_topk": f"""
-WITH t AS (SELECT unnest(regexp_split_to_array(regexp_replace(text, '[^가-힣a-zA-Z0-9\\s]', ' ', 'g'), '\\s+')) AS word FROM documents WHERE lang = 'en')
+WITH t AS (SELECT unnest(regexp_split_to_array(regexp_replace(text, '[^가-힣a-zA-Z0-9\\s]', ' ', 'g'), '\\s+')) AS word FROM documents)
 SELECT word, count(*) AS n FROM t WHERE length(word) >= 2 AND word NOT IN {STOPWORDS} GROUP BY word ORDER BY n DESC, word LIMIT 20""",
     "normalize_text": rf"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS norm, CAST({WORDS} AS BIGINT) AS words FROM conversations",
     "cer_native": f"SELECT conv_id, turn, round(dist / greatest(n_ref, 1), 6) AS cer FROM ({DISTANCE})",
@@ -233,6 +242,14 @@ SELECT a.file_id, b.n - a.n AS segment_diff, CAST(b.words - a.words AS BIGINT) A
 FROM ({_stats('user')}) a JOIN ({_stats('assistant')}) b USING (file_id)""",
     "report_read_back": f"""{CLASSES}, d AS (SELECT a.file_id, b.n - a.n AS segment_diff, CAST(b.words - a.words AS BIGINT) AS word_diff, round(CAST(b.first_start - a.first_start AS DOUBLE), 4) AS start_delta FROM ({_stats('user')}) a JOIN ({_stats('assistant')}) b USING (file_id))
 SELECT d.*, pattern, n, n AS n_details, round(similarity, 4) AS similarity FROM d JOIN (SELECT file_id, pattern, count(*) AS n, sum(coalesce(similarity, 0.0)) AS similarity FROM c GROUP BY file_id, pattern) USING (file_id)""",
+    # These pages have one article with one heading, whose first paragraph is closed only with the article.
+    "html_extract": r"""
+WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, regexp_extract(body, '(?s)<h1>(.*?)</h1>', 1) AS title, regexp_extract(body, '(?s)</h1>(.*)$', 1) AS rest FROM a),
+c AS (SELECT page_id, unnest(['title', 'summary']) AS part, unnest([title, regexp_replace(rest, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')]) AS x FROM b),
+d AS (SELECT page_id, part, array_to_string(list_transform(regexp_split_to_array(x, '<[^>]*>'), lambda v: trim(v, ' ' || chr(9) || chr(10) || chr(13))), '') AS x FROM c),
+e AS (SELECT page_id, part, replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS x FROM d)
+SELECT page_id, CAST(0 AS INTEGER) AS k, max(x) FILTER (part = 'title') AS title, '언론사 정보 없음' AS press, '날짜 정보 없음' AS date, max(x) FILTER (part = 'summary') AS summary FROM e GROUP BY page_id""",
     "clock_round_trip": """
 WITH x AS (SELECT event_id, CAST(event_id AS DOUBLE) * 1.25 AS t FROM events)
 SELECT event_id, printf('%02d:%02d:%06.3f', CAST(floor(t / 3600) AS INTEGER), CAST(floor(t / 60) % 60 AS INTEGER), CAST(t % 60 AS DOUBLE)) AS clock, round(CAST(t AS DOUBLE), 3) AS seconds,
