@@ -13,8 +13,10 @@ shares at least t = m - q + 1 - q * e of its q-grams with the pattern, on diagon
    diagonals of an occurrence; bands with t hits or more are kept;
 3. kept bands are verified by banded alignment: the pattern against any stretch of the text on the band's diagonals.
 
-Items are read in blocks of at most ``BLOCK`` bytes, one pass over the documents for each, so that what tasks get stays
-bounded whatever the benchmark's size.
+Items are written to the shared folder in blocks of at most ``BLOCK`` bytes (an item at least); neither the driver nor a
+closure holds them. Documents are read once, whatever the benchmark's size: a task goes through all blocks, one in memory at
+a time, for each ``WIDE_PIECE`` bytes of its documents. The shared folder is opened through pyarrow there, so it has to be of
+a kind that pyarrow knows (local, HDFS, S3, GCS).
 
 Defined results: null or empty texts and items, and items under q bytes, match nothing; repeated rows match alike;
 equal items each get their rows; a null id gives rows with a null id, and items without one share theirs; an empty table
@@ -27,17 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import id_and_text, pieces
+from .util import estimated_bytes, id_and_text, pieces, run_dir
 
 Q, PATTERN, BAND, RATE = 8, 96, 16, 10
 #: Hits are first counted by item in wider bands, each in one of 2 ** CELL_BITS cells.
 WIDE, CELL_BITS = 64, 22
 #: Patterns' bytes and how far apart they start: long ones for their larger budget, short ones for parts of items.
 CUTS = ((PATTERN, 48), (64, 16))
-BLOCK = 2 << 20
+BLOCK = 1 << 20
+#: Bytes of text that are searched at a time, and for which a block is made.
+PIECE, WIDE_PIECE = 4 << 20, 64 << 20
 BITS = 20
 #: More bytes than any budget has edits: no match reaches from one text into the next.
 APART = b"\xff" * 16
@@ -217,53 +223,90 @@ class Patterns:
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Patterns]:
-    """The items in blocks of bounded size."""
-    rows, size = [], 0
-    for row in id_and_text(benchmark, id_col, text_col).orderBy("id").toLocalIterator():
-        if rows and size + len(row["text"]) > BLOCK:
-            yield Patterns(rows)
-            rows, size = [], 0
-        rows.append((row["id"], row["text"]))
-        size += len(row["text"])
-    if rows:
-        yield Patterns(rows)
+def written_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> str:
+    """The items in blocks of bounded size, a row each, in a folder that all executors share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, size = [], [], 0
+        for part in batches:
+            for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if ids and size + len(text) > BLOCK:
+                    yield _block(ids, texts)
+                    ids, texts, size = [], [], 0
+                ids.append(i)
+                texts.append(text)
+                size += len(text)
+        if ids:
+            yield _block(ids, texts)
+
+    at = run_dir(benchmark.sparkSession, "decontaminate")
+    items = id_and_text(benchmark, id_col, text_col)
+    few = max(1, -(-4 * estimated_bytes(benchmark) // BLOCK))
+    items.coalesce(few).mapInArrow(run, "ids array<long>, texts array<string>").write.parquet(at)
+    return at
+
+
+def _block(ids: list, texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))], ["ids", "texts"])
+
+
+class Blocks:
+    """The blocks of a folder, read and made into patterns one after another; a single one is kept."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.kept = folder, None
+
+    def __iter__(self) -> Iterator[Patterns]:
+        if self.kept is not None:
+            yield from self.kept
+            return
+        files, root = pa.fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (pa.fs.LocalFileSystem(), self.folder)
+        made, last = 0, None
+        for info in sorted(files.get_file_info(pa.fs.FileSelector(root)), key=lambda x: x.path):
+            if info.path.endswith(".parquet"):
+                with files.open_input_file(info.path) as f:
+                    for row in pq.ParquetFile(f).iter_batches(1):
+                        last = Patterns(list(zip(row.column(0)[0].as_py(), row.column(1)[0].as_py())))
+                        made += 1
+                        if len(last.item):
+                            yield last
+        if made < 2:
+            self.kept = [last] if last is not None and len(last.item) else []
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id, item_id, n_patterns (bands verified), min_edits, last_end for each document and item that match."""
-    docs = id_and_text(documents, id_col, text_col)
-    schema = "id long, item_id long, edits long, end long"
-    out = documents.sparkSession.createDataFrame([], schema)
-    for block in blocks(benchmark, item_col, item_text_col):
-        if not len(block.item):
-            continue
+    folder = written_blocks(benchmark, item_col, item_text_col)
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for part in pieces(batches, 4 << 20):
-                doc, item, edits, end = block.search(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), block.ids.take(pa.array(item)), pa.array(edits), pa.array(end)], ["id", "item_id", "edits", "end"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(folder)
+        for wide in pieces(batches, WIDE_PIECE):
+            for block in blocks:
+                for part in pieces([wide], PIECE):
+                    doc, item, edits, end = block.search(part.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), block.ids.take(pa.array(item)), pa.array(edits), pa.array(end)], ["id", "item_id", "edits", "end"])
 
-        out = out.union(docs.mapInArrow(run, schema))
-    return out.groupBy("id", "item_id").agg(F.count("*").alias("n_patterns"), F.min("edits").alias("min_edits"), F.max("end").alias("last_end"))
+    found = id_and_text(documents, id_col, text_col).mapInArrow(run, "id long, item_id long, edits long, end long")
+    return found.groupBy("id", "item_id").agg(F.count("*").alias("n_patterns"), F.min("edits").alias("min_edits"), F.max("end").alias("last_end"))
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows whose text matches no item, with all their columns."""
     at = documents.columns.index(text_col)
-    out = documents
-    for block in blocks(benchmark, "item_id", "text"):
-        if not len(block.item):
-            continue
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for part in pieces(batches, 4 << 20, text_col):
-                keep = np.ones(part.num_rows, bool)
-                keep[block.search([t or "" for t in part.column(at).to_pylist()])[0]] = False
-                yield part.filter(pa.array(keep))
-
-        out = out.mapInArrow(run, documents.schema)
-    return out
+    folder = written_blocks(benchmark, "item_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(folder)
+        for wide in pieces(batches, WIDE_PIECE, text_col):
+            keep = np.ones(wide.num_rows, bool)
+            for block in blocks:
+                first = 0
+                for part in pieces([wide], PIECE, text_col):
+                    keep[first + block.search([t or "" for t in part.column(at).to_pylist()])[0]] = False
+                    first += part.num_rows
+            yield wide.filter(pa.array(keep))
+
+    return documents.mapInArrow(run, documents.schema)
 
 
 def op1_qgram_decontamination(spark, sf_dir: str) -> DataFrame:

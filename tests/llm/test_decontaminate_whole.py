@@ -23,3 +23,19 @@ def test_items_without_an_id_are_searched(spark):
     found = sorted((r["id"] or 0, r["item_id"] or 0, r["min_edits"]) for r in decontaminate.leaks(docs, items).collect())
     assert found == [(0, 0, 0), (1, 0, 0), (2, 7, 0), (5, 0, 0)]
     assert [r["doc_id"] for r in decontaminate.keep_clean(docs, items).collect()] == [4]
+
+
+def test_many_blocks_are_one_pass_with_the_same_rows(spark, monkeypatch):
+    """Blocks of a few items, texts in several pieces: the rows of one block, and documents read once."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    items = items.unionByName(items.selectExpr("item_id + 1000 AS item_id", "reverse(text) AS text")).unionByName(spark.createDataFrame([(None, "tiny"), (5000, None)], items.schema))
+    rows = lambda: sorted(tuple(r) for r in decontaminate.leaks(docs, items).collect())
+    whole, kept = rows(), sorted(r.doc_id for r in decontaminate.keep_clean(docs, items).collect())
+    assert len(whole) >= 3 and len(kept) < docs.count()
+    monkeypatch.setattr(decontaminate, "BLOCK", 700)
+    folder = decontaminate.written_blocks(items, "item_id", "text")
+    assert spark.read.parquet(folder).count() > 10
+    plan = decontaminate.leaks(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Union" not in plan
+    assert rows() == whole and sorted(r.doc_id for r in decontaminate.keep_clean(docs, items).collect()) == kept
