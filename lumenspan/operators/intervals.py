@@ -42,16 +42,16 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket
         levels = F.sequence(F.col(held), F.greatest(held, top))
         entry = lambda k, kind: F.struct(k.alias("_level"), F.lit(kind).alias("_kind"))
         places = F.flatten(F.transform(levels, lambda k: F.when(k > F.col(held), F.array(entry(k, q))).when(k == 0, F.array(entry(k, "="))).otherwise(F.array(entry(k, "="), entry(k, p)))))
-        rows = df.select(*(F.col(k).alias(f"_{k}") for k in keys), F.inline(places), *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in (held, top)))
+        rows = df.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.inline(places), *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in (held, top)))
         at = lambda c: F.floor(F.col(f"{p}_{c}") / width(F.col("_level")))
         return rows.withColumn("_bucket", F.explode(F.sequence(at(start), at(end))))
 
     held = private(left, private(right, "_own"))
     a, b = levelled(left), levelled(right)
-    pairs = spread(a, b, "l", "r").join(spread(b, a, "r", "l"), ["_bucket", "_level", "_kind", *(f"_{k}" for k in keys)])
+    pairs = spread(a, b, "l", "r").join(spread(b, a, "r", "l"), ["_bucket", "_level", "_kind", *(f"_key{i}" for i in range(len(keys)))])
     later = F.greatest(f"l_{start}", f"r_{start}")
     pairs = pairs.where((F.col("_bucket") == F.floor(later / width(F.col("_level")))) & (later <= F.least(f"l_{end}", f"r_{end}")))
-    pairs = pairs.drop("_bucket", "_level", "_kind", *(f"_{k}" for k in keys))
+    pairs = pairs.drop("_bucket", "_level", "_kind", *(f"_key{i}" for i in range(len(keys))))
     return pairs.where(on(pairs)) if on is not None else pairs
 
 
