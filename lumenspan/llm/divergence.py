@@ -1,8 +1,8 @@
 """How far the sources of a language differ in their words: symmetric divergence of every pair, and each source's own terms.
 
 One pass over the texts counts terms by language and source, and documents by term. A kept term's counts in its language's
-sources are a sparse vector, a list of (source, count); terms with the same vector are one row with a multiplicity, since
-most terms are rare and share theirs with many others. Each pair of sources is evaluated once for a distinct vector and the
+sources are a sparse vector, a list of (source, count); terms with the same vector are one row with a multiplicity, many
+where terms are rare. Each pair of sources is evaluated once for a distinct vector and the
 value multiplied. Vectors are dealt out in chunks by language, each with the language's sources, and a task adds its chunk
 up, so neither a language's vectors nor its terms meet in one task. A source's own terms are ranked on the original terms.
 

@@ -619,7 +619,7 @@ def prepared(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def scored(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     spark = documents.sparkSession
-    n_parts = partitions(spark, 3 * estimated_bytes(documents), 40 << 20)
+    n_parts = partitions(spark, 3 * estimated_bytes(documents), 20 << 20)
     docs = prepared(documents, id_col, text_col)
     model = train(docs.select("text", "learn"), run_dir(spark, "pitman-yor"), n_parts)
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))

@@ -21,8 +21,10 @@ import numpy as np
 EXACT = 256
 #: Steepest descent is close from here on.
 NEAR = 16.0
-#: Dishes of a context that are drawn one after another; of more, some are drawn together.
-ROUNDS = 64
+#: Dishes of a context that are drawn one after another; of more, some are drawn together. Few have over EXACT customers.
+ROUNDS, LARGE_ROUNDS = 64, 8
+#: Parts of a range that are looked at together in search of a mode.
+SECTIONS = 9
 
 
 def log_gamma(z: np.ndarray) -> np.ndarray:
@@ -134,29 +136,41 @@ def drawn(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, strengt
 
 
 def rounds(owner: np.ndarray, customers: np.ndarray) -> list[np.ndarray]:
-    """Dishes of two customers or more, in the rounds in which they are drawn: of sorted owners' first ROUNDS dishes one a
-    round, of more than that some together."""
-    live = np.flatnonzero(customers > 1)
+    """Dishes of two customers or more, in the rounds in which they are drawn: of sorted owners' first dishes one a round, of
+    more than there are rounds some together. Dishes of over EXACT customers have rounds of their own, after the others."""
+    small = (customers > 1) & (customers <= EXACT)
+    return _rounds(owner, np.flatnonzero(small), ROUNDS) + _rounds(owner, np.flatnonzero(customers > EXACT), LARGE_ROUNDS)
+
+
+def _rounds(owner: np.ndarray, live: np.ndarray, most: int) -> list[np.ndarray]:
     if not len(live):
         return []
     of = owner[live]
     start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     n = np.diff(np.r_[start, len(of)])
     rank, size = np.arange(len(of)) - np.repeat(start, n), np.repeat(n, n)
-    turn = np.where(size > ROUNDS, rank * ROUNDS // size, rank)
+    turn = np.where(size > most, rank * most // size, rank)
     order = np.argsort(turn, kind="stable")
     return np.split(live[order], np.flatnonzero(np.diff(turn[order])) + 1)
 
 
 def _many(c: np.ndarray, a: np.ndarray, log_p: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Draws for dishes of many customers: the mode by thirds, then all numbers of tables around it that have weight."""
-    low, high = np.ones(len(c)), c - 1  # every customer at a table of its own has no weight to speak of
+    """Draws for dishes of many customers: the mode by sections, then all numbers of tables around it that have weight."""
+    # Every customer at a table of its own has no weight to speak of. Of the places looked at, the best one's neighbours
+    # bound the mode.
+    low, high = np.ones(len(c)), c - 1
     weight = lambda t: log_weight(c, t, a, log_p, discount)
+    share = np.arange(1, SECTIONS)[:, None] / SECTIONS
+    wide = lambda x: np.broadcast_to(x, (SECTIONS - 1, len(c))).ravel()
     while ((high - low) > 3).any():
-        third = np.floor((high - low) / 3)
-        x, y = low + third, high - third
-        up = weight(x) < weight(y)
-        low, high = np.where(up & (third > 0), x, low), np.where(~up & (third > 0), y, high)
+        places = np.round(low * (high / low) ** share) if (high > 16 * low).any() else np.round(low + (high - low) * share)
+        each = log_weight(wide(c), places.ravel(), wide(a), wide(log_p), discount).reshape(places.shape)
+        best = each.argmax(0)
+        every = np.concatenate([low[None], places, high[None]])
+        k = np.arange(len(c))
+        smaller, larger = every[best, k], every[best + 2, k]
+        done = (smaller <= low) & (larger >= high)
+        low, high = np.where(done & (high - low > 3), low + 1, smaller), np.where(done & (high - low > 3), high - 1, larger)
     mode = np.round((low + high) / 2)
     top = weight(mode)
     # How far weights of e ** -30 of the mode's lie, doubling.
