@@ -1,7 +1,8 @@
 """External induced sorting of a shard's suffixes, with common-prefix values, to a bounded depth.
 
 The S* suffixes (smaller than the one before them) are ranked recursively: by their next eight bytes, and those that tie
-by the eight after, down to the depth. All other suffixes follow by induction: a scan of the sorted L suffixes and S*
+by the eight after, down to the depth; or, on demand, by an induction that sorts the substrings between them and a recursion
+on those substrings' names (``by_names``). All other suffixes follow by induction: a scan of the sorted L suffixes and S*
 suffixes from small to large sorts all L suffixes, and a scan of those from large to small sorts all S suffixes. What a
 scan finds goes into priority queues by first byte; a bucket's entries arrive in their final order, so its queue is
 first in, first out, and is read by blocks. Each entry is a tuple of position and common prefix with the entry before;
@@ -203,17 +204,61 @@ def run_length(text: np.ndarray, at: int, depth: int) -> int:
     return int(other[0]) if len(other) else len(piece)
 
 
-def sorted_suffixes(text: np.ndarray, depth: int = 50, memory: int = 192 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_names(text: np.ndarray, padded: np.ndarray, stars: np.ndarray, depth: int, memory: int) -> np.ndarray:
+    """The S* positions in the order of their first ``depth`` symbols, by a recursion on names.
+
+    A first induction, from the S* suffixes in the order of their first symbols alone, sorts the substrings from each S*
+    position to the next. Equal ones, compared with their neighbours, get the same name; then pairs of names get names, and
+    pairs of those, until all are different or cover the depth: an S* substring has two symbols of its own at least.
+    """
+    first = text[stars]
+    order = np.argsort(first, kind="stable")
+    seeds = stars[order]
+    inner = seeds != len(text) - 1
+    same = np.ones(len(seeds), np.uint8)
+    place = np.full(len(text), -1, np.int32 if len(stars) < 1 << 31 else np.int64)
+    place[stars] = np.arange(len(stars))
+    found = []
+    for at, _ in induced(text, seeds[inner], same[inner], depth, memory):  # from the largest to the smallest
+        at = place[at]
+        found.append(at[at >= 0][::-1])
+    found = np.concatenate(found[::-1]) if found else np.zeros(0, np.int64)
+    return _named(padded, stars, found, depth)
+
+
+def _named(padded: np.ndarray, stars: np.ndarray, found: np.ndarray, depth: int) -> np.ndarray:
+    """found: indices of stars by their substrings, smallest first."""
+    size = np.diff(np.r_[stars, stars[-1:]]) + 1
+    common = shared(padded, stars[found], depth)
+    a, b = size[found[:-1]], size[found[1:]]
+    new = np.r_[True, ~((common[1:] >= depth) | (a == b) & (common[1:] >= np.minimum(a, depth)))]
+    rank = np.empty(len(found), np.int64)
+    rank[found] = np.cumsum(new) - 1
+    step = 1
+    while int(rank.max(initial=0)) + 1 < len(rank) and 2 * step < depth:
+        after = np.r_[rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64)]
+        rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1]
+        step *= 2
+    return stars[np.argsort(rank, kind="stable")]
+
+
+def sorted_suffixes(text: np.ndarray, depth: int = 50, memory: int = 192 << 20, names: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of (position, common prefix with the one before), from the largest suffix to the smallest.
 
-    text: uint8 with 0 as its last symbol; a suffix that reaches the end is smaller than what it is a prefix of.
+    text: uint8 with 0 as its last symbol; a suffix that reaches the end is smaller than what it is a prefix of. ``names``
+    ranks the S* suffixes by a recursion on names, which takes a second induction, instead of by successive words.
     """
+    padded = np.concatenate([text, np.zeros(depth + 16, np.uint8)])
+    stars = s_star(text)
+    seeds = by_names(text, padded, stars, depth, memory) if names else ranked(padded, stars, depth)
+    seeds = seeds[seeds != len(text) - 1]
+    yield from induced(text, seeds, shared(padded, seeds, depth), depth, memory)
+
+
+def induced(text: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray, depth: int, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All suffixes from S* suffixes in order, with common prefixes; the two scans."""
     n = len(text)
     kind = np.uint32 if n < 1 << 32 else np.int64
-    padded = np.concatenate([text, np.zeros(depth + 16, np.uint8)])
-    seeds = ranked(padded, s_star(text), depth)
-    seeds = seeds[seeds != n - 1]
-    seed_lcp = shared(padded, seeds, depth)
     first = text[seeds]
     bounds = np.searchsorted(first, np.arange(257))
     spool = Spool(memory)

@@ -22,14 +22,35 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 # 2 ------------------------------------------------------------------------------------------------------------------
-def test_induced_sorting_equals_sorting():
+def test_a_shard_far_larger_than_memory_is_sorted_by_names(monkeypatch):
+    """Queues of 20 kB for a text of 60 kB and its tuples: blocks are written to the scratch file, and the order is right."""
+    spilled = []
+    put = induced_sort.Spool.put
+
+    def counted(self, *arrays):
+        block = put(self, *arrays)
+        spilled.append(len(block) == 3)
+        return block
+
+    monkeypatch.setattr(induced_sort.Spool, "put", counted)
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 101, int(rng.integers(1, 9))).astype(np.uint8)) for _ in range(200)]
+    t = np.frombuffer(b" ".join(words[int(k)] for k in rng.integers(0, 200, 11_000)) + b"\0", np.uint8)
+    got = np.concatenate([p for p, _ in induced_sort.sorted_suffixes(t, 50, memory=20_000, names=True)])
+    raw = t.tobytes() + bytes(60)
+    assert [raw[p : p + 50] for p in got] == sorted((raw[p : p + 50] for p in range(len(t))), reverse=True)
+    assert sum(spilled) > 100
+
+
+@pytest.mark.parametrize("names", [False, True])
+def test_induced_sorting_equals_sorting(names):
     rng = np.random.default_rng(3)
     for trial in range(150):
         n, k = int(rng.integers(1, 120)), int(rng.integers(1, 5))
         t = rng.integers(1 if trial % 3 else 0, k + 1, n).astype(np.uint8)
         t[-1] = 0
         depth = int(rng.choice([5, 8, 50]))
-        got = [(int(p), int(v)) for a, b in induced_sort.sorted_suffixes(t, depth, memory=int(rng.choice([64, 10**6]))) for p, v in zip(a, b)]
+        got = [(int(p), int(v)) for a, b in induced_sort.sorted_suffixes(t, depth, memory=int(rng.choice([64, 10**6])), names=names) for p, v in zip(a, b)]
         raw = t.tobytes() + bytes(depth + 8)
         assert sorted(p for p, _ in got) == list(range(n))
         for (p, _), (q, v) in itertools.pairwise(got):
