@@ -44,7 +44,7 @@ from .util import buffers, estimated_bytes, lean, partitions, pieces, remove, ru
 
 SWEEPS, KEPT, STRENGTH, SEED = 3, 2, 5.0, 11
 FOLDS = 10
-SLICE = 8 << 20  # bytes of text whose tokens are counted or asked for together
+SLICE, ASK = 8 << 20, 4 << 20  # bytes of text whose tokens are counted, and asked for, together
 END = np.uint64(0xE4D0F7E57A11ED01)
 
 
@@ -489,7 +489,7 @@ def asked(model: Model, hot_table: tuple, n_out: int):
     base_hot = np.log10((count_hot + 0.1) / (n + 0.1 * (v + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, SLICE):
+        for piece in pieces(batches, ASK):
             rows = piece.num_rows
             ids, valid = piece.column(0).fill_null(0).to_numpy(), piece.column(0).is_valid().to_numpy(zero_copy_only=False)
             row = mix(mix(ids.view(np.uint64)) ^ piece.column(1).to_numpy().view(np.uint64) ^ (~valid).astype(np.uint64))
