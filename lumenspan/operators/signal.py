@@ -130,17 +130,18 @@ def best_offset(a_runs: DataFrame, b_runs: DataFrame, keys: Sequence[str], max_s
     are tasks of their own, and their scores are added up by shift.
     """
     width = max(4 * max_shift, 4096)
+    own = [f"_key{i}" for i in range(len(keys))]
 
     def spread(runs: DataFrame, side: str, reach: int) -> DataFrame:
         """A row for each block that a run, or what it may be moved to, lies in; places count from the block's reach on."""
         s, e = F.col("s").cast("long"), (F.col("s") + F.col("len")).cast("long")
-        rows = runs.where("len > 0").select(*keys, s.alias("s"), e.alias("e"), F.explode(F.sequence(F.floor((s - reach) / width), F.floor((e - 1 + reach) / width))).alias("block"))
+        rows = runs.where("len > 0").select(*(F.col(k).alias(o) for k, o in zip(keys, own)), s.alias("s"), e.alias("e"), F.explode(F.sequence(F.floor((s - reach) / width), F.floor((e - 1 + reach) / width))).alias("block"))
         first, last = F.col("block") * width - reach, (F.col("block") + 1) * width + reach
-        return rows.select(*keys, "block", F.lit(side).alias("side"), (F.greatest("s", first) - first).alias("s"), (F.least("e", last) - first).alias("e"))
+        return rows.select(*own, "block", F.lit(side).alias("side"), (F.greatest("s", first) - first).alias("s"), (F.least("e", last) - first).alias("e"))
 
     both = spread(a_runs, "a", 0).unionByName(spread(b_runs, "b", max_shift))
     held = lambda side, c: F.collect_list(F.when(F.col("side") == side, F.col(c)))  # noqa: E731  a block holds half as many runs as samples at most
-    blocks = both.groupBy(*keys, "block").agg(*(held(x, c).alias(f"{x}_{c}") for x in "ab" for c in "se")).where("size(a_s) > 0")
+    blocks = both.groupBy(*own, "block").agg(*(held(x, c).alias(f"{x}_{c}") for x in "ab" for c in "se")).where("size(a_s) > 0")
 
     @F.pandas_udf("array<long>")
     def scores(a_s: pd.Series, a_e: pd.Series, b_s: pd.Series, b_e: pd.Series) -> pd.Series:
@@ -161,10 +162,10 @@ def best_offset(a_runs: DataFrame, b_runs: DataFrame, keys: Sequence[str], max_s
 
         return pd.Series([one(r) for r in zip(a_s, a_e, b_s, b_e)])
 
-    each = blocks.select(*keys, F.posexplode(scores("a_s", "a_e", "b_s", "b_e")).alias("k", "n"))
-    score = each.groupBy(*keys, "k").agg(F.sum("n").alias("score"))
-    best = score.groupBy(*keys).agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("best"))
-    return best.select(*keys, (-F.col("best.k") - max_shift).cast("long").alias("shift"), "best.score")
+    each = blocks.select(*own, F.posexplode(scores("a_s", "a_e", "b_s", "b_e")).alias("k", "n"))
+    score = each.groupBy(*own, "k").agg(F.sum("n").alias("score"))
+    best = score.groupBy(*own).agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("best"))
+    return best.select(*(F.col(o).alias(k) for k, o in zip(keys, own)), (-F.col("best.k") - max_shift).cast("long").alias("shift"), "best.score")
 
 
 def difference(a: Column, b: Column) -> Column:
