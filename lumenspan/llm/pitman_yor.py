@@ -50,7 +50,7 @@ END = np.uint64(0xE4D0F7E57A11ED01)
 
 def hot_share(n_parts: int) -> int:
     """Contexts and pairs with one of so many tokens or more are dealt apart; bounds what the driver and all tasks hold."""
-    return min(max(1000, 2 * n_parts), 1 << 20)
+    return min(max(20_000, 2 * n_parts), 1 << 20)
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
