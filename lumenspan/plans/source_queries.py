@@ -28,6 +28,13 @@ def files(rows, key, order, text, head="", between="\n"):
     return held.select(F.col(key).cast("string").alias("file_id"), F.concat(F.lit(head), F.array_join(F.transform("x", lambda x: x["t"]), between)).alias("content"))
 
 
+def in_pieces(rows, key, order, text, each=1000, between="\n"):
+    """The same for long files: file_id, piece, content, a piece for ``each`` values of the order."""
+    cut = rows.withColumn("piece", F.floor(F.col(order) / each))
+    held = cut.groupBy(key, "piece").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))).alias("x"))
+    return held.select(F.col(key).cast("string").alias("file_id"), "piece", F.array_join(F.transform("x", lambda x: x["t"]), between).alias("content"))
+
+
 def _block(mark):
     clock = lambda c: F.translate(times.clock_text(c), ".", mark)
     return F.concat_ws("\n", (F.col("turn") + 1).cast("string"), F.concat(clock(F.col("s")), F.lit(" --> "), clock(F.col("s") + 5.5)), "line")
@@ -66,7 +73,7 @@ def vad_log(spark, d):
 def any_vad_log(spark, d):
     """Both formats tell every event; each pair of times counts once."""
     line = F.concat(F.format_string("%d: %.2fs ~ %.2fs", F.col("event_id"), F.col("s"), F.col("e")), F.lit("\n"), F.format_string("음성 구간 %d: %.2fs ~ %.2fs (%.2fs)", F.col("event_id"), F.col("s"), F.col("e"), F.col("e") - F.col("s")))
-    out = readers.parse_any_vad_log(files(events_of(spark, d), "event_type", "event_id", line))
+    out = readers.parse_any_vad_log(in_pieces(events_of(spark, d), "event_type", "event_id", line))
     return out.select(F.col("file_id").alias("event_type"), F.col("ordinal").cast("long").alias("ordinal"), F.col("start").alias("s"), F.col("end").alias("e"))
 
 

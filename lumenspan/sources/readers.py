@@ -39,6 +39,12 @@ def decoded_texts(spark: SparkSession, paths) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file_id"), F.regexp_replace(run("content"), "\r\n?", "\n").alias("content"))
 
 
+def log_lines(spark: SparkSession, paths) -> DataFrame:
+    """file_id, piece, content: a row per line, for logs too long for a task; piece orders a file's lines."""
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("file_id"), at.alias("piece"), F.col("value").alias("content"))
+
+
 def parse_srt(texts: DataFrame) -> DataFrame:
     """Strict SRT: blocks of three lines or more with a number, a time range and text; others are left out."""
     block = texts.select("file_id", F.posexplode(F.split(F.regexp_replace("content", r"^﻿?\s+|\s+$", ""), r"\n\s*\n")).alias("ordinal", "block"))
@@ -119,9 +125,16 @@ def parse_vad_log(texts: DataFrame) -> DataFrame:
 
 
 def parse_any_vad_log(texts: DataFrame) -> DataFrame:
-    """Segments of either log format, ends not before starts, each pair of times (to the millisecond) once, by start."""
-    both = _found(texts, OLD, 3).withColumn("form", F.lit(0)).unionByName(_found(texts, LOOSE, 3).withColumn("form", F.lit(1))).where(F.col("end") >= F.col("start"))
-    w = Window.partitionBy("file_id", F.round("start", 3), F.round("end", 3)).orderBy("form", "ordinal")
+    """Segments of either log format, ends not before starts, each pair of times (to the millisecond) once, by start.
+
+    A long file may come in pieces: rows with a column ``piece`` in the order of the text, cut at line ends where no segment
+    runs on, see ``log_lines``. Then no task holds a whole file.
+    """
+    named = lambda p, form: F.transform(F.arrays_zip(*(F.regexp_extract_all("content", F.lit(p), F.lit(g)) for g in (2, 3))), lambda s, k: F.struct(F.lit(form).alias("form"), k.alias("ordinal"), s["0"].alias("start"), s["1"].alias("end")))
+    piece = F.col("piece") if "piece" in texts.columns else F.lit(0)
+    found = texts.select("file_id", piece.alias("piece"), F.inline(F.concat(named(OLD, 0), named(LOOSE, 1))))
+    both = found.withColumns({n: F.col(n).try_cast("double") for n in ("start", "end")}).where(F.col("end") >= F.col("start"))
+    w = Window.partitionBy("file_id", F.round("start", 3), F.round("end", 3)).orderBy("form", "piece", "ordinal")
     once = both.withColumn("_k", F.row_number().over(w)).where("_k = 1")
     return once.select("file_id", (F.row_number().over(Window.partitionBy("file_id").orderBy("start", "end")) - 1).alias("ordinal"), "start", "end")
 
