@@ -154,6 +154,35 @@ def similarity(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, bit-parallel: a bit for each character of a."""
+    full = (1 << len(a)) - 1
+    held: dict[str, int] = {}
+    for k, x in enumerate(a):
+        held[x] = held.get(x, 0) | 1 << k
+    row = full
+    for y in b:
+        u = row & held.get(y, 0)
+        row = (row + u | row - u) & full
+    return len(a) - row.bit_count()
+
+
+def similarity_from(a: Column, b: Column, threshold: float) -> Column:
+    """``similarity`` where it may be ``threshold``, else null. Matched blocks are a common subsequence, so the longest one's
+    length says which pairs needn't be compared."""
+
+    @F.pandas_udf("double")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        def one(x: str | None, y: str | None) -> float | None:
+            if x is None or y is None or 2 * common_length(x, y) < (threshold - 1e-9) * (len(x) + len(y)):
+                return None
+            return difflib.SequenceMatcher(None, x, y).ratio()
+
+        return pd.Series([one(x, y) for x, y in zip(left, right)], dtype="float64")
+
+    return run(a, b)
+
+
 def may_reach(a: Column, b: Column, threshold: float) -> Column:
     """Whether two texts' lengths allow a similarity of ``threshold``: cheap, and never wrong about those that reach it."""
     la, lb = F.length(a), F.length(b)

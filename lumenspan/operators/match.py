@@ -13,11 +13,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import may_reach, normalise, similarity, word_count
+from ..functions.text import may_reach, normalise, similarity, similarity_from, word_count
+from ..shared import run_dir, written
 from .intervals import overlap_ratio_join
 from .names import private
 
 ALMOST = 0.95
+#: Where either side of a file has no more texts, its texts meet each other directly, BLOCK left ones in a task; the index is
+#: for larger files.
+FEW, BLOCK = 1024, 64
 
 
 def _segments(df: DataFrame) -> DataFrame:
@@ -27,19 +31,39 @@ def _segments(df: DataFrame) -> DataFrame:
 def best_text_match(left: DataFrame, right: DataFrame, threshold: float = 0.85, similar: Callable[[Column, Column], Column] = similarity) -> DataFrame:
     """For each left segment the right one (same file) with the most similar text, at least ``threshold``; the first of ties.
 
-    left and right come from ``_segments``. Pairs come from an index of rare grams, see ``text_candidates``, which holds for
-    the ratio of matched characters; another measure than that compares all pairs of a file.
+    left and right come from ``_segments``. Pairs of files with over FEW texts on both sides come from an index of rare grams,
+    see ``text_candidates``, which holds for the ratio of matched characters. Texts of smaller files meet each other, if their
+    lengths allow the ratio; another measure than that compares all pairs of a file. Both sides are written once to the
+    shared folder, as they are read several times.
     """
+    path = run_dir(left.sparkSession, "texts")
+    left, right = written(left, f"{path}/l"), written(right, f"{path}/r")
     if similar is similarity:
-        pairs = text_candidates(left, right, threshold)
+        many = lambda df: df.groupBy("file_id").count().where(F.col("count") > FEW).select("file_id")
+        large = written(many(left).join(many(right), "file_id"), f"{path}/large")
+        few, rest = ([df.join(large, "file_id", how).select(*df.columns) for df in (left, right)] for how in ("left_anti", "left_semi"))
+        pairs = _met(*few, path).where(may_reach(F.col("l_norm"), F.col("r_norm"), threshold)).unionByName(text_candidates(*rest, threshold))
+        like = similarity_from(F.col("l_norm"), F.col("r_norm"), threshold)
     else:
-        pairs = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns)).join(right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)), F.col("l_file_id") == F.col("r_file_id"))
-    pairs = pairs.withColumn("similarity", similar(F.col("l_norm"), F.col("r_norm"))).where(F.col("similarity") >= threshold)
+        pairs = _met(left, right, path)
+        like = similar(F.col("l_norm"), F.col("r_norm"))
+    pairs = pairs.withColumn("similarity", like).where(F.col("similarity") >= threshold)
     w = Window.partitionBy("l_file_id", "l_ordinal").orderBy(F.desc("similarity"), "r_ordinal")
     rank = private(pairs, "_k")
     return pairs.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
 
 
+def _met(left: DataFrame, right: DataFrame, path: str) -> DataFrame:
+    """All pairs of a file. Its left texts are dealt to blocks, and its right ones repeated for each, so a large file is many
+    tasks' work."""
+    n = F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")
+    blocks = written(left.groupBy(F.col("file_id").alias("_file")).agg(n), f"{path}/blocks")
+    l, r = (df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns)).join(blocks, F.col(f"{p}_file_id") == F.col("_file")).drop("_file") for df, p in ((left, "l"), (right, "r")))  # noqa: E741
+    l = l.withColumn("_block", F.pmod(F.hash("l_ordinal"), "_blocks")).drop("_blocks")  # noqa: E741
+    r = r.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    return l.join(r, (F.col("l_file_id") == F.col("r_file_id")) & (l["_block"] == r["_block"])).drop("_block")
+
+
 def text_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Pairs of a file (``l_`` and ``r_`` columns) whose texts may match in a ratio of ``threshold``; none of those that do is lost.
 
