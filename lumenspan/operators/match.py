@@ -134,17 +134,19 @@ def classify_segments(left: DataFrame, right: DataFrame, bucket: float = 10.0, o
     is ``one_to_one``, or ``text_diff_only`` below 0.95. With several, the first whose text is nearly equal (above 0.95)
     makes it ``one_to_one`` with similarity 1 and only that one counts as matched; without such it is ``split``. A right
     segment that nothing matched is ``merged`` if several left ones overlap it. Matched means: by the segment's index.
-    ``similar`` is the measure of two normalised texts.
+    ``similar`` is the measure of two normalised texts. What is read several times is written once to the shared folder: the
+    segments, the pairs that overlap and the best text matches.
     """
-    a, b = _segments(left), _segments(right)
+    path = run_dir(left.sparkSession, "segments")
+    a, b = (written(_segments(df).drop("text"), f"{path}/{p}") for df, p in ((left, "l"), (right, "r")))
     pairs = overlap_ratio_join(a, b, ["file_id"], bucket, overlap).withColumn("similarity", similar(F.col("l_norm"), F.col("r_norm")))
-    pairs = pairs.select(F.col("l_file_id").alias("file_id"), "l_ordinal", "l_index", "r_ordinal", "r_index", "similarity")
+    pairs = written(pairs.select(F.col("l_file_id").alias("file_id"), "l_ordinal", "l_index", "r_ordinal", "r_index", "similarity"), f"{path}/pairs")
     # One row for each left segment, with what overlaps it in order.
     hit = F.array_sort(F.collect_list(F.struct("r_ordinal", "r_index", "similarity")))
     own = a.join(pairs.groupBy("file_id", F.col("l_ordinal").alias("ordinal")).agg(hit.alias("hits")), ["file_id", "ordinal"], "left")
     moved = best_text_match(own.where("hits IS NULL").drop("hits"), b, text_threshold, similar)
     middle = lambda p: (F.col(f"{p}_start") + F.col(f"{p}_end")) / 2
-    moved = moved.select(F.col("l_file_id").alias("file_id"), F.col("l_ordinal").alias("ordinal"), F.col("r_index").alias("moved_index"), F.col("similarity").alias("moved_similarity"), F.abs(middle("l") - middle("r")).alias("time_diff_s"))
+    moved = written(moved.select(F.col("l_file_id").alias("file_id"), F.col("l_ordinal").alias("ordinal"), F.col("r_index").alias("moved_index"), F.col("similarity").alias("moved_similarity"), F.abs(middle("l") - middle("r")).alias("time_diff_s")), f"{path}/moved")
     n, first = F.size("hits"), F.get("hits", F.lit(0))
     exact = F.get(F.filter("hits", lambda h: h["similarity"] > ALMOST), F.lit(0))
     chosen = F.when(n == 1, first["r_index"]).otherwise(exact["r_index"])
