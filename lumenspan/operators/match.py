@@ -195,11 +195,12 @@ def transcript_diff(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def report_json(summary: DataFrame, patterns: DataFrame) -> DataFrame:
     """file_id, report: summary, counts and details of each file as JSON. Timeline mismatches are part of it."""
-    counts = pattern_counts(patterns).groupBy("file_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pattern", "n")))).alias("counts"))
     fields = [c for c in patterns.columns if c != "file_id"]
     details = patterns.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("details"))
-    body = F.struct(F.struct(*(c for c in summary.columns if c != "file_id")).alias("summary"), "counts", "details")
-    return summary.join(counts, "file_id", "left").join(details, "file_id", "left").select("file_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
+    kinds = F.array_sort(F.array_distinct(F.transform("details", lambda x: x["pattern"])))
+    counted = F.transform(kinds, lambda p: F.struct(p.alias("pattern"), F.size(F.filter("details", lambda x: x["pattern"] == p)).cast("long").alias("n")))
+    body = F.struct(F.struct(*(c for c in summary.columns if c != "file_id")).alias("summary"), F.map_from_entries(counted).alias("counts"), "details")
+    return summary.join(details, "file_id", "left").select("file_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
 
 
 def compare_metrics(left: DataFrame, right: DataFrame, key: str = "metric", value: str = "value") -> DataFrame:
