@@ -135,7 +135,7 @@ def classify_segments(left: DataFrame, right: DataFrame, bucket: float = 10.0, o
     makes it ``one_to_one`` with similarity 1 and only that one counts as matched; without such it is ``split``. A right
     segment that nothing matched is ``merged`` if several left ones overlap it. Matched means: by the segment's index.
     ``similar`` is the measure of two normalised texts. What is read several times is written once to the shared folder: the
-    segments, the pairs that overlap and the best text matches.
+    segments, the pairs that overlap, the best text matches and the left segments' classes.
     """
     path = run_dir(left.sparkSession, "segments")
     a, b = (written(_segments(df).drop("text"), f"{path}/{p}") for df, p in ((left, "l"), (right, "r")))
@@ -158,6 +158,7 @@ def classify_segments(left: DataFrame, right: DataFrame, bucket: float = 10.0, o
         F.when((n > 1) & exact.isNull(), F.transform("hits", lambda h: h["r_index"])).alias("right_list"),
         F.when(n == 1, first["similarity"]).when((n > 1) & exact.isNotNull(), F.lit(1.0)).otherwise(F.col("moved_similarity")).alias("similarity"), "time_diff_s",
     )
+    lefts = written(lefts, f"{path}/lefts")
     # Right segments that nothing matched, with what overlaps them.
     matched = lefts.select("file_id", F.explode(F.concat(F.array("right_index"), F.coalesce("right_list", F.array().cast("array<int>")))).alias("r_index")).where("r_index IS NOT NULL").distinct()
     by_right = pairs.groupBy("file_id", "r_ordinal", "r_index").agg(F.array_sort(F.collect_list(F.struct("l_ordinal", "l_index"))).alias("hits")).where("size(hits) > 1")
