@@ -20,7 +20,9 @@ tables at the root. Contexts with a share of the tokens that may be too much for
 mergeable count of frequent words) are dealt by pair, and their totals go the same way as the root's. Pairs that are only
 met in texts not learned from are counted with no customers, so every pair asked for has a place. To score, a slice's
 tokens go to their pairs' partitions in packed rows, and documents get sums back; pairs as frequent as hot contexts, of
-which there are few, are scored where they are read. What is gathered grows with the corpus: all its pairs of words.
+which there are few, are scored where they are read. Documents are dealt to ``PASSES`` that are scored one after another, so
+what one sends is gone from the disks before the next; small inputs need one. What is gathered grows with the corpus: all
+its pairs of words.
 
 Defined results: a null or empty text is its end alone; rows with a null id aren't learned from and aren't held out;
 repeated rows are counted and scored each; very long texts are read whole; without any training text every token has
@@ -45,6 +47,8 @@ from .util import buffers, estimated_bytes, lean, partitions, pieces, remove, ru
 SWEEPS, KEPT, STRENGTH, SEED = 3, 2, 5.0, 11
 FOLDS = 10
 SLICE, ASK = 8 << 20, 4 << 20  # bytes of text whose tokens are counted, and asked for, together
+#: Passes over the documents for scoring, each of PASS bytes of input at least.
+PASSES, PASS = 4, 32 << 20
 END = np.uint64(0xE4D0F7E57A11ED01)
 
 
@@ -143,15 +147,24 @@ class Dishes:
         return [tables, self.by_context(tables), none, none]
 
     def told(self, replies: list[bytes]) -> None:
-        """Take the root's replies into the last sample."""
+        """Take the root's replies into the last sample; each is in the order of the words that went to its sender."""
         _, of_contexts, customers, tables = self.samples[-1]
+        order = runs = None
         for blob in replies:
-            word, count, own, seats, context, total, theirs = unpack(blob, *REPLIED)
-            i, k = np.searchsorted(self.word, word), np.searchsorted(self.context, context)
+            (sender, n_parts), count, own, seats, context, total, theirs = unpack(blob, *REPLIED)
+            if order is None:
+                order, runs = self.by_root(int(n_parts))
+            i, k = order[slice(*runs.get(int(sender), (0, 0)))], np.searchsorted(self.context, context)
             self.count[i], customers[i], tables[i] = count, own, seats
             self.total[k], of_contexts[k] = total, theirs
         self.samples[-1] = [self.samples[-1][0], of_contexts, customers, tables]
 
+    def by_root(self, n_parts: int) -> tuple[np.ndarray, dict]:
+        """The words' places, ordered by the root's partitions, and where each partition's run starts and ends."""
+        to = (self.word % np.uint64(n_parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        return order, {p: (s, e) for p, s, e in cut(len(to), to[order])}
+
     def drawn(self, totals: Totals, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """Tables of all pairs, each drawn given the others; table: seating.log_stirling."""
         tables, of_contexts, customers, root_tables = self.samples[-1]
@@ -178,9 +191,10 @@ class Dishes:
         by_word, count = self.by_word(tables), self.by_word(self.customers)
         own = np.flatnonzero(isin_sorted(self.context, hot))
         own_total = self.by_context(self.customers)[own]
-        to_w, to_c = ((x % np.uint64(n_parts)).astype(np.int64) for x in (self.word, self.context[own]))
-        wo, co = np.argsort(to_w, kind="stable"), np.argsort(to_c, kind="stable")
-        runs_w, runs_c = ({p: (s, e) for p, s, e in cut(len(t), t[o])} for t, o in ((to_w, wo), (to_c, co)))
+        wo, runs_w = self.by_root(n_parts)
+        to_c = (self.context[own] % np.uint64(n_parts)).astype(np.int64)
+        co = np.argsort(to_c, kind="stable")
+        runs_c = {p: (s, e) for p, s, e in cut(len(to_c), to_c[co])}
         parts, kinds, data = [part], [SEATS], [self.packed()]
         for p in sorted(runs_w.keys() | runs_c.keys()):
             i = wo[slice(*runs_w.get(p, (0, 0)))]
@@ -193,7 +207,10 @@ class Dishes:
 
 STATE = "part int, kind int, data binary, sums array<long>"
 SEATS, REPLY, ASKED, ROSTER, PARTIAL, TO_ROOT = range(6)
-REPLIED = (np.uint64, np.int64, np.int64, np.int64, np.uint64, np.int64, np.int64)
+#: Sender, words, their counts and tables, hot contexts, their customers and tables, the root's tables as seen by the sender.
+SENT = (np.int64, np.uint64, np.int64, np.int64, np.uint64, np.int64, np.int64, np.int64)
+#: Sender and number of partitions; of the words as they were sent count, customers, tables; hot contexts, customers, tables.
+REPLIED = (np.int64, np.int64, np.int64, np.int64, np.uint64, np.int64, np.int64)
 
 
 def batch_of(parts: list, kinds: list, data: list, sums: list | None = None) -> pa.RecordBatch:
@@ -325,7 +342,7 @@ def rooted(sweep: int, before: Totals | None, n_parts: int):
         table = seating.log_stirling(seating.EXACT, before.root_discount) if before is not None else None
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(part, []).append(unpack(blob, np.int64, *REPLIED[:3], *REPLIED[4:], np.int64))
+                held.setdefault(part, []).append(unpack(blob, *SENT))
         for part, got in held.items():
             got.sort(key=lambda g: g[0][0])
             word, at = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
@@ -343,7 +360,7 @@ def rooted(sweep: int, before: Totals | None, n_parts: int):
                 own, ctx = at[i : i + len(g[1])], where[k : k + len(g[4])]
                 i, k = i + len(own), k + len(ctx)
                 parts.append(int(g[0][0]))
-                data.append(pack(word[own], count[own], customers[own], tables[own], context[ctx], total[ctx], theirs[ctx]))
+                data.append(pack(np.array([part, n_parts]), count[own], customers[own], tables[own], context[ctx], total[ctx], theirs[ctx]))
             sums = [int(count.sum()), int((count > 0).sum()), int((customers == 1).sum()), int((customers == 2).sum()), int(customers.sum()), int(tables.sum())]
             yield batch_of(parts, [REPLY] * len(parts), data, [sums] + [[]] * (len(parts) - 1))
 
@@ -397,6 +414,12 @@ class Model:
         return self.samples[-1].n_tokens
 
 
+def kinds_apart(df: DataFrame, path: str) -> DataFrame:
+    """written(), with the rows of each kind in a folder of their own, so that those not needed any more can be removed."""
+    df.write.mode("overwrite").partitionBy("kind").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def sums_of(rows: DataFrame, n: int) -> list[int]:
     """Sums over partitions, by Spark: one row reaches the driver."""
     got = rows.where(F.size("sums") == n).agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(n)]).first()
@@ -409,18 +432,19 @@ def train(docs: DataFrame, at: str, n_parts: int) -> Model:
     hot, n_seen = hot_words(docs.select("text"), n_parts)
     share = lambda one, two: min(0.95, max(0.05, one / max(1, one + 2 * two)))
     pairs = docs.mapInArrow(counted(n_parts, hot), "part int, data binary").repartition(n_parts, "part")
-    state = written(pairs.mapInArrow(combined(n_parts, hot), STATE), f"{at}/seats-0")
+    state = kinds_apart(pairs.mapInArrow(combined(n_parts, hot), STATE), f"{at}/seats-0")
     del pairs
     discount, totals, samples = share(*sums_of(state, 2)), None, []
     for sweep in range(SWEEPS + 1):
         if sweep:
             both = state.where(F.col("kind") == SEATS).union(root).select("part", "kind", "data").repartition(n_parts, "part")
-            state = written(both.mapInArrow(swept(totals, sweep, n_parts, hot), STATE), f"{at}/seats-{sweep}")
+            state = kinds_apart(both.mapInArrow(swept(totals, sweep, n_parts, hot), STATE), f"{at}/seats-{sweep}")
             for name in ("seats", "root"):
                 remove(spark, f"{at}/{name}-{sweep - 1}")
             del both
         up = state.where(F.col("kind") == TO_ROOT).select("part", "data").repartition(n_parts, "part")
         root = written(up.mapInArrow(rooted(sweep, totals, n_parts), STATE), f"{at}/root-{sweep}")
+        remove(spark, f"{at}/seats-{sweep}/kind={TO_ROOT}")
         del up
         n_tokens, n_words, one, two, customers, tables = sums_of(root, 6)
         totals = Totals(n_tokens, n_words, discount, totals.root_discount if totals else share(one, two), customers, tables)
@@ -435,45 +459,28 @@ def train(docs: DataFrame, at: str, n_parts: int) -> Model:
 def hot_pairs(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs with one of hot_share tokens or more: their hashes in order, their words' counts, log10 p(w | u).
 
-    Their contexts are hot as well, so all that is missing in the seats is in the replies.
+    Their contexts are hot as well, so their totals come with the replies.
     """
     least, kept = max(2, model.n_seen / hot_share(model.n_parts)), len(model.samples)
 
-    def seats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                d = Dishes.unpacked(blob, kept)
-                i = np.flatnonzero(d.customers + d.others >= least)
-                w, u = d.at[i], d.owner[i]
-                values = np.stack([d.word[w].view(np.int64), d.context[u].view(np.int64), d.customers[i], *(x for s in d.samples for x in (s[0][i], s[1][u], s[2][w], s[3][w]))], 1)
-                yield pa.RecordBatch.from_arrays([pa.array(list(values), pa.list_(pa.int64()))], ["x"])
-
-    rows = [r["x"] for r in model.seats.select("data").mapInArrow(lean(seats), "x array<long>").collect()]
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, d in settled(batches, kept):
+            i = np.flatnonzero(d.customers + d.others >= least)
+            w, u = d.at[i], d.owner[i]
+            values = np.stack([d.word[w].view(np.int64), d.context[u].view(np.int64), d.customers[i], d.count[w], d.total[u], *(x for s in d.samples for x in (s[0][i], s[1][u], s[2][w], s[3][w]))], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(list(values), pa.list_(pa.int64()))], ["x"])
+
+    both = model.seats.union(model.replies).repartition(model.n_parts, "part")
+    rows = [r["x"] for r in both.mapInArrow(lean(found), "x array<long>").collect()]
     if not rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
     x = np.array(rows, np.int64)
     word, context = (np.ascontiguousarray(x[:, k]).view(np.uint64) for k in (0, 1))
-    all_words, all_contexts = np.unique(word), np.unique(context)
-
-    def of_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                w, count, own, seats, u, total, theirs = unpack(blob, *REPLIED)
-                i, k = np.flatnonzero(isin_sorted(w, all_words)), np.flatnonzero(isin_sorted(u, all_contexts))
-                values = [np.stack([np.zeros(len(i), np.int64), w[i].view(np.int64), count[i], own[i], seats[i]], 1), np.stack([np.ones(len(k), np.int64), u[k].view(np.int64), total[k], theirs[k], total[k]], 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(np.concatenate(values)), pa.list_(pa.int64()))], ["x"])
-
-    facts = model.replies.select("data").mapInArrow(lean(of_root), "x array<long>").distinct().collect()
-    of_word = {r["x"][1] % (1 << 64): r["x"][2:] for r in facts if not r["x"][0]}
-    of_context = {r["x"][1] % (1 << 64): r["x"][2:4] for r in facts if r["x"][0]}
-    count, *last = (np.array([of_word[w][k] for w in word.tolist()], np.int64) for k in range(3))
-    total, theirs = (np.array([of_context[u][k] for u in context.tolist()], np.int64) for k in range(2))
+    customers, count, total = x[:, 2:5].T
     p = np.zeros(len(x))
     for s, t in enumerate(model.samples):
-        tables, of_contexts, own, seats_ = x[:, 3 + 4 * s : 7 + 4 * s].T
-        if s == kept - 1:
-            of_contexts, own, seats_ = theirs, *last
-        p += t.context(x[:, 2], tables, total, of_contexts, t.root(own, seats_))
+        tables, of_contexts, own, seats = x[:, 5 + 4 * s : 9 + 4 * s].T
+        p += t.context(customers, tables, total, of_contexts, t.root(own, seats))
     key = pair_hash(context, word)
     order = np.argsort(key)
     return key[order], count[order], np.log10(p / kept)[order]
@@ -600,13 +607,22 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + 50_000], mask=valid[s : s + 50_000] == 0), pa.array(total[a]), pa.array(known[a]), pa.array(columns[2][a]), pa.array(columns[3][a])], ["id", "n_tokens", "n_known", "base_score", "score"])
 
 
-def answers(docs: DataFrame, model: Model) -> DataFrame:
-    """id, n_tokens, n_known, base_score, score of the documents that the model was trained with; docs: id, key, text."""
-    n_parts = model.n_parts
-    schema = "part int, kind int, data binary"
-    rows = docs.select("id", "key", "text").mapInArrow(asked(model, hot_pairs(model), n_parts), schema).union(model.seats).union(model.replies)
-    sums = rows.repartition(n_parts, "part").sortWithinPartitions("part", "kind").mapInArrow(answered(model, n_parts), schema)
-    return sums.repartition(n_parts, "part").mapInArrow(summed, "id long, n_tokens long, n_known long, base_score double, score double")
+def answers(docs: DataFrame, model: Model, passes: int = 1) -> DataFrame:
+    """id, n_tokens, n_known, base_score, score of the documents that the model was trained with; docs: id, key, text.
+
+    Rows that are equal are in one pass.
+    """
+    spark, n_parts, hot = docs.sparkSession, model.n_parts, hot_pairs(model)
+    release(spark)
+    at, schema, result = run_dir(spark, "pitman-yor-scores"), "part int, kind int, data binary", "id long, n_tokens long, n_known long, base_score double, score double"
+    for k in range(passes):
+        own = docs.where(F.pmod(F.xxhash64("id", "key"), F.lit(passes)) == k).select("id", "key", "text")
+        rows = own.mapInArrow(asked(model, hot, n_parts), schema).union(model.seats).union(model.replies)
+        sums = rows.repartition(n_parts, "part").sortWithinPartitions("part", "kind").mapInArrow(answered(model, n_parts), schema)
+        sums.repartition(n_parts, "part").mapInArrow(summed, result).write.parquet(f"{at}/{k}")
+        del rows, sums
+        release(spark)
+    return spark.read.schema(result).parquet(*(f"{at}/{k}" for k in range(passes)))
 
 
 def prepared(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -619,11 +635,14 @@ def prepared(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def scored(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     spark = documents.sparkSession
-    n_parts = partitions(spark, 3 * estimated_bytes(documents), 20 << 20)
+    n_bytes, at = estimated_bytes(documents), run_dir(spark, "pitman-yor")
+    n_parts = partitions(spark, 3 * n_bytes, 20 << 20)
     docs = prepared(documents, id_col, text_col)
-    model = train(docs.select("text", "learn"), run_dir(spark, "pitman-yor"), n_parts)
+    model = train(docs.select("text", "learn"), at, n_parts)
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
-    return answers(docs, model).select("id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    found = answers(docs, model, max(1, min(PASSES, n_bytes // PASS)))
+    remove(spark, at)
+    return found.select("id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_pitman_yor(spark, sf_dir: str) -> DataFrame:

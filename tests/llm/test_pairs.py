@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -285,6 +286,21 @@ def test_scores_follow_from_the_seats(spark):
     assert len(got) == docs.count()
 
 
+def test_scores_do_not_depend_on_passes(spark):
+    """Documents scored in several passes, equal rows and null ids among them; what was sent to the root is gone by then."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 150")
+    docs = docs.union(docs.where("doc_id < 5")).union(docs.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long")))
+    docs, at = pitman_yor.prepared(docs), run_dir(spark, "t")
+    model = pitman_yor.train(docs.select("text", "learn"), at, 3)
+    last = f"{at.removeprefix('file://')}/seats-{pitman_yor.SWEEPS}"
+    assert f"kind={pitman_yor.SEATS}" in os.listdir(last) and f"kind={pitman_yor.TO_ROOT}" not in os.listdir(last)
+    names = ["id", "n_tokens", "n_known", "base_score", "score"]
+    one, four = (sorted(([r[c] for c in names] for r in pitman_yor.answers(docs, model, n).collect()), key=str) for n in (1, 4))
+    assert len(one) == len(four) == docs.count()
+    for a, b in zip(one, four):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-9)
+
+
 def test_scores_do_not_depend_on_how_contexts_are_dealt(spark, monkeypatch):
     """With every context hot, or none, counts are the same and held-out scores alike."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 200")
