@@ -16,7 +16,7 @@ def pack(*arrays: np.ndarray | bytes) -> bytes:
     """Arrays (or bytes) as one compressed blob."""
     head, body = [len(arrays)], []
     for a in arrays:
-        raw = a if isinstance(a, bytes) else np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
+        raw = a if isinstance(a, bytes) else np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T).ravel()
         head.append(len(raw))
         body.append(raw)
     raw = struct.pack(f"<{len(head)}q", *head) + b"".join(body)
@@ -33,8 +33,11 @@ def unpack(blob: bytes, *kinds) -> list:
         if kind is bytes:
             out.append(raw[at : at + size])
         else:
-            width = np.dtype(kind).itemsize
-            out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(width, -1).T).view(kind).ravel())
+            planes = np.frombuffer(raw, np.uint8, size, at).reshape(np.dtype(kind).itemsize, -1)
+            out.append(np.empty(planes.shape[1], kind))
+            to = out[-1].view(np.uint8).reshape(-1, len(planes))
+            for k, plane in enumerate(planes):
+                to[:, k] = plane
         at += size
     return out
 

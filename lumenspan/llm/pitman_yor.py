@@ -16,8 +16,8 @@ of ``SWEEPS`` sweeps. Discounts are estimated from the counts of counts.
 
 Pairs of context and word are dealt by context, so a context's totals are at hand where it lies. Each partition sends the
 root's partitions, which are dealt by word, its tables summed by word, and gets back each of its words' customers and
-tables at the root. Contexts with a share of the tokens that may be too much for one partition (``hot_share``, found by a
-mergeable count of frequent words) are dealt by pair, and their totals go the same way as the root's. Pairs that are only
+tables at the root. Contexts with a share of the tokens that may be too much for one partition (``hot_share``, found by
+counts of cells of words' hashes, so that no such word is missed) are dealt by pair, and their totals go the same way as the root's. Pairs that are only
 met in texts not learned from are counted with no customers, so every pair asked for has a place. To score, a slice's
 tokens go to their pairs' partitions in packed rows, and documents get sums back; pairs as frequent as hot contexts, of
 which there are few, are scored where they are read. Documents are dealt to ``PASSES`` that are scored one after another, so
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import seating
-from .jaccard_join import mix, words
+from .jaccard_join import mix
 from .packing import cut, pack, release, unpack
 from .util import buffers, estimated_bytes, lean, partitions, pieces, remove, run_dir, written
 
@@ -50,6 +50,11 @@ SLICE, ASK = 8 << 20, 4 << 20  # bytes of text whose tokens are counted, and ask
 #: Passes over the documents for scoring, each of PASS bytes of input at least.
 PASSES, PASS = 4, 32 << 20
 END = np.uint64(0xE4D0F7E57A11ED01)
+#: Words are hashed by eight bytes at a time, the first AHEAD for all words together.
+AHEAD, ODD = 8, np.uint64(0x9E3779B97F4A7C15)
+_KEPT_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Cells of hashes are summed in so many ranges.
+RANGES = 64
 
 
 def hot_share(n_parts: int) -> int:
@@ -57,13 +62,72 @@ def hot_share(n_parts: int) -> int:
     return min(max(20_000, 2 * n_parts), 1 << 20)
 
 
+def split(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word (A-Z as a-z), and how many words each text has."""
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    lower = np.zeros(len(raw) + 8, np.uint8)
+    np.add(raw, (raw - np.uint8(65) < 26).view(np.uint8) << 5, out=lower[: len(raw)])
+    inside = (raw != 32) & (raw - np.uint8(9) > 4)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    bounds = offsets[1:-1]
+    bounds = bounds[(bounds > 0) & (bounds < len(raw))]
+    first[bounds], last[bounds - 1] = inside[bounds], inside[bounds - 1]
+    start = np.flatnonzero(first)
+    size = np.flatnonzero(last) + 1 - start
+    del inside, first, last
+    eight = np.ndarray((len(raw) + 1,), "<u8", lower, strides=(1,))  # from each place on
+    odd = ODD * np.arange(AHEAD, dtype=np.uint64)
+    h, live = mix(eight[start] & _KEPT_BYTES[np.minimum(size, 8)]), np.flatnonzero(size > 8)
+    for k in range(1, AHEAD):
+        h[live] += mix((eight[start[live] + 8 * k] & _KEPT_BYTES[np.minimum(size[live] - 8 * k, 8)]) + odd[k])
+        live = live[size[live] > 8 * (k + 1)]
+    if len(live):  # few, of any length
+        n = (size[live] - 1) // 8 + 1 - AHEAD
+        edge = np.cumsum(n) - n
+        k = np.arange(int(n.sum())) - np.repeat(edge, n) + AHEAD
+        left = np.repeat(size[live], n) - 8 * k
+        h[live] += np.add.reduceat(mix((eight[np.repeat(start[live], n) + 8 * k] & _KEPT_BYTES[np.minimum(left, 8)]) + ODD * k.astype(np.uint64)), edge)
+    return mix(h ^ size.astype(np.uint64)), np.diff(np.searchsorted(start, offsets))
+
+
+def order_of(x: np.ndarray) -> np.ndarray:
+    """What sorts numbers from 0 on, equal ones by place: places are put below the numbers, which sort faster by themselves."""
+    bits = len(x).bit_length()
+    if len(x) and int(x.max()).bit_length() + bits < 64:
+        return np.sort(x << bits | np.arange(len(x))) & ((1 << bits) - 1)
+    return np.argsort(x, kind="stable")
+
+
+def starts(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values in sorted numbers start."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+
+
+def different(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[starts(x)]
+
+
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of numbers from 0 on, in order, and the index of each among them."""
+    order, at = order_of(x), np.empty(len(x), np.int64)
+    edge = starts(x[order])
+    at[order] = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(x)]))
+    return x[order[edge]], at
+
+
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different tokens in order, the index among them of each token, the index of its text."""
-    n = len(offsets) - 1
-    word, doc, _, _ = words(raw, offsets)
-    after = np.cumsum(np.bincount(doc, minlength=n))
-    known, at = np.unique(np.insert(word, after, END), return_inverse=True)
-    return known, at, np.insert(doc, after, np.arange(n))
+    word, count = split(raw, offsets)
+    coded = pa.array(word).dictionary_encode()
+    known = np.append(coded.dictionary.to_numpy(), END)
+    order, place = np.argsort(known), np.empty(len(known), np.int64)
+    place[order] = np.arange(len(known))
+    at = np.insert(coded.indices.to_numpy(), np.cumsum(count), len(known) - 1)
+    return known[order], place[at], np.repeat(np.arange(len(count)), count + 1)
 
 
 def pair_keys(known: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -76,6 +140,17 @@ def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context ^ mix(word))
 
 
+@dataclass
+class Hot:
+    """Sorted cells of hashes, a hash's first bits, that hold a word of one of hot_share tokens, or words as frequent together."""
+
+    shift: int
+    cells: np.ndarray
+
+    def holds(self, word: np.ndarray) -> np.ndarray:
+        return isin_sorted(word >> np.uint64(self.shift), self.cells)
+
+
 def isin_sorted(x: np.ndarray, held: np.ndarray) -> np.ndarray:
     if not len(held):
         return np.zeros(len(x), bool)
@@ -162,7 +237,7 @@ class Dishes:
     def by_root(self, n_parts: int) -> tuple[np.ndarray, dict]:
         """The words' places, ordered by the root's partitions, and where each partition's run starts and ends."""
         to = (self.word % np.uint64(n_parts)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
+        order = order_of(to)
         return order, {p: (s, e) for p, s, e in cut(len(to), to[order])}
 
     def drawn(self, totals: Totals, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -184,16 +259,16 @@ class Dishes:
             p += t.context(self.customers, tables, self.total[self.owner], of_contexts[self.owner], parent)
         return p / max(1, len(totals))
 
-    def row(self, part: int, n_parts: int, hot: np.ndarray, seen: np.ndarray, sums: tuple = ()) -> Iterator[pa.RecordBatch]:
+    def row(self, part: int, n_parts: int, hot: Hot, seen: np.ndarray, sums: tuple = ()) -> Iterator[pa.RecordBatch]:
         """The state's row, and the rows for the root's partitions: words with tables, counts and the root's tables as seen
         here, hot contexts likewise."""
         tables, of_contexts = self.samples[-1][:2]
         by_word, count = self.by_word(tables), self.by_word(self.customers)
-        own = np.flatnonzero(isin_sorted(self.context, hot))
+        own = np.flatnonzero(hot.holds(self.context))
         own_total = self.by_context(self.customers)[own]
         wo, runs_w = self.by_root(n_parts)
         to_c = (self.context[own] % np.uint64(n_parts)).astype(np.int64)
-        co = np.argsort(to_c, kind="stable")
+        co = order_of(to_c)
         runs_c = {p: (s, e) for p, s, e in cut(len(to_c), to_c[co])}
         parts, kinds, data = [part], [SEATS], [self.packed()]
         for p in sorted(runs_w.keys() | runs_c.keys()):
@@ -224,86 +299,102 @@ def batch_of(parts: list, kinds: list, data: list, sums: list | None = None) ->
 # -- frequent words ---------------------------------------------------------------------------------------------------
 
 
-def fewer(word: np.ndarray, count: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most so many counters: the largest, less the largest of the rest (Misra and Gries, as merged)."""
-    if len(word) > slots:
-        count = count - np.partition(count, len(count) - slots - 1)[len(count) - slots - 1]
-        word, count = word[count > 0], count[count > 0]
-    return word, count
+def cells_of(shift: int):
+    """How many of a task's tokens fall in each cell of hashes, packed by range."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << 64 - shift, np.int64)
+        for piece in pieces(batches, SLICE):
+            word, count = split(*buffers(piece.column(0)))
+            cells += np.bincount((word >> np.uint64(shift)).view(np.int64), minlength=len(cells))
+            cells[int(END) >> shift] += len(count)
+        data = [(k, pack(x)) for k, x in enumerate(cells.reshape(RANGES, -1)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in data], pa.int32()), pa.array([x for _, x in data], pa.binary())], ["part", "data"])
+
+    return lean(run)
 
-def frequent(slots: int, of_texts: bool):
-    """Counters of a task's words, and how many tokens there were. No counter is short by over tokens / slots."""
+
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each range."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held[part] = held.get(part, 0) + unpack(blob, np.int64)[0]
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([pack(x) for x in held.values()], pa.binary())], ["part", "data"])
+
+
+def most(share: int, shift: int):
+    """Cells with one of share tokens or more, and the number of tokens, from the sums of all ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, count, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for batch in pieces(batches, SLICE) if of_texts else batches:
-            if of_texts:
-                new, at, _ = tokens(*buffers(batch.column(0)))
-                found = [(new, np.bincount(at), len(at))]
-            else:
-                found = [(*unpack(b, np.uint64, np.int64), k) for b, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            for w, c, k in found:
-                word, at = np.unique(np.concatenate([word, w]), return_inverse=True)
-                word, count = fewer(word, np.bincount(at, np.r_[count, c]).astype(np.int64), slots)
-                n += k
-        yield pa.RecordBatch.from_arrays([pa.array([pack(word, count)], pa.binary()), pa.array([n], pa.int64())], ["data", "n"])
+        cells = np.zeros((RANGES, (1 << 64 - shift) // RANGES), np.int64)
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                cells[part] = unpack(blob, np.int64)[0]
+        cells, n = cells.ravel(), int(cells.sum())
+        found = np.flatnonzero((cells > 0) & (cells >= n / share)).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array([pack(found)], pa.binary()), pa.array([n], pa.int64())], ["data", "n"])
 
-    return lean(run)
+    return run
 
 
-def hot_words(texts: DataFrame, n_parts: int) -> tuple[np.ndarray, int]:
-    """All words with one of hot_share tokens or more, and few others; the number of tokens."""
-    share = hot_share(n_parts)
-    slots = 2 * share
-    found = texts.mapInArrow(frequent(slots, True), "data binary, n long").repartition(16).mapInArrow(frequent(slots, False), "data binary, n long")
-    rows = found.coalesce(1).mapInArrow(frequent(slots, False), "data binary, n long").collect()
+def hot_words(texts: DataFrame, n_parts: int) -> tuple[Hot, int]:
+    """All words with one of hot_share tokens or more, and few others; the number of tokens.
+
+    There are 16 cells at least for each that can be hot, so hot cells are a sixteenth of all at most.
+    """
+    share, schema = hot_share(n_parts), "part int, data binary"
+    shift = 64 - max(20, (16 * share - 1).bit_length())
+    found = texts.mapInArrow(cells_of(shift), schema).repartition(min(n_parts, RANGES), "part").mapInArrow(added, schema)
+    rows = found.coalesce(1).mapInArrow(most(share, shift), "data binary, n long").collect()
     if not rows:
-        return np.zeros(0, np.uint64), 0
-    word, count = unpack(bytes(rows[0]["data"]), np.uint64, np.int64)
-    n = rows[0]["n"]
-    return word[count >= n / share - n / slots], n
+        return Hot(shift, np.zeros(0, np.uint64)), 0
+    return Hot(shift, unpack(bytes(rows[0]["data"]), np.uint64)[0]), rows[0]["n"]
 
 
 # -- counting and seating -----------------------------------------------------------------------------------------------
 
 
-def dealt(known: np.ndarray, keys: np.ndarray, hot: np.ndarray, n_parts: int) -> np.ndarray:
+def dealt(known: np.ndarray, keys: np.ndarray, hot: Hot, n_parts: int) -> np.ndarray:
     """The partitions of pairs."""
-    context, word = known[keys // len(known)], known[keys % len(known)]
-    apart = isin_sorted(context, hot)
-    out = context % np.uint64(n_parts)
-    out[apart] = pair_hash(context[apart], word[apart]) % np.uint64(n_parts)
-    return out.astype(np.int64)
+    context, n = keys // len(known), np.uint64(n_parts)
+    out = (known % n).astype(np.int64)[context]
+    apart = np.flatnonzero(hot.holds(known)[context])
+    out[apart] = pair_hash(known[context[apart]], known[keys[apart] % len(known)]) % n
+    return out
 
 
 def named(known: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
     """Sorted pairs as words, contexts, the number of each context's pairs, and their words' indices."""
     context, word = keys // len(known), keys % len(known)
-    new = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-    used, at = np.unique(word, return_inverse=True)
+    new = starts(context)
+    used, at = ranked(word)
     return [known[used], known[context[new]], np.diff(np.r_[new, len(keys)]).astype(np.uint32), at.astype(np.uint32)]
 
 
-def counted(n_parts: int, hot: np.ndarray):
+def counted(n_parts: int, hot: Hot):
     """Texts, and whether they are learned from, to packed rows of pairs with counts, by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, SLICE):
             known, at, doc = tokens(*buffers(piece.column(0)))
             learn = piece.column(1).to_numpy(zero_copy_only=False)[doc]
-            keys, which = np.unique(pair_keys(known, at), return_inverse=True)
-            all_of, own = np.bincount(which), np.bincount(which[learn], minlength=len(keys))
+            each = np.sort(pair_keys(known, at) << 1 | learn)
+            del at, doc, learn
+            edge = starts(each >> 1)
+            keys, own = each[edge] >> 1, np.add.reduceat(each & 1, edge)
+            others = np.diff(np.r_[edge, len(each)]) - own
             to = dealt(known, keys, hot, n_parts)
-            order = np.argsort(to, kind="stable")
+            order = order_of(to)
             runs = cut(len(keys), to[order])
-            data = [pack(*named(known, keys[o]), own[o].astype(np.uint32), (all_of - own)[o].astype(np.uint32)) for o in (order[s:e] for _, s, e in runs)]
+            keys, own, others = keys[order], own[order].astype(np.uint32), others[order].astype(np.uint32)
+            data = [pack(*named(known, keys[s:e]), own[s:e], others[s:e]) for _, s, e in runs]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
 
     return lean(run)
 
 
-def combined(n_parts: int, hot: np.ndarray):
+def combined(n_parts: int, hot: Hot):
     """A partition's counts to its dishes, each with one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,13 +405,13 @@ def combined(n_parts: int, hot: np.ndarray):
         for part, blobs in held.items():
             got = [unpack(b, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32) for b in blobs]
             blobs.clear()
-            word, context = (np.unique(np.concatenate([g[k] for g in got])) for k in (0, 1))
+            word, context = (different(np.concatenate([g[k] for g in got])) for k in (0, 1))
             key = np.concatenate([np.repeat(np.searchsorted(context, g[1]), g[2]) * len(word) + np.searchsorted(word, g[0])[g[3]] for g in got])
             customers, others = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in (4, 5))
             del got
-            order = np.argsort(key)
+            order = order_of(key)
             key = key[order]
-            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            edge = starts(key)
             customers, others, key = np.add.reduceat(customers[order], edge), np.add.reduceat(others[order], edge), key[edge]
             each, none = np.bincount(key // len(word), minlength=len(context)), np.zeros(len(word), np.int64)
             dishes = Dishes(word, none, context, each, np.zeros(len(context), np.int64), key % len(word), customers, others, [])
@@ -367,7 +458,7 @@ def rooted(sweep: int, before: Totals | None, n_parts: int):
     return lean(run)
 
 
-def swept(totals: Totals, sweep: int, n_parts: int, hot: np.ndarray):
+def swept(totals: Totals, sweep: int, n_parts: int, hot: Hot):
     """One Gibbs sweep over a partition's dishes; the sample before is kept if it counts."""
     held = max(1, sweep - (SWEEPS - KEPT + 1))
 
@@ -405,7 +496,7 @@ class Model:
     seats: DataFrame
     replies: DataFrame
     samples: list[Totals]
-    hot: np.ndarray
+    hot: Hot
     n_seen: int
     n_parts: int
 
@@ -502,32 +593,33 @@ def asked(model: Model, hot_table: tuple, n_out: int):
             row = mix(mix(ids.view(np.uint64)) ^ piece.column(1).to_numpy().view(np.uint64) ^ (~valid).astype(np.uint64))
             known, at, doc = tokens(*buffers(piece.column(2)))
             total = np.bincount(doc, minlength=rows)
-            keys, which = np.unique(pair_keys(known, at), return_inverse=True)
+            # Tokens by pair, then text; a piece of several texts is of ASK bytes at most, so this is below 1 << 63.
+            each = np.sort(pair_keys(known, at) * rows + doc)
+            del at, doc
+            pair = each // rows
+            doc, edge = each - pair * rows, starts(pair)
+            keys, times = pair[edge], np.diff(np.r_[edge, len(each)])
+            del each, pair
             hashes = pair_hash(known[keys // len(known)], known[keys % len(known)])
             near = isin_sorted(hashes, hash_hot)
             met, base, score = (np.zeros(rows) for _ in range(3))
             if near.any():
-                here = near[which]
-                own, k = doc[here], np.searchsorted(hash_hot, hashes[which[here]])
+                own, k = doc[np.repeat(near, times)], np.repeat(np.searchsorted(hash_hot, hashes[near]), times[near])
                 met, base, score = (np.bincount(own, x[k], minlength=rows) for x in (count_hot > 0, base_hot, log_hot))
-                doc, which = doc[~here], which[~here]
             to = (row % np.uint64(n_out)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
+            order = order_of(to)
             columns = (row, total, met.astype(np.int64), base, score, ids, valid.view(np.uint8))
             out = [(p, ROSTER, pack(*(c[order[s:e]] for c in columns))) for p, s, e in cut(rows, to[order])]
             far = np.flatnonzero(~near)
             to = dealt(known, keys[far], hot, n_parts)
-            order = np.argsort(to, kind="stable")
+            order = order_of(to)
             far, runs = far[order], cut(len(far), to[order])
-            place = np.zeros(len(keys), np.int64)
-            place[far] = np.arange(len(far))
-            place = place[which]
-            doc = doc[np.argsort(place, kind="stable")]
-            times = np.bincount(place, minlength=len(far))
+            keys, times, edge = keys[far], times[far], edge[far]
             start = np.r_[0, np.cumsum(times)]
+            doc = doc[np.arange(start[-1]) + np.repeat(edge - start[:-1], times)]
             for p, s, e in runs:
-                used, d = np.unique(doc[start[s] : start[e]], return_inverse=True)
-                out.append((p, ASKED, pack(*named(known, keys[far[s:e]]), times[s:e].astype(np.uint32), d.astype(np.uint32), row[used])))
+                used, d = ranked(doc[start[s] : start[e]])
+                out.append((p, ASKED, pack(*named(known, keys[s:e]), times[s:e].astype(np.uint32), d.astype(np.uint32), row[used])))
             yield batch_of(*(list(x) for x in zip(*out)))
 
     return lean(run)
@@ -542,7 +634,7 @@ def answered(model: Model, n_out: int):
         row, at = np.unique(row, return_inverse=True)
         known, base, score = (np.bincount(at, x, minlength=len(row)) for x in (known, base, score))
         to = (row % np.uint64(n_out)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
+        order = order_of(to)
         zero = np.zeros(len(row), np.int64)
         runs = cut(len(row), to[order])
         data = [pack(row[o], zero[o], known[o].astype(np.int64), base[o], score[o]) for o in (order[s:e] for _, s, e in runs)]

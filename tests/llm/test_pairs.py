@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenspan.llm import induced_sort, jaccard_join, pitman_yor, seating, suffix_dedup, warc
+from lumenspan.llm import induced_sort, jaccard_join, packing, pitman_yor, seating, suffix_dedup, warc
 from lumenspan.llm.components import components
 from lumenspan.llm.util import run_dir
 
@@ -315,6 +316,56 @@ def test_scores_do_not_depend_on_how_contexts_are_dealt(spark, monkeypatch):
         assert r["base_score"] == pytest.approx(b[i]["base_score"], rel=1e-9) and r["score"] == pytest.approx(b[i]["score"], rel=0.05)
 
 
+def test_words_of_any_length_and_at_texts_edges():
+    """Splitting and hashing against plain Python: words up to, at and beyond eight and 64 bytes, texts that end in a word."""
+    rng = np.random.default_rng(5)
+    texts = [b"", b"Ab", b"aB c", b"", b" x\x0b", b"\x08\x0e[@`{ \xc3\x89 \xc3\xa9\x00", b"q" * 5000 + b"R", b"q" * 5000 + b"r" + b" Q" * 3, b""]
+    texts += [bytes(rng.choice(np.frombuffer(b"aAb", np.uint8), n)) for n in (7, 8, 9, 15, 16, 17, 63, 64, 65, 71, 72, 73, 200) for _ in range(4)]
+    texts += [b" ".join(bytes(rng.choice(np.frombuffer(b"aZ\xff", np.uint8), n)) for n in rng.integers(1, 90, 50)) + b"\n" * k for k in range(6)]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    known, at, doc = pitman_yor.tokens(raw, offsets)
+    want = [(d, w) for d, t in enumerate(texts) for w in [*WORD.findall(t.translate(LOWER)), b"\n"]]
+    assert doc.tolist() == [d for d, _ in want] and (known[1:] > known[:-1]).all()
+    code = {w: k for k, (_, w) in zip(at.tolist(), want)}
+    assert at.tolist() == [code[w] for _, w in want] and len(set(code.values())) == len(code) == len(known) and known[code[b"\n"]] == pitman_yor.END
+    assert pitman_yor.tokens(raw[:0], np.zeros(3, np.int64))[1].tolist() == [0, 0]
+
+
+def test_no_frequent_word_is_missed(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "hot_share", lambda n_parts: 300)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 200").select("text").repartition(5)
+    hot, n = pitman_yor.hot_words(docs, 3)
+    raw = "\n".join(r["text"] for r in docs.collect()).encode()
+    known, at, _ = pitman_yor.tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    count = np.bincount(at)
+    count[known == pitman_yor.END] = docs.count()
+    often = known[count >= count.sum() / 300]
+    assert n == count.sum() and 5 < len(often) and hot.holds(often).all() and len(hot.cells) <= 300 and hot.holds(known).sum() < len(often) + 20
+
+
+def test_counting_takes_no_more_than_its_numbers_do():
+    """CPU time against a part of the same work: words were split byte by byte, and numbers packed one byte at a time."""
+
+    def took(run):
+        out = []
+        for _ in range(5):
+            start = time.process_time()
+            run()
+            out.append(time.process_time() - start)
+        return min(out)
+
+    rng = np.random.default_rng(6)
+    raw = rng.choice(np.frombuffer(b"abcde \n", np.uint8), 1 << 21)
+    offsets = np.arange(0, len(raw) + 1, 1 << 12)
+    assert took(lambda: pitman_yor.tokens(raw, offsets)) < took(lambda: jaccard_join.words(raw, offsets))
+    x = rng.integers(0, 1 << 60, 1 << 19).astype(np.uint64)
+    blob = packing.pack(x)
+    assert took(lambda: packing.pack(x)) < 5 * took(lambda: np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T))
+    assert (packing.unpack(blob, np.uint64)[0] == x).all()
+    planes = b"".join(x.view(np.uint8)[k::8].tobytes() for k in range(8))
+    assert packing.pack(planes) == blob and packing.unpack(packing.pack(x[:0], b"ab"), np.uint64, bytes)[1] == b"ab"
+
+
 def log_stirling(c, d):
     """log S_d(c, t) for t = 1 to c, by their recursion in plain numbers."""
 
