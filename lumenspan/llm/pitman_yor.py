@@ -14,15 +14,17 @@ another, of more than ``seating.ROUNDS`` some together; contexts see the root, a
 sweep left them, as is usual when sampling in parallel. Scores average the predictive probabilities of the last ``KEPT``
 of ``SWEEPS`` sweeps. Discounts are estimated from the counts of counts.
 
-Pairs of context and word are dealt by context, so a context's totals are at hand where it lies. Each partition sends the
-root's partitions, which are dealt by word, its tables summed by word, and gets back each of its words' customers and
-tables at the root. Contexts with a share of the tokens that may be too much for one partition (``hot_share``, found by
-counts of cells of words' hashes, so that no such word is missed) are dealt by pair, and their totals go the same way as the root's. Pairs that are only
-met in texts not learned from are counted with no customers, so every pair asked for has a place. To score, a slice's
-tokens go to their pairs' partitions in packed rows, and documents get sums back; pairs as frequent as hot contexts, of
-which there are few, are scored where they are read. Documents are dealt to ``PASSES`` that are scored one after another, so
-what one sends is gone from the disks before the next; small inputs need one. What is gathered grows with the corpus: all
-its pairs of words.
+Pairs of context and word are dealt by context, so a context's totals are at hand where it lies. Each partition sends
+the root's partitions, which are dealt by word, its tables summed by word, and gets back each of its words' customers
+and tables at the root. Contexts with a share of the tokens that may be too much for one partition (``hot_share``, found
+by counts of cells of words' hashes, so that no such word is missed) are dealt by pair, and their totals go the same way
+as the root's. Pairs that are only met in texts not learned from are counted with no customers, so every pair asked for
+has a place. A pair with one customer has one table for good: sweeps go over the others only, and the list of all pairs
+is written once. What scores a pair is worked out once after the last sweep. To score, a slice's tokens go to their
+pairs' partitions in packed rows, and documents get sums back; pairs as frequent as hot contexts, of which there are
+few, are scored where they are read. Documents are dealt to ``PASSES`` that are scored one after another, so what one
+sends is gone from the disks before the next; small inputs need one. What is gathered grows with the corpus: all its
+pairs of words.
 
 Defined results: a null or empty text is its end alone; rows with a null id aren't learned from and aren't held out;
 repeated rows are counted and scored each; very long texts are read whole; without any training text every token has
@@ -40,13 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import seating
-from .jaccard_join import mix
 from .packing import cut, pack, release, unpack
 from .util import buffers, estimated_bytes, lean, partitions, pieces, remove, run_dir, written
 
 SWEEPS, KEPT, STRENGTH, SEED = 3, 2, 5.0, 11
 FOLDS = 10
 SLICE, ASK = 8 << 20, 4 << 20  # bytes of text whose tokens are counted, and asked for, together
+BLOCK = 1 << 17  # bytes of text that are split at a time, so that what is worked out of them stays in the processor's cache
 #: Passes over the documents for scoring, each of PASS bytes of input at least.
 PASSES, PASS = 4, 32 << 20
 END = np.uint64(0xE4D0F7E57A11ED01)
@@ -62,8 +64,27 @@ def hot_share(n_parts: int) -> int:
     return min(max(20_000, 2 * n_parts), 1 << 20)
 
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """A hash of numbers, worked out in two arrays."""
+    x = h >> np.uint64(30)
+    x ^= h
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    y = x >> np.uint64(27)
+    x ^= y
+    x *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(x, np.uint64(31), out=y)
+    x ^= y
+    return x
+
+
 def split(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word (A-Z as a-z), and how many words each text has."""
+    edges = np.unique(np.r_[0, np.searchsorted(offsets, np.arange(BLOCK, len(raw), BLOCK)), len(offsets) - 1])
+    parts = [_split(raw[offsets[i] : offsets[k]], offsets[i : k + 1] - offsets[i]) for i, k in zip(edges[:-1], edges[1:])]
+    return (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _split(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     lower = np.zeros(len(raw) + 8, np.uint8)
@@ -131,13 +152,38 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def pair_keys(known: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each token: context and word as one number."""
-    end = np.searchsorted(known, END)
-    return np.r_[end, at][:-1] * len(known) + at
+    """Of each token: context and word as one number, the word in its lowest bits."""
+    out = np.empty_like(at)
+    out[:1], out[1:] = np.searchsorted(known, END), at[:-1]
+    out <<= len(known).bit_length()
+    out |= at
+    return out
+
+
+def parted(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and words of pair_keys."""
+    bits = len(known).bit_length()
+    return keys >> bits, keys & ((1 << bits) - 1)
+
+
+_WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint64, np.float64)
+
+
+def pack_narrow(*arrays: np.ndarray) -> bytes:
+    """pack(), with numbers from 0 on in as few bytes as they take; hashes (uint64) and floats as they are."""
+    bits = lambda a: int(a.max(initial=0)).bit_length()
+    kinds = [_WIDTHS.index(a.dtype.type) if a.dtype in (np.uint64, np.float64) else sum(bits(a) > n for n in (8, 16, 32)) for a in arrays]
+    return bytes([len(kinds), *kinds]) + pack(*(a.astype(_WIDTHS[k], copy=False) for a, k in zip(arrays, kinds)))
+
+
+def unpack_narrow(blob: bytes) -> list[np.ndarray]:
+    n = blob[0]
+    return unpack(memoryview(blob)[n + 1 :], *(_WIDTHS[k] for k in blob[1 : n + 1]))
 
 
-def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(context ^ mix(word))
+def pair_hash(context: np.ndarray, mixed_word: np.ndarray) -> np.ndarray:
+    """Of a pair; the word is given as mix(word)."""
+    return mix(context ^ mixed_word)
 
 
 @dataclass
@@ -189,26 +235,41 @@ class Dishes:
     """A partition's contexts and words, sorted, and their pairs' customers; of each sample the tables and totals.
 
     A sample is [tables of pairs, tables of contexts, customers and tables of words at the root]; but for the pairs' tables
-    the last sample's are known only with the root's replies.
+    the last sample's are known only with the root's replies. Tables of pairs with one customer don't change, so sweeps are
+    over pairs with more (``live``) and hold the ``lone`` tables of words and contexts; the other pairs lie apart and are put
+    back to score.
     """
 
-    KINDS = (np.uint64, np.int64, np.uint64, np.uint32, np.int64, np.uint32, np.uint32, np.uint32)
-    SAMPLE = (np.uint32, np.int64, np.int64, np.int64)
-
-    def __init__(self, word, count, context, each, total, at, customers, others, samples) -> None:
-        self.word, self.count, self.context, self.each, self.total = word, count.copy(), context, each.astype(np.int64), total.copy()
-        self.at, self.customers, self.others, self.samples = at.astype(np.int64), customers.astype(np.int64), others, samples
+    def __init__(self, word, count, context, each, total, at, customers, others, samples, lone=None) -> None:
+        self.word, self.context, self.others = word, context, others
+        self.each, self.at, self.customers = (x.astype(np.int64) for x in (each, at, customers))
+        self.here, self.count, self.total = (count, total), count.copy(), total.copy()
+        self.samples, self.lone = samples, lone
         self.owner = np.repeat(np.arange(len(context)), self.each)
 
     @classmethod
-    def unpacked(cls, blob: bytes, samples: int) -> Dishes:
-        got = unpack(blob, *cls.KINDS, *cls.SAMPLE * samples)
-        rest = [x.astype(np.int64) for x in got[8:]]
-        return cls(*got[:8], [rest[k : k + 4] for k in range(0, len(rest), 4)])
+    def unpacked(cls, blob: bytes, samples: int, pairs: bytes | None = None) -> Dishes:
+        word, count, context, each, total, at, customers, *rest = unpack_narrow(blob)
+        count, total, *rest = (x.astype(np.int64) for x in (count, total, *rest))
+        lone, samples = rest[:2], [rest[k : k + 4] for k in range(2, 2 + 4 * samples, 4)]
+        if pairs is None:
+            return cls(word, count, context, each, total, at, customers, None, samples, lone)
+        each, at, customers, others = unpack_narrow(pairs)
+        live = np.flatnonzero(customers > 1)
+        for s in samples:
+            tables = np.minimum(customers, 1).astype(np.int64)
+            tables[live] = s[0]
+            s[0] = tables
+        return cls(word, count, context, each, total, at, customers, others.astype(np.int64), samples)
+
+    def live(self) -> Dishes:
+        k, one = np.flatnonzero(self.customers > 1), self.customers == 1
+        each = np.bincount(self.owner[k], minlength=len(self.context))
+        samples = [[tables[k], *rest] for tables, *rest in self.samples]
+        return Dishes(self.word, self.here[0], self.context, each, self.here[1], self.at[k], self.customers[k], None, samples, [self.by_word(one), self.by_context(one)])
 
     def packed(self) -> bytes:
-        flat = [x.astype(kind) for s in self.samples for x, kind in zip(s, self.SAMPLE)]
-        return pack(*(x.astype(k) for x, k in zip((self.word, self.count, self.context, self.each, self.total, self.at, self.customers, self.others), self.KINDS)), *flat)
+        return pack_narrow(self.word, self.here[0], self.context, self.each, self.here[1], self.at, self.customers, *self.lone, *(x for s in self.samples for x in s))
 
     def by_word(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.at, x, minlength=len(self.word)).astype(np.int64)
@@ -219,14 +280,14 @@ class Dishes:
     def fresh(self, tables: np.ndarray) -> list:
         """A sample as far as it is known here."""
         none = np.zeros(len(self.word), np.int64)
-        return [tables, self.by_context(tables), none, none]
+        return [tables, self.by_context(tables) + (self.lone[1] if self.lone else 0), none, none]
 
     def told(self, replies: list[bytes]) -> None:
         """Take the root's replies into the last sample; each is in the order of the words that went to its sender."""
         _, of_contexts, customers, tables = self.samples[-1]
         order = runs = None
         for blob in replies:
-            (sender, n_parts), count, own, seats, context, total, theirs = unpack(blob, *REPLIED)
+            (sender, n_parts), count, own, seats, context, total, theirs = unpack_narrow(blob)
             if order is None:
                 order, runs = self.by_root(int(n_parts))
             i, k = order[slice(*runs.get(int(sender), (0, 0)))], np.searchsorted(self.context, context)
@@ -251,41 +312,33 @@ class Dishes:
             np.add.at(of_contexts, u, tables[k] - own)
         return tables
 
-    def probability(self, totals: list[Totals]) -> np.ndarray:
-        """Averaged p(w | u) of all pairs; a sample is dropped once it has been added."""
-        p = np.zeros(len(self.at))
-        for (tables, of_contexts, customers, root_tables), t in zip(self.samples, totals):
-            parent = t.root(customers, root_tables)[self.at]
-            p += t.context(self.customers, tables, self.total[self.owner], of_contexts[self.owner], parent)
-        return p / max(1, len(totals))
-
-    def row(self, part: int, n_parts: int, hot: Hot, seen: np.ndarray, sums: tuple = ()) -> Iterator[pa.RecordBatch]:
-        """The state's row, and the rows for the root's partitions: words with tables, counts and the root's tables as seen
-        here, hot contexts likewise."""
+    def row(self, part: int, n_parts: int, hot: Hot, seen: np.ndarray, sums: tuple = (), pairs: tuple = ()) -> Iterator[pa.RecordBatch]:
+        """Of live dishes the state's row, that of all pairs if given, and the rows for the root's partitions: words with tables,
+        counts and the root's tables as seen here, hot contexts likewise."""
         tables, of_contexts = self.samples[-1][:2]
-        by_word, count = self.by_word(tables), self.by_word(self.customers)
+        by_word, (count, total) = self.by_word(tables) + self.lone[0], self.here
         own = np.flatnonzero(hot.holds(self.context))
-        own_total = self.by_context(self.customers)[own]
         wo, runs_w = self.by_root(n_parts)
         to_c = (self.context[own] % np.uint64(n_parts)).astype(np.int64)
         co = order_of(to_c)
         runs_c = {p: (s, e) for p, s, e in cut(len(to_c), to_c[co])}
         parts, kinds, data = [part], [SEATS], [self.packed()]
+        if pairs:
+            parts, kinds, data = [part, part], [SEATS, PAIRS], [*data, pack_narrow(*pairs)]
         for p in sorted(runs_w.keys() | runs_c.keys()):
             i = wo[slice(*runs_w.get(p, (0, 0)))]
-            k = co[slice(*runs_c.get(p, (0, 0)))]
+            k = own[co[slice(*runs_c.get(p, (0, 0)))]]
             parts.append(p)
             kinds.append(TO_ROOT)
-            data.append(pack(np.array([part]), self.word[i], count[i], by_word[i], self.context[own[k]], own_total[k], of_contexts[own[k]], seen[i]))
+            data.append(pack_narrow(np.array([part]), self.word[i], count[i], by_word[i], self.context[k], total[k], of_contexts[k], seen[i]))
         yield batch_of(parts, kinds, data, [list(sums)] + [[]] * (len(parts) - 1))
 
 
 STATE = "part int, kind int, data binary, sums array<long>"
-SEATS, REPLY, ASKED, ROSTER, PARTIAL, TO_ROOT = range(6)
-#: Sender, words, their counts and tables, hot contexts, their customers and tables, the root's tables as seen by the sender.
-SENT = (np.int64, np.uint64, np.int64, np.int64, np.uint64, np.int64, np.int64, np.int64)
-#: Sender and number of partitions; of the words as they were sent count, customers, tables; hot contexts, customers, tables.
-REPLIED = (np.int64, np.int64, np.int64, np.int64, np.uint64, np.int64, np.int64)
+SEATS, PAIRS, REPLY, PLACED, ASKED, ROSTER, PARTIAL, TO_ROOT, OFTEN = range(9)
+# Sent to the root (TO_ROOT): sender, words, their counts and tables, hot contexts, their customers and tables, the root's
+# tables as seen by the sender. Replied: sender and number of partitions; of the words as they were sent count, customers,
+# tables; hot contexts, customers, tables.
 
 
 def batch_of(parts: list, kinds: list, data: list, sums: list | None = None) -> pa.RecordBatch:
@@ -355,21 +408,22 @@ def hot_words(texts: DataFrame, n_parts: int) -> tuple[Hot, int]:
 # -- counting and seating -----------------------------------------------------------------------------------------------
 
 
-def dealt(known: np.ndarray, keys: np.ndarray, hot: Hot, n_parts: int) -> np.ndarray:
-    """The partitions of pairs."""
-    context, n = keys // len(known), np.uint64(n_parts)
+def dealt(known: np.ndarray, keys: np.ndarray, hot: Hot, n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The partitions of pairs; the places of those with a hot context, and their hashes."""
+    (context, word), n = parted(known, keys), np.uint64(n_parts)
     out = (known % n).astype(np.int64)[context]
     apart = np.flatnonzero(hot.holds(known)[context])
-    out[apart] = pair_hash(known[context[apart]], known[keys[apart] % len(known)]) % n
-    return out
+    hashes = pair_hash(known[context[apart]], mix(known)[word[apart]])
+    out[apart] = hashes % n
+    return out, apart, hashes
 
 
 def named(known: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
     """Sorted pairs as words, contexts, the number of each context's pairs, and their words' indices."""
-    context, word = keys // len(known), keys % len(known)
+    context, word = parted(known, keys)
     new = starts(context)
     used, at = ranked(word)
-    return [known[used], known[context[new]], np.diff(np.r_[new, len(keys)]).astype(np.uint32), at.astype(np.uint32)]
+    return [known[used], known[context[new]], np.diff(np.r_[new, len(keys)]), at]
 
 
 def counted(n_parts: int, hot: Hot):
@@ -384,11 +438,11 @@ def counted(n_parts: int, hot: Hot):
             edge = starts(each >> 1)
             keys, own = each[edge] >> 1, np.add.reduceat(each & 1, edge)
             others = np.diff(np.r_[edge, len(each)]) - own
-            to = dealt(known, keys, hot, n_parts)
+            to, *_ = dealt(known, keys, hot, n_parts)
             order = order_of(to)
             runs = cut(len(keys), to[order])
-            keys, own, others = keys[order], own[order].astype(np.uint32), others[order].astype(np.uint32)
-            data = [pack(*named(known, keys[s:e]), own[s:e], others[s:e]) for _, s, e in runs]
+            keys, own, others = keys[order], own[order], others[order]
+            data = [pack_narrow(*named(known, keys[s:e]), own[s:e], others[s:e]) for _, s, e in runs]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
 
     return lean(run)
@@ -403,7 +457,7 @@ def combined(n_parts: int, hot: Hot):
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.setdefault(part, []).append(blob)
         for part, blobs in held.items():
-            got = [unpack(b, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32) for b in blobs]
+            got = [unpack_narrow(b) for b in blobs]
             blobs.clear()
             word, context = (different(np.concatenate([g[k] for g in got])) for k in (0, 1))
             key = np.concatenate([np.repeat(np.searchsorted(context, g[1]), g[2]) * len(word) + np.searchsorted(word, g[0])[g[3]] for g in got])
@@ -413,11 +467,12 @@ def combined(n_parts: int, hot: Hot):
             key = key[order]
             edge = starts(key)
             customers, others, key = np.add.reduceat(customers[order], edge), np.add.reduceat(others[order], edge), key[edge]
-            each, none = np.bincount(key // len(word), minlength=len(context)), np.zeros(len(word), np.int64)
-            dishes = Dishes(word, none, context, each, np.zeros(len(context), np.int64), key % len(word), customers, others, [])
-            dishes.total = dishes.by_context(customers)
+            owner = key // len(word)
+            each, at, none = np.bincount(owner, minlength=len(context)), key - owner * len(word), np.zeros(len(word), np.int64)
+            count, total = (np.bincount(x, customers, minlength=len(y)).astype(np.int64) for x, y in ((at, word), (owner, context)))
+            dishes = Dishes(word, count, context, each, total, at, customers, others, [])
             dishes.samples = [dishes.fresh(np.minimum(customers, 1))]
-            yield from dishes.row(part, n_parts, hot, none, (int((customers == 1).sum()), int((customers == 2).sum())))
+            yield from dishes.live().row(part, n_parts, hot, none, (int((customers == 1).sum()), int((customers == 2).sum())), (each, at, customers, others))
 
     return lean(run)
 
@@ -433,7 +488,7 @@ def rooted(sweep: int, before: Totals | None, n_parts: int):
         table = seating.log_stirling(seating.EXACT, before.root_discount) if before is not None else None
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(part, []).append(unpack(blob, *SENT))
+                held.setdefault(part, []).append(unpack_narrow(blob))
         for part, got in held.items():
             got.sort(key=lambda g: g[0][0])
             word, at = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
@@ -441,7 +496,7 @@ def rooted(sweep: int, before: Totals | None, n_parts: int):
             tables = np.minimum(customers, 1)
             if before is not None:
                 seen = np.zeros(len(word), np.int64)
-                np.maximum.at(seen, at, np.concatenate([g[7] for g in got]))
+                np.maximum.at(seen, at, np.concatenate([g[7] for g in got]).astype(np.int64))
                 parent = np.full(len(word), 1 / (before.n_words + 1))
                 tables = seating.drawn(customers, before.root_tables - seen, parent, STRENGTH, before.root_discount, np.random.default_rng([SEED, sweep, part, 1]), table)
             context, where = np.unique(np.concatenate([g[4] for g in got]), return_inverse=True)
@@ -451,7 +506,7 @@ def rooted(sweep: int, before: Totals | None, n_parts: int):
                 own, ctx = at[i : i + len(g[1])], where[k : k + len(g[4])]
                 i, k = i + len(own), k + len(ctx)
                 parts.append(int(g[0][0]))
-                data.append(pack(np.array([part, n_parts]), count[own], customers[own], tables[own], context[ctx], total[ctx], theirs[ctx]))
+                data.append(pack_narrow(np.array([part, n_parts]), count[own], customers[own], tables[own], context[ctx], total[ctx], theirs[ctx]))
             sums = [int(count.sum()), int((count > 0).sum()), int((customers == 1).sum()), int((customers == 2).sum()), int(customers.sum()), int(tables.sum())]
             yield batch_of(parts, [REPLY] * len(parts), data, [sums] + [[]] * (len(parts) - 1))
 
@@ -474,24 +529,26 @@ def swept(totals: Totals, sweep: int, n_parts: int, hot: Hot):
 
 
 def settled(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[tuple[int, Dishes]]:
-    """Partitions' dishes with the root's replies taken in."""
-    seats: dict[int, bytes] = {}
+    """Partitions' dishes with the root's replies taken in; the live ones, or all where the rows of all pairs are there."""
+    seats: dict[int, dict[int, bytes]] = {}
     replies: dict[int, list[bytes]] = {}
     for batch in batches:
         for part, kind, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if kind == SEATS:
-                seats[part] = blob
-            else:
+            if kind == REPLY:
                 replies.setdefault(part, []).append(blob)
+            else:
+                seats.setdefault(part, {})[kind] = blob
     for part in sorted(seats):
-        dishes = Dishes.unpacked(seats.pop(part), held)
+        own = seats.pop(part)
+        dishes = Dishes.unpacked(own[SEATS], held, own.get(PAIRS))
+        del own
         dishes.told(replies.pop(part, []))
         yield part, dishes
 
 
 @dataclass
 class Model:
-    """seats and replies: a row for each partition, and for each of its words' places at the root."""
+    """seats and replies: two rows for each partition (live dishes, all pairs), and one for each of its words' places at the root."""
 
     seats: DataFrame
     replies: DataFrame
@@ -524,14 +581,14 @@ def train(docs: DataFrame, at: str, n_parts: int) -> Model:
     share = lambda one, two: min(0.95, max(0.05, one / max(1, one + 2 * two)))
     pairs = docs.mapInArrow(counted(n_parts, hot), "part int, data binary").repartition(n_parts, "part")
     state = kinds_apart(pairs.mapInArrow(combined(n_parts, hot), STATE), f"{at}/seats-0")
-    del pairs
+    pairs = state.where(F.col("kind") == PAIRS).select("part", "kind", "data")
     discount, totals, samples = share(*sums_of(state, 2)), None, []
     for sweep in range(SWEEPS + 1):
         if sweep:
             both = state.where(F.col("kind") == SEATS).union(root).select("part", "kind", "data").repartition(n_parts, "part")
             state = kinds_apart(both.mapInArrow(swept(totals, sweep, n_parts, hot), STATE), f"{at}/seats-{sweep}")
-            for name in ("seats", "root"):
-                remove(spark, f"{at}/{name}-{sweep - 1}")
+            remove(spark, f"{at}/seats-{sweep - 1}/kind={SEATS}")
+            remove(spark, f"{at}/root-{sweep - 1}")
             del both
         up = state.where(F.col("kind") == TO_ROOT).select("part", "data").repartition(n_parts, "part")
         root = written(up.mapInArrow(rooted(sweep, totals, n_parts), STATE), f"{at}/root-{sweep}")
@@ -541,40 +598,54 @@ def train(docs: DataFrame, at: str, n_parts: int) -> Model:
         totals = Totals(n_tokens, n_words, discount, totals.root_discount if totals else share(one, two), customers, tables)
         samples = [*(samples if sweep > SWEEPS - KEPT + 1 else []), totals]
         release(spark)
-    return Model(state.where(F.col("kind") == SEATS).select("part", "kind", "data"), root.select("part", "kind", "data"), samples, hot, n_seen, n_parts)
+    return Model(state.where(F.col("kind") == SEATS).select("part", "kind", "data").union(pairs), root.select("part", "kind", "data"), samples, hot, n_seen, n_parts)
 
 
 # -- scoring --------------------------------------------------------------------------------------------------------------
 
 
-def hot_pairs(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs with one of hot_share tokens or more: their hashes in order, their words' counts, log10 p(w | u).
+@dataclass
+class Places:
+    """What scores every pair, a row for each partition; pairs with one of hot_share tokens or more, which are few, are also
+    known everywhere: their hashes in order, their words' counts, log10 p(w | u)."""
+
+    rows: DataFrame
+    hashes: np.ndarray
+    counts: np.ndarray
+    logs: np.ndarray
 
-    Their contexts are hot as well, so their totals come with the replies.
-    """
-    least, kept = max(2, model.n_seen / hot_share(model.n_parts)), len(model.samples)
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, d in settled(batches, kept):
+def averaged(samples: list[Totals], customers, tables, total, at, owner, learned: list) -> np.ndarray:
+    """log10 of p(w | u), averaged over samples; tables: their sum. learned: of each sample what is known of contexts (their
+    tables) and of words (customers and tables at the root), of which the pairs have those at owner and at."""
+    p = customers - samples[-1].discount / len(samples) * tables
+    for t, k in zip(samples, range(0, len(learned), 3)):
+        of_contexts, own, seats = learned[k : k + 3]
+        p += t.root(own, seats)[at] * ((STRENGTH + t.discount * of_contexts) / len(samples))[owner]
+    p /= (STRENGTH + total)[owner]
+    return np.log10(p, out=p)
+
+
+def placed(model: Model, path: str) -> Places:
+    """Seats and replies worked out once for all passes. Hot pairs' contexts are hot as well, so their totals came with the
+    replies."""
+    least, samples = max(2, model.n_seen / hot_share(model.n_parts)), model.samples
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, d in settled(batches, len(samples)):
+            tables, learned = np.sum([s[0] for s in d.samples], 0), [x for s in d.samples for x in s[1:]]
             i = np.flatnonzero(d.customers + d.others >= least)
             w, u = d.at[i], d.owner[i]
-            values = np.stack([d.word[w].view(np.int64), d.context[u].view(np.int64), d.customers[i], d.count[w], d.total[u], *(x for s in d.samples for x in (s[0][i], s[1][u], s[2][w], s[3][w]))], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(list(values), pa.list_(pa.int64()))], ["x"])
+            logs = averaged(samples, d.customers[i], tables[i], d.total, w, u, learned)
+            often = pack(pair_hash(d.context[u], mix(d.word[w])), d.count[w], logs)
+            yield batch_of([part] * 2, [PLACED, OFTEN], [pack_narrow(d.word, d.count, d.context, d.each, d.total, d.at, d.customers, tables, *learned), often])
 
     both = model.seats.union(model.replies).repartition(model.n_parts, "part")
-    rows = [r["x"] for r in both.mapInArrow(lean(found), "x array<long>").collect()]
-    if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
-    x = np.array(rows, np.int64)
-    word, context = (np.ascontiguousarray(x[:, k]).view(np.uint64) for k in (0, 1))
-    customers, count, total = x[:, 2:5].T
-    p = np.zeros(len(x))
-    for s, t in enumerate(model.samples):
-        tables, of_contexts, own, seats = x[:, 5 + 4 * s : 9 + 4 * s].T
-        p += t.context(customers, tables, total, of_contexts, t.root(own, seats))
-    key = pair_hash(context, word)
-    order = np.argsort(key)
-    return key[order], count[order], np.log10(p / kept)[order]
+    rows = kinds_apart(both.mapInArrow(lean(run), "part int, kind int, data binary"), path)
+    often = [unpack(bytes(r["data"]), np.uint64, np.int64, np.float64) for r in rows.where(F.col("kind") == OFTEN).select("data").collect()]
+    hashes, counts, logs = (np.concatenate([x[k] for x in often] or [np.zeros(0, t)]) for k, t in enumerate((np.uint64, np.int64, np.float64)))
+    order = np.argsort(hashes)
+    return Places(rows.where(F.col("kind") == PLACED), hashes[order], counts[order], logs[order])
 
 
 SUMS = (np.uint64, np.int64, np.int64, np.float64, np.float64)
@@ -594,40 +665,49 @@ def asked(model: Model, hot_table: tuple, n_out: int):
             known, at, doc = tokens(*buffers(piece.column(2)))
             total = np.bincount(doc, minlength=rows)
             # Tokens by pair, then text; a piece of several texts is of ASK bytes at most, so this is below 1 << 63.
-            each = np.sort(pair_keys(known, at) * rows + doc)
+            bits = (rows - 1).bit_length()
+            each = pair_keys(known, at)
+            each <<= bits
+            each |= doc
             del at, doc
-            pair = each // rows
-            doc, edge = each - pair * rows, starts(pair)
-            keys, times = pair[edge], np.diff(np.r_[edge, len(each)])
-            del each, pair
-            hashes = pair_hash(known[keys // len(known)], known[keys % len(known)])
-            near = isin_sorted(hashes, hash_hot)
+            each.sort()
+            doc = each & ((1 << bits) - 1)
+            each >>= bits
+            edge = starts(each)
+            keys, times = each[edge], np.diff(np.r_[edge, len(each)])
+            del each
+            to, apart, hashes = dealt(known, keys, hot, n_parts)
+            found, near = isin_sorted(hashes, hash_hot), np.zeros(len(keys), bool)
+            near[apart[found]] = True
             met, base, score = (np.zeros(rows) for _ in range(3))
-            if near.any():
-                own, k = doc[np.repeat(near, times)], np.repeat(np.searchsorted(hash_hot, hashes[near]), times[near])
+            if found.any():
+                own, k = doc[np.repeat(near, times)], np.repeat(np.searchsorted(hash_hot, hashes[found]), times[near])
                 met, base, score = (np.bincount(own, x[k], minlength=rows) for x in (count_hot > 0, base_hot, log_hot))
-            to = (row % np.uint64(n_out)).astype(np.int64)
-            order = order_of(to)
+            home = (row % np.uint64(n_out)).astype(np.int64)
+            order = order_of(home)
             columns = (row, total, met.astype(np.int64), base, score, ids, valid.view(np.uint8))
-            out = [(p, ROSTER, pack(*(c[order[s:e]] for c in columns))) for p, s, e in cut(rows, to[order])]
+            out = [(p, ROSTER, pack(*(c[order[s:e]] for c in columns))) for p, s, e in cut(rows, home[order])]
             far = np.flatnonzero(~near)
-            to = dealt(known, keys[far], hot, n_parts)
+            to = to[far]
             order = order_of(to)
             far, runs = far[order], cut(len(far), to[order])
             keys, times, edge = keys[far], times[far], edge[far]
             start = np.r_[0, np.cumsum(times)]
             doc = doc[np.arange(start[-1]) + np.repeat(edge - start[:-1], times)]
             for p, s, e in runs:
-                used, d = ranked(doc[start[s] : start[e]])
-                out.append((p, ASKED, pack(*named(known, keys[s:e]), times[s:e].astype(np.uint32), d.astype(np.uint32), row[used])))
+                d, theirs = doc[start[s] : start[e]], row
+                if len(d) < 4 * rows:  # of more, nearly all texts are met
+                    used, d = ranked(d)
+                    theirs = row[used]
+                out.append((p, ASKED, pack_narrow(*named(known, keys[s:e]), times[s:e], d, theirs)))
             yield batch_of(*(list(x) for x in zip(*out)))
 
     return lean(run)
 
 
 def answered(model: Model, n_out: int):
-    """A partition's tokens to sums by document; its seats and the root's replies come first, rosters pass."""
-    samples, kept, n, v = model.samples, len(model.samples), model.n_tokens, model.samples[-1].n_words
+    """A partition's tokens to sums by document; what scores its pairs comes first, rosters pass."""
+    samples, n, v = model.samples, model.n_tokens, model.samples[-1].n_words
 
     def flushed(sums: list) -> Iterator[pa.RecordBatch]:
         row, known, base, score = (np.concatenate(x) for x in zip(*sums))
@@ -641,30 +721,29 @@ def answered(model: Model, n_out: int):
         yield batch_of([r[0] for r in runs], [PARTIAL] * len(runs), data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seats, replies, dishes, sums, size = None, b"", [], None, [], 0
+        part, place, known, sums, size = None, b"", None, [], 0
         for batch in batches:
             for p, kind, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if p != part:
                     if sums:
                         yield from flushed(sums)
-                    part, replies, dishes, sums, size = p, [], None, [], 0
+                    part, known, sums, size = p, None, [], 0
                 if kind == ROSTER:
                     yield batch_of([p], [kind], [blob])
-                elif kind == SEATS:
-                    seats = blob
-                elif kind == REPLY:
-                    replies.append(blob)
+                elif kind == PLACED:
+                    place = blob
                 else:
-                    if dishes is None:
-                        dishes = Dishes.unpacked(seats, kept)
-                        dishes.told(replies)
-                        logs, base = np.log10(dishes.probability(samples)), np.log10((dishes.count + 0.1) / (n + 0.1 * (v + 1)))
-                        keys = dishes.owner * len(dishes.word) + dishes.at
-                    word, context, each, w, times, doc, row = unpack(blob, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint64)
-                    w = np.searchsorted(dishes.word, word)[w]
-                    k = np.repeat(np.searchsorted(keys, np.repeat(np.searchsorted(dishes.context, context), each) * len(dishes.word) + w), times)
-                    w = np.repeat(w, times)
-                    sums.append((row, *(np.bincount(doc, x, minlength=len(row)) for x in (dishes.count[w] > 0, base[w], logs[k]))))
+                    if known is None:
+                        known, count, contexts, each, total, at, customers, tables, *learned = unpack_narrow(place)
+                        owner = np.repeat(np.arange(len(contexts)), each)
+                        logs = averaged(samples, customers, tables, total, at, owner, learned)
+                        met, base = (count > 0).astype(np.float64), np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
+                        keys = owner * len(known) + at
+                        del count, total, at, owner, customers, tables, learned
+                    word, context, each, w, times, doc, row = unpack_narrow(blob)
+                    w = np.searchsorted(known, word)[w]
+                    k = np.searchsorted(keys, np.repeat(np.searchsorted(contexts, context) * len(known), each) + w)
+                    sums.append((row, *(np.bincount(doc, np.repeat(x, times), minlength=len(row)) for x in (met[w], base[w], logs[k]))))
                     size += len(row)
                     if size > 1_000_000:
                         yield from flushed(sums)
@@ -699,21 +778,26 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + 50_000], mask=valid[s : s + 50_000] == 0), pa.array(total[a]), pa.array(known[a]), pa.array(columns[2][a]), pa.array(columns[3][a])], ["id", "n_tokens", "n_known", "base_score", "score"])
 
 
-def answers(docs: DataFrame, model: Model, passes: int = 1) -> DataFrame:
+def answers(docs: DataFrame, model: Model, passes: int = 1, trained: str | None = None) -> DataFrame:
     """id, n_tokens, n_known, base_score, score of the documents that the model was trained with; docs: id, key, text.
 
-    Rows that are equal are in one pass.
+    Rows that are equal are in one pass. The folder ``trained`` isn't needed any more, and removed, before the first.
     """
-    spark, n_parts, hot = docs.sparkSession, model.n_parts, hot_pairs(model)
+    spark, n_parts, at = docs.sparkSession, model.n_parts, run_dir(docs.sparkSession, "pitman-yor-scores")
+    schema, result = "part int, kind int, data binary", "id long, n_tokens long, n_known long, base_score double, score double"
+    places = placed(model, f"{at}/places")
+    hot = places.hashes, places.counts, places.logs
+    if trained:
+        remove(spark, trained)
     release(spark)
-    at, schema, result = run_dir(spark, "pitman-yor-scores"), "part int, kind int, data binary", "id long, n_tokens long, n_known long, base_score double, score double"
     for k in range(passes):
         own = docs.where(F.pmod(F.xxhash64("id", "key"), F.lit(passes)) == k).select("id", "key", "text")
-        rows = own.mapInArrow(asked(model, hot, n_parts), schema).union(model.seats).union(model.replies)
+        rows = own.mapInArrow(asked(model, hot, n_parts), schema).union(places.rows)
         sums = rows.repartition(n_parts, "part").sortWithinPartitions("part", "kind").mapInArrow(answered(model, n_parts), schema)
         sums.repartition(n_parts, "part").mapInArrow(summed, result).write.parquet(f"{at}/{k}")
         del rows, sums
         release(spark)
+    remove(spark, f"{at}/places")
     return spark.read.schema(result).parquet(*(f"{at}/{k}" for k in range(passes)))
 
 
@@ -732,8 +816,7 @@ def scored(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = prepared(documents, id_col, text_col)
     model = train(docs.select("text", "learn"), at, n_parts)
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
-    found = answers(docs, model, max(1, min(PASSES, n_bytes // PASS)))
-    remove(spark, at)
+    found = answers(docs, model, max(1, min(PASSES, n_bytes // PASS)), at)
     return found.select("id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -16,6 +16,8 @@ which converges there.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 EXACT = 256
@@ -30,15 +32,16 @@ SECTIONS = 9
 def log_gamma(z: np.ndarray) -> np.ndarray:
     """Of numbers from 1 on, by Stirling's series, ten above."""
     z = np.asarray(z, np.float64)
-    shift = np.zeros_like(z)
-    for k in range(10):
-        shift += np.log(z + k)
-    y = z + 10
+    shift = z.copy()
+    for k in range(1, 10):
+        shift *= z + k
+    y, shift = z + 10, np.log(shift)
     return (y - 0.5) * np.log(y) - y + 0.91893853320467274 + (1 / 12 - (1 / 360 - 1 / (1260 * y * y)) / (y * y)) / y - shift
 
 
+@lru_cache(8)
 def log_stirling(n: int, discount: float) -> np.ndarray:
-    """log S_d(c, t) at [c, t] up to n; minus infinity where it is 0."""
+    """log S_d(c, t) at [c, t] up to n; minus infinity where it is 0. Workers keep the last ones for later tasks."""
     out = np.full((n + 1, n + 1), -np.inf)
     out[0, 0] = 0.0
     t = np.arange(n + 1)
@@ -49,23 +52,32 @@ def log_stirling(n: int, discount: float) -> np.ndarray:
             grown[: c + 1] = np.where(stay > 0, out[c, : c + 1] + np.log(stay), -np.inf)
         grown[1 : c + 2] = np.logaddexp(grown[1 : c + 2], out[c, : c + 1])
         out[c + 1] = grown
+    out.flags.writeable = False
     return out
 
 
+@lru_cache(8)
+def stirling_steps(n: int, discount: float) -> np.ndarray:
+    """S_d(c, t + 1) / S_d(c, t) at [c, t], 0 from c on."""
+    table, out = log_stirling(n, discount), np.zeros((n + 1, n + 1))
+    with np.errstate(invalid="ignore"):
+        out[:, :-1] = np.exp(table[:, 1:] - table[:, :-1])
+    return np.where(np.arange(n + 1) < np.arange(n + 1)[:, None], np.nan_to_num(out, posinf=0.0), 0.0)
+
+
 def descent(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
     """log u where x f'(x) / f(x) = c / t, with u = 1 - x and f = 1 - u ** d: Newton's steps, held between bounds."""
-    target = np.log(c / t)
+    target = np.log(c / t / discount)
     v = np.minimum(np.log(np.minimum(1.0, discount * t / c)) / (1 - discount), -1e-12)
     v = np.where(c / t < 1.5, np.log1p(-np.minimum(0.999999, 2 * (c / t - 1) / (1 - discount) + 1e-12)), v)
     low, high = np.full_like(v, -700.0), np.full_like(v, -1e-15)
     for _ in range(60):
-        u, power = np.exp(v), np.exp(discount * v)
         x, f = -np.expm1(v), -np.expm1(discount * v)
-        value = np.log(x) + np.log(discount) + (discount - 1) * v - np.log(f) - target
+        value = np.log(x / f) + (discount - 1) * v - target
         high, low = np.where(value < 0, np.minimum(high, v), high), np.where(value > 0, np.maximum(low, v), low)
-        slope = -u / x + discount - 1 + discount * power / f
+        slope = discount / f - 1 / x
         step = v - value / np.where(slope < 0, slope, -1.0)
-        step = np.where((step > low) & (step < high), step, (low + high) / 2)
+        step = np.where((step >= low) & (step <= high), step, (low + high) / 2)  # a bound itself once it has converged
         moved = np.abs(step - v).max(initial=0.0)
         v = step
         if moved < 1e-9:
@@ -112,21 +124,37 @@ def log_weight(c: np.ndarray, t: np.ndarray, a: np.ndarray, log_p: np.ndarray, d
     return t * log_p + log_gamma(a + t) - log_gamma(t + 1) + log_coefficient(c, t, discount, close)
 
 
+def _weights(customers, others, parent, strength: float, discount: float, steps: np.ndarray) -> np.ndarray:
+    """Summed weights of 1, 2, ... tables, the first as 1: each is a multiple of the one before. Beyond the mode the multiples
+    fall below 1, so what is lost below the smallest numbers has no weight; beyond the largest the sum isn't finite."""
+    weight = steps[customers]
+    weight[:, 1:] *= (discount * parent)[:, None] * ((strength / discount + others)[:, None] + np.arange(1, weight.shape[1]))
+    weight[:, 0] = 1.0
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.cumprod(weight, 1, out=weight)
+        return np.cumsum(weight, 1, out=weight)
+
+
 def drawn(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, strength: float, discount: float, rng: np.random.Generator, table: np.ndarray) -> np.ndarray:
     """Tables of dishes; others: T of each. table is log_stirling(EXACT, discount)."""
     tables = np.minimum(customers, 1).astype(np.int64)
     few = np.flatnonzero((customers > 1) & (customers <= EXACT))
     few = few[np.argsort(customers[few], kind="stable")]
-    # Dishes of up to twice as many customers side by side; the table has no weight beyond a dish's own.
-    edge = np.searchsorted(customers[few], 1 << np.arange(1, EXACT.bit_length() + 1))
+    # Dishes of up to twice as many customers side by side, of few dishes more; there is no weight beyond a dish's own.
+    top = EXACT.bit_length()
+    edge = np.searchsorted(customers[few], [1 << min(b, top) for b in range(1, top + 4, 1 if len(few) > 2048 else 2 if len(few) > 256 else 4)])
+    steps = stirling_steps(EXACT, discount)
     for s, e in zip(edge[:-1], edge[1:]):
         width = int(customers[few[e - 1]]) if e > s else 1
         step = max(1, (1 << 18) // width)
         for at in range(s, e, step):
             k = few[at : min(e, at + step)]
-            each = np.log((strength + discount * (others[k][:, None] + np.arange(width))) * parent[k][:, None])
-            weight = np.cumsum(each, 1) + table[customers[k], 1 : width + 1]
-            weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+            weight = _weights(customers[k], others[k], parent[k], strength, discount, steps[:, :width])
+            wild = np.flatnonzero(~np.isfinite(weight[:, -1]))
+            if len(wild):
+                each = np.log((strength + discount * (others[k[wild], None] + np.arange(width))) * parent[k[wild], None])
+                logs = np.cumsum(each, 1) + table[customers[k[wild]], 1 : width + 1]
+                weight[wild] = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), 1)
             tables[k] = 1 + (weight < rng.random(len(k))[:, None] * weight[:, -1:]).sum(1)
     many = np.flatnonzero(customers > EXACT)
     for at in range(0, len(many), 1024):

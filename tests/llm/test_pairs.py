@@ -366,6 +366,60 @@ def test_counting_takes_no_more_than_its_numbers_do():
     assert packing.pack(planes) == blob and packing.unpack(packing.pack(x[:0], b"ab"), np.uint64, bytes)[1] == b"ab"
 
 
+def test_texts_split_in_blocks(monkeypatch):
+    """Blocks end between texts: the same words and counts whatever their size, with long, empty and no texts."""
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.choice(np.frombuffer(b"abC \n", np.uint8), n)) for n in (0, 5, 700, 63, 64, 65, 0, 0, 1, 128, 0)]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    word, count = pitman_yor.split(raw, offsets)
+    assert count.tolist() == [len(WORD.findall(t)) for t in texts] and len(word) == count.sum()
+    monkeypatch.setattr(pitman_yor, "BLOCK", 64)
+    again = pitman_yor.split(raw, offsets)
+    assert all((x == y).all() for x, y in zip((word, count), again)) and not len([*pitman_yor.split(raw[:0], np.zeros(1, np.int64))][0])
+
+
+def test_sweeps_hold_only_pairs_that_can_change(spark):
+    """Pairs with one customer are left out of sweeps, but for their sums, and put back with one table."""
+    docs = pitman_yor.prepared(spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120"))
+    model = pitman_yor.train(docs.select("text", "learn"), run_dir(spark, "t"), 3)
+    read = lambda kinds: dict(pitman_yor.settled(model.seats.where(F.col("kind").isin(*kinds)).union(model.replies).toArrow().to_batches(), len(model.samples)))
+    live, every = read([pitman_yor.SEATS]), read([pitman_yor.SEATS, pitman_yor.PAIRS])
+    assert sum(len(d.at) for d in live.values()) < sum(len(d.at) for d in every.values()) / 2
+    for part, d in live.items():
+        whole = every[part]
+        k = np.flatnonzero(whole.customers > 1)
+        assert (d.customers > 1).all() and (d.customers == whole.customers[k]).all() and (d.at == whole.at[k]).all() and (d.owner == whole.owner[k]).all()
+        for s, t in zip(d.samples, whole.samples):
+            assert (s[0] == t[0][k]).all() and (np.delete(t[0], k) == np.delete(whole.customers, k)).all()
+            assert (d.by_word(s[0]) + d.lone[0] == whole.by_word(t[0])).all() and (d.by_context(s[0]) + d.lone[1] == whole.by_context(t[0])).all()
+
+
+def test_numbers_are_packed_narrow():
+    x = [np.array([], np.int64), np.array([255, 0]), np.array([256]), np.array([1 << 16]), np.array([1 << 32]), np.array([7], np.uint64), np.array([0.5])]
+    got = pitman_yor.unpack_narrow(pitman_yor.pack_narrow(*x))
+    assert [g.dtype.itemsize for g in got] == [1, 1, 2, 4, 8, 8, 8] and all((g == y).all() and len(g) == len(y) for g, y in zip(got, x))
+
+
+def test_search_for_the_descent_ends(monkeypatch):
+    """Steps that ended on a bound were thrown back to the middle, and took thirty steps more to return."""
+    calls, real = [], np.expm1
+    t = np.arange(20.0, 300.0)
+    monkeypatch.setattr(seating.np, "expm1", lambda x: calls.append(1) or real(x))
+    v = seating.descent(np.full(len(t), 312.0), t, 0.8625690138051494)
+    x, f = -real(v), -real(0.8625690138051494 * v)
+    assert len(calls) < 30 and x * 0.8625690138051494 * np.exp((0.8625690138051494 - 1) * v) / f == pytest.approx(312 / t, rel=1e-8)
+
+
+def test_dishes_beyond_the_largest_numbers():
+    """Weights of up to 10 ** 9 a table for 256 tables leave the range of numbers; so do those that vanish."""
+    table, n = seating.log_stirling(seating.EXACT, 0.6), 2000
+    for others, p in ((10**9, 0.999), (10**4, 1e-12), (10**6, 1e-4)):
+        law = exact_law(256, others, p, 5.0, 0.6)
+        mean = sum(t * x for t, x in enumerate(law, 1))
+        got = seating.drawn(np.full(n, 256), np.full(n, others), np.full(n, p), 5.0, 0.6, np.random.default_rng(4), table)
+        assert got.mean() == pytest.approx(mean, rel=0.02)
+
+
 def log_stirling(c, d):
     """log S_d(c, t) for t = 1 to c, by their recursion in plain numbers."""
 
